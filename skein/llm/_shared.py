@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,10 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes, so that long texts don't add up in a Python worker."""
+    """Arrow batches by bytes, so that long texts don't add up in a Python worker; workers find this package where the driver does."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
