@@ -8,8 +8,9 @@ in another order, change nothing. Every step is an aggregation with partial sums
 never in one task: a pool sends some hundred numbers a task, its distances as counts in bins of a sixteenth of an octave (the
 half is filled up to the end of its bin).
 
-Pools: a language and source with at least `least` rows; the smaller ones of a language together; what then remains together;
-with fewer than `least` rows there, no estimate is made and the base limits decide. `FLOORS` are the deviations that are
+Pools: a language and source with at least `least` rows; the smaller ones of a language together; where those are too few, they
+join the language's largest; languages without any are one pool, or join the largest of all; with fewer than `least` rows in
+every language and source and together, no estimate is made and the base limits decide. `FLOORS` are the deviations that are
 taken as harmless in any case; their squares are added to the variances, which keeps constant statistics usable.
 
 Defined cases: a null text is empty and fails; null language or source is a value of its own; repeated rows count as often as
@@ -131,11 +132,15 @@ def _distance(mean: str = "mean", inverse: str = "inverse") -> Column:
 
 def _pools(counts: DataFrame, least: int) -> DataFrame:
     """(key, pool) for each language and source."""
-    small = F.when(F.col("n") < least, F.col("n")).otherwise(0)
-    counts = counts.withColumn("in_lang", F.sum(small).over(Window.partitionBy("lang")))
-    rest = counts.where((F.col("n") < least) & (F.col("in_lang") < least)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rest"))
-    pool = F.when(F.col("n") >= least, F.concat(F.lit("s"), F.col("key"))).when(F.col("in_lang") >= least, F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))))
-    return counts.crossJoin(F.broadcast(rest)).select("key", F.coalesce(pool, F.when(F.col("rest") >= least, F.lit("*"))).alias("pool"))  # rest is one row
+    small, own = F.when(F.col("n") < least, F.col("n")).otherwise(0), F.concat(F.lit("s"), F.col("key"))
+    lang = Window.partitionBy("lang")
+    largest = F.when(F.col("n") >= least, F.struct("n", own.alias("pool")))
+    counts = counts.withColumn("in_lang", F.sum(small).over(lang)).withColumn("of_lang", F.max(largest).over(lang))
+    alone = (F.col("n") < least) & (F.col("in_lang") < least) & F.col("of_lang").isNull()
+    all_rows = counts.agg(F.coalesce(F.sum(F.when(alone, F.col("n"))), F.lit(0)).alias("rest"), F.max(largest).alias("of_all"))
+    pool = F.when(F.col("n") >= least, own).when(F.col("in_lang") >= least, F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))))
+    pool = F.coalesce(pool, F.col("of_lang.pool"), F.when(F.col("rest") >= least, F.lit("*")), F.col("of_all.pool"))
+    return counts.crossJoin(F.broadcast(all_rows)).select("key", pool.alias("pool"))  # all_rows is one row
 
 
 def _estimates(rows: DataFrame, pools: DataFrame, steps: int) -> DataFrame:
