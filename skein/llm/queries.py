@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, pii, quality_rules, token_counts, token_files, warc
+from . import decontaminate, licenses, neighbour_vote, ngram_join, packing, pii, quality_rules, token_counts, token_files, warc
 from ._shared import work_path
 
 
@@ -24,10 +24,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_vote.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).select("doc_id", "canonical_sha256", "license_id", "is_license")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.detect(_table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("redacted"))
 
@@ -56,7 +64,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op3_neighbour_vote": op3_neighbour_vote,
     "op4_ngram_join": op4_ngram_join,
+    "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
@@ -66,6 +76,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+
+
+def _canonical(text: str) -> str:
+    t = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.NOTICE.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+    t = f"regexp_replace(' ' || regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' +', ' ', 'g')".replace("\\\\", "\\")
+    for a, b in licenses.SPELLINGS:
+        t = f"replace({t}, ' {a} ', ' {b} ')"
+    return f"trim({t})"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.KNOWN.items()))
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -100,5 +122,10 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a AS doc_id, a AS reached FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
 c AS (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+""",
+    "op5_license_scan": f"""
+WITH k AS (SELECT d, min(license_id) AS license_id FROM (SELECT license_id, sha256({_canonical("text")}) AS d FROM (VALUES {_KNOWN}) AS v(license_id, text)) GROUP BY d),
+c AS (SELECT doc_id, nullif({_canonical("text")}, '') AS t FROM documents)
+SELECT doc_id, sha256(t) AS canonical_sha256, license_id, license_id IS NOT NULL AS is_license FROM c LEFT JOIN k ON k.d = sha256(t)
 """,
 }
