@@ -1,9 +1,10 @@
-"""Flat token-id files: little-endian unsigned 32-bit ids, with 64-bit document offsets and keys beside them.
+"""Flat token-id files: little-endian unsigned ids of 16 bits, or of 32 where the vocabulary needs them, with 64-bit document
+offsets and keys beside them.
 
 A data set is a folder of parts in document order and a manifest table (a Parquet folder). Each part has
 `<part>.ids` (the ids), `<part>.off` (signed 64-bit: where each document begins in the part, then the part's length) and
 `<part>.key` (signed 64-bit document ids). The manifest has a row for each part; its base, the number of ids before the part,
-is a prefix sum over the parts. A task writes under a name of its own attempt, and only manifest rows of committed tasks
+is a prefix sum over the parts; its width is that of an id in bytes. A task writes under a name of its own attempt, and only manifest rows of committed tasks
 count, so a lost executor or a second attempt leaves files that nothing refers to.
 
 Defined cases: a null or empty text is one end id; null ids come first and are kept as the least 64-bit number and read back
@@ -26,7 +27,7 @@ from .tokenize import encoder, in_slices
 NO_ID = np.iinfo(np.int64).min
 #: Ids that the reader takes at once.
 READ_IDS = 1 << 20
-MANIFEST = "part long, n_docs long, n_ids long, name string"
+MANIFEST = "part long, n_docs long, n_ids long, width int, name string"
 
 
 def _write(path: str, end_id: int, folder: str):
@@ -36,6 +37,7 @@ def _write(path: str, end_id: int, folder: str):
         enc, name = encoder(path), f"part-{task_tag()}"
         fs, at = open_fs(folder)
         end, n_docs, n_ids = np.array([end_id], "<u4").tobytes(), 0, 0
+        width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
         out = None
         for b in batches:
             if not b.num_rows:
@@ -47,7 +49,8 @@ def _write(path: str, end_id: int, folder: str):
             for i, j in in_slices(texts):
                 coded = [x + end for x in enc.encode(texts[i:j])]
                 sizes = np.array([len(x) // 4 for x in coded], np.int64)
-                out[0].write(b"".join(coded))
+                ids = b"".join(coded)
+                out[0].write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
                 out[1].write((n_ids + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
                 n_ids, n_docs = n_ids + int(sizes.sum()), n_docs + len(sizes)
             out[2].write(keys.astype("<i8").tobytes())
@@ -55,7 +58,7 @@ def _write(path: str, end_id: int, folder: str):
             out[1].write(np.array([n_ids], "<i8").tobytes())
             for f in out:
                 f.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64()), "name": pa.array([name], pa.string())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64()), "width": pa.array([width], pa.int32()), "name": pa.array([name], pa.string())})
 
     return run
 
@@ -100,8 +103,8 @@ def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = open_fs(folder)
         for b in batches:
-            for name, n, base in zip(*(b.column(c).to_pylist() for c in ("name", "n_docs", "base")), strict=True):
-                ids, off, key = (_mapped(fs, f"{at}/{name}.{x}", k) for x, k in (("ids", "<u4"), ("off", "<i8"), ("key", "<i8")))
+            for name, n, base, width in zip(*(b.column(c).to_pylist() for c in ("name", "n_docs", "base", "width")), strict=True):
+                ids, off, key = (_mapped(fs, f"{at}/{name}.{x}", k) for x, k in (("ids", f"<u{width}"), ("off", "<i8"), ("key", "<i8")))
                 for i in range(0, n, 4096):
                     j = min(n, i + 4096)
                     at_ids, keys = np.array(off[i : j + 1]), np.array(key[i:j])
@@ -109,7 +112,7 @@ def _read(folder: str):
                     for k in range(j - i):
                         crc = 0
                         for s in range(int(at_ids[k]), int(at_ids[k + 1]), READ_IDS):
-                            crc = zlib.crc32(np.ascontiguousarray(ids[s : min(s + READ_IDS, int(at_ids[k + 1]))]).tobytes(), crc)
+                            crc = zlib.crc32(np.asarray(ids[s : min(s + READ_IDS, int(at_ids[k + 1]))]).astype("<u4").tobytes(), crc)
                         crcs[k] = crc
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, mask=keys == NO_ID), "start": pa.array(base + at_ids[:-1]), "n_tokens": pa.array(np.diff(at_ids)), "ids_crc32": pa.array(crcs)})
 
@@ -117,7 +120,7 @@ def _read(folder: str):
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """From the files: a row for each document with doc_id, start (ids before it in the data set), n_tokens and the CRC-32 of its ids."""
+    """From the files: a row for each document with doc_id, start (ids before it in the data set), n_tokens and the CRC-32 of its ids as 32-bit numbers."""
     bounded_batches(spark)
     parts = manifest(spark, folder)
     return parts.repartition(max(1, spark.sparkContext.defaultParallelism) * 4, "name").mapInArrow(_read(f"{folder}/data"), "doc_id long, start long, n_tokens long, ids_crc32 long")
