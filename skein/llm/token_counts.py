@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, tokenizer_path, work_path
+from ._shared import bounded_batches, join_checked, tokenizer_path, work_path
 from .tokenize import encoder, in_slices, version_digest
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -33,12 +33,9 @@ def _count(path: str, tokenizer_digest: str):
     return run
 
 
-def _cached(spark, cache: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(cache)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(cache)
+def _there(spark, cache: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: str | None = None, limit: int = 512, text_col: str = "text") -> DataFrame:
@@ -49,11 +46,12 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     version = version_digest(path)
     cache = cache or work_path(spark, "token-cache")
     content = F.coalesce(F.col(text_col), F.lit(""))
-    known = _cached(spark, cache).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
-    distinct = docs.select(content.alias("content")).distinct().select("content", F.sha2("content", 256).alias("content_digest"))
-    misses = distinct.join(known, "content_digest", "left_anti").select("content_digest", "content")
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache) if _there(spark, cache) else None
+    misses = docs.select(content.alias("content")).distinct().select("content", F.sha2("content", 256).alias("content_digest"))
+    if stored is not None:  # without a cache no text is shuffled for a join with it
+        misses = join_checked(misses, stored.where(F.col("tokenizer_digest") == version).select("content_digest"), "content_digest", "left_anti")
     misses.mapInArrow(_count(path, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = _cached(spark, cache).where(F.col("tokenizer_digest") == version).groupBy(F.col("content_digest").alias("__key")).agg(F.min("n_tokens").alias("__tokens"))
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer_digest") == version).groupBy(F.col("content_digest").alias("__key")).agg(F.min("n_tokens").alias("__tokens"))
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     keyed = docs.select(*kept, F.sha2(content, 256).alias("__digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     out = keyed.join(counts, F.col("__digest") == F.col("__key"), "left")
