@@ -25,6 +25,12 @@ def mode_by(rows: DataFrame, group: str, value: str, ties: list[Column], name: s
     return counts.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(group, F.col(value).alias(name))
 
 
+def first_appearances(rows: DataFrame, group: str, value: str, order: list[str], name: str) -> DataFrame:
+    """(group, name): the distinct values in the order in which they first appear."""
+    first = rows.groupBy(group, value).agg(F.min(F.struct(*order)).alias("__first"))
+    return first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", F.col(value).alias("v")))), lambda s: s["v"]).alias(name))
+
+
 def medoids(rows: DataFrame, group: str, id_col: str, vector_col: str) -> DataFrame:
     """(group, id): the row with the largest mean cosine to its group's rows, which is its dot product with their mean; ties by id."""
     places = rows.select(group, id_col, F.posexplode(vector_col).alias("i", "x"))
@@ -61,7 +67,7 @@ def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
     described = m.groupBy("__c", "description").agg(F.min(F.struct("passage_id", "su_id", "mention_id")).alias("first"))
     vectors = described.withColumn("v", hashed_embedder(256)(F.col("description")))
     middle = medoids(vectors, "__c", "description", "v").withColumnRenamed("description", "canonical_description")
-    variants = described.groupBy("__c").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "description"))), lambda s: s["description"]).alias("description_variants"))
+    variants = first_appearances(m, "__c", "description", ["passage_id", "su_id", "mention_id"], "description_variants")
     sets = {"aliases": "normalized_name", "supporting_su_ids": "su_id", "supporting_passage_ids": "passage_id", "mention_ids": "mention_id"}
     lists = m.groupBy("__c").agg(F.count(F.lit(1)).alias("mention_count"), *[F.array_sort(F.collect_set(c)).alias(k) for k, c in sets.items()])
     out = lists.join(name, "__c").join(kind, "__c").join(middle, "__c").join(variants, "__c")

@@ -33,6 +33,28 @@ def conductance(similarity: Column, floor: float, gamma: float) -> Column:
     return F.pow(F.greatest(F.greatest(similarity, F.lit(0.0)) - floor, F.lit(0.0)) / max(1.0 - floor, 1e-8), F.lit(gamma))
 
 
+def unit_signal(front: DataFrame, inc: DataFrame) -> DataFrame:
+    """(query_id, su_id, signal): the largest score of the frontier's entities (query_id, entity_id, score) in each unit."""
+    return front.where("score > 0").join(inc, "entity_id").groupBy("query_id", "su_id").agg(F.max("score").alias("signal"))
+
+
+def gate_counts(sims: DataFrame, floor: float, gamma: float) -> DataFrame:
+    """(query_id, n_active, n_suppressed) of units by their similarity (query_id, score)."""
+    w = conductance(F.col("score"), floor, gamma)
+    return sims.groupBy("query_id").agg(F.count_if(w > 0).alias("n_active"), F.count_if(w <= 0).alias("n_suppressed"))
+
+
+def total_activation(active: DataFrame) -> DataFrame:
+    return active.groupBy("query_id").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def over_maximum(df: DataFrame, score: str, name: str, by: str = "query_id") -> DataFrame:
+    """The score over its largest in the group, where that is positive; maxima combine before the shuffle."""
+    most = df.groupBy(F.col(by).alias("__by")).agg(F.max(score).alias("__most"))
+    both = df.join(most, F.col(by) == F.col("__by"))
+    return both.withColumn(name, F.when(F.col("__most") > 0, F.col(score) / F.col("__most")).otherwise(F.col(score))).drop("__by", "__most")
+
+
 def expand(inc: DataFrame, units: DataFrame, questions: DataFrame, seeds: DataFrame, entities: DataFrame | None = None, config: Config | None = None, gates: DataFrame | None = None) -> DataFrame:
     """(query_id, entity_id, score, hop, is_seed) that spreads from the seeds over the incidence (entity_id, su_id).
 
@@ -48,8 +70,7 @@ def expand(inc: DataFrame, units: DataFrame, questions: DataFrame, seeds: DataFr
         original = gates.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
     now = written(original, "questions")
     for hop in range(1, c.max_hops + 1):
-        front = active.where((F.col("hop") == hop - 1) & (F.col("score") > 0)).select("query_id", "entity_id", "score")
-        signal = front.join(inc, "entity_id").groupBy("query_id", "su_id").agg(F.max("score").alias("signal"))
+        signal = unit_signal(active.where(F.col("hop") == hop - 1).select("query_id", "entity_id", "score"), inc)
         reached = join_checked(signal.join(units.select("su_id", F.col("embedding").alias("u")), "su_id"), now, "query_id")
         reached = reached.groupBy("query_id", "su_id").agg(F.max("signal").alias("signal"), F.max(dot(F.col("u"), F.col("q"))).alias("sim"))
         bridge = reached.select("query_id", "su_id", (F.col("signal") * conductance(F.round("sim", 9), c.conductance_floor, c.conductance_gamma)).alias("bridge")).where("bridge > 0")
@@ -101,12 +122,12 @@ def fuse(active: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFr
     return ranked(out, k, "score", "passage_id").select("query_id", "rank", "passage_id", "score")
 
 
-def retrieve(questions: DataFrame, mentions: DataFrame, entities: DataFrame, inc: DataFrame, units: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, config: Config | None = None) -> DataFrame:
-    """(query_id, rank, passage_id, score) of all questions. Those with seeds are expanded and fused, the others are dense (their scores are plain cosines)."""
+def retrieve(questions: DataFrame, mentions: DataFrame, entities: DataFrame, inc: DataFrame, units: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, config: Config | None = None, gates: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, passage_id, score) of all questions; gates as in expand, for Config(gate="subquery"). Those with seeds are expanded and fused, the others are dense (their scores are plain cosines)."""
     c = config or Config()
     k = c.rerank_candidates if c.rerank else c.top_k
     seeds = written(seed_entities(mentions, entities), "seeds")
-    active = expand(inc, units, questions, seeds, entities, c)
+    active = expand(inc, units, questions, seeds, entities, c, gates if c.gate == "subquery" else None)
     fused = fuse(active, weights, idf, passages, questions, c.scoring_lambda, k)
     plain = questions.join(seeds.select("query_id").distinct(), "query_id", "left_anti")
     if c.fallback == "su_preexpand":

@@ -333,6 +333,17 @@ def _(t):
 _MEANS = "e AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), mean AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL)"
 
 
+@query("a05_description_variants", "SELECT p_brand, list(p_type ORDER BY first) AS variants FROM (SELECT p_brand, p_type, min(p_partkey) AS first FROM part GROUP BY 1, 2) GROUP BY p_brand")
+def _(t):
+    return entities.first_appearances(t("part"), "p_brand", "p_type", ["p_partkey"], "variants")
+
+
+@query("a23_unit_stats", f"WITH {_UNITS}, many AS (SELECT doc_id, max(unit_no) + 1 AS m FROM u GROUP BY doc_id) SELECT CAST(sum(m) AS BIGINT) AS n_units, avg(m) AS per_passage FROM many")
+def _(t):
+    n = _unit_rows(t).groupBy("doc_id").agg((F.max("unit_no") + 1).cast("long").alias("n"))
+    return n.agg(F.sum("n").alias("n_units"), F.avg("n").alias("per_passage"))
+
+
 @query("a06_medoid", f"WITH {_MEANS} SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(sum(x * m), 9) DESC, vec_id) AS r FROM e JOIN mean USING (label, i) GROUP BY label, vec_id) WHERE r = 1")
 def _(t):
     return entities.medoids(t("embeddings"), "label", "vec_id", "embedding")
@@ -392,6 +403,18 @@ def _(t):
 _PAIRS = "SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id"
 
 
+@query(
+    "u06_name_overlap",
+    f"""WITH p AS (SELECT p_partkey, {sql_name('p_name')} AS x, {sql_name('p_type')} AS y FROM part),
+w AS (SELECT p_partkey, x, y, list_distinct({sql_words('x')}) AS a, list_distinct({sql_words('y')}) AS b FROM p)
+SELECT p_partkey, coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0) AS jaccard,
+       CASE WHEN contains(x, y) OR contains(y, x) THEN least(length(x), length(y)) / nullif(greatest(length(x), length(y)), 0) ELSE 0 END AS contained FROM w""",
+)
+def _(t):
+    x, y = X.normalize_name(F.col("p_name")), X.normalize_name(F.col("p_type"))
+    return t("part").select("p_partkey", X.token_jaccard(x, y).alias("jaccard"), X.containment(x, y).alias("contained"))
+
+
 @query("g04_candidate_pairs", f"SELECT * FROM ({_PAIRS}) WHERE cosine >= 0.3")
 def _(t):
     return similar_pairs(t("embeddings"), 0.3, "vec_id", "label")
@@ -544,9 +567,43 @@ def _(t):
     return retrieval.rerank(rows, providers.overlap_score(F.col("question"), F.col("text")), 3).select("query_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("a12_unit_signal", f"WITH {_REL}, {_hops(1)} SELECT query_id, su_id, max(score) AS signal FROM h0 JOIN inc USING (entity_id) GROUP BY query_id, su_id")
+def _(t):
+    g = _relational(t)
+    return retrieval.unit_signal(_seeds(t, g).select("query_id", "entity_id", "score"), g["inc"])
+
+
+@query("a14_total_activation", f"WITH {_REL}, {_hops(3)} SELECT query_id, sum(score) AS total, count(*) AS n FROM act GROUP BY query_id")
+def _(t):
+    return retrieval.total_activation(_expanded(t, 3, False)[0])
+
+
+@query("a17_max_normalised", f"SELECT query_id, passage_id, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE score END AS scaled FROM ({_NEAR}) WINDOW w AS (PARTITION BY query_id)")
+def _(t):
+    sims = top_k(t("embeddings").select("vec_id", "embedding"), _asked(t), None, "vec_id").select("query_id", F.col("vec_id").alias("passage_id"), F.round("score", 9).alias("score"))
+    return retrieval.over_maximum(sims, "score", "scaled").drop("score")
+
+
+@query("a24_gate_counts", f"SELECT query_id, count(*) FILTER (score > 0.05) AS n_active, count(*) FILTER (score <= 0.05) AS n_suppressed FROM ({_NEAR}) GROUP BY query_id")
+def _(t):
+    sims = top_k(t("embeddings").select("vec_id", "embedding"), _asked(t), None, "vec_id")
+    return retrieval.gate_counts(sims.withColumn("score", F.round("score", 9)), 0.05, 1.0)
+
+
+@query("t01_full_ranking", f"SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM ({_NEAR})")
+def _(t):
+    sims = top_k(t("embeddings").select(F.col("vec_id").alias("passage_id"), "embedding"), _asked(t), None, "passage_id")
+    return retrieval.ranked(sims, None, "score", "passage_id").select("query_id", "passage_id", F.col("rank").cast("long").alias("rank"))
+
+
 # planner
 
 
+@query("q01_strip_fences", rf"SELECT event_id, {sql_strip('props')} AS inner_text, event_type AS plain FROM events")
+def _(t):
+    return t("events").select("event_id", planner.strip_fences(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("inner_text"), planner.strip_fences(F.col("event_type")).alias("plain"))
+
+
 @query("q02_json_object", "SELECT event_id, props AS object, CAST(NULL AS VARCHAR) AS none FROM events")
 def _(t):
     fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
