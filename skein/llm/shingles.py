@@ -49,7 +49,7 @@ def _slice_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     words = mix((sums[last] - sums[first]) * down[first])
     grams = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for i in range(k):
-        grams = grams * np.uint64(_STEP) + words[i : len(words) - k + 1 + i]
+        grams = grams * np.uint64(_STEP) + words[i : i + len(grams)]
     grams = mix(grams)
     ends = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(first, ends, side="left")
