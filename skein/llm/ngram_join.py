@@ -7,11 +7,13 @@ shingle's place in both and the sizes bound the overlap further. So:
 
 1. nodes meet in buckets by those shingles; in each, the smallest is a pivot, and the others that it could link with are its
    candidates (a row for each, never a pair of each two); buckets of frequent shingles are split by node, and their pivots
-   meet in turn;
+   meet in turn; a candidate whose profile (how many of its shingles fall into each of 256 classes) shows that too few can be
+   shared is none;
 2. the sets of a pivot and of up to `block` of its candidates are put in a prefix tree, which each set then walks: sets that
    begin alike share the partial overlap, and a subtree ends where what remains cannot reach the threshold;
-3. links are joined to components; in buckets that still hold several, all pairs of different components that the bounds
-   allow are verified in the same way. Buckets that are in one component by then need no more.
+3. links are joined to components; buckets that still hold several take turns with other pivots, and in those that hold
+   several after that, all pairs of different components that the bounds allow are verified in the same way. Buckets that are
+   in one component need no more.
 
 Step 3 leaves out no pair, so the components are those of all links. Nothing is kept by sampling, nor capped.
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import bounded_batches, join_checked, written
@@ -39,12 +41,21 @@ HEAVY, HEAVY_ROWS = 32, 1_000_000
 BUCKET = 1024
 #: Sets that share a prefix tree, about, and their shingles together.
 BLOCK, BLOCK_SHINGLES = 64, 100_000
+#: Turns with other pivots before all pairs that are left, and nodes of a family that meet in one cell, about.
+ROUNDS, CELL = 1, 1024
+#: Open shingles up to which they are broadcast (five numbers each).
+OPEN_ROWS = 1_000_000
 
 
 def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def profile(s: np.ndarray) -> bytes:
+    """How many shingles have each first byte; 255 stands for that many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1 if n else 0
 
@@ -72,46 +83,81 @@ class Order:
 
 
 def _documents(k: int):
-    """Each document's size and node; the first of a node in a task also has the first quarter of its set by hash."""
+    """Each document's size and node; the first of a node in a task also has its profile and the first quarter of its set by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            sizes, nodes, firsts = [], [], []
+            sizes, nodes, firsts, profiles = [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), k):
                 node = node_of(s) if len(s) else None
                 sizes.append(len(s))
                 nodes.append(node)
                 new = node is not None and node not in seen
                 firsts.append(s[: prefix_length(len(s))].view(np.int64) if new else None)
+                profiles.append(profile(s) if new else None)
                 if new:
                     seen.add(node)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(profiles, pa.binary())], names=["doc_id", "n_shingles", "node", "first", "profile"])
+
+    return run
+
+
+def _posting_batch(order: Order, sets: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(bucket, heavy, node, size, place) for the first shingles of (node, size, shingles, their counts)."""
+    parts = []
+    for node, size, tokens, counts in sets:
+        split = -(-counts // BUCKET)
+        salt = np.uint64(node & (2**64 - 1)) % np.maximum(split, 1).astype(np.uint64)
+        bucket = np.where(split > 1, mix(tokens + mix(salt + np.uint64(1))), tokens)
+        n = len(tokens)
+        parts.append((bucket, tokens, counts > 0, np.full(n, node, np.int64), np.full(n, size, np.int32), np.arange(n, dtype=np.int32)))
+    bucket, tokens, heavy, node, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(tokens.view(np.int64), mask=~heavy), pa.array(node), pa.array(size), pa.array(place)], names=["bucket", "heavy", "node", "size", "place"])
+
+
+def _firsts(b: pa.RecordBatch) -> list[np.ndarray]:
+    column = b.column("first")
+    return [column[i].values.to_numpy().view(np.uint64) for i in range(b.num_rows)]
+
+
+def _kept_postings(order):
+    """Of nodes without frequent shingles among their first ones by hash: those are their first ones in the global order too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("node").to_pylist(), b.column("n_shingles").to_pylist(), _firsts(b), strict=True)
+            sets = [(node, n, first, np.zeros(len(first), np.int64)) for node, n, first in rows if not order.value.counts_of(first).any()]
+            if sets:
+                yield _posting_batch(order.value, sets)
+
+    return run
+
+
+def _changed(order):
+    """The documents of all other nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([bool(order.value.counts_of(first).any()) for first in _firsts(b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")], names=["changed"]).filter(keep)
 
     return run
 
 
 def _postings(order, k: int):
-    """(bucket, heavy, node, size, place) for each first shingle of each node, once a task."""
+    """Postings of each node from its text, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = order.value, set()
+        seen: set[int] = set()
         for b in batches:
-            parts = []
+            sets = []
             for s in shingle_sets(b.column("text").to_pylist(), k):
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                seen.add(node)
-                tokens, counts = own.prefix(s)
-                heavy = counts > 0
-                split = -(-counts // BUCKET)
-                salt = np.uint64(node & (2**64 - 1)) % np.maximum(split, 1).astype(np.uint64)
-                bucket = np.where(split > 1, mix(tokens + mix(salt + np.uint64(1))), tokens)
-                n = len(tokens)
-                parts.append((bucket, tokens, heavy, np.full(n, node, np.int64), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32)))
-            if parts:
-                bucket, tokens, heavy, node, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(tokens.view(np.int64), mask=~heavy), pa.array(node), pa.array(size), pa.array(place)], names=["bucket", "heavy", "node", "size", "place"])
+                if len(s) and (node := node_of(s)) not in seen:
+                    seen.add(node)
+                    sets.append((node, len(s), *order.value.prefix(s)))
+            if sets:
+                yield _posting_batch(order.value, sets)
 
     return run
 
@@ -123,7 +169,10 @@ def may_link(size_a, place_a, size_b, place_b):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket and size: those of shared buckets, each with the pivot that it could link with, if any."""
+    """Of rows sorted by bucket and size: those of shared buckets, each with the pivot that it could link with, if any.
+
+    open: pairs without the pivot remain. A bucket of two has none, and gives its candidate alone.
+    """
     names = ["bucket", "heavy", "node", "size", "place"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
@@ -134,13 +183,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pivot and pivot[0] != bucket[0]:
             pivot = None
         ends = np.append(starts[1:], len(bucket))
-        keep, pivots, has = heavy.copy(), np.zeros(len(bucket), np.int64), np.zeros(len(bucket), bool)
+        keep, pivots, has, left = heavy.copy(), np.zeros(len(bucket), np.int64), np.zeros(len(bucket), bool), heavy.copy()
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             pivot = pivot if a == 0 else None
             if b - a == 1 and pivot is None:
                 pivot = (bucket[a], size[a], place[a], node[a])
                 continue
-            keep[a:b] = True
+            start, left[a:b] = a, left[a:b] | (b - a > 2) | (pivot is not None)
             while a < b:
                 if pivot is None:
                     pivot = (bucket[a], size[a], place[a], node[a])
@@ -153,7 +202,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pivot = (bucket[near], size[near], place[near], node[near])
                     near += 1
                 a = near
-        out = rows.append_column("pivot", pa.array(pivots, mask=~has))
+            keep[start:b] |= left[start:b] | has[start:b]
+        out = rows.append_column("pivot", pa.array(pivots, mask=~has)).append_column("open", pa.array(left))
         return out.filter(pa.array(keep)), pivot
 
     held: pa.Table | None = None
@@ -182,7 +232,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, _ = of(held, pivot)
         yield from done.to_batches()
     elif not started:
-        yield pa.RecordBatch.from_arrays([pa.array([], k) for k in (*kinds, pa.int64())], names=[*names, "pivot"])
+        yield pa.RecordBatch.from_arrays([pa.array([], k) for k in (*kinds, pa.int64(), pa.bool_())], names=[*names, "pivot", "open"])
 
 
 # the prefix tree
@@ -273,19 +323,32 @@ def _whole_sets(k: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """The links (a, b) among the blocks of candidate pairs (a, b, size of b)."""
-    pairs = written(pairs.select("a", "b", "size").distinct(), "pairs")
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose profiles leave room for a link: the smaller counts of each class bound the overlap."""
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("profile_a", "profile_b"))
+            shared = np.minimum(x, y).sum(1, dtype=np.int64)
+            full = ((x == 255) | (y == 255)).any(1)
+            keep = full | (7 * shared >= 3 * (b.column("size_a").to_numpy() + b.column("size_b").to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("size_b")], names=["a", "b", "size"]).filter(pa.array(keep))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+    """The links (a, b) among the blocks of candidate pairs (a, b)."""
+    pairs = pairs.select("a", "b").distinct()
+    side = lambda c: profiles.select(F.col("node").alias(f"node_{c}"), F.col("n").alias(f"size_{c}"), F.col("profile").alias(f"profile_{c}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    pairs = written(both.mapInArrow(_possible, "a long, b long, size long"), "pairs")
     number = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
     counts = written(pairs.groupBy(F.col("a").alias("pivot")).agg(number.alias("blocks")), "pivots")
     blocks = join_checked(pairs, counts, pairs["a"] == counts["pivot"]).select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("node"))
-    members = blocks.union(blocks.select("a", "block", F.col("a").alias("node")).distinct())
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    members = written(blocks.union(blocks.select("a", "block", F.col("a").alias("node"))).distinct(), "members")
+    needed = members.select("node").distinct()
     reps = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     reps = written(reps.join(needed, "node", "left_semi").select("rep").distinct(), "needed")
     texts = join_checked(docs, reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_whole_sets(k), "node long, tokens array<long>")
-    sets = written(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = texts.mapInArrow(_whole_sets(k), "node long, tokens array<long>")  # a row that repeats an id may come twice, which blocks allow for
     found = members.join(sets, "node").groupBy("a", "block").applyInArrow(_block_links, "a long, b long")
     return written(found, "links")
 
@@ -296,37 +359,107 @@ def join_components(docs: DataFrame, k: int = 5, heavy: int = HEAVY, id_col: str
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = written(docs.mapInArrow(_documents(k), f"doc_id {kind}, n_shingles long, node long, first array<long>"), "documents")
+    known = written(docs.mapInArrow(_documents(k), f"doc_id {kind}, n_shingles long, node long, first array<long>, profile binary"), "documents")
     counts = known.where("first is not null").select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= heavy)
     counts = written(counts, "frequent")
+    firsts = known.where("first is not null").select("doc_id", "node", "n_shingles", "first")
     known = known.drop("first")
     while counts.where(F.col("n") >= heavy).count() > HEAVY_ROWS:
         heavy *= 2
     frequent = counts.where(F.col("n") >= heavy).toArrow()  # at most HEAVY_ROWS rows
     order = spark.sparkContext.broadcast(Order(frequent["token"].to_numpy().view(np.uint64), frequent["n"].to_numpy()))
-    posted = docs.select("text").mapInArrow(_postings(order, k), "bucket long, heavy long, node long, size int, place int")
+    posting = "bucket long, heavy long, node long, size int, place int"
+    changed = written(firsts.select("doc_id", "first").mapInArrow(_changed(order), f"changed {kind}").distinct(), "changed")
+    again = join_checked(docs, changed, docs["doc_id"].eqNullSafe(changed["changed"]), "left_semi").select("text").mapInArrow(_postings(order, k), posting)
+    posted = firsts.select("node", "n_shingles", "first").mapInArrow(_kept_postings(order), posting).unionByName(again)
     posted = posted.repartition("bucket").sortWithinPartitions("bucket", "size", "node")
-    shared = written(posted.mapInArrow(_stars, "bucket long, heavy long, node long, size int, place int, pivot long"), "shared")
-    pairs = shared.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "size")
+    shared = written(posted.mapInArrow(_stars, "bucket long, heavy long, node long, size int, place int, pivot long, open boolean"), "shared")
+    pairs = shared.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     tops = shared.where("heavy is not null and pivot is null").select("heavy", "node", "size")
     lead = written(tops.groupBy("heavy").agg(F.min(F.struct("size", "node")).alias("top")).select(F.col("heavy").alias("token"), F.col("top.size").alias("s"), F.col("top.node").alias("a")), "leads")
-    across = join_checked(tops, lead, tops["heavy"] == lead["token"]).where((F.col("node") != F.col("a")) & (F.col("size") * 3 <= F.col("s") * 4)).select("a", F.col("node").alias("b"), "size")
-    links = _verified(pairs.union(across), docs, known, k)
+    across = join_checked(tops, lead, tops["heavy"] == lead["token"]).where((F.col("node") != F.col("a")) & (F.col("size") * 3 <= F.col("s") * 4)).select("a", F.col("node").alias("b"))
+    profiles = written(known.where("profile is not null").select("node", F.col("n_shingles").alias("n"), "profile").dropDuplicates(["node"]), "profiles")
+    known = known.drop("profile")
+    check = lambda some: _verified(some, docs, known, profiles, k)
+    links = check(pairs.union(across))
     comps = components(links)
-    # what the first candidates leave: different components in one bucket
-    own = shared.select(F.coalesce("heavy", "bucket").alias("token"), "node", "size", "place").distinct()
-    own = join_checked(own, comps.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("token", "node", "size", "place", F.coalesce("comp", "node").alias("comp"))
-    own = written(own, "left")
-    several = written(own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token"), "several")
-    own = join_checked(own, several, "token", "left_semi")
-    x, y = own.alias("x"), own.alias("y")
-    room = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    rest = x.join(y, F.col("x.token") == F.col("y.token")).where(
-        (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (room * 7 >= (F.col("x.size") + F.col("y.size")) * 3)
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("y.size").alias("size"))
-    more = _verified(rest, docs, known, k)
-    comps = written(components(links.union(more)), "components")
-    return _labelled(known, comps)
+    own = shared.where("open").select(F.coalesce("heavy", "bucket").alias("token"), "node", "size", "place")
+    for turn in range(ROUNDS + 1):
+        own = _open(own, comps, turn)
+        if own.limit(1).count() == 0:
+            break
+        links = links.union(check(_pairs_left(own, profiles) if turn == ROUNDS else _stars_left(own)))
+        comps = components(links)
+    return _labelled(known, written(comps, "components"))
+
+
+def _open(own: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """(token, node, size, place, comp, p_*) of the shingles whose nodes are in several components; p_* is one of its nodes, another one each turn."""
+    own = own.select("token", "node", "size", "place")
+    own = join_checked(own, comps.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    own = written(own.select("token", "node", "size", "place", F.coalesce("comp", "node").alias("comp")), "left")
+    one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "size", "place", "comp")).alias("p")
+    several = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), one).where("low < high")
+    several = written(several.select(F.col("token").alias("p_token"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "size", "place", "comp")]), "several")
+    return written(join_checked(own, several, F.col("token") == F.col("p_token"), rows=OPEN_ROWS).drop("p_token"), "open")
+
+
+def _room(a: str, b: str) -> Column:
+    """may_link on columns."""
+    left = F.least(F.col(f"{a}size") - F.col(f"{a}place"), F.col(f"{b}size") - F.col(f"{b}place"))
+    return left * 7 >= (F.col(f"{a}size") + F.col(f"{b}size")) * 3
+
+
+def _stars_left(own: DataFrame) -> DataFrame:
+    """Candidates of one node of each open shingle."""
+    return own.where((F.col("comp") != F.col("p_comp")) & _room("", "p_")).select(F.col("p_node").alias("a"), F.col("node").alias("b"))
+
+
+def _cell_pairs(rows: pa.Table, profiles: pa.Table) -> pa.Table:
+    """Once each, the pairs of a cell's nodes that some open shingle and their profiles allow."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not rows.num_rows:
+        return none
+    nodes, at = np.unique(profiles["node"].to_numpy(), return_index=True)
+    counts = np.frombuffer(b"".join(profiles["profile"].take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, 256)
+    total, part, i, j = profiles["n"].to_numpy()[at], profiles["part"].to_numpy()[at], rows["i"][0].as_py(), rows["j"][0].as_py()
+    by = np.argsort(rows["token"].to_numpy(), kind="stable")
+    token, node, size, place, comp = (rows[c].to_numpy()[by] for c in ("token", "node", "size", "place", "comp"))
+    where, open_ = np.searchsorted(nodes, node), np.zeros((len(nodes), len(nodes)), bool)
+    cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        s, p, c, w = size[x:y], place[x:y], comp[x:y], where[x:y]
+        open_[np.ix_(w, w)] |= (c[:, None] != c) & may_link(s[:, None], p[:, None], s, p)
+    low, high = np.nonzero(np.triu(open_ | open_.T, 1))
+    inside = ((part[low] == i) & (part[high] == j)) | ((part[low] == j) & (part[high] == i))
+    low, high = low[inside], high[inside]
+    keep = [np.zeros(0, bool)]
+    for x in range(0, len(low), 4096):
+        u, v = counts[low[x : x + 4096]], counts[high[x : x + 4096]]
+        shared = np.minimum(u, v).sum(1, dtype=np.int64)
+        keep.append(((u == 255) | (v == 255)).any(1) | (7 * shared >= 3 * (total[low[x : x + 4096]] + total[high[x : x + 4096]])))
+    ok = np.concatenate(keep)
+    return pa.table({"a": pa.array(nodes[low[ok]]), "b": pa.array(nodes[high[ok]])})
+
+
+def _pairs_left(own: DataFrame, profiles: DataFrame) -> DataFrame:
+    """All pairs of different components that the bounds allow.
+
+    Shingles of one family mostly have the same first node, by which they meet, so that a pair comes out once or a few times
+    rather than for each shingle. The nodes of a large family are dealt to the cells of a grid.
+    """
+    keyed = own.select(F.col("p_node").alias("family"), "token", "node", "size", "place", "comp")
+    members = keyed.select("family", "node").distinct()
+    parts = written(members.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")), "parts")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        df = join_checked(df, parts, F.col("family") == F.col("f")).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+        return df.withColumn("cell", F.explode(cells)).select("*", "cell.i", "cell.j").drop("f", "parts", "cell")
+
+    known = join_checked(profiles, members.select(F.col("node").alias("__n")).distinct(), F.col("node") == F.col("__n"), "left_semi")
+    placed = written(dealt(members.join(known, "node")), "placed")
+    return dealt(keyed).groupBy("family", "i", "j").cogroup(placed.groupBy("family", "i", "j")).applyInArrow(_cell_pairs, "a long, b long")
 
 
 def _labelled(known: DataFrame, comps: DataFrame) -> DataFrame:
