@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from skein.core import prepare, written
 from skein.functions import text as X
 from skein.functions.providers import hashed_embedder
+from skein.functions.vectors import hashed_weights
 
 from .components import connected_components
 from .similarity import similar_pairs
@@ -40,6 +41,22 @@ def medoids(rows: DataFrame, group: str, id_col: str, vector_col: str) -> DataFr
     return scores.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(group, id_col)
 
 
+def medoid_texts(rows: DataFrame, group: str, text: str, dim: int = 256) -> DataFrame:
+    """(group, text): of distinct texts, the one whose default embedding has the largest mean cosine to its group's; ties by text.
+
+    The embeddings stay sparse rows, and groups of one text, which most are, need none.
+    """
+    several = rows.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"), F.min(text).alias("__only"))
+    more = rows.join(several.where("__n > 1").select("__g"), F.col(group) == F.col("__g"), "left_semi")
+    w = hashed_weights(more, [group, text], text, dim)
+    sums = w.groupBy(group, "bucket").agg(F.sum("weight").alias("total"))
+    scores = w.join(sums, [group, "bucket"]).groupBy(group, text).agg(F.sum(F.col("weight") * F.col("total")).alias("score"))
+    scores = more.join(scores, [group, text], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    first = Window.partitionBy(group).orderBy(F.round("score", 9).desc(), text)
+    best = scores.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(group, text)
+    return several.where("__n = 1").select(F.col("__g").alias(group), F.col("__only").alias(text)).unionByName(best)
+
+
 def centroids(rows: DataFrame, group: str, vector_col: str) -> DataFrame:
     """(group, centroid): the mean vector, scaled to unit length."""
     means = rows.select(group, F.posexplode(vector_col).alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m"))
@@ -64,9 +81,7 @@ def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
     m = written(m, "mentions")
     name = mode_by(m, "__c", "normalized_name", [F.length("normalized_name"), F.col("normalized_name")], "canonical_name")
     kind = mode_by(m, "__c", "entity_type", [F.col("entity_type")], "entity_type")
-    described = m.groupBy("__c", "description").agg(F.min(F.struct("passage_id", "su_id", "mention_id")).alias("first"))
-    vectors = described.withColumn("v", hashed_embedder(256)(F.col("description")))
-    middle = medoids(vectors, "__c", "description", "v").withColumnRenamed("description", "canonical_description")
+    middle = medoid_texts(m.select("__c", "description").distinct(), "__c", "description").withColumnRenamed("description", "canonical_description")
     variants = first_appearances(m, "__c", "description", ["passage_id", "su_id", "mention_id"], "description_variants")
     sets = {"aliases": "normalized_name", "supporting_su_ids": "su_id", "supporting_passage_ids": "passage_id", "mention_ids": "mention_id"}
     lists = m.groupBy("__c").agg(F.count(F.lit(1)).alias("mention_count"), *[F.array_sort(F.collect_set(c)).alias(k) for k, c in sets.items()])

@@ -14,7 +14,7 @@ from skein.core import prepare, written
 #: Bytes of query vectors that are broadcast; more are taken in turns.
 QUERY_BYTES = 64 << 20
 #: Vectors that share a block of a pair search, about.
-BLOCK = 512
+BLOCK = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
