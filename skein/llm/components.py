@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by smallest labels over joins and combinable minima, with pointer jumping."""
+"""Connected components of an edge table by hooking and contraction: each round's edges are those between the last one's trees."""
 
 from __future__ import annotations
 
@@ -8,16 +8,34 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, comp): each node hooks to its smallest neighbour, if that is smaller, and then to the end of that chain."""
+    both = edges.select(F.col("a").alias("node"), "b").union(edges.select(F.col("b").alias("node"), "a"))
+    hooks = written(both.groupBy("node").agg(F.min(F.least("node", "b")).alias("comp")), "hooks")
+    while True:
+        up = hooks.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
+        hooks = written(hooks.join(up, F.col("comp") == F.col("mid")).select("node", F.col("far").alias("comp"), (F.col("far") < F.col("comp")).alias("moved")), "hooks")
+        if hooks.where("moved").limit(1).count() == 0:
+            return hooks.select("node", "comp")
+        hooks = hooks.select("node", "comp")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for each node of edges (a, b): comp is the smallest node of its component. Ends after about log2 of the diameter rounds."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), "labels")
+    """(node, comp) for each node of edges (a, b): comp is the smallest node of its component.
+
+    Chains only lead to smaller nodes, so a root is the smallest of its tree; the trees that edges join go into the next round.
+    """
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("mid"))
-        lower = written(lower, "labels")
-        jump = lower.select(F.col("node").alias("root"), F.col("mid").alias("far"))
-        stepped = written(lower.join(jump, F.col("mid") == F.col("root"), "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")), "labels")
-        labels = stepped.select("node", "comp")
-        if stepped.where(F.col("old") != F.col("comp")).limit(1).count() == 0:
+        roots = _roots(edges)
+        if labels is None:
+            labels = roots
+        else:
+            step = roots.select(F.col("node").alias("old"), F.col("comp").alias("new"))
+            labels = written(labels.join(step, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+        x, y = (roots.select(F.col("node").alias(f"node_{c}"), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+        between = edges.join(x, F.col("a") == F.col("node_a")).join(y, F.col("b") == F.col("node_b")).where("comp_a <> comp_b")
+        edges = written(between.select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct(), "edges")
+        if edges.limit(1).count() == 0:
             return labels

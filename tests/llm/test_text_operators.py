@@ -224,6 +224,19 @@ def test_shingle_sets_are_those_of_words(texts):
         assert names[frozenset(want)] == s.tobytes()
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(5)
+    for n, m in ((30, 20), (60, 45), (40, 300)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        comp = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+        assert got == {v: comp[v] for e in edges if e[0] != e[1] for v in e}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (100, 102)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
