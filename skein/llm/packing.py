@@ -2,8 +2,8 @@
 
 A packing depends on the lengths alone, so it is found for the histogram of lengths, which has at most `capacity` entries
 however many documents there are: best fit, longest first, over groups of equal bins; then a local search over the underfull
-groups exchanges one item for one, two for one, or moves an item, each step increasing the sum of squared fills, until bins
-are empty or the bin count meets its lower bound. Pieces take the slots of their length by rank: the rank of a piece is its
+groups exchanges one item for one, two for one, one for two, or moves an item, each step increasing the sum of squared fills,
+until no exchange does or the bin count meets its lower bound. Pieces take the slots of their length by rank: the rank of a piece is its
 place among its task's pieces of that length plus the counts of earlier tasks, so no length is gathered in one task.
 
 Defined cases: a null or empty text is a sequence of the end id alone; only documents longer than `capacity` are cut; repeated
@@ -13,6 +13,7 @@ rows are packed as often as they occur; an empty table gives no pieces; further
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,9 +26,6 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, tokenizer_path, written
 from .tokenize import encoder, in_slices
 
-#: Steps of the local search; each looks at all groups of bins.
-SEARCH_STEPS = 4000
-
 Bins = list[tuple[dict[int, int], int]]  # lengths with their counts, and the number of bins of that kind
 
 
@@ -85,67 +83,156 @@ def _changed(pattern: dict[int, int], out: tuple[int, ...], into: tuple[int, ...
     return new
 
 
-def _exchange(source: dict[int, int], target: dict[int, int], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """(taken from source, given back by target) that adds most to target within its room; None if nothing fits."""
-    best, gain = None, 0
-    own = sorted(target)
-    for a in source:
-        if gain < a <= room:
-            best, gain = ((a,), ()), a
-        i = bisect.bisect_left(own, a - room)
-        if i < len(own) and gain < a - own[i] <= room:
-            best, gain = ((a,), (own[i],)), a - own[i]
-        for b in own:  # two for one
-            c = own[max(0, bisect.bisect_left(own, a - room - b))] if bisect.bisect_left(own, a - room - b) < len(own) else None
-            if c is not None and (c != b or target[b] > 1) and gain < a - b - c <= room:
-                best, gain = ((a,), (b, c)), a - b - c
-        if gain == room:
-            break
-    return best
-
-
-def local_search(bins: Bins, capacity: int, steps: int = SEARCH_STEPS) -> Bins:
-    """Empties bins: the least filled bin gives to the others what increases the sum of squared fills most."""
+def _least_bins(bins: Bins, capacity: int) -> int:
+    """A lower bound of the number of bins: items above half need one each, and the others what room those leave, for each least length."""
+    n = np.zeros(capacity + 1, np.int64)
+    for pattern, count in bins:
+        for x, each in pattern.items():
+            n[x] += each * count
+    up_n, up_sum, half = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * np.arange(capacity + 1))), capacity // 2
+    k = np.arange(half + 1)  # items below k are left out, those above capacity - k share with none
+    pairable, room = up_n[capacity - k + 1] - up_n[half + 1], up_sum[capacity - k + 1] - up_sum[half + 1]
+    over = up_sum[half + 1] - up_sum[k] - (pairable * capacity - room)
+    return int((up_n[-1] - up_n[half + 1] + np.maximum(0, -(-over // capacity))).max())
+
+
+class _Underfull:
+    """The underfull patterns by room, with the sums that one or two of their items make, as bits counted down from capacity."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.sums: dict[tuple, tuple[set[int], set[int], int, int]] = {}  # of one item, of two, and both as bits: one; none, one or two
+        self.rooms: dict[int, dict[tuple, None]] = {}
+        self.bits: dict[int, tuple[int, int]] = {}
+        self.order: list[int] = []  # rooms, ascending
+
+    def add(self, key: tuple) -> None:
+        room = self.capacity - _fill(dict(key))
+        if room:
+            one = {x for x, _ in key}
+            two = {x + y for i, (x, n) in enumerate(key) for y, _ in key[i + (n < 2) :]}
+            low, high = (sum(1 << (self.capacity - x) for x in v) for v in (one, one | two | {0}))
+            self.sums[key] = one, two, low, high
+            if room not in self.rooms:
+                bisect.insort(self.order, room)
+                self.rooms[room], self.bits[room] = {}, (0, 0)
+            self.rooms[room][key] = None
+            if room in self.bits:
+                self.bits[room] = self.bits[room][0] | low, self.bits[room][1] | high
+
+    def remove(self, key: tuple) -> None:
+        room = self.capacity - _fill(dict(key))
+        if room:
+            del self.sums[key], self.rooms[room][key]
+            self.bits.pop(room, None)
+            if not self.rooms[room]:
+                del self.rooms[room]
+                self.order.remove(room)
+
+    def _of(self, room: int, but: tuple | None) -> tuple[int, int]:
+        if but is None and room in self.bits:
+            return self.bits[room]
+        low = high = 0
+        for key in self.rooms[room]:
+            if key != but:
+                low, high = low | self.sums[key][2], high | self.sums[key][3]
+        if but is None:
+            self.bits[room] = low, high
+        return low, high
+
+    def _gain(self, key: tuple, low: int, high: int, least: int, most: int) -> int:
+        """The most, from least to most, that the pattern key can give more than it takes of the sums; 0 if nothing."""
+        one, two = self.sums[key][:2]
+        shift, mask, found = self.capacity, (1 << (most - least + 1)) - 1, 0
+        for x in one:
+            found |= high >> (shift - x + least)
+        for x in two:
+            found |= low >> (shift - x + least)
+        found &= mask
+        return least + found.bit_length() - 1 if found else 0
+
+    def exchange(self, source: tuple, alone: bool) -> tuple[tuple, tuple[int, ...], tuple[int, ...]] | None:
+        """(target, taken from source, given back) that adds most to another bin and increases the squared fills; None if there is none."""
+        own = self.capacity - _fill(dict(source))
+        gain, where = 0, 0
+        for room in reversed(self.order):
+            if room <= gain:
+                break
+            least = max(gain, room - own) + 1  # a smaller gain doesn't increase the squared fills
+            if least <= room and (x := self._gain(source, *self._of(room, source if alone and room == own else None), least, room)):
+                gain, where = x, room
+        if not gain:
+            return None
+        target = next(k for k in self.rooms[where] if not (alone and k == source) and self._gain(source, *self.sums[k][2:], gain, gain))
+        one, back = self.sums[source][0], self.sums[target][0]
+        for x in one:
+            if x == gain:
+                return target, (x,), ()
+            if x - gain in back:
+                return target, (x,), (x - gain,)
+        for x in one:
+            if y := _two(target, x - gain):
+                return target, (x,), y
+        y = next(y for y in back if y + gain in self.sums[source][1])
+        return target, _two(source, y + gain), (y,)
+
+
+def _two(key: tuple, total: int) -> tuple[int, ...]:
+    """Two items of a pattern with that sum; empty if there are none."""
+    counts = dict(key)
+    return next(((x, total - x) for x, n in key if counts.get(total - x, 0) > (x * 2 == total)), ())
+
+
+def local_search(bins: Bins, capacity: int) -> Bins:
+    """Empties bins: the least filled bins give to others what increases the sum of squared fills most, until no exchange does.
+
+    An exchange is made in as many bins of the two patterns at once as there are; each pass takes every pattern, and the last one
+    changes nothing unless the bins meet their lower bound.
+    """
     counts: dict[tuple, int] = defaultdict(int)
-    for pattern, n in bins:
-        counts[tuple(sorted(pattern.items()))] += n
-    least = -(-sum(_fill(p) * n for p, n in bins) // capacity)
+    under = _Underfull(capacity)
+    waiting: list[tuple[int, tuple]] = []
 
     def change(pattern: dict[int, int], by: int) -> None:
         key = tuple(sorted(pattern.items()))
         if pattern:
+            if not counts[key]:
+                under.add(key)
             counts[key] += by
+            if by > 0:
+                heapq.heappush(waiting, (_fill(pattern), key))
             if not counts[key]:
                 del counts[key]
+                under.remove(key)
 
-    number = sum(counts.values())
-    stuck: set[tuple] = set()
-    for _ in range(steps):
-        under = sorted((f, k) for k in counts if (f := _fill(dict(k))) < capacity)
-        if number <= least or len(under) < 1:
-            break
-        source = next((k for _, k in under if k not in stuck), None)
-        if source is None:
-            break
-        best, gain = None, 0
-        for f, k in under:
-            if k == source and counts[k] < 2:
+    for pattern, n in bins:
+        change(pattern, n)
+    number, least = sum(counts.values()), _least_bins(bins, capacity)
+    changed = True
+    while changed and number > least:
+        changed, done = False, {}
+        waiting[:] = [(_fill(dict(k)), k) for k in under.sums]
+        heapq.heapify(waiting)
+        while waiting and number > least:
+            _, source = heapq.heappop(waiting)
+            n = counts.get(source, 0)
+            if source not in under.sums or done.get(source) == min(n, 2):
+                continue
+            best = under.exchange(source, n < 2)
+            if best is None:
+                done[source] = min(n, 2)
                 continue
-            room = capacity - f
-            if room > gain and (x := _exchange(dict(source), dict(k), room)):
-                added = sum(x[0]) - sum(x[1])
-                if f + added > _fill(dict(source)) and added > gain:  # else the squared fills don't increase
-                    best, gain = (k, *x), added
-        if best is None:
-            stuck.add(source)
-            continue
-        k, out, back = best
-        change(dict(source), -1)
-        change(dict(k), -1)
-        change(_changed(dict(k), back, out), 1)
-        rest = _changed(dict(source), out, back)
-        change(rest, 1)
-        number -= not rest
+            target, out, back = best
+            times = n // 2 if target == source else min(n, counts[target])
+            rest = _changed(dict(source), out, back)
+            change(dict(source), -times)
+            change(dict(target), -times)
+            change(_changed(dict(target), back, out), times)
+            change(rest, times)
+            if source in counts:
+                heapq.heappush(waiting, (_fill(dict(source)), source))
+            number -= 0 if rest else times
+            changed = True
     return [(dict(k), n) for k, n in counts.items()]
 
 

@@ -122,3 +122,52 @@ def test_packing_of_any_lengths(lengths):
     items = sorted(x for p, n in bins for x, k in p.items() for _ in range(n * k))
     assert items == sorted(lengths) and all(packing._fill(p) <= 40 for p, _ in bins)
     assert sum(n for _, n in bins) <= 1.25 * -(-sum(lengths) // 40) + 1 or max(lengths) > 13
+
+
+def thirds(n):
+    """Lengths that fill n bins by threes."""
+    from collections import Counter
+
+    rng, out = np.random.default_rng(0), Counter()
+    for a, b in rng.integers(1265, 1465, (n, 2)).tolist():
+        out.update([a, b, 4096 - a - b])
+    return dict(out)
+
+
+def test_search_has_no_end_but_its_own():
+    for n in (1000, 8000):  # more surplus bins do not leave more of them behind
+        start = packing.best_fit(thirds(n), 4096)
+        done = packing.local_search(start, 4096)
+        assert sum(k for _, k in start) > 1.08 * n and sum(k for _, k in done) < 1.015 * n
+    many = [(p, 50_000 * k) for p, k in packing.best_fit(thirds(50), 4096)]  # equal bins change together
+    assert sum(k for _, k in packing.local_search(many, 4096)) < 1.05 * 50 * 50_000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(5, 40), min_size=1, max_size=40))
+def test_search_leaves_no_exchange(lengths):
+    from collections import Counter
+    from itertools import combinations
+
+    bins = packing.local_search(packing.best_fit(dict(Counter(lengths)), 41), 41)
+    flat = [[x for x, k in p.items() for _ in range(k)] for p, n in bins for _ in range(n)]
+    if len(flat) == packing._least_bins(bins, 41):
+        return
+    some = lambda items, k: {sum(c) for c in combinations(items, k)}
+    for i, a in enumerate(flat):
+        for j, b in enumerate(flat):
+            gains = {x - y for m, n in ((1, 0), (1, 1), (1, 2), (2, 1)) for x in some(a, m) for y in some(b, n)} if i != j else ()
+            assert not [g for g in gains if g > 0 and sum(a) < sum(b) + g <= 41]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7))
+def test_lower_bound_of_bins(lengths):
+    def fewest(items, rooms):
+        if not items:
+            return len(rooms)
+        x, rest = items[0], items[1:]
+        tries = [fewest(rest, [*rooms[:i], r - x, *rooms[i + 1 :]]) for i, r in enumerate(rooms) if r >= x]
+        return min([*tries, fewest(rest, [*rooms, 12 - x])])
+
+    assert packing._least_bins([({x: 1}, 1) for x in lengths], 12) <= fewest(sorted(lengths, reverse=True), [])
