@@ -10,8 +10,9 @@ half is filled up to the end of its bin).
 
 Pools: a language and source with at least `least` rows; the smaller ones of a language together; where those are too few, they
 join the language's largest; languages without any are one pool, or join the largest of all; with fewer than `least` rows in
-every language and source and together, no estimate is made and the base limits decide. `FLOORS` are the deviations that are
-taken as harmless in any case; their squares are added to the variances, which keeps constant statistics usable.
+every language and source and together, no estimate is made and the base limits decide. The squares of `FLOORS` are added to
+the variances: for four statistics they are of numerical size, so that a pool's covariance alone sets the distance; for repeated
+lines and words they are the deviations taken as harmless, since a pool's estimate is mostly zero.
 
 Defined cases: a null text is empty and fails; null language or source is a value of its own; repeated rows count as often as
 they occur and are judged alike; an empty table gives an empty result; other columns stay.
@@ -35,9 +36,11 @@ from ._shared import bounded_batches, join_checked, written
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: The transformed statistics, with the deviation of each that is harmless in any case.
-FLOORS = {"log words": 1.0, "log word length": 0.1, "symbols a character": 0.008, "repeated lines": 0.12, "repeated words": 0.12, "capitals a character": 0.03}
-SCALE, D = 1024, len(FLOORS)
+SCALE = 1024
+#: The transformed statistics with their floors: the step of whole 1024ths, which decides nothing, but for two statistics that
+#: are zero in most clean documents of nearly any pool, so that the covariance of the nearest half says nothing of their scale: there half of the lines or words is outlying (six floors).
+FLOORS = {"log words": 1 / SCALE, "log word length": 1 / SCALE, "symbols a character": 1 / SCALE, "repeated lines": 0.08, "repeated words": 0.08, "capitals a character": 1 / SCALE}
+D = len(FLOORS)
 MIN_WORDS, STEPS, LEAST = 50, 4, 60
 CUT_PROBABILITY, REWEIGHT = 1e-6, 0.975
 _X = [f"__x{i}" for i in range(D)]

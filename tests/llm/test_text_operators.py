@@ -99,6 +99,22 @@ def test_quality_odd_rows(spark):
     assert quality_rules.judged(docs.limit(0)).count() == 0
 
 
+def test_the_covariance_of_a_pool_decides(spark):
+    rng, letters = np.random.default_rng(4), "abcdefghijklmnop"
+
+    def text(words, length, capitals):
+        made = ["".join(rng.choice(list(letters), length + int(rng.integers(-1, 2)))) for _ in range(words)]
+        return " ".join(w.upper() if i < capitals else w for i, w in enumerate(made))
+
+    rows = [(i, text(int(rng.integers(90, 111)), 6, 2), "en", "s") for i in range(200)]
+    rows += [(i, text(int(rng.integers(290, 331)), 8, 2), "en", "t") for i in range(200, 400)]
+    odd = [(1000, text(300, 6, 2), "en", "s"), (1001, text(100, 8, 2), "en", "s"), (1002, text(100, 6, 10), "en", "s"), (1003, text(310, 8, 2), "en", "t")]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string"), keep=["doc_id"]).collect()}
+    # usual elsewhere, and far from their own pool in words, word length or capitals
+    assert [got[i].kept for i in (1000, 1001, 1002, 1003)] == [False, False, False, True]
+    assert not any(r.base_failed for r in got.values()) and np.mean([got[i].kept for i in range(400)]) > 0.98
+
+
 # decontamination
 
 DOC = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
