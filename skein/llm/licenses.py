@@ -4,8 +4,8 @@ A text is normalised (case, copyright lines, punctuation and white space, equiva
 normalised text is joined to the digests of known licences, which are normalised in the same way. So a document matches that
 is a licence and nothing else, however it is wrapped, punctuated or spelt, and whoever holds the copyright.
 
-The known licences are a table (license_id, text) and may be any; `KNOWN` has short public ones. They are broadcast where they
-are few; a document that repeats matches each time; two ids with one canonical text give the smaller id.
+The known licences are a table (license_id, text) and may be any; `KNOWN` has short public ones, the folder license_texts longer
+ones, and `variants` gives each with and without its title, its appendix and unfilled notices. They are broadcast where they are few; a document that repeats matches each time; two ids with one canonical text give the smaller id.
 
 Defined cases: null and empty texts, and texts without a word after normalisation, match nothing and have a null digest;
 repeated rows agree; an empty table gives an empty result; other columns stay, those named like new ones are replaced.
@@ -13,6 +13,9 @@ repeated rows agree; an empty table gives an empty result; other columns stay, t
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,38 @@ Permission is granted to anyone to use this software for any purpose, including
     "MIT-line": "Released under the MIT License.",
 }
 
+#: The title lines that are usual above a text which is kept without one.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+    "BSL-1.0": ("Boost Software License 1.0",),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "(The MIT License)"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng license"),
+}
+#: Where a kept text's own title ends and, for those with one, what comes before its appendix.
+FIRST = {
+    "Apache-2.0": ("TERMS AND CONDITIONS FOR USE", "1. Definitions."), "BSL-1.0": ("Permission is hereby granted",), "CC0-1.0": ("CC0 1.0 Universal", "Statement of Purpose"), "MPL-2.0": ("1. Definitions",),
+    "GPL-1.0": ("Preamble",), "GPL-2.0": ("Preamble",), "GPL-3.0": ("Preamble",), "LGPL-2.0": ("Preamble",), "LGPL-2.1": ("Preamble",), "LGPL-3.0": ("This version of the GNU Lesser",),
+}
+END = "END OF TERMS AND CONDITIONS"
+UNFILLED = re.compile(r"(?mi)^.*copyright (?:\(c\) )?[\[{<]y[^\n]*$")
+
+
+def variants() -> list[tuple[str, str]]:
+    """(license_id, text) of the known licences with their usual beginnings and ends; a repeated text is harmless."""
+    texts = KNOWN | {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    out = []
+    for name, text in sorted(texts.items()):
+        starts = [text, *[f"{t}\n\n{text}" for t in TITLES.get(name, ())], *[text[text.index(f) :] for f in FIRST.get(name, ())]]
+        if name == "ISC" or name == "0BSD":
+            starts += [t.replace("modify, and/or distribute", "modify, and distribute") for t in starts]
+        ends = [e for t in starts for e in ((t, t[: t.index(END)], t[: t.index(END) + len(END)]) if END in t else (t,))]
+        out += [(name, e) for t in ends for e in dict.fromkeys((t, UNFILLED.sub("", t)))]
+    return out
+
 
 def canonical(text: Column) -> Column:
     """The normalised text: words with single spaces between and around them; empty where there are none."""
@@ -73,7 +108,7 @@ def canonical_digest(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(KNOWN.items()), "license_id string, text string")
+    return spark.createDataFrame(variants(), "license_id string, text string")
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None, text_col: str = "text") -> DataFrame:

@@ -303,6 +303,19 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_usual_license_files(spark):
+    texts = {n: t for n, t in reversed(licenses.variants())}  # the first of each: as it is kept
+    apache, gpl = texts["Apache-2.0"], texts["GPL-3.0"]
+    cases = [("MIT", f"{t}\n\nCopyright (c) 2021 A. Person\n\n{texts['MIT']}") for t in ("MIT License", "The MIT License (MIT)")]
+    cases += [("ISC", "ISC License\n\nCopyright (c) 2004-2010 by X\n\n" + texts["ISC"]), ("0BSD", "Zero-Clause BSD\n=============\n\n" + texts["0BSD"]), ("Zlib", "zlib License\n\n(C) 2020 Y\n\n" + texts["Zlib"])]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Z\nAll rights reserved.\n\n" + texts["BSD-3-Clause"]), ("BSD-2-Clause", "Copyright 2020 Z\n\n" + texts["BSD-2-Clause"])]
+    cases += [("Apache-2.0", apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Some Body")), ("Apache-2.0", apache[: apache.index("APPENDIX")]), ("Apache-2.0", apache)]
+    cases += [("GPL-3.0", gpl), ("GPL-3.0", gpl[: gpl.index("How to Apply These Terms to Your New")]), ("MPL-2.0", texts["MPL-2.0"]), ("LGPL-2.1", texts["LGPL-2.1"]), ("CC0-1.0", texts["CC0-1.0"])]
+    cases += [(None, "Our project\n\n" + texts["MIT"]), (None, apache + "\nAnd more.")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert [r.license_id for r in licenses.scan(docs).orderBy("doc_id").collect()] == [n for n, _ in cases]
+
+
 # personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
