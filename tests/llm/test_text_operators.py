@@ -211,6 +211,15 @@ def test_join_odd_rows(spark):
     assert sorted((r.doc_id, r.text is None) for r in kept.collect()) == [(4, False), (9, True)]
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    one, two, near = "a b c d e f", "g h i j k l m", " ".join(f"w{i}" for i in range(40))
+    rows = [(1, one), (None, one), (None, two), (None, "other words than all the rest"), (5, "n o p q r s"), (5, near), (3, near + " more"), (7, "t u v w x"), (7, "y z aa bb cc dd"), (7, "t u v w x"), (None, None), (None, ""), (8, "T U V  w x")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    want = [(1, one), (None, two), (None, rows[3][1]), (5, rows[4][1]), (3, near + " more"), (7, "t u v w x"), (7, "y z aa bb cc dd"), (None, None), (None, "")]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=12, unique=True), min_size=1, max_size=14))
 def test_tree_links_join_all_linked(sets):
