@@ -46,14 +46,21 @@ def hashed_embedder(dim: int) -> Callable[[Column], Column]:
     return run
 
 
-def salient_terms(units: DataFrame, least: int = 2, most: int = 20, letters: int = 5) -> DataFrame:
+def salient_terms(units: DataFrame, least: int = 2, most: int = 20, letters: int = 5, share: float = 0.1) -> DataFrame:
     """The default mention extractor: terms of at least so many letters whose number of units lies in a band.
 
+    The band ends at `most` units or that share of all units, whichever is more, so that it grows with the table; with a share
+    of 0 it is the fixed band of the registered queries and their SQL.
     units: (passage_id, su_id, text). Result: (passage_id, su_id, surface_text, entity_type, description, char_start, char_end).
     """
     terms = units.select("passage_id", "su_id", "text", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("surface_text"))
     terms = terms.where(F.length("surface_text") >= letters)
-    counts = terms.groupBy(F.col("surface_text").alias("term")).agg(F.countDistinct("su_id").alias("df")).where(F.col("df").between(least, most))
+    counts = terms.groupBy(F.col("surface_text").alias("term")).agg(F.countDistinct("su_id").alias("df"))
+    upto = F.lit(most)
+    if share:
+        counts = counts.crossJoin(F.broadcast(units.agg(F.countDistinct("su_id").alias("n"))))  # one row
+        upto = F.greatest(upto, F.floor(F.col("n") * share))
+    counts = counts.where(F.col("df").between(F.lit(least), upto)).select("term")
     found = terms.join(counts, F.col("surface_text") == F.col("term"))
     start = F.instr(F.lower("text"), F.col("surface_text")) - 1
     return found.select("passage_id", "su_id", "surface_text", F.lit("term").alias("entity_type"), F.col("surface_text").alias("description"), start.cast("int").alias("char_start"), (start + F.length("surface_text")).cast("int").alias("char_end"))

@@ -304,7 +304,7 @@ m AS (SELECT doc_id, term FROM tk JOIN df USING (term))"""
 
 def _terms(t) -> DataFrame:
     rows = t("documents").select(F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("su_id"), "text")
-    return mentions.mention_records(providers.salient_terms(rows))
+    return mentions.mention_records(providers.salient_terms(rows, share=0.0))
 
 
 @query("c09_mentions", f"WITH {_TERMS}, n AS (SELECT doc_id, {sql_name('term')} AS normalized_name FROM m) SELECT DISTINCT doc_id AS passage_id, normalized_name FROM n WHERE length(normalized_name) >= 3 AND length(regexp_replace(normalized_name, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3 AND normalized_name NOT IN {X.LOW_NAMES}")

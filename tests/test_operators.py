@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein.config import Config
 from skein.core import shared_path
 from skein.engine import Engine
+from skein.functions import providers
 from skein.functions.providers import embed
 from skein.operators import chunking, graph, retrieval
 from skein.operators.similarity import similar_pairs, top_k
@@ -157,3 +158,10 @@ def test_engine(spark):
 def test_default_embedding():
     v = embed(["a b a", "", None], 16)
     assert np.linalg.norm(v[0]) == pytest.approx(1) and not v[1:].any()
+
+
+def test_mentions_of_recurring_terms_stay_as_tables_grow(spark):
+    for n in (100, 1000):  # every twentieth unit holds the term, every second one the common word
+        rows = [("p", f"s{i}", f"unit{i:05d} {'recurring' if i % 20 == 0 else ''} {'common' if i % 2 else ''}") for i in range(n)]
+        found = providers.salient_terms(spark.createDataFrame(rows, "passage_id string, su_id string, text string")).groupBy("surface_text").count().collect()
+        assert [tuple(r) for r in found] == [("recurring", n // 20)]
