@@ -473,10 +473,12 @@ def _labelled(known: DataFrame, comps: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component alone, that of the smallest id (null last); same columns. Of rows that repeat id and text, one stays."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col("text").isNull().alias("no_text"))
-    keyed = docs.withColumn("__key", key)  # rows that share an id, or have none, are rows of their own
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    key = F.col("doc_id")
+    if shared:  # rows that share an id, or have none, are rows of their own
+        key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col("text").isNull().alias("no_text"))
+    keyed = docs.withColumn("__key", key)
     removed = join_components(keyed, id_col="__key").where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__removed")).distinct()
     removed = written(removed, "removed")
     kept = join_checked(keyed, removed, F.col("__key").eqNullSafe(F.col("__removed")), "left_anti")
-    repeated = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return (kept.dropDuplicates(["__key"]) if repeated else kept).drop("__key")
+    return (kept.dropDuplicates(["__key"]) if shared else kept).drop("__key")
