@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -10,35 +11,52 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a join side is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows up to which a join side is broadcast, and the bytes up to which those rows may come (by the optimizer's size of the side).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Python workers hand large blocks back to the system when they free them, rather than keep them for the next stage.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072"}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Python workers find this package where the driver does; Arrow batches are bounded by bytes."""
+    """Python workers find this package where the driver does and give memory back; Arrow batches are bounded by bytes."""
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="skein-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir as Spark's file systems name it in full; a local one only where that is unset (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local folder only where that is unset (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/skein/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/skein/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, which ends its lineage and outlives executors."""
+    """df as a table in the shared folder, which ends its lineage: a lost executor costs no more than the tasks that it ran."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(side: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a side has few rows, and few bytes by the size of its files or of what the optimizer expects of it. It must be cheap to count (written)."""
+    size = side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= BROADCAST_BYTES and side.limit(rows + 1).count() <= rows
+
+
 def join_checked(df: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A join whose side is broadcast only when its counted rows are few, and else left to Spark (sort-merge, skew split by AQE)."""
-    few = side.limit(rows + 1).count() <= rows
-    return df.join(F.broadcast(side) if few else side, on, how)
+    """A join whose side is broadcast only when it is small, and else left to Spark (sort-merge, skew split by AQE)."""
+    return df.join(F.broadcast(side) if is_small(side, rows) else side, on, how)
