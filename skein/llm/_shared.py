@@ -1,65 +1,64 @@
-"""What the operators of this subpackage share: the shared work folder, bounded Arrow batches and checked broadcasts."""
+"""What the operators of this subpackage share: the shared work folder, bounded Arrow batches, memory that is given back, and checked broadcasts."""
 
 from __future__ import annotations
 
+import functools
 import os
-import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
-#: Rows up to which a join side is broadcast. Beyond it the same join is a shuffle join, which AQE splits where a key is hot.
-BROADCAST_ROWS = 200_000
-#: Bytes of an Arrow batch handed to Python; a single longer row makes a batch of its own.
-ARROW_BYTES = 4 << 20
+from skein.core import is_small, join_checked, prepare, written
+from skein.core import shared_path as work_path
 
+__all__ = ["bounded_batches", "is_small", "join_checked", "open_fs", "released", "task_tag", "tokenizer_path", "work_path", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; only where that is unset, a local one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+#: Bytes of an Arrow batch handed to Python; a single longer row makes a batch of its own.
+ARROW_BYTES = 4 << 20
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/skein/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+Batches = Iterator[pa.RecordBatch]
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes, so that long texts don't add up in a Python worker; workers find this package where the driver does."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    """Arrow batches by bytes, so that long texts don't add up in a Python worker."""
+    prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no more than the tasks it ran."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@functools.cache
+def _trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run for mapInArrow; what a task has freed goes back to the system when it ends, as its worker may wait for a later stage."""
 
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
 
-def join_checked(df: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is broadcast only when its counted rows are few. side must be cheap to count (written)."""
-    few = side.limit(rows + 1).count() <= rows
-    return df.join(F.broadcast(side) if few else side, on, how)
+    return task
 
 
 def open_fs(uri: str):
-    """(pyarrow file system, path) of a Hadoop-style URI."""
+    """(pyarrow file system, path) of a path that Spark's file systems have named in full."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" not in uri:
+        raise ValueError(f"{uri} names no file system; a path of the shared folder does")
     return fs.FileSystem.from_uri(uri)
 
 

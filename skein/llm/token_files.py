@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, open_fs, task_tag, tokenizer_path
+from ._shared import bounded_batches, open_fs, released, task_tag, tokenizer_path
 from .tokenize import encoder, in_slices
 
 NO_ID = np.iinfo(np.int64).min
@@ -70,7 +70,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     path = tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "content")
-    rows.mapInArrow(_write(path, end_id, f"{folder}/data"), MANIFEST).write.parquet(f"{folder}/manifest")
+    parts = rows.mapInArrow(released(_write(path, end_id, f"{folder}/data")), MANIFEST)
+    parts.repartition(1).write.parquet(f"{folder}/manifest")  # a row for each part
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,4 +124,4 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """From the files: a row for each document with doc_id, start (ids before it in the data set), n_tokens and the CRC-32 of its ids as 32-bit numbers."""
     bounded_batches(spark)
     parts = manifest(spark, folder)
-    return parts.repartition(max(1, spark.sparkContext.defaultParallelism) * 4, "name").mapInArrow(_read(f"{folder}/data"), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.repartition(max(1, spark.sparkContext.defaultParallelism) * 4, "name").mapInArrow(released(_read(f"{folder}/data")), "doc_id long, start long, n_tokens long, ids_crc32 long")

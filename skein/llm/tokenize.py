@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces whose ids a worker keeps; when full, it starts anew.
-CACHE_PIECES = 400_000
+#: Bytes of pieces and their ids that a worker keeps, with what Python needs for each; when full, it starts anew.
+CACHE_BYTES, EACH = 80 << 20, 200
+#: Pieces that are learnt at once.
+LEARN = 20_000
 #: Longer pieces are encoded but not kept.
 KEPT_CHARS = 64
 #: Characters whose pieces are held at once where Python cuts them.
@@ -63,9 +65,9 @@ class PieceEncoder:
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in special)
         self.divider = special[-1] if special and plain and (self.spaceless or byte_level) else None
         self.known: dict[str, bytes] = {}
+        self.bytes = 0
         self.size = self.tokenizer.get_vocab_size()
         self.raw = [i.to_bytes(4, "little") for i in range(self.size)]
-        self.kept = CACHE_PIECES if self.spaceless else CACHE_PIECES // 2  # with their spaces there are more pieces, and Python holds each occurrence
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -134,18 +136,22 @@ class PieceEncoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces."""
         own = list(map(self.known.get, pieces))
-        new = [piece for piece, ids in zip(pieces, own, strict=True) if ids is None]
-        if new:
-            self._learn(new)
-            own = [self.known[piece] if ids is None else ids for piece, ids in zip(pieces, own, strict=True)]
-            for piece in new:
-                if len(piece) > KEPT_CHARS:
-                    del self.known[piece]
+        new = [i for i, ids in enumerate(own) if ids is None]
+        for at in range(0, len(new), LEARN):
+            if self.bytes > CACHE_BYTES:
+                self.known, self.bytes = {}, 0
+            some, before = new[at : at + LEARN], len(self.known)
+            self._learn([pieces[i] for i in some])
+            for i in some:
+                own[i] = ids = self.known[pieces[i]]
+                if len(pieces[i]) > KEPT_CHARS:
+                    del self.known[pieces[i]]
+                else:
+                    self.bytes += len(pieces[i]) + len(ids)
+            self.bytes += EACH * max(0, len(self.known) - before)
         return own
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.kept:
-            self.known = {}
         if self.spaceless:
             return self._encode_words(pa.array(texts, pa.string()))
         if len(texts) > 1 and sum(map(len, texts)) > HELD_CHARS:
@@ -182,7 +188,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def in_slices(texts: list[str], chars: int = 2_000_000):
+def in_slices(texts: list[str], chars: int = 1_000_000):
     """Index ranges of texts that together have about so many characters."""
     start = total = 0
     for i, t in enumerate(texts):
