@@ -44,17 +44,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skein/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, which ends its lineage: a lost executor costs no more than the tasks that it ran."""
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of df: of a scanned table that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def task_count(source: DataFrame, each: int = 256 << 20) -> int:
+    """How many tasks, and so files, serve for what is made of a table: one for each 256 MB of it, and at least two a core."""
+    return max(2 * source.sparkSession.sparkContext.defaultParallelism, min(-(-plan_bytes(source) // each), 1 << 24))  # a size that isn't known is very large
+
+
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, which ends its lineage: a lost executor costs no more than the tasks that it ran.
+
+    tasks: at most so many files (see task_count); smaller partitions are merged, larger ones never split.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(side: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a side has few rows, and few bytes by the size of its files or of what the optimizer expects of it. It must be cheap to count (written)."""
-    size = side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= BROADCAST_BYTES and side.limit(rows + 1).count() <= rows
+    return plan_bytes(side) <= BROADCAST_BYTES and side.limit(rows + 1).count() <= rows
 
 
 def join_checked(df: DataFrame, side: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
