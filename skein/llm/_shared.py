@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from skein.core import is_small, join_checked, prepare, written
+from skein.core import is_small, join_checked, prepare, task_count, written
 from skein.core import shared_path as work_path
 
-__all__ = ["bounded_batches", "is_small", "join_checked", "open_fs", "released", "task_tag", "tokenizer_path", "work_path", "written"]
+__all__ = ["bounded_batches", "is_small", "join_checked", "open_fs", "released", "task_count", "task_tag", "tokenizer_path", "work_path", "written"]
 
 #: Bytes of an Arrow batch handed to Python; a single longer row makes a batch of its own.
 ARROW_BYTES = 4 << 20

@@ -8,57 +8,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, neighbour_vote, ngram_join, packing, pii, quality_rules, token_counts, token_files, warc
-from ._shared import work_path
+from ._shared import task_count, work_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _merged(out: DataFrame, source: DataFrame) -> DataFrame:
+    """Results are narrow: the small tasks that made them are merged, so that they aren't a file each."""
+    return out.coalesce(task_count(source))
+
+
+def _gathered(out: DataFrame, source: DataFrame) -> DataFrame:
+    """The same after tasks that take long, which stay as many as they are."""
+    return out.repartition(task_count(source))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs = _table(spark, sf_dir, "documents")
+    return _merged(quality_rules.judged(docs, keep=["doc_id"]), docs)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    docs = _table(spark, sf_dir, "documents")
+    out = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return _gathered(out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), docs)
 
 
 def op3_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbour_vote.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    docs = _table(spark, sf_dir, "documents")
+    return _gathered(neighbour_vote.classify(docs, _table(spark, sf_dir, "labels"), keep=["doc_id"]), docs)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_components(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return _merged(ngram_join.join_components(docs), docs)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents")).select("doc_id", "canonical_sha256", "license_id", "is_license")
+    docs = _table(spark, sf_dir, "documents")
+    return _gathered(licenses.scan(docs).select("doc_id", "canonical_sha256", "license_id", "is_license"), docs)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.span_digests(pii.detect(_table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("redacted"))
+    docs = _table(spark, sf_dir, "documents")
+    return _gathered(pii.span_digests(pii.detect(docs, keep=["doc_id"], redacts=False)), docs)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+    docs = _table(spark, sf_dir, "documents")
+    return _merged(packing.pack(docs, keep_ids=False).drop("ids"), docs)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "warc")
-    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    pages = _table(spark, sf_dir, "pages")
+    warc.write_archives(pages, folder)
     out = warc.read_records(warc.read_index(spark, folder), folder, payloads=False)
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return _gathered(out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), pages)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "tokens")
-    token_files.write_token_files(_table(spark, sf_dir, "documents"), folder)
-    return token_files.read_index(spark, folder)
+    docs = _table(spark, sf_dir, "documents")
+    token_files.write_token_files(docs, folder)
+    return _merged(token_files.read_index(spark, folder), docs)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    docs = _table(spark, sf_dir, "documents")
+    return _merged(token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit"), docs)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -171,3 +171,26 @@ def test_lower_bound_of_bins(lengths):
         return min([*tries, fewest(rest, [*rooms, 12 - x])])
 
     assert packing._least_bins([({x: 1}, 1) for x in lengths], 12) <= fewest(sorted(lengths, reverse=True), [])
+
+
+def test_counts_of_hot_and_shared_texts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "HOT_ROWS", 5)
+    rows = [(i, "one text of many") for i in range(40)] + [(None, "no id")] * 3 + [(7, "another id 7"), (7, "a third id 7"), (7, "a third id 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cache = work_path(spark, "cache")
+    for _ in range(2):
+        got = token_counts.count_tokens(docs, cache=cache)
+        assert sorted((r.text, r.n_tokens) for r in got.collect()) == sorted((t, len(one_by_one("byte_bpe_50k.json", t))) for _, t in rows)
+        assert spark.read.parquet(cache).select("content_digest").distinct().count() == 4
+
+
+def test_long_texts(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join("".join(rng.choice(list("abcdeé.,9"), rng.integers(1, 9))) for _ in range(120_000))
+    docs = frame(spark, [long, "x" * 300_000, long[:70_000]])
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()}
+    assert got == {i: len(one_by_one("byte_bpe_50k.json", r.text)) for i, r in enumerate(docs.collect())}
+    folder = work_path(spark, "t")
+    token_files.write_token_files(docs, folder)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.read_index(spark, folder).collect()}
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, r in enumerate(docs.collect()) for ids in [[*one_by_one("word_bpe_49k.json", r.text), 1]]}
