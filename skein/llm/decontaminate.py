@@ -2,12 +2,16 @@
 
 A window is `window` consecutive words of a benchmark item, or the whole item where it has fewer. Any window of k words
 that occurs in a document covers at least one whole block of (k + 1) // 2 document words that starts at a multiple of that
-length. So the scan looks up just those blocks in a broadcast hash set of the items' word n-grams of that length; each hit
-carries its neighbourhood on both sides, is compared word by word, and is grown to the longest equal run. A run of k words
-or more is a hit; the runs of a document's hits hold all occurrences and nothing else.
+length. So the scan cuts each text once and looks up the hashes of just those blocks, for all lengths k that the items have, in
+a broadcast hash set of the items' word n-grams. Documents with a hit are then read again: each hit takes its neighbourhood on
+both sides, is compared word by word, and is grown to the longest equal run. A run of k words or more is a hit; the runs of a
+document's hits hold all occurrences and nothing else. Which items hold a run is a table of its own, joined after that.
+
+Texts are shuffled only where the places of the hits outgrow a broadcast, and then just with their own document; the filter
+takes away few (id, digest) pairs and moves no text.
 
 Defined cases: a null or wordless text has no words, no hits and no items; a null or wordless item has no windows; repeated
-rows (of documents or items) count as the same row, and each document row gets its result; further columns are ignored.
+rows (of documents or items) count as the same row, and each document row gets its result; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import is_small, join_checked, task_count, written
 
 #: What lies between words, and the letters that are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: N-grams up to which their set is broadcast (some 200 bytes each); beyond it the lookup is a shuffle join.
-BROADCAST_GRAMS = 500_000
+#: Hashes of n-grams up to which their set is broadcast (eight bytes each); beyond it the lookup is a shuffle join.
+BROADCAST_GRAMS = 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -30,25 +34,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
 
 
-def _piece(words: Column, first: Column, last: Column) -> Column:
-    """Words first to last (from 0, end exclusive, within bounds) as one string."""
-    return F.array_join(F.slice(words, first + 1, last - first), " ")
+def _part(words: Column, first: Column, last: Column) -> Column:
+    """Words first to last (from 0, end exclusive, within bounds)."""
+    return F.slice(words, first + 1, last - first)
+
+
+def _items(items: DataFrame) -> DataFrame:
+    """(item_id, text_id, words): items with the same words have one text_id. A null item_id counts as no item, but its words are looked up."""
+    words = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where("size(words) > 0").distinct()
+    return words.select("item_id", F.md5(F.array_join("words", " ")).alias("text_id"), "words")
 
 
 def _grams(items: DataFrame, window: int) -> DataFrame:
-    """A row for each word n-gram of the items: its hash, its text and its neighbourhood, and who holds it."""
-    words = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    words = words.groupBy("words").agg(F.collect_set("item_id").alias("items")).select("words", "items", F.least(F.size("words"), F.lit(window)).alias("k"))
-    words = words.withColumn("b", F.floor((F.col("k") + 1) / 2).cast("int")).withColumn("n", F.size("words"))
+    """(hash, k, gram, before, after, text_id, q): each word n-gram of the items' texts with its neighbourhood."""
+    words = items.dropDuplicates(["text_id"]).select("text_id", "words", F.least(F.size("words"), F.lit(window)).alias("k"), F.size("words").alias("n"))
+    words = words.withColumn("b", F.floor((F.col("k") + 1) / 2).cast("int"))
     at = words.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("b"))))
     w, q, b, side = F.col("words"), F.col("q"), F.col("b"), F.col("k") - F.col("b")
+    gram = _part(w, q, q + b)
     return at.select(
-        "k",
-        _piece(w, q, q + b).alias("gram"),
-        _piece(w, F.greatest(q - side, F.lit(0)), q).alias("item_before"),
-        _piece(w, q + b, F.least(q + b + side, F.col("n"))).alias("item_after"),
-        "items",
-    ).groupBy("k", "gram", "item_before", "item_after").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).withColumn("hash", F.xxhash64("k", "gram"))
+        F.xxhash64("k", gram).alias("hash"), "k", gram.alias("gram"), _part(w, F.greatest(q - side, F.lit(0)), q).alias("before"), _part(w, q + b, F.least(q + b + side, F.col("n"))).alias("after"), "text_id", "q"
+    )
 
 
 def _equal_from_left(a: Column, b: Column) -> Column:
@@ -58,43 +64,65 @@ def _equal_from_left(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, n))
 
 
-def _block_at(k: int, b: int):
-    """The i-th whole block of b words: its place, hash and neighbourhood, and the words before it there."""
+def _blocks(words: Column, k: int) -> Column:
+    """The whole blocks of a text for windows of k words: place, k and hash."""
+    b = (k + 1) // 2
+    n = F.when(F.size(words) >= k, F.floor(F.size(words) / b).cast("int")).otherwise(0)
+    places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct((i * b).alias("p"), F.lit(k).alias("k"), F.xxhash64(F.lit(k), _part(words, i * b, i * b + b)).alias("hash")))
 
-    def block(i: Column) -> Column:
-        words, p = F.col("words"), i * b
-        before, after = F.greatest(p - (k - b), F.lit(0)), F.least(p + k, F.size("words"))
-        return F.struct(p.alias("p"), F.xxhash64(F.lit(k), _piece(words, p, p + b)).alias("hash"), _piece(words, before, after).alias("near"), (p - before).alias("left"))
 
-    return block
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def hit_spans(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each equal run: __id, __hash (of the text), first and last (words from 0, end exclusive), items."""
-    grams = written(_grams(items, window), "grams")
-    kinds = [(r["k"], (r["k"] + 1) // 2) for r in grams.select("k").distinct().collect()]  # `window` rows at most
-    few = grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    docs = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"), words_of(F.col(text_col)).alias("words"))
-    blocks = None
-    for k, b in sorted(kinds, reverse=True):
-        one = docs.where(F.size("words") >= k).select("__id", "__hash", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / b).cast("int") - 1), _block_at(k, b))).alias("x"))
-        one = one.select("__id", "__hash", F.lit(k).alias("k"), "x.*")
-        blocks = one if blocks is None else blocks.unionByName(one)
-    if blocks is None:
-        return docs.where(F.lit(False)).select("__id", "__hash", F.lit(0).alias("first"), F.lit(0).alias("last"), F.array(F.lit("")).alias("items"))
-    side = grams.withColumnRenamed("k", "item_k")
-    found = blocks.join(F.broadcast(side) if few else side, "hash").where(F.col("k") == F.col("item_k"))
-    near, left, b = F.split("near", " "), F.col("left"), F.floor((F.col("k") + 1) / 2).cast("int")
-    split = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
-    found = found.select(
-        "__id", "__hash", "p", "k", "items", b.alias("b"),
-        (F.array_join(F.slice(near, left + 1, b), " ") == F.col("gram")).alias("same"),
-        F.reverse(F.slice(near, F.lit(1), left)).alias("doc_before"), F.slice(near, left + b + 1, F.size(near)).alias("doc_after"),
-        F.reverse(split("item_before")).alias("item_before"), split("item_after").alias("item_after"),
-    ).where("same")
-    found = found.withColumn("grow_left", _equal_from_left(F.col("doc_before"), F.col("item_before"))).withColumn("grow_right", _equal_from_left(F.col("doc_after"), F.col("item_after")))
-    found = found.where(F.col("grow_left") + F.col("b") + F.col("grow_right") >= F.col("k"))
-    return found.select("__id", "__hash", (F.col("p") - F.col("grow_left")).alias("first"), (F.col("p") + F.col("b") + F.col("grow_right")).alias("last"), "items")
+    """A row for each equal run: __id, __hash (of the text), n_words, first and last (words from 0, end exclusive), v_text and v_q (a text of items that holds it, and where)."""
+    return _hit_spans(docs, written(_items(items), "items", task_count(items)), window, id_col, text_col)[0]
+
+
+def _hit_spans(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """hit_spans, and (v_text, v_q, text_id): all texts of items that hold what v_text has at v_q."""
+    few, own_few = task_count(items), task_count(docs)
+    grams = written(_grams(items, window), "grams", few)
+    variants = grams.groupBy("hash", "k", "gram", "before", "after").agg(F.min(F.struct("text_id", "q")).alias("v"))
+    variants = written(variants.select("hash", "k", "gram", "before", "after", F.col("v.text_id").alias("v_text"), F.col("v.q").alias("v_q")), "variants", few)
+    same = [F.col(f"g.{c}") == F.col(f"v.{c}") for c in ("hash", "k", "gram", "before", "after")]
+    texts = grams.alias("g").join(variants.alias("v"), same).select("v.v_text", "v.v_q", "g.text_id").distinct()
+    lengths = sorted(r["k"] for r in grams.select("k").distinct().collect())  # `window` rows at most
+    none = F.array().cast("array<struct<p:int,k:int,hash:bigint>>")
+    cut = docs.select(F.col(id_col).alias("__id"), _digest(text_col).alias("__hash"), words_of(F.col(text_col)).alias("words"))
+    blocks = cut.select("__id", "__hash", F.explode(F.concat(none, *[_blocks(F.col("words"), k) for k in lengths])).alias("x")).select("__id", "__hash", "x.*")
+    known = written(variants.select(F.col("hash").alias("__known")).distinct(), "hashes", few)
+    hits = join_checked(blocks, known, F.col("hash") == F.col("__known"), "left_semi", BROADCAST_GRAMS)
+    places = hits.groupBy(F.col("__id").alias("__i"), F.col("__hash").alias("__h")).agg(F.collect_set(F.struct("p", "k", "hash")).alias("places"))  # a document's blocks at most
+    places = written(places, "places", own_few)
+    whole = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), _digest(text_col).alias("__hash"))
+    again = join_checked(whole, places, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
+    again = again.select("__i", "__h", words_of(F.col("__text")).alias("words"), "places").withColumn("x", F.explode("places")).select("__i", "__h", "words", F.size("words").cast("long").alias("n_words"), "x.*")
+    w, p, k, b = F.col("words"), F.col("p"), F.col("k"), F.floor((F.col("k") + 1) / 2).cast("int")
+    near = again.select(
+        F.col("__i").alias("__id"), F.col("__h").alias("__hash"), "n_words", "p", "k", "hash", b.alias("b"), _part(w, p, p + b).alias("own"),
+        F.reverse(_part(w, F.greatest(p - (k - b), F.lit(0)), p)).alias("own_before"), _part(w, p + b, F.least(p + k, F.size(w))).alias("own_after"),
+    ).distinct()
+    side = variants.select(F.col("hash").alias("v_hash"), F.col("k").alias("v_k"), "gram", F.reverse("before").alias("before"), "after", "v_text", "v_q")
+    found = near.join(F.broadcast(side) if is_small(variants) else side, (F.col("hash") == F.col("v_hash")) & (F.col("k") == F.col("v_k"))).where("own = gram")
+    found = found.withColumn("left", _equal_from_left(F.col("own_before"), F.col("before"))).withColumn("right", _equal_from_left(F.col("own_after"), F.col("after")))
+    found = found.where(F.col("left") + F.col("b") + F.col("right") >= F.col("k"))
+    runs = found.select("__id", "__hash", "n_words", (F.col("p") - F.col("left")).alias("first"), (F.col("p") + F.col("b") + F.col("right")).alias("last"), "v_text", "v_q").distinct()
+    return written(runs, "runs", own_few), texts
+
+
+def _by_document(runs: DataFrame) -> DataFrame:
+    """(__id, __hash, __spans, __hit, __bad): the runs of each document, its hit words and whether it is contaminated."""
+    by_doc = runs.groupBy("__id", "__hash").agg(F.first("n_words").alias("__total"), F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__spans"))
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
+
+    def add(acc, s):
+        return F.struct((acc["total"] + F.greatest(s["last"] - F.greatest(s["first"], acc["end"]), F.lit(0))).alias("total"), F.greatest(acc["end"], s["last"]).alias("end"))
+
+    by_doc = by_doc.withColumn("__hit", F.aggregate("__spans", start, add)["total"].cast("long"))
+    return by_doc.withColumn("__bad", F.col("__hit") * 20 >= F.col("__total"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,30 +130,28 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
 
     contaminated: some word is hit, and hit words are at least a twentieth of all. Existing columns of these names are replaced.
     """
-    spans = hit_spans(docs, items, window, id_col, text_col)
-    by_doc = spans.groupBy("__id", "__hash").agg(
-        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items"),
-    )
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
-
-    def add(acc, s):
-        return F.struct((acc["total"] + F.greatest(s["last"] - F.greatest(s["first"], acc["end"]), F.lit(0))).alias("total"), F.greatest(acc["end"], s["last"]).alias("end"))
-
-    by_doc = by_doc.withColumn("__hit", F.aggregate("__spans", start, add)["total"].cast("long"))
-    left = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__n", F.size(words_of(F.col(text_col))).cast("long"))
-    both = left.join(by_doc.withColumnRenamed("__id", "__d"), F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__hash")), "left")
+    owners = written(_items(items), "items", task_count(items))
+    runs, texts = _hit_spans(docs, owners, window, id_col, text_col)
+    held = runs.select("__id", "__hash", "v_text", "v_q").distinct().join(texts, ["v_text", "v_q"]).select("__id", "__hash", "text_id").distinct()
+    held = held.join(owners.select("text_id", "item_id"), "text_id").groupBy(F.col("__id").alias("__i"), F.col("__hash").alias("__h")).agg(F.array_sort(F.collect_set("item_id")).alias("__items"))
+    by_doc = _by_document(runs).drop("__total").join(held, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))).drop("__i", "__h")
+    by_doc = written(by_doc.withColumnRenamed("__id", "__d"), "hits", task_count(docs))
+    left = docs.withColumn("__h", _digest(text_col)).withColumn("__n", F.size(words_of(F.col(text_col))).cast("long"))
+    both = join_checked(left, by_doc, F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__hash")), "left")
     new = {
         "n_words": F.col("__n"),
         "n_hit": F.coalesce(F.col("__hit"), F.lit(0).cast("long")),
         "n_items": F.coalesce(F.size("__items"), F.lit(0)).cast("long"),
         "items_sha256": F.sha2(F.coalesce(F.array_join("__items", ","), F.lit("")), 256),
         "hit_spans": F.coalesce("__spans", F.array().cast("array<struct<first:int,last:int>>")),
+        "contaminated": F.coalesce("__bad", F.lit(False)),
     }
-    out = both.select(*[c for c in docs.columns if c not in (*new, "contaminated")], *[v.alias(k) for k, v in new.items()])
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    return both.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """docs without those that are contaminated; same columns."""
-    return contamination(docs, items, window).where(~F.col("contaminated")).select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that are contaminated; the columns stay as they are, whatever their names."""
+    runs, _ = _hit_spans(docs, written(_items(items), "items", task_count(items)), window, id_col, text_col)
+    bad = written(_by_document(runs).where("__bad").select(F.col("__id").alias("__bad_id"), F.col("__hash").alias("__bad_hash")), "contaminated", task_count(docs))
+    own = docs.select(*docs.columns, _digest(text_col).alias("__own_hash"))
+    return join_checked(own, bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.col("__own_hash") == F.col("__bad_hash")), "left_anti").drop("__own_hash")
