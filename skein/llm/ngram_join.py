@@ -9,8 +9,8 @@ shingle's place in both and the sizes bound the overlap further. So:
    candidates (a row for each, never a pair of each two); buckets of frequent shingles are split by node, and their pivots
    meet in turn; a candidate whose profile (how many of its shingles fall into each of 256 classes) shows that too few can be
    shared is none;
-2. the sets of a pivot and of up to `block` of its candidates are put in a prefix tree, which each set then walks: sets that
-   begin alike share the partial overlap, and a subtree ends where what remains cannot reach the threshold;
+2. the sets of a pivot and of up to `block` of its candidates are put in a prefix tree in the same global order, which each set
+   then walks: sets that begin alike share the partial overlap, and a subtree ends where what remains cannot reach the threshold;
 3. links are joined to components; buckets that still hold several take turns with other pivots, and in those that hold
    several after that, all pairs of different components that the bounds allow are verified in the same way. Buckets that are
    in one component need no more.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, join_checked, written
+from ._shared import bounded_batches, join_checked, released, task_count, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -41,8 +41,8 @@ HEAVY, HEAVY_ROWS = 32, 1_000_000
 BUCKET = 1024
 #: Sets that share a prefix tree, about, and their shingles together.
 BLOCK, BLOCK_SHINGLES = 64, 100_000
-#: Turns with other pivots before all pairs that are left, and nodes of a family that meet in one cell, about.
-ROUNDS, CELL = 1, 1024
+#: Turns with other pivots before all pairs that are left; nodes of a family, and their open shingles, of which two parts meet in one cell, about.
+ROUNDS, CELL, CELL_ROWS = 1, 1024, 6000
 #: Open shingles up to which they are broadcast (five numbers each).
 OPEN_ROWS = 1_000_000
 
@@ -184,11 +184,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivot = None
         ends = np.append(starts[1:], len(bucket))
         keep, pivots, has, left = heavy.copy(), np.zeros(len(bucket), np.int64), np.zeros(len(bucket), bool), heavy.copy()
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        several = ends - starts > 1  # most buckets hold one node alone
+        several[0] |= pivot is not None
+        for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
             pivot = pivot if a == 0 else None
-            if b - a == 1 and pivot is None:
-                pivot = (bucket[a], size[a], place[a], node[a])
-                continue
             start, left[a:b] = a, left[a:b] | (b - a > 2) | (pivot is not None)
             while a < b:
                 if pivot is None:
@@ -263,19 +262,19 @@ class _Tree:
             i = j
 
 
-def tree_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], order: Order) -> list[tuple[int, int]]:
     """Links (i, j) between sets with a Jaccard similarity of 3/4 or more, as many as join their components (a spanning forest).
 
-    The order of the tree has what most sets share first, so that they share long beginnings.
+    The sets stand in the tree in the global order, by which they met.
     """
     sizes = [len(s) for s in sets]
-    tokens, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    tokens, where = np.unique(np.concatenate(sets).view(np.uint64), return_inverse=True)
     rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, -counts))] = np.arange(len(tokens))
+    rank[np.lexsort((tokens, order.counts_of(tokens)))] = np.arange(len(tokens))
     cuts = np.cumsum(sizes)[:-1]
     ranked = [np.sort(r) for r in np.split(rank[where], cuts)]
-    order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
-    tree = _Tree([ranked[i] for i in order], order)
+    sequence = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
+    tree = _Tree([ranked[i] for i in sequence], sequence)
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -306,12 +305,15 @@ def tree_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def _block_links(table: pa.Table) -> pa.Table:
-    nodes = table["node"].to_numpy()
-    _, once = np.unique(nodes, return_index=True)
-    sets = table["tokens"].combine_chunks()
-    found = tree_links([sets[int(i)].values.to_numpy() for i in once]) if len(once) > 1 else []
-    return pa.table({"a": pa.array([int(nodes[once[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(nodes[once[j]]) for _, j in found], pa.int64())})
+def _block_links(order):
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_numpy()
+        _, once = np.unique(nodes, return_index=True)
+        sets = table["tokens"].combine_chunks()
+        found = tree_links([sets[int(i)].values.to_numpy() for i in once], order.value) if len(once) > 1 else []
+        return pa.table({"a": pa.array([int(nodes[once[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(nodes[once[j]]) for _, j in found], pa.int64())})
+
+    return run
 
 
 def _whole_sets(k: int):
@@ -334,23 +336,23 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("size_b")], names=["a", "b", "size"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, profiles: DataFrame, order, k: int, tasks: int) -> DataFrame:
     """The links (a, b) among the blocks of candidate pairs (a, b)."""
     pairs = pairs.select("a", "b").distinct()
     side = lambda c: profiles.select(F.col("node").alias(f"node_{c}"), F.col("n").alias(f"size_{c}"), F.col("profile").alias(f"profile_{c}"))
     both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    pairs = written(both.mapInArrow(_possible, "a long, b long, size long"), "pairs")
+    pairs = written(both.mapInArrow(released(_possible), "a long, b long, size long"), "pairs", tasks)
     number = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
-    counts = written(pairs.groupBy(F.col("a").alias("pivot")).agg(number.alias("blocks")), "pivots")
+    counts = written(pairs.groupBy(F.col("a").alias("pivot")).agg(number.alias("blocks")), "pivots", tasks)
     blocks = join_checked(pairs, counts, pairs["a"] == counts["pivot"]).select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("node"))
-    members = written(blocks.union(blocks.select("a", "block", F.col("a").alias("node"))).distinct(), "members")
+    members = written(blocks.union(blocks.select("a", "block", F.col("a").alias("node"))).distinct(), "members", tasks)
     needed = members.select("node").distinct()
     reps = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    reps = written(reps.join(needed, "node", "left_semi").select("rep").distinct(), "needed")
+    reps = written(reps.join(needed, "node", "left_semi").select("rep").distinct(), "needed", tasks)
     texts = join_checked(docs, reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_whole_sets(k), "node long, tokens array<long>")  # a row that repeats an id may come twice, which blocks allow for
-    found = members.join(sets, "node").groupBy("a", "block").applyInArrow(_block_links, "a long, b long")
-    return written(found, "links")
+    sets = texts.mapInArrow(released(_whole_sets(k)), "node long, tokens array<long>")  # a row that repeats an id may come twice, which blocks allow for
+    found = join_checked(sets, members, "node").groupBy("a", "block").applyInArrow(_block_links(order), "a long, b long")
+    return written(found, "links", tasks)
 
 
 def join_components(docs: DataFrame, k: int = 5, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,9 +361,10 @@ def join_components(docs: DataFrame, k: int = 5, heavy: int = HEAVY, id_col: str
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = written(docs.mapInArrow(_documents(k), f"doc_id {kind}, n_shingles long, node long, first array<long>, profile binary"), "documents")
+    tasks, many = task_count(docs), task_count(docs, 16 << 20)
+    known = written(docs.mapInArrow(released(_documents(k)), f"doc_id {kind}, n_shingles long, node long, first array<long>, profile binary"), "documents", many)
     counts = known.where("first is not null").select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= heavy)
-    counts = written(counts, "frequent")
+    counts = written(counts, "frequent", tasks)
     firsts = known.where("first is not null").select("doc_id", "node", "n_shingles", "first")
     known = known.drop("first")
     while counts.where(F.col("n") >= heavy).count() > HEAVY_ROWS:
@@ -369,39 +372,39 @@ def join_components(docs: DataFrame, k: int = 5, heavy: int = HEAVY, id_col: str
     frequent = counts.where(F.col("n") >= heavy).toArrow()  # at most HEAVY_ROWS rows
     order = spark.sparkContext.broadcast(Order(frequent["token"].to_numpy().view(np.uint64), frequent["n"].to_numpy()))
     posting = "bucket long, heavy long, node long, size int, place int"
-    changed = written(firsts.select("doc_id", "first").mapInArrow(_changed(order), f"changed {kind}").distinct(), "changed")
-    again = join_checked(docs, changed, docs["doc_id"].eqNullSafe(changed["changed"]), "left_semi").select("text").mapInArrow(_postings(order, k), posting)
-    posted = firsts.select("node", "n_shingles", "first").mapInArrow(_kept_postings(order), posting).unionByName(again)
+    changed = written(firsts.select("doc_id", "first").mapInArrow(released(_changed(order)), f"changed {kind}").distinct(), "changed", tasks)
+    again = join_checked(docs, changed, docs["doc_id"].eqNullSafe(changed["changed"]), "left_semi").select("text").mapInArrow(released(_postings(order, k)), posting)
+    posted = firsts.select("node", "n_shingles", "first").mapInArrow(released(_kept_postings(order)), posting).unionByName(again)
     posted = posted.repartition("bucket").sortWithinPartitions("bucket", "size", "node")
-    shared = written(posted.mapInArrow(_stars, "bucket long, heavy long, node long, size int, place int, pivot long, open boolean"), "shared")
+    shared = written(posted.mapInArrow(released(_stars), "bucket long, heavy long, node long, size int, place int, pivot long, open boolean"), "shared", many)
     pairs = shared.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     tops = shared.where("heavy is not null and pivot is null").select("heavy", "node", "size")
-    lead = written(tops.groupBy("heavy").agg(F.min(F.struct("size", "node")).alias("top")).select(F.col("heavy").alias("token"), F.col("top.size").alias("s"), F.col("top.node").alias("a")), "leads")
+    lead = written(tops.groupBy("heavy").agg(F.min(F.struct("size", "node")).alias("top")).select(F.col("heavy").alias("token"), F.col("top.size").alias("s"), F.col("top.node").alias("a")), "leads", tasks)
     across = join_checked(tops, lead, tops["heavy"] == lead["token"]).where((F.col("node") != F.col("a")) & (F.col("size") * 3 <= F.col("s") * 4)).select("a", F.col("node").alias("b"))
-    profiles = written(known.where("profile is not null").select("node", F.col("n_shingles").alias("n"), "profile").dropDuplicates(["node"]), "profiles")
+    profiles = written(known.where("profile is not null").select("node", F.col("n_shingles").alias("n"), "profile").dropDuplicates(["node"]), "profiles", many)
     known = known.drop("profile")
-    check = lambda some: _verified(some, docs, known, profiles, k)
+    check = lambda some: _verified(some, docs, known, profiles, order, k, tasks)
     links = check(pairs.union(across))
-    comps = components(links)
+    comps = components(links, tasks)
     own = shared.where("open").select(F.coalesce("heavy", "bucket").alias("token"), "node", "size", "place")
     for turn in range(ROUNDS + 1):
-        own = _open(own, comps, turn)
+        own = _open(own, comps, turn, tasks)
         if own.limit(1).count() == 0:
             break
-        links = links.union(check(_pairs_left(own, profiles) if turn == ROUNDS else _stars_left(own)))
-        comps = components(links)
-    return _labelled(known, written(comps, "components"))
+        links = links.union(check(_pairs_left(own, profiles, tasks) if turn == ROUNDS else _stars_left(own)))
+        comps = components(links, tasks)
+    return _labelled(known, comps, tasks)
 
 
-def _open(own: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+def _open(own: DataFrame, comps: DataFrame, turn: int, tasks: int) -> DataFrame:
     """(token, node, size, place, comp, p_*) of the shingles whose nodes are in several components; p_* is one of its nodes, another one each turn."""
     own = own.select("token", "node", "size", "place")
     own = join_checked(own, comps.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    own = written(own.select("token", "node", "size", "place", F.coalesce("comp", "node").alias("comp")), "left")
+    own = written(own.select("token", "node", "size", "place", F.coalesce("comp", "node").alias("comp")), "left", tasks)
     one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "size", "place", "comp")).alias("p")
     several = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), one).where("low < high")
-    several = written(several.select(F.col("token").alias("p_token"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "size", "place", "comp")]), "several")
-    return written(join_checked(own, several, F.col("token") == F.col("p_token"), rows=OPEN_ROWS).drop("p_token"), "open")
+    several = written(several.select(F.col("token").alias("p_token"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "size", "place", "comp")]), "several", tasks)
+    return written(join_checked(own, several, F.col("token") == F.col("p_token"), rows=OPEN_ROWS).drop("p_token"), "open", tasks)
 
 
 def _room(a: str, b: str) -> Column:
@@ -442,7 +445,7 @@ def _cell_pairs(rows: pa.Table, profiles: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(nodes[low[ok]]), "b": pa.array(nodes[high[ok]])})
 
 
-def _pairs_left(own: DataFrame, profiles: DataFrame) -> DataFrame:
+def _pairs_left(own: DataFrame, profiles: DataFrame, tasks: int) -> DataFrame:
     """All pairs of different components that the bounds allow.
 
     Shingles of one family mostly have the same first node, by which they meet, so that a pair comes out once or a few times
@@ -450,7 +453,8 @@ def _pairs_left(own: DataFrame, profiles: DataFrame) -> DataFrame:
     """
     keyed = own.select(F.col("p_node").alias("family"), "token", "node", "size", "place", "comp")
     members = keyed.select("family", "node").distinct()
-    parts = written(members.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts")), "parts")
+    sizes = keyed.groupBy(F.col("family").alias("f")).agg(F.greatest(F.ceil(F.count_distinct("node") / CELL), F.ceil(F.count(F.lit(1)) / CELL_ROWS)).cast("int").alias("parts"))
+    parts = written(sizes, "parts", tasks)
 
     def dealt(df: DataFrame) -> DataFrame:
         df = join_checked(df, parts, F.col("family") == F.col("f")).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
@@ -458,15 +462,15 @@ def _pairs_left(own: DataFrame, profiles: DataFrame) -> DataFrame:
         return df.withColumn("cell", F.explode(cells)).select("*", "cell.i", "cell.j").drop("f", "parts", "cell")
 
     known = join_checked(profiles, members.select(F.col("node").alias("__n")).distinct(), F.col("node") == F.col("__n"), "left_semi")
-    placed = written(dealt(members.join(known, "node")), "placed")
+    placed = written(dealt(members.join(known, "node")), "placed", tasks)
     return dealt(keyed).groupBy("family", "i", "j").cogroup(placed.groupBy("family", "i", "j")).applyInArrow(_cell_pairs, "a long, b long")
 
 
-def _labelled(known: DataFrame, comps: DataFrame) -> DataFrame:
+def _labelled(known: DataFrame, comps: DataFrame, tasks: int) -> DataFrame:
     joined = join_checked(known, comps.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    joined = written(joined.select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")), "labelled")
+    joined = written(joined.select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")), "labelled", tasks)
     least = joined.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    least = written(least.select(F.col("comp").alias("__c"), "least"), "least")
+    least = written(least.select(F.col("comp").alias("__c"), "least"), "least", tasks)
     out = join_checked(joined, least, F.col("comp") == F.col("__c"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -479,6 +483,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
         key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col("text").isNull().alias("no_text"))
     keyed = docs.withColumn("__key", key)
     removed = join_components(keyed, id_col="__key").where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__removed")).distinct()
-    removed = written(removed, "removed")
+    removed = written(removed, "removed", task_count(docs))
     kept = join_checked(keyed, removed, F.col("__key").eqNullSafe(F.col("__removed")), "left_anti")
     return (kept.dropDuplicates(["__key"]) if shared else kept).drop("__key")
