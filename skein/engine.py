@@ -30,7 +30,10 @@ class Engine:
         return self.spark.read.schema(kind).parquet(path) if _exists(self.spark, path) else self.spark.createDataFrame([], kind)
 
     def index(self, docs: DataFrame, text_col: str = "text") -> None:
-        """Adds passages; only those that are new are cut and read for mentions, while entities and the graph are made anew."""
+        """Adds passages; only those that are new are cut, and only units that are new are read for mentions, while entities and the graph are made anew.
+
+        An extractor that counts over the whole corpus (`whole_corpus`, as the default one) reads all units each time.
+        """
         c = self.config
         self.passages.upsert(docs, text_col)
         kind = "schema_version int, passage_id string, pos int, su_id string, text string"
@@ -42,31 +45,50 @@ class Engine:
         units = self._read("passage_units", kind).where(F.col("schema_version") == schema.EXTRACTIONS_VERSION)
         self.units.upsert(units)
         owners = units.groupBy("su_id").agg(F.max("passage_id").alias("passage_id"), F.first("text").alias("text")) if c.unit_passage == "last" else units.select("su_id", "passage_id", "text").distinct()
-        found = written(mentions.mention_records(self.extractor(owners)), "mentions")
+        found = written(self._extracted(owners), "mentions")
         nodes, of = entities.merge_mentions(found, c.merge_cosine, c.merge_name_similarity, dim=c.embed_dim)
         of = written(of, "owners")
         weights = graph.passage_weights(of)
         for name, df in {
-            "mentions": found, "entities": nodes, "incidence": graph.incidence(of), "passage_entity": weights,
+            "mentions": found, "entities": nodes, "support": of, "incidence": graph.incidence(of), "passage_entity": weights,
             "idf": graph.idf(weights, stored.count()), "passage_adjacency": chunking.adjacency(stored),
         }.items():
             df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
+    def _extracted(self, owners: DataFrame) -> DataFrame:
+        """The mention records of all units (su_id, passage_id, text); what an extractor said about a unit is kept and not asked again."""
+        if getattr(self.extractor, "whole_corpus", False):
+            return mentions.mention_records(self.extractor(owners))
+        asked = "schema_version int, su_id string"
+        new = written(owners.join(self._read("extracted_units", asked).where(F.col("schema_version") == schema.EXTRACTIONS_VERSION).select("su_id"), "su_id", "left_anti"), "unread")
+        kind = f"schema_version int, {providers.EXTRACTED}"
+        if new.limit(1).count():
+            said = self.extractor(new).select(F.lit(schema.EXTRACTIONS_VERSION).alias("schema_version"), *[x.split()[0] for x in providers.EXTRACTED.split(", ")])
+            said.write.mode("append").parquet(f"{self.folder}/extractions")
+            new.select(F.lit(schema.EXTRACTIONS_VERSION).alias("schema_version"), "su_id").write.mode("append").parquet(f"{self.folder}/extracted_units")
+        kept = self._read("extractions", kind).where(F.col("schema_version") == schema.EXTRACTIONS_VERSION).drop("schema_version", "passage_id").distinct()
+        return mentions.mention_records(kept.join(owners.select("su_id", "passage_id"), "su_id").select("passage_id", "su_id", "surface_text", "entity_type", "description", "char_start", "char_end"))
+
+    def index_corpus(self, docs: DataFrame, text_col: str = "context") -> None:
+        """Cuts whole texts into numbered passages (see Config.chunk_tokens) and indexes those."""
+        c = self.config
+        keyed = docs.select(F.md5(text_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+        chunks = chunking.chunk_corpus(keyed, "doc", "text", c.chunk_tokens, c.chunk_overlap, c.chunk_semantic, c.search_window)
+        self.index(chunks.select("text"))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def register_views(self, prefix: str = "") -> None:
-        for name in ("passages", "units", "passage_units", "mentions", "entities", "incidence", "passage_entity", "idf", "passage_adjacency"):
+        for name in ("passages", "units", "passage_units", "mentions", "entities", "support", "incidence", "passage_entity", "idf", "passage_adjacency"):
             self.table(name).createOrReplaceTempView(prefix + name)
 
     def retrieve(self, questions: DataFrame, query_mentions: DataFrame | None = None) -> DataFrame:
-        """(query_id, rank, passage_id, score) of questions (query_id, question). Mentions default to the known entities' names in a question."""
-        q = written(questions.select("query_id", "question", self.embed(F.col("question")).alias("embedding")), "questions")
+        """(query_id, rank, passage_id, score) of questions (query_id, question). Mentions default to the known entities' names in a question, of any number of words."""
+        q = written(questions.select("query_id", "question", self.embed(F.concat(F.lit(self.config.question_prefix), F.coalesce("question", F.lit("")))).alias("embedding")), "questions")
         nodes = self.table("entities")
         if query_mentions is None:
-            words = q.select("query_id", F.posexplode(F.array_distinct(F.transform(F.split(F.lower("question"), r"[^\p{L}\p{N}_]+"), lambda w: w))).alias("ord", "surface_text"))
-            known = nodes.select(F.explode("aliases").alias("surface_text")).distinct()
-            query_mentions = mentions.query_mentions(words.join(known, "surface_text", "left_semi").withColumn("entity_type", F.lit("term")).withColumn("description", F.col("surface_text")))
+            query_mentions = mentions.query_mentions(mentions.known_names(q, nodes))
         m = written(query_mentions.select("query_id", "ord", self.embed(F.col("embedding_text")).alias("embedding")), "query-mentions")
         passages = self.passages.read().select(F.col("id").alias("passage_id"), "text", "embedding")
         units = self.units.read().select(F.col("id").alias("su_id"), "embedding")
@@ -76,6 +98,14 @@ class Engine:
             got = retrieval.rerank(texts, self.rerank(F.col("question"), F.col("text")), self.config.top_k).select("query_id", "rank", "passage_id", "score")
         return got
 
+    def seeds(self, questions: DataFrame) -> DataFrame:
+        """(query_id, ord, entity_id, score, canonical_name, entity_type): what a question's mentions are linked to."""
+        q = questions.select("query_id", "question")
+        m = mentions.query_mentions(mentions.known_names(q, self.table("entities"))).select("query_id", "ord", self.embed(F.col("embedding_text")).alias("embedding"))
+        nodes = self.table("entities")
+        return retrieval.seed_entities(written(m, "query-mentions"), nodes).join(nodes.select("entity_id", "canonical_name", "entity_type"), "entity_id")
+
     def rag_qa(self, questions: DataFrame, reader=providers.extractive_answer, query_mentions: DataFrame | None = None) -> DataFrame:
+        """Answers with the passages read. reader: a column of prompts to a column of responses, as providers.chat_provider gives."""
         passages = self.passages.read().select(F.col("id").alias("passage_id"), "text")
         return qa.answers(qa.prompts(self.retrieve(questions, query_mentions), passages, questions), reader)

@@ -12,10 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.core import prepare
+
 from . import text as X
 
 _TOKEN = re.compile(r"\w+")
@@ -46,15 +49,31 @@ def hashed_embedder(dim: int) -> Callable[[Column], Column]:
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each unit's distinct tokens with the place of the first one, so that no text leaves this step."""
+    for b in batches:
+        rows: list[tuple[int, str, int]] = []
+        for i, text in enumerate(b.column("text").to_pylist()):
+            first: dict[str, int] = {}
+            for m in _TOKEN.finditer((text or "").lower()):
+                first.setdefault(m.group(), m.start())
+            rows += [(i, t, at) for t, at in first.items() if len(t) >= b.column("letters")[i].as_py()]
+        which, terms, at = zip(*rows, strict=True) if rows else ((), (), ())
+        which = pa.array(which, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("passage_id").take(which), b.column("su_id").take(which), pa.array(terms, pa.string()), pa.array(at, pa.int32())], names=["passage_id", "su_id", "surface_text", "char_start"])
+
+
 def salient_terms(units: DataFrame, least: int = 2, most: int = 20, letters: int = 5, share: float = 0.1) -> DataFrame:
     """The default mention extractor: terms of at least so many letters whose number of units lies in a band.
 
     The band ends at `most` units or that share of all units, whichever is more, so that it grows with the table; with a share
-    of 0 it is the fixed band of the registered queries and their SQL.
+    of 0 it is the fixed band of the registered queries and their SQL. Places are those of whole tokens in the lower-cased text.
     units: (passage_id, su_id, text). Result: (passage_id, su_id, surface_text, entity_type, description, char_start, char_end).
     """
-    terms = units.select("passage_id", "su_id", "text", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("surface_text"))
-    terms = terms.where(F.length("surface_text") >= letters)
+    prepare(units.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in units.schema}
+    rows = units.select("passage_id", "su_id", "text", F.lit(letters).alias("letters"))
+    terms = rows.mapInArrow(_places, f"passage_id {kinds['passage_id']}, su_id {kinds['su_id']}, surface_text string, char_start int")
     counts = terms.groupBy(F.col("surface_text").alias("term")).agg(F.countDistinct("su_id").alias("df"))
     upto = F.lit(most)
     if share:
@@ -62,8 +81,11 @@ def salient_terms(units: DataFrame, least: int = 2, most: int = 20, letters: int
         upto = F.greatest(upto, F.floor(F.col("n") * share))
     counts = counts.where(F.col("df").between(F.lit(least), upto)).select("term")
     found = terms.join(counts, F.col("surface_text") == F.col("term"))
-    start = F.instr(F.lower("text"), F.col("surface_text")) - 1
-    return found.select("passage_id", "su_id", "surface_text", F.lit("term").alias("entity_type"), F.col("surface_text").alias("description"), start.cast("int").alias("char_start"), (start + F.length("surface_text")).cast("int").alias("char_end"))
+    return found.select("passage_id", "su_id", "surface_text", F.lit("term").alias("entity_type"), F.col("surface_text").alias("description"), "char_start", (F.col("char_start") + F.length("surface_text")).alias("char_end"))
+
+
+#: It counts units over the whole corpus, so it can't be asked about new units alone.
+salient_terms.whole_corpus = True
 
 
 def overlap_score(query: Column, passage: Column) -> Column:
@@ -78,25 +100,73 @@ def extractive_answer(prompt: Column) -> Column:
     return F.concat(F.lit("Thought: the first passage is the best evidence. Answer: "), head)
 
 
-def chat_provider(infer: Callable[[str], str], column: str = "response"):
-    """A reader or planner from a function on prompts, called once a row in mapInPandas; a failure gives an empty answer."""
+def chat_provider(infer: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A reader, planner or judge, as a column of prompts to a column of answers, from a function on prompts; a failure gives an empty answer."""
 
-    def run(df: DataFrame, prompt_col: str) -> DataFrame:
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for p in pdf[prompt_col]:
-                    try:
-                        out.append(infer(p))
-                    except Exception:  # noqa: BLE001  a model's failure is an empty answer
-                        out.append("")
-                yield pdf.assign(**{column: out})
+    def answer(prompt: str | None) -> str:
+        try:
+            return infer(prompt or "") or ""
+        except Exception:  # noqa: BLE001  a model's failure is an empty answer
+            return ""
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInPandas(rows, f"{fields}, {column} string")
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            yield prompts.map(answer)
 
     return run
 
 
+def pair_provider(score: Callable[[list[str]], list[float]]) -> Callable[[Column, Column], Column]:
+    """A reranker, as (query, passage) columns to a column of scores, from a function on framed pairs (see text.rerank_pair); a failed batch is tried again a pair at a time, and a failing pair scores 0."""
+
+    def scores(pairs: list[str]) -> list[float]:
+        try:
+            return [float(x) for x in score(pairs)]
+        except Exception:  # noqa: BLE001  as above
+            return [0.0] if len(pairs) == 1 else [x for p in pairs for x in scores([p])]
+
+    @F.pandas_udf(T.DoubleType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pairs in batches:
+            yield pd.Series(scores(pairs.tolist()), dtype="float64")
+
+    return lambda query, passage: run(X.rerank_pair(X.RERANK_TASK, query, passage))
+
+
+EXTRACTED = "passage_id string, su_id string, surface_text string, entity_type string, description string, char_start int, char_end int"
+
+
+def extraction_provider(extract: Callable[[list[str]], list[list[dict]]], batch: int = 16) -> Callable[[DataFrame], DataFrame]:
+    """A mention extractor from a function on lists of texts. A failed list is halved until the failing text stands alone, which then has no mentions; places that aren't given are looked up."""
+
+    def found(texts: list[str]) -> list[list[dict]]:
+        try:
+            out = extract(texts)
+            if len(out) != len(texts):
+                raise ValueError("an extractor answers each text")
+            return out
+        except Exception:  # noqa: BLE001  one text's failure is no other's
+            if len(texts) == 1:
+                return [[]]
+            return found(texts[: len(texts) // 2]) + found(texts[len(texts) // 2 :])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, texts = [], [t or "" for t in b.column("text").to_pylist()]
+            for i in range(0, len(texts), batch):
+                for j, mentions in enumerate(found(texts[i : i + batch]), i):
+                    for m in mentions:
+                        name = str(m.get("text") or "")
+                        at = m.get("start", texts[j].find(name) if name else -1)
+                        place = (None, None) if at is None or at < 0 else (int(at), int(m.get("end") or at + len(name)))
+                        out.append((str(b.column("passage_id")[j]), str(b.column("su_id")[j]), name, m.get("type"), m.get("description"), *place))
+            columns = zip(*out, strict=True) if out else [()] * 7
+            kinds = [pa.string()] * 5 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in EXTRACTED.split(", ")])
+
+    return lambda units: units.select("passage_id", "su_id", "text").mapInArrow(rows, EXTRACTED)
+
+
 def judged_correct(response: Column) -> Column:
     return F.when(F.lower(X.strip(F.coalesce(response, F.lit("")))) == "correct", 1).otherwise(0)

@@ -95,8 +95,31 @@ def reader_prompt(passages: Column, question: Column) -> Column:
     return F.concat(body, F.lit("Question: "), question, F.lit("\n Thought: "))
 
 
-def rerank_pair(instruction: str, query: Column, passage: Column) -> Column:
-    return F.concat(F.lit(f"<Instruct>: {instruction}\n<Query>: "), query, F.lit("\n<Document>: "), passage)
+#: What a reranker, a reader, a planner and a judge are told.
+RERANK_TASK = "Does the document hold evidence for the multi-hop question, as its answer or as a step towards it?"
+READER_TASK = "Read the passages closely and answer the question. Begin with \"Thought: \" and reason step by step; end with \"Answer: \" and nothing but the answer, in as few words as will do."
+PLANNER_TASK = "Split the question into the fewest sub-queries that retrieval needs, in the order in which they build on each other. Answer with one JSON object: is_complex, reasoning, sub_queries (id, query, purpose, answer_type) and synthesis_instruction."
+JUDGE_TASK = "You judge answers."
+#: A fixed value: what one public family of embedding models wants before a question.
+QUESTION_PREFIX = "Represent this sentence for searching relevant passages: "
+
+
+def chat(system: str, user: Column) -> Column:
+    """A system and a user message as JSON, as chat models take them."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.to_json(F.array(said("system", F.lit(system)), said("user", user)))
+
+
+def judge_prompt(predicted: Column, gold: Column) -> Column:
+    """The judge's question about a predicted answer; the reply is read by judged_correct."""
+    rules = "It is correct if it holds the gold answer's key information, is factually in keeping with it and contradicts none of it."
+    return F.concat(F.lit("Is this answer correct?\nAnswer: "), F.coalesce(predicted, F.lit("")), F.lit("\nGold answer: "), F.coalesce(gold, F.lit("")), F.lit(f"\n{rules}\nReply with one word, correct or incorrect.\n"))
+
+
+def rerank_pair(instruction: str, query: Column, passage: Column, most: int = 16_000) -> Column:
+    """A pair as a reranker reads it. Of the passage, what goes beyond `most` characters in all is left off, so that a model's input limit cuts neither the question nor the frame."""
+    room = F.greatest(F.lit(most) - F.length(query), F.lit(0))
+    return F.concat(F.lit(f"<Instruct>: {instruction}\n<Query>: "), query, F.lit("\n<Document>: "), F.left(passage, room))
 
 
 def index_prefix(text: Column) -> Column:

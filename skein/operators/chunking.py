@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -74,37 +76,50 @@ def semantic_cuts(tokens: list[int], gaps: list[float], size: int, window: float
     return out
 
 
-def balanced(groups: list[list[int]], words: list[int], vectors: np.ndarray, least: int = 20, most: int = 200) -> list[list[int]]:
-    """Short units join the neighbour that is more like them; long ones are cut at their widest gaps while both parts stay long enough."""
-    groups = [list(g) for g in groups]
-    count = lambda g: sum(words[i] for i in g)
-
-    def mean(g: list[int]) -> np.ndarray:
-        v = vectors[g].mean(0)
-        n = np.linalg.norm(v)
-        return v / n if n > 1e-8 else v
-
-    while len(groups) > 1:
-        sizes = [count(g) for g in groups]
-        i = int(np.argmin(sizes))
-        if sizes[i] >= least:
+def _joined(groups: list[list[int]], words: np.ndarray, vectors: np.ndarray, least: int) -> list[list[int]]:
+    """The smallest unit, the first of equals, joins the neighbour that is more like it until all are long enough. A heap finds it, and sums stand for means, so a passage costs n log n."""
+    n = len(groups)
+    sizes, sums = [int(words[g].sum()) for g in groups], [vectors[g].sum(0) for g in groups]
+    counts, left, right, live = [len(g) for g in groups], [*range(-1, n - 1)], [*range(1, n), -1], n
+    heap = [(size, i) for i, size in enumerate(sizes)]
+    heapq.heapify(heap)
+
+    def mean(i: int) -> np.ndarray:
+        v = sums[i] / counts[i]
+        size = np.linalg.norm(v)
+        return v / size if size > 1e-8 else v
+
+    while heap and live > 1:
+        size, i = heapq.heappop(heap)
+        if groups[i] is None or size != sizes[i]:
+            continue
+        if size >= least:
             break
-        own = mean(groups[i])
-        left = float(mean(groups[i - 1]) @ own) if i else -1.0
-        right = float(mean(groups[i + 1]) @ own) if i + 1 < len(groups) else -1.0
-        if max(left, right) <= -1.0:
+        own, x, y = mean(i), left[i], right[i]
+        near = [float(mean(j) @ own) if j >= 0 else -1.0 for j in (x, y)]
+        if max(near) <= -1.0:
             break
-        j = i - 1 if left >= right else i
-        groups[j : j + 2] = [groups[j] + groups[j + 1]]
-    out, todo = [], groups[::-1]
+        a, b = (x, i) if near[0] >= near[1] else (i, y)
+        groups[a] += groups[b]
+        sizes[a], sums[a], counts[a], right[a] = sizes[a] + sizes[b], sums[a] + sums[b], counts[a] + counts[b], right[b]
+        if right[b] >= 0:
+            left[right[b]] = a
+        groups[b], live = None, live - 1
+        heapq.heappush(heap, (sizes[a], a))
+    return [g for g in groups if g is not None]
+
+
+def balanced(groups: list[list[int]], words: list[int], vectors: np.ndarray, least: int = 20, most: int = 200) -> list[list[int]]:
+    """Short units join the neighbour that is more like them; long ones are cut at their widest gaps while both parts stay long enough."""
+    count = np.asarray(words, np.int64)
+    out, todo = [], _joined([list(g) for g in groups], count, vectors, least)[::-1]
     while todo:
         g = todo.pop()
-        cuts = []
-        if count(g) > most:
-            cuts = [(1 - float(vectors[g[k]] @ vectors[g[k + 1]]), -k) for k in range(len(g) - 1) if count(g[: k + 1]) >= least and count(g[k + 1 :]) >= least]
-            cuts = [c for c in cuts if c[0] > -1.0]
-        if cuts:
-            k = -max(cuts)[1] + 1
+        upto = np.cumsum(count[g])
+        at = np.flatnonzero((upto[:-1] >= least) & (upto[-1] - upto[:-1] >= least)) if upto[-1] > most else []
+        gaps = 1 - (vectors[np.array(g)[at]] * vectors[np.array(g)[at + 1]]).sum(1) if len(at) else np.zeros(0)
+        if len(gaps) and gaps.max() > -1.0:
+            k = int(at[int(np.argmax(gaps))]) + 1  # the first of the widest
             todo += [g[k:], g[:k]]
         else:
             out.append(g)
@@ -159,6 +174,7 @@ def semantic_units(passages: DataFrame, id_col: str, text_col: str, percentile:
 
 
 def chunk_corpus(docs: DataFrame, id_col: str, text_col: str, size: int = 1200, overlap: int = 100, semantic: bool = True, window: float = 0.2) -> DataFrame:
+    """(id, chunk_no, text): chunks of about `size` tokens, cut at semantic boundaries or (semantic=False) in overlapping windows."""
     return semantic_chunks(docs, id_col, text_col, size, window) if semantic else fixed_windows(docs, id_col, text_col, size, overlap)
 
 

@@ -76,21 +76,27 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 
 def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
-    """The cluster records of mentions by key: names, types, descriptions, supporting ids and counts."""
+    """The cluster records of mentions by key: names, types, descriptions and counts. Which mentions, units and passages support one is an edge table (see merge_mentions), as a frequent entity has no bound on them."""
     m = mentions.withColumn("__c", F.col(key))
     m = written(m, "mentions")
     name = mode_by(m, "__c", "normalized_name", [F.length("normalized_name"), F.col("normalized_name")], "canonical_name")
     kind = mode_by(m, "__c", "entity_type", [F.col("entity_type")], "entity_type")
     middle = medoid_texts(m.select("__c", "description").distinct(), "__c", "description").withColumnRenamed("description", "canonical_description")
     variants = first_appearances(m, "__c", "description", ["passage_id", "su_id", "mention_id"], "description_variants")
-    sets = {"aliases": "normalized_name", "supporting_su_ids": "su_id", "supporting_passage_ids": "passage_id", "mention_ids": "mention_id"}
-    lists = m.groupBy("__c").agg(F.count(F.lit(1)).alias("mention_count"), *[F.array_sort(F.collect_set(c)).alias(k) for k, c in sets.items()])
-    out = lists.join(name, "__c").join(kind, "__c").join(middle, "__c").join(variants, "__c")
-    out = out.withColumn("su_count", F.size("supporting_su_ids")).withColumn("passage_count", F.size("supporting_passage_ids"))
+    aliases = m.select("__c", "normalized_name").distinct().groupBy("__c").agg(F.array_sort(F.collect_list("normalized_name")).alias("aliases"))  # the spellings that were merged
+    distinct = [m.select("__c", c).distinct().groupBy("__c").agg(F.count(F.lit(1)).cast("int").alias(n)) for c, n in (("su_id", "su_count"), ("passage_id", "passage_count"))]
+    out = m.groupBy("__c").agg(F.count(F.lit(1)).alias("mention_count"))
+    for part in (*distinct, aliases, name, kind, middle, variants):
+        out = out.join(part, "__c")
     text = X.embedding_text(F.col("canonical_name"), F.col("canonical_description"))
     return out.withColumn("embedding_text", text).withColumn("entity_id", X.content_id("entity-", F.col("embedding_text"))).withColumnRenamed("__c", "cluster")
 
 
+def supporting(owners: DataFrame, of: str = "su_id") -> DataFrame:
+    """(entity_id, of): the distinct units, passages or mentions of each entity, from the edges of merge_mentions."""
+    return owners.select("entity_id", of).distinct()
+
+
 def merge_mentions(mentions: DataFrame, cosine: float = 0.90, name_cut: float = 0.72, floor: float = 0.90, dim: int = 256) -> tuple[DataFrame, DataFrame]:
     """(entities, mention to entity): clusters of one type whose vectors and names are near become one, with their votes counted anew.
 

@@ -30,3 +30,15 @@ def query_mentions(found: DataFrame) -> DataFrame:
     as_units = found.withColumn("passage_id", F.col("query_id")).withColumn("su_id", F.col("query_id")).withColumn("char_start", F.col("ord")).withColumn("char_end", F.col("ord"))
     rows = mention_records(as_units)
     return rows.select(F.col("passage_id").alias("query_id"), F.col("char_start").alias("ord"), "surface_text", "normalized_name", "entity_type", "description", X.embedding_text(F.col("normalized_name"), F.col("description")).alias("embedding_text"))
+
+
+def known_names(questions: DataFrame, entities: DataFrame, most: int = 8) -> DataFrame:
+    """Extractions (query_id, ord, surface_text, entity_type, description) of the entities' names that a question holds, as runs of up to `most` words."""
+    words = questions.select("query_id", F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("question", F.lit(""))), r"[^\p{L}\p{N}_]+", " ")), " ").alias("w"))
+    at = words.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("i") + 1))))
+    runs = at.select("query_id", (F.col("i") * 16 + F.col("n")).alias("at"), F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("surface_text"))
+    runs = runs.where("surface_text <> ''").groupBy("query_id", "surface_text").agg(F.min("at").alias("ord"))
+    names = entities.select(F.explode("aliases").alias("name"), "entity_type")
+    names = names.withColumn("run", F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}_]+", " "))).groupBy("run").agg(F.min("entity_type").alias("entity_type"))
+    both = runs.join(names, F.col("surface_text") == F.col("run"))
+    return both.select("query_id", "ord", "surface_text", "entity_type", F.col("surface_text").alias("description"))

@@ -106,17 +106,23 @@ def dense(passages: DataFrame, questions: DataFrame, k: int | None) -> DataFrame
 def fuse(active: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, questions: DataFrame, lam: float, k: int | None) -> DataFrame:
     """(query_id, rank, passage_id, score) of questions with seeds: dense similarity and entity coverage, each over its maximum.
 
-    Coverage is the idf-weighted activation of a passage's entities over all activation.
+    Coverage is the idf-weighted activation of a passage's entities over all activation. Without coverage a passage is among the
+    k best only if it is among the k nearest, so just those and the covered passages are scored, and all pairs only where
+    all are wanted (k is None).
     """
     total = active.groupBy("query_id").agg(F.sum("score").alias("total"))
     found = active.select("query_id", "entity_id", "score").join(weights.select("passage_id", "entity_id"), "entity_id")
     found = found.join(idf.select("entity_id", "idf"), "entity_id", "left").withColumn("part", F.col("score") * F.coalesce("idf", F.lit(1.0)))
     cover = found.groupBy("query_id", "passage_id").agg(F.sum("part").alias("c")).join(total, "query_id")
-    cover = cover.select("query_id", "passage_id", F.when(F.col("total") > 0, F.col("c") / F.col("total")).otherwise(0.0).alias("coverage"))
-    seeded = questions.join(total.select("query_id"), "query_id", "left_semi")
-    sims = top_k(passages.select("passage_id", "embedding"), seeded.select("query_id", "embedding"), None, "passage_id")
-    both = written(sims.join(cover, ["query_id", "passage_id"], "left").select("query_id", "passage_id", "score", F.coalesce("coverage", F.lit(0.0)).alias("coverage")), "fused")
-    most = both.groupBy("query_id").agg(F.max("score").alias("ms"), F.max("coverage").alias("mc"))
+    cover = written(cover.select("query_id", "passage_id", F.when(F.col("total") > 0, F.col("c") / F.col("total")).otherwise(0.0).alias("coverage")), "coverage")
+    seeded = written(questions.join(total.select("query_id"), "query_id", "left_semi").select("query_id", "embedding"), "seeded")
+    near = top_k(passages.select("passage_id", "embedding"), seeded, k, "passage_id").select("query_id", "passage_id", "score")
+    near = written(near, "near")
+    q, v = (df.select(key, F.transform("embedding", lambda x: x.cast("double")).alias(name)) for df, key, name in ((seeded, "query_id", "q"), (passages, "passage_id", "v")))
+    reached = join_checked(cover.join(v, "passage_id"), q, "query_id").select("query_id", "passage_id", dot(F.col("q"), F.col("v")).alias("score"), "coverage")
+    alone = near.join(cover.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti").withColumn("coverage", F.lit(0.0))
+    both = written(reached.unionByName(alone), "fused")
+    most = both.groupBy("query_id").agg(F.max("score").alias("ms"), F.greatest(F.max("coverage"), F.lit(0.0)).alias("mc"))
     scaled = lambda x, m: F.when(F.col(m) > 0, F.col(x) / F.col(m)).otherwise(F.col(x))
     out = join_checked(both, written(most, "maxima"), "query_id").select("query_id", "passage_id", (scaled("score", "ms") * lam + scaled("coverage", "mc") * (1 - lam)).alias("score"))
     return ranked(out, k, "score", "passage_id").select("query_id", "rank", "passage_id", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import strip
+from skein.functions.text import PLANNER_TASK, chat, strip
 
 #: What stands in where a planner says nothing.
 PURPOSE, DIRECT, OTHER = "gather supporting evidence", "answer directly", "other"
@@ -38,6 +38,11 @@ def request(query: Column, most: int, context: Column | None = None) -> Column:
     return F.to_json(F.struct(*fields))
 
 
+def messages(query: Column, most: int, context: Column | None = None) -> Column:
+    """The planner's system and user messages as JSON."""
+    return chat(PLANNER_TASK, request(query, most, context))
+
+
 def _sub(i, query, purpose, kind) -> Column:
     return F.struct(i.alias("id"), query.alias("query"), purpose.alias("purpose"), kind.alias("answer_type"))
 

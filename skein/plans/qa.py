@@ -28,10 +28,21 @@ def contain_scores(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("contain_accuracy", X.contains_answer(F.col("pred_answer"), F.col("gold_answer")))
 
 
-def evaluate(predictions: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(per question, means); judge adds a `verdict` column. The means of no questions are null."""
+def judged(predictions: DataFrame, judge: Callable[[Column], Column]) -> DataFrame:
+    """predictions with llm_accuracy. judge: a column of prompts to a column of replies, as providers.chat_provider gives."""
+    reply = judge(X.chat(X.JUDGE_TASK, X.judge_prompt(F.col("pred_answer"), F.col("gold_answer"))))
+    return predictions.withColumn("llm_accuracy", providers.judged_correct(reply))
+
+
+def evaluate(predictions: DataFrame, judge: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(per question, means) of the containing answers and, with a judge, of those it calls correct. The means of no questions are null."""
     rows = contain_scores(predictions)
     if judge is not None:
-        rows = judge(rows).withColumn("llm_accuracy", providers.judged_correct(F.col("verdict"))).drop("verdict")
+        rows = judged(rows, judge)
     means = [F.avg(c).alias(c) for c in ("llm_accuracy", "contain_accuracy") if c in rows.columns]
     return rows, rows.agg(*means)
+
+
+def messages(prompted: DataFrame, task: str = X.READER_TASK) -> DataFrame:
+    """prompted with the reader's system and user messages as JSON, for readers that take chats."""
+    return prompted.withColumn("messages", X.chat(task, F.col("prompt")))

@@ -307,9 +307,14 @@ def _terms(t) -> DataFrame:
     return mentions.mention_records(providers.salient_terms(rows, share=0.0))
 
 
-@query("c09_mentions", f"WITH {_TERMS}, n AS (SELECT doc_id, {sql_name('term')} AS normalized_name FROM m) SELECT DISTINCT doc_id AS passage_id, normalized_name FROM n WHERE length(normalized_name) >= 3 AND length(regexp_replace(normalized_name, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3 AND normalized_name NOT IN {X.LOW_NAMES}")
+@query(
+    "c09_mentions",
+    f"""WITH {_TERMS}, n AS (SELECT doc_id, {sql_name('term')} AS normalized_name, strpos(' ' || regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', ' ', 'g') || ' ', ' ' || term || ' ') - 1 AS place FROM m JOIN documents USING (doc_id))
+SELECT doc_id AS passage_id, normalized_name, CAST(min(place) AS INTEGER) AS char_start FROM n
+WHERE length(normalized_name) >= 3 AND length(regexp_replace(normalized_name, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3 AND normalized_name NOT IN {X.LOW_NAMES} GROUP BY 1, 2""",
+)
 def _(t):
-    return _terms(t).select("passage_id", "normalized_name").distinct()
+    return _terms(t).groupBy("passage_id", "normalized_name").agg(F.min("char_start").alias("char_start"))
 
 
 # aggregates
@@ -396,7 +401,7 @@ def _(t):
 @query("g03_name_similarity")
 def _(t):
     a, b = t("part").select("p_brand", F.col("p_partkey").alias("a"), F.col("p_name").alias("x")), t("supplier").select(F.col("s_suppkey").alias("b"), F.col("s_name").alias("y"))
-    pairs = a.join(b, F.col("a") % F.lit(t("supplier").count()) == F.col("b") - 1)
+    pairs = a.join(b, F.col("a") % F.lit(t("supplier").count()) == F.col("b"))
     return pairs.select("a", "b", entities.name_similarity(X.normalize_name(F.col("x")), X.normalize_name(F.col("y"))).alias("similarity"))
 
 

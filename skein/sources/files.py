@@ -64,6 +64,30 @@ def official_records(results: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, text): the passages of a file with one JSON array of strings, each with its number and a colon before it."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("chunks"))
+    return numbered_passages(whole, "chunks")
+
+
+def required(spark: SparkSession, path: str) -> str:
+    """The path, if something is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(f"no data set at {path}")
+    return path
+
+
+def corpora_for(questions: DataFrame, corpora: DataFrame, entry: str | None = None) -> DataFrame:
+    """The corpora that questions ask about; with entry that one alone, which must be there."""
+    if entry is None:
+        return corpora.join(questions.select(F.col("source").alias("corpus_name")).distinct(), "corpus_name", "left_semi")
+    found = corpora.where(F.col("corpus_name") == entry)
+    if found.limit(1).count() == 0:
+        raise ValueError(f"there is no corpus entry {entry!r}")
+    return found
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -10,9 +10,11 @@ from skein.config import Config
 from skein.core import shared_path
 from skein.engine import Engine
 from skein.functions import providers
+from skein.functions import text as X
 from skein.functions.providers import embed
-from skein.operators import chunking, graph, retrieval
+from skein.operators import chunking, entities, graph, mentions, retrieval
 from skein.operators.similarity import similar_pairs, top_k
+from skein.plans import benchmark, planner, qa
 from skein.sources import files
 from skein.sources.store import Store
 from skein.streaming.ingest import stream_into
@@ -165,3 +167,145 @@ def test_mentions_of_recurring_terms_stay_as_tables_grow(spark):
         rows = [("p", f"s{i}", f"unit{i:05d} {'recurring' if i % 20 == 0 else ''} {'common' if i % 2 else ''}") for i in range(n)]
         found = providers.salient_terms(spark.createDataFrame(rows, "passage_id string, su_id string, text string")).groupBy("surface_text").count().collect()
         assert [tuple(r) for r in found] == [("recurring", n // 20)]
+
+
+def test_places_are_those_of_whole_tokens(spark):
+    rows = [("p", "s1", "thereby it was there"), ("p", "s2", "There, there"), ("q", "s3", None)]
+    found = providers.salient_terms(spark.createDataFrame(rows, "passage_id string, su_id string, text string")).collect()
+    assert {(r.su_id, r.surface_text, r.char_start, r.char_end) for r in found} == {("s1", "there", 15, 20), ("s2", "there", 0, 5)}
+
+
+def slow_balanced(groups, words, vectors, least, most):
+    """The rule step by step, counting and averaging anew each time."""
+    groups, count = [list(g) for g in groups], lambda g: sum(words[i] for i in g)
+
+    def like(a, b):
+        x, y = (vectors[g].mean(0) for g in (a, b))
+        return float(x @ y / max(np.linalg.norm(x), 1e-8) / max(np.linalg.norm(y), 1e-8))
+
+    while len(groups) > 1:
+        i = min(range(len(groups)), key=lambda j: (count(groups[j]), j))
+        if count(groups[i]) >= least:
+            break
+        left, right = like(groups[i - 1], groups[i]) if i else -1.0, like(groups[i + 1], groups[i]) if i + 1 < len(groups) else -1.0
+        j = i - 1 if left >= right else i
+        groups[j : j + 2] = [groups[j] + groups[j + 1]]
+    out = []
+
+    def cut(g):
+        ok = [k for k in range(1, len(g)) if count(g) > most and count(g[:k]) >= least and count(g[k:]) >= least]
+        if not ok:
+            out.append(g)
+            return
+        k = max(ok, key=lambda k: (round(1 - float(vectors[g[k - 1]] @ vectors[g[k]]), 9), -k))
+        cut(g[:k])
+        cut(g[k:])
+
+    for g in groups:
+        cut(g)
+    return out
+
+
+def test_balanced_keeps_the_rule():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        v = rng.random((n, 6))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        words, edges = rng.integers(1, 60, n).tolist(), np.flatnonzero(rng.random(n - 1) < 0.6) + 1
+        groups = [list(g) for g in np.split(np.arange(n), edges)]
+        assert [list(map(int, g)) for g in chunking.balanced(groups, words, v, 20, 90)] == [list(map(int, g)) for g in slow_balanced(groups, words, v, 20, 90)]
+
+
+def test_fusion_scores_no_more_than_it_must(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    passages = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "passage_id long, embedding array<double>")
+    questions = passages.where("passage_id < 4").selectExpr("passage_id query_id", "embedding")
+    active = spark.createDataFrame([(q, e, float(1 + q + e) / 10) for q in range(3) for e in range(5)], "query_id long, entity_id long, score double")
+    weights = spark.createDataFrame([(int(p), e) for e in range(5) for p in rng.choice(60, 6, replace=False)], "passage_id long, entity_id long")
+    idf = graph.idf(graph.passage_weights(weights), 60)
+    for k in (1, 5, 30):
+        some = {(r.query_id, r["rank"]): (r.passage_id, round(r.score, 9)) for r in retrieval.fuse(active, weights, idf, passages, questions, 0.7, k).collect()}
+        every = {(r.query_id, r["rank"]): (r.passage_id, round(r.score, 9)) for r in retrieval.fuse(active, weights, idf, passages, questions, 0.7, None).collect() if r["rank"] <= k}
+        assert some == every and len(some) == 3 * k
+
+
+def test_only_new_units_are_read(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def extract(texts, log=str(log)):
+        with open(log, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        if any("poison" in t for t in texts):
+            raise RuntimeError("no answer")
+        return [[{"text": w, "type": "place", "description": "a place"} for w in ("Lantern Bay", "Truro") if w in t] for t in texts]
+
+    first = ["The harbour of Lantern Bay was built long ago by people from Truro.", "Truro has a college where mathematics is taught each winter."]
+    docs = spark.createDataFrame([(t,) for t in first], "text string")
+    more = docs.union(spark.createDataFrame([("A poisonous text about poison that fails whenever it is read aloud.",), ("Lantern Bay has a new lighthouse on the northern quay.",)], "text string"))
+    e = Engine(spark, shared_path(spark, "cached"), Config(top_k=2, conductance_floor=0.05, unit_min_words=3), extractor=providers.extraction_provider(extract))
+    e.index(docs)
+    asked = log.read_text().splitlines()
+    assert sorted(set(asked)) == sorted(first)
+    e.index(docs)
+    assert log.read_text().splitlines() == asked  # nothing was asked again
+    e.index(more)
+    later = log.read_text().splitlines()[len(asked) :]
+    assert not set(later) & set(first) and any("lighthouse" in t for t in later)
+    found = {(r.normalized_name, r.grounded) for r in e.table("mentions").collect()}
+    assert found == {("lantern bay", True), ("truro", True)}
+    nodes = {r.canonical_name: r for r in e.table("entities").collect()}
+    assert nodes["lantern bay"].su_count == 2 and nodes["truro"].mention_count == 2
+    assert entities.supporting(e.table("support")).where(F.col("entity_id") == nodes["truro"].entity_id).count() == 2
+    seeds = e.seeds(spark.createDataFrame([(1, "Who lives in Lantern  Bay, and who in TRURO?")], "query_id long, question string")).collect()
+    assert {r.canonical_name for r in seeds} == {"lantern bay", "truro"}
+
+
+def test_providers_answer_and_fail_alone(spark):
+    def infer(p):
+        if "bad" in p:
+            raise RuntimeError
+        return "Thought: x Answer: " + p[:3]
+
+    rows = spark.createDataFrame([("one two",), ("bad",), (None,)], "p string")
+    assert [r[0] for r in rows.select(providers.chat_provider(infer)(F.col("p"))).collect()] == ["Thought: x Answer: one", "", "Thought: x Answer: "]
+
+    def score(pairs):
+        if len(pairs) > 1 or "<Document>: bad" in pairs[0]:
+            raise RuntimeError
+        return [float(len(pairs[0]))]
+
+    got = [r[0] for r in rows.where("p is not null").select(providers.pair_provider(score)(F.lit("q"), F.col("p"))).collect()]
+    assert got[0] > 0 and got[1] == 0
+    assert spark.range(1).select(X.rerank_pair("i", F.lit("q"), F.lit("x" * 50), 11)).first()[0] == "<Instruct>: i\n<Query>: q\n<Document>: " + "x" * 10
+    verdicts = spark.createDataFrame([("a", "a"), ("b", "c")], "pred_answer string, gold_answer string")
+    rows, means = qa.evaluate(verdicts, providers.chat_provider(lambda p: " Correct" if "Answer: a" in p else "incorrect"))
+    assert sorted(r.llm_accuracy for r in rows.collect()) == [0, 1] and means.first().llm_accuracy == 0.5
+    said = spark.range(1).select(planner.messages(F.lit("why?"), 3)).first()[0]
+    assert '"role":"system"' in said and "max_subqueries" in said
+    assert qa.messages(spark.createDataFrame([("p",)], "prompt string")).first().messages.count("content") == 2
+
+
+CORPUS = (
+    '[{"corpus_name": "bay", "context": "The harbour of Lantern Bay was built by Morwenna Pascoe. She lived near the harbour for thirty years. Morwenna Pascoe drew every quay herself."},'
+    ' {"corpus_name": "idle", "context": "Nobody asks about this one."}]'
+)
+
+
+def test_benchmark_runs(spark, tmp_path):
+    (tmp_path / "corpus.json").write_text(CORPUS)
+    (tmp_path / "questions.json").write_text('[{"id": "q1", "source": "bay", "question": "Who built the harbour?", "answer": "Morwenna Pascoe"}, {"id": "q2", "source": "gone", "question": "What?", "answer": "x", "question_type": "t"}]')
+    (tmp_path / "chunks.json").write_text('["The harbour of Lantern Bay was built by Morwenna Pascoe.", "Bread is baked before dawn."]')
+    made = benchmark.run_corpora(spark, str(tmp_path / "corpus.json"), str(tmp_path / "questions.json"), str(tmp_path / "out"), Config(top_k=2)).collect()
+    assert [(r.id, r.source, r.ground_truth) for r in made] == [("q1", "bay", "Morwenna Pascoe")] and made[0].generated_answer and made[0].context
+    assert spark.read.json(str(tmp_path / "out/predictions")).count() == 1
+    with pytest.raises(ValueError, match="no corpus entry"):
+        benchmark.run_corpora(spark, str(tmp_path / "corpus.json"), str(tmp_path / "questions.json"), str(tmp_path / "out2"), entry="nothing")
+    with pytest.raises(FileNotFoundError):
+        benchmark.run_corpora(spark, str(tmp_path / "none.json"), str(tmp_path / "questions.json"), str(tmp_path / "out2"))
+    rows = benchmark.run_chunks(spark, str(tmp_path), str(tmp_path / "chunked"), Config(top_k=1), limit=1)
+    assert [r.contain_accuracy for r in rows.collect()] == [1]
+    assert files.read_predictions(spark, str(tmp_path / "chunked/predictions")).first().sorted_passage[0].startswith("0:The harbour")
+    assert spark.read.json(str(tmp_path / "chunked/evaluation")).first().contain_accuracy == 1
