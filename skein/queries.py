@@ -509,6 +509,25 @@ h{h} AS (SELECT query_id, entity_id, score * {0.5 ** h} AS score, {h} AS hop, fa
     return ",\n".join(out) + ",\nact AS (" + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(last + 1)) + ")"
 
 
+def _steered_hops(last: int) -> str:
+    """_hops with questions that are drawn to the mean of their three best found entities after each hop."""
+    out = ["n0 AS (SELECT query_id, q FROM q)"]
+    for h in range(1, last + 1):
+        earlier = " UNION ALL ".join(f"SELECT query_id, entity_id FROM h{i}" for i in range(h))
+        found = " UNION ALL ".join(f"SELECT query_id, entity_id, score, hop FROM h{i}" for i in range(1, h + 1))
+        out.append(f"""b{h} AS (SELECT a.query_id, su_id, max(score) * (greatest(greatest(round(list_inner_product(any_value(n.q), any_value(x)), 9), 0) - 0.05, 0) / 0.95) AS bridge
+  FROM h{h - 1} a JOIN inc USING (entity_id) JOIN n{h - 1} n ON n.query_id = a.query_id JOIN v ON vec_id = su_id % (SELECT n FROM n) WHERE score > 0 GROUP BY a.query_id, su_id),
+c{h} AS (SELECT query_id, entity_id, max(bridge) AS score FROM b{h} JOIN inc USING (su_id) WHERE bridge > 0 GROUP BY query_id, entity_id),
+h{h} AS (SELECT query_id, entity_id, score * {0.5 ** h} AS score, {h} AS hop, false AS is_seed FROM c{h} ANTI JOIN ({earlier}) x USING (query_id, entity_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity_id) <= 15)""")
+        if h < last:
+            out.append(f"""t{h} AS (SELECT query_id, entity_id FROM ({found}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, hop, entity_id) <= 3),
+e{h} AS (SELECT query_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM t{h} SEMI JOIN h{h} USING (query_id) JOIN v ON vec_id = entity_id % (SELECT n FROM n)),
+m{h} AS (SELECT query_id, list(m ORDER BY i) AS m FROM (SELECT query_id, i, avg(x) AS m FROM e{h} GROUP BY ALL) GROUP BY query_id),
+s{h} AS (SELECT query_id, list_transform(range(1, len(q) + 1), lambda i: q[i] * 0.7 + m[i] / sqrt(list_inner_product(m, m)) * (1 - 0.7)) AS s FROM q JOIN m{h} USING (query_id) WHERE sqrt(list_inner_product(m, m)) > 1e-8),
+n{h} AS (SELECT query_id, coalesce(list_transform(s, lambda y: y / (sqrt(list_inner_product(s, s)) + 1e-8)), q) AS q FROM n{h - 1} LEFT JOIN s{h} USING (query_id))""")
+    return ",\n".join(out) + ",\nact AS (" + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(last + 1)) + ")"
+
+
 def _seeds(t, g) -> DataFrame:
     m = _asked(t).withColumn("ord", F.lit(0))
     return written(retrieval.seed_entities(m, g["entities"]).withColumn("score", F.round("score", 9)), "seeds")
@@ -530,33 +549,32 @@ def _(t):
     return _expanded(t, 3, False)[0]
 
 
-@query("r07_steered")
+@query("r07_steered", f"WITH {_REL}, {_steered_hops(3)} SELECT * FROM act")
 def _(t):
     return _expanded(t, 3, True)[0]
 
 
-@query(
-    "r11_fusion",
-    f"""WITH {_REL}, {_hops(3)},
-w AS (SELECT DISTINCT o_custkey AS passage_id, l_partkey AS entity_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+_FUSED = """w AS (SELECT DISTINCT o_custkey AS passage_id, l_partkey AS entity_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 idf AS (SELECT entity_id, ln((SELECT count(*) FROM customer) / CAST(count(*) AS DOUBLE)) AS idf FROM w GROUP BY entity_id),
 tot AS (SELECT query_id, sum(score) AS total FROM act GROUP BY query_id),
 cov AS (SELECT a.query_id, passage_id, sum(score * idf) / any_value(total) AS c FROM act a JOIN w USING (entity_id) JOIN idf USING (entity_id) JOIN tot ON tot.query_id = a.query_id GROUP BY 1, 2),
 den AS (SELECT query_id, c_custkey AS passage_id, list_inner_product(q, x) AS s FROM q CROSS JOIN customer JOIN v ON vec_id = c_custkey % (SELECT n FROM n)),
 f AS (SELECT den.query_id, den.passage_id, 0.7 * s / max(s) OVER (PARTITION BY den.query_id) + 0.3 * coalesce(c, 0) / max(coalesce(c, 0)) OVER (PARTITION BY den.query_id) AS score FROM den LEFT JOIN cov USING (query_id, passage_id))
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, passage_id) AS BIGINT) AS rank, passage_id, score FROM f QUALIFY rank <= 5""",
-)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, passage_id) AS BIGINT) AS rank, passage_id, score FROM f QUALIFY rank <= 5"""
+
+
+@query("r11_fusion", f"WITH {_REL}, {_hops(3)}, {_FUSED}")
 def _(t):
     active, g = _expanded(t, 3, False)
     out = retrieval.fuse(active, g["weights"], g["idf"], g["passages"], g["questions"], 0.7, 5)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("r12_retrieve")
+@query("r12_retrieve", f"WITH {_REL}, {_steered_hops(3)}, {_FUSED}")
 def _(t):
     g = _relational(t)
     m = _asked(t).withColumn("ord", F.lit(0))
-    return retrieval.retrieve(g["questions"], m, g["entities"], g["inc"], g["units"], g["weights"], g["idf"], g["passages"], GATED)
+    return retrieval.retrieve(g["questions"], m, g["entities"], g["inc"], g["units"], g["weights"], g["idf"], g["passages"], GATED).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
