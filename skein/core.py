@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a join side is broadcast, and the bytes up to which those rows may come (by the optimizer's size of the side).
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Bytes of a row group of such a table: what a task that writes holds in its executor's heap.
+ROW_GROUP = 16 << 20
 #: Python workers hand large blocks back to the system when they free them, rather than keep them for the next stage.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072"}
 
@@ -60,7 +62,7 @@ def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     tasks: at most so many files (see task_count); smaller partitions are merged, larger ones never split.
     """
     path = shared_path(df.sparkSession, name)
-    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -75,6 +75,26 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(X.token_jaccard(a, b), X.containment(a, b), sequence_ratio(a, b)))
 
 
+def names_may_agree(cut: float):
+    """Whether two names may reach a name_similarity: for single words it is at most twice their shared letters over all, in any order; names of several words may."""
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+        bags = np.zeros((len(names), 64), np.uint8)
+        for i, n in enumerate(names.tolist()):
+            codes, counts = np.unique(np.frombuffer(n.encode("utf-32-le"), np.uint32) % 64, return_counts=True)
+            bags[i, codes] = np.minimum(counts, 255)
+        sizes, single = np.array([len(n) for n in names.tolist()]), np.array([len(n.split()) == 1 and len(n) < 200 for n in names.tolist()])
+        x, y, out = where[: len(a)], where[len(a) :], np.ones(len(a), bool)
+        for i in range(0, len(a), 65536):
+            p, q = x[i : i + 65536], y[i : i + 65536]
+            shared = np.minimum(bags[p], bags[q]).sum(1, dtype=np.int64)
+            out[i : i + 65536] = ~(single[p] & single[q]) | (2 * shared >= (cut - 1e-9) * (sizes[p] + sizes[q]))
+        return out
+
+    return run
+
+
 def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
     """The cluster records of mentions by key: names, types, descriptions and counts. Which mentions, units and passages support one is an edge table (see merge_mentions), as a frequent entity has no bound on them."""
     m = mentions.withColumn("__c", F.col(key))
@@ -107,7 +127,7 @@ def merge_mentions(mentions: DataFrame, cosine: float = 0.90, name_cut: float =
     m = mentions.withColumn("normalized_name", name).withColumn("entity_type", kind).withColumn("description", X.normalize_description(F.col("description"), F.col("surface_text")))
     m = written(m.where(~X.is_low_value(F.col("normalized_name"), F.col("entity_type"), F.col("description"))), "mentions")
     first = written(clusters(m).select("cluster", "entity_type", hashed_embedder(dim)(F.col("embedding_text")).alias("embedding")), "clusters")
-    pairs = similar_pairs(first, max(cosine, floor), "cluster", "entity_type", "embedding")
+    pairs = similar_pairs(first, max(cosine, floor), "cluster", "entity_type", "embedding", names_may_agree(name_cut))
     links = pairs.where(name_similarity(F.col("a"), F.col("b")) >= name_cut)
     comps = connected_components(links)
     keyed = m.join(comps, F.col("normalized_name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "normalized_name")).drop("node")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +75,11 @@ def _turns(got: DataFrame, query_col: str, turn: int):
         yield numbered.where(F.col("__turn") == i).drop("__turn").toArrow()
 
 
-def similar_pairs(rows: DataFrame, at_least: float, id_col: str = "id", group_col: str = "kind", vector_col: str = "embedding") -> DataFrame:
+def similar_pairs(rows: DataFrame, at_least: float, id_col: str = "id", group_col: str = "kind", vector_col: str = "embedding", possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(group, a, b, cosine) with a < b for vectors of one group whose dot product reaches the cut.
 
-    A group is split into blocks by hash; two blocks meet in one task, so that a hot group is spread. Only pairs that pass leave it.
+    A group is split into blocks by hash; two blocks meet in one task, so that a hot group is spread. Only pairs that pass leave
+    it, and with `possible` only those of whose ids (a, b) it says that a later test may pass.
     """
     prepare(rows.sparkSession)
     rows = rows.select(F.col(group_col).alias("grp"), F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
@@ -97,6 +98,10 @@ def similar_pairs(rows: DataFrame, at_least: float, id_col: str = "id", group_co
         a, b = ids[x[p]], ids[y[q]]
         keep = (a < b) if i == j else np.ones(len(a), bool)
         low, high = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep]
+        if possible is not None and len(low):
+            may = possible(low, high)
+            low, high = low[may], high[may]
+            keep[np.flatnonzero(keep)[~may]] = False
         return pa.table({"grp": pa.array([t["grp"][0].as_py()] * int(keep.sum()), t.schema.field("grp").type), "a": pa.array(low, t.schema.field("id").type), "b": pa.array(high, t.schema.field("id").type), "cosine": pa.array(cos[p, q][keep])})
 
     return met.groupBy("grp", "i", "j").applyInArrow(run, f"grp {own}, a {kind}, b {kind}, cosine double").withColumnRenamed("grp", group_col)

@@ -309,3 +309,14 @@ def test_benchmark_runs(spark, tmp_path):
     assert [r.contain_accuracy for r in rows.collect()] == [1]
     assert files.read_predictions(spark, str(tmp_path / "chunked/predictions")).first().sorted_passage[0].startswith("0:The harbour")
     assert spark.read.json(str(tmp_path / "chunked/evaluation")).first().contain_accuracy == 1
+
+
+def test_no_pair_of_names_is_lost(spark):
+    rng = np.random.default_rng(6)
+    names = sorted({"".join(rng.choice(list("abcde "), rng.integers(3, 10))).strip() for _ in range(120)} | {"king arthur", "arthur", "kynance", "kynance cove", "hodgkin", "hodgkins"})
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
+    a, b = (np.array(c, object) for c in zip(*pairs, strict=True))
+    may = entities.names_may_agree(0.72)(a, b)
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", entities.name_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    agree = {(r.a, r.b) for r in rows if r.s >= 0.72}
+    assert agree <= {p for p, ok in zip(pairs, may, strict=True) if ok} and 0 < may.sum() < len(pairs)
