@@ -9,32 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, ngram_join, packing, pii, quality_rules
-from skein.llm._shared import written
+from skein.llm._shared import task_count, written
+
+
+def _merged(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """Tasks of less than 4 MB are merged, so that small tables aren't cut into many files."""
+    return out.coalesce(task_count(docs, 4 << 20))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base limits or the robust distance reject go."""
-    return quality_rules.reject_outliers(docs)
+    return _merged(quality_rules.reject_outliers(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of linked documents stays."""
-    return ngram_join.keep_one(docs)
+    return _merged(ngram_join.keep_one(docs), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _merged(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in text is replaced; n_chars follows."""
-    return pii.redact(docs)
+    return _merged(pii.redact(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the token sequences with their ids and places."""
-    return packing.pack(docs)
+    return _merged(packing.pack(docs), docs)
 
 
 STAGES = [
