@@ -1,11 +1,11 @@
 """Personal data: base patterns, and spans that a character-level BiLSTM-CRF adds.
 
-All text is searched. Each kind holds a digit or an at sign (spelt-out ones in brackets included), so the model reads
-stretches: the characters within `REACH` of such a sign, joined where they touch; text without one has no span by definition.
-A span that the model adds must be well formed for its kind (see `well_formed`) and touch no base span; base spans all stay.
+Every character of every text is read by the network, in overlapping windows, and one decoding of the whole text gives its
+spans. Base spans all stay; a span of the model that touches none of them is added as it is, without the blanks and stops at its
+end. No pattern judges it. Besides the four kinds of base spans the model finds secrets (values of tokens, keys and passwords).
 
-Defined cases: a null text is empty; very long texts are read whole in overlapping windows; rows are independent, so repeated
-rows agree; an empty table gives an empty result; other columns stay, those named like new ones are replaced.
+Defined cases: a null text is empty; very long texts are read whole, a part at a time; rows are independent, so repeated rows
+agree; an empty table gives an empty result; other columns stay, those named like new ones are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pii_model
-from ._shared import bounded_batches
+from ._shared import bounded_batches, released
 from .pii_model import KINDS
 
 #: The base patterns. The starts they are tried at are those where a match can begin, so long runs take linear time.
@@ -28,8 +28,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-SIGN = re.compile(r"[0-9@]|[\[(]at[\])]")
-REACH = 48
 
 
 def luhn(digits: str) -> bool:
@@ -63,45 +61,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def well_formed(kind: str, s: str) -> bool:
-    """What a span of the model must hold: an at sign between names for email, four parts of at most 255 for ip, 13 to 19 digits that pass Luhn for card, 9 to 15 digits in groups or after a plus or two zeros for phone."""
-    digits = _only_digits(s)
-    if kind == "email":
-        user, mark, host = (x.strip() for x in re.split(r"(@|[\[(]at[\])])", s, maxsplit=1)) if re.search(r"@|[\[(]at[\])]", s) else ("", "", "")
-        return bool(user and mark and re.search(r"[A-Za-z0-9]\s*(\.|[\[(]dot[\])])\s*[A-Za-z]{2,}$", host))
-    if kind == "ip":
-        parts = re.split(r"\s*(?:\.|\[\.\])\s*", s)
-        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
-    if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits) and bool(re.fullmatch(r"[0-9][0-9 ./-]*[0-9]", s))
-    return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", s)) and (s[0] in "+(" or s.startswith("00") or len(re.findall("[0-9]+", s)) >= 3)
-
-
-def stretches(text: str) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for m in SIGN.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+_RUN = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
+_NAMED = re.compile(r"(?i)\b(?:token|api_?key|secret|passw(?:or)?d)\s*[=:]\s*[\"']?([0-9A-Za-z_-]{16,})")
+
+
+def silver_spans(text: str) -> list[tuple[str, int, int]]:
+    """Labels of a background text for training: base spans, other long runs of digits, and values of named secrets."""
+    out = base_spans(text)
+    free = lambda a, b: not any(a < y and x < b for _, x, y in out)
+    out += [("card", m.start(), m.end()) for m in _RUN.finditer(text) if free(m.start(), m.end())]
+    return out + [("secret", m.start(1), m.end(1)) for m in _NAMED.finditer(text) if free(m.start(1), m.end(1))]
 
 
 def all_spans(model, texts: list[str | None]) -> list[list[tuple[str, int, int, bool]]]:
     """For each text (kind, start, end, base) by kind as in KINDS, then start."""
     texts = [t or "" for t in texts]
-    found = [base_spans(t) for t in texts]
-    places = [(k, a, b) for k, t in enumerate(texts) for a, b in stretches(t)]
-    added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (k, a, b), spans in zip(places, pii_model.find(model, [texts[k][a:b] for k, a, b in places]), strict=True):
+    out = []
+    for text, spans in zip(texts, pii_model.find(model, texts), strict=True):
+        base = base_spans(text)
+        added = []
         for kind, s, e in spans:
-            while e > s and texts[k][a + e - 1] in " .,\n":
+            while e > s and text[e - 1] in " .,\n":
                 e -= 1
-            s, e = a + s, a + e
-            if well_formed(kind, texts[k][s:e]) and not any(s < y and x < e for _, x, y in found[k]):
-                added[k].append((kind, s, e))
-    return [sorted([(*x, True) for x in f] + [(*x, False) for x in n], key=lambda x: (KINDS.index(x[0]), x[1])) for f, n in zip(found, added, strict=True)]
+            if s < e and not any(s < y and x < e for _, x, y in base):
+                added.append((kind, s, e, False))
+        out.append(sorted([*((*x, True) for x in base), *added], key=lambda x: (KINDS.index(x[0]), x[1])))
+    return out
 
 
 def redacted(text: str | None, spans: list[tuple[str, int, int, bool]]) -> str | None:
@@ -120,7 +105,7 @@ def redacted(text: str | None, spans: list[tuple[str, int, int, bool]]) -> str |
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
-def _detect(model):
+def _detect(model, redacts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for b in batches:
@@ -129,27 +114,28 @@ def _detect(model):
             names = [c for c in b.schema.names if c != "__text"]
             out = [b.column(c) for c in names]
             out.append(pa.array([[dict(zip(("kind", "start", "end", "base"), x, strict=True)) for x in s] for s in spans], kind))
-            out.append(pa.array([redacted(t, s) for t, s in zip(texts, spans, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, names=[*names, "spans", "redacted"])
+            if redacts:
+                out.append(pa.array([redacted(t, s) for t, s in zip(texts, spans, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "spans", *["redacted"] * redacts])
 
     return run
 
 
-def detect(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", model=None) -> DataFrame:
-    """The columns `keep` of docs (None: all), with spans and the redacted text."""
+def detect(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", model=None, redacts: bool = True) -> DataFrame:
+    """The columns `keep` of docs (None: all), with spans and, where wanted, the redacted text."""
     bounded_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("spans", "redacted")]
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([f for f in rows.schema if f.name != "__text"] + [T.StructField("spans", T.DataType.fromDDL(SPANS)), T.StructField("redacted", T.StringType())])
-    return rows.mapInArrow(_detect(model or pii_model.default_model()), schema)
+    schema = T.StructType([f for f in rows.schema if f.name != "__text"] + [T.StructField("spans", T.DataType.fromDDL(SPANS)), *[T.StructField("redacted", T.StringType())] * redacts])
+    return rows.mapInArrow(released(_detect(model or pii_model.default_model(), redacts)), schema)
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """Counts of base spans by kind, the digest of their list and the list of all spans."""
+    """Counts of base spans by kind, the digest of their list, the list of all spans, and how many the model added."""
     base = F.filter("spans", lambda s: s["base"])
     line = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS if k != "secret"], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

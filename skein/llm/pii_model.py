@@ -1,17 +1,23 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy: training from labelled spans, and global decoding.
 
-Training examples are (text, [(kind, start, end)]); `labelled_examples` makes them from a seed. A text is scored in
-overlapping windows; where windows overlap, a character's scores are averaged with more weight for window middles, and one
-Viterbi pass over the whole stretch reconciles them, so that no window edge cuts a span.
+Training examples are (text, [(kind, start, end)]); `labelled_examples` makes them from a seed: spans of many spellings between
+invented words, numbers that are nobody's, and stretches of any background texts, whose own base spans are labels too. The
+weights beside this module were trained so (`python -m skein.llm.pii_model TABLE`, which writes them anew).
+
+All characters of a text are scored in overlapping windows; where windows overlap, a character's scores are averaged with more
+weight for window middles, and one Viterbi decoding of the whole text reconciles them, so that no window edge cuts a span. The
+decoding is exact, but leaves out what is certain: see `certain`.
 """
 
 from __future__ import annotations
 
 import functools
+import sys
+from pathlib import Path
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: O, then B and I of each kind.
 TAGS = 1 + 2 * len(KINDS)
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -19,12 +25,24 @@ _MARKS = " \n.@_%+-()[]/:,=\"'<>&#"
 #: Characters are letters (without case), one class for digits, one each for some marks, and one for the rest; 0 is padding.
 _CLASS = {c: 2 + i for i, c in enumerate(_ALPHABET)} | {c.upper(): 2 + i for i, c in enumerate(_ALPHABET)} | {c: 28 for c in "0123456789"} | {c: 29 + i for i, c in enumerate(_MARKS)}
 CLASSES = 29 + len(_MARKS)
-WINDOW, STRIDE = 96, 48
-EMBED, HIDDEN = 12, 20
+_TABLE = np.array([_CLASS.get(chr(i), 1) for i in range(128)], np.uint8)
+EMBED, HIDDEN = 8, 8
+#: Characters of a training example; of a window when texts are read, and how many it shares with the next.
+EXAMPLE, WINDOW, OVERLAP = 96, 256, 32
+#: Windows that are read together, characters whose scores are held at once, and the largest transition score either way.
+BATCH, HELD, TRANSITION = 1024, 230_000, 0.5
+#: Weight in training of each character's tag by its own scores, beside the path's: so that O leads clearly in plain text.
+ALONE = 0.5
+#: What the scores of beginnings are lowered by: a span must be that much likelier than none.
+CAUTION = 2.0
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
+Model = dict[str, np.ndarray]
 
 
 def encode(text: str) -> np.ndarray:
-    return np.array([_CLASS.get(c, 1) for c in text], np.int64)
+    """The class of each character."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(codes < 128, _TABLE[np.minimum(codes, 127)], 1).astype(np.uint8)
 
 
 def allowed() -> np.ndarray:
@@ -50,6 +68,10 @@ def _word(rng, least: int = 2, most: int = 9) -> str:
     return "".join(_ALPHABET[i] for i in rng.integers(0, 26, rng.integers(least, most)))
 
 
+def _hex(rng, n: int) -> str:
+    return "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, n))
+
+
 def _pick(rng, *choices):
     return choices[rng.integers(len(choices))]
 
@@ -58,17 +80,17 @@ def _email(rng) -> str:
     user = _pick(rng, _word(rng), f"{_word(rng)}.{_word(rng)}", f"{_word(rng)}_{_digits(rng, 2)}", f"{_word(rng)}.{_digits(rng, 2)}")
     host = _pick(rng, _word(rng, 3), f"mail{_digits(rng, 1)}.{_word(rng)}", f"{_word(rng)}-{_word(rng)}")
     end = _pick(rng, "com", "org", "net", "de", "fr", "es", "co.uk")
-    at, dot = _pick(rng, ("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" @ ", "."))
+    at, dot = _pick(rng, ("@", "."), ("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" @ ", "."))
     return user + at + (host + "." + end).replace(".", dot)
 
 
 def _ip(rng) -> str:
-    return _pick(rng, ".", ".", "[.]", " . ").join(str(x) for x in rng.integers(0, 256, 4))
+    return _pick(rng, ".", ".", ".", "[.]", " . ").join(str(x) for x in rng.integers(0, 256, 4))
 
 
 def _card(rng) -> str:
-    d, sep = _digits(rng, 16), _pick(rng, "", "", " ", "-", ".", "/")
-    return sep.join(d[i : i + 4] for i in range(0, 16, 4)) if sep else _digits(rng, rng.integers(13, 20))
+    d, sep = _digits(rng, 16), _pick(rng, "", "", "", " ", "-", ".", "/")
+    return sep.join(d[i : i + 4] for i in range(0, 16, 4)) if sep else _digits(rng, _pick(rng, 13, 14, 15, 16, 16, 16, 16, 19))
 
 
 def _phone(rng) -> str:
@@ -76,37 +98,72 @@ def _phone(rng) -> str:
     return _pick(rng, f"+{_digits(rng, 1)} ({a}) {b}-{c}", f"+{_digits(rng, 2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{_digits(rng, 2)} {a} {b} {c}", f"+{_digits(rng, 11)}")
 
 
+_SECRET_NAMES = ("token", "api_key", "secret", "password", "apikey", "access_token", "passwd", "secret_key")
+
+
+def _secret(rng) -> tuple[str, str]:
+    """What comes before a secret, and the secret."""
+    name, sep = _pick(rng, *_SECRET_NAMES), _pick(rng, " = ", "=", ": ", " : ")
+    value, mark = _pick(rng, _hex(rng, 40), _hex(rng, 32), _hex(rng, 20), _word(rng, 5, 12) + _digits(rng, 6) + _word(rng, 5, 9)), _pick(rng, '"', '"', "'", "")
+    return name + sep + mark, value
+
+
 def _other(rng) -> str:
     """Numbers and marks that aren't personal."""
-    hexa = "".join(_pick(rng, *"0123456789abcdef") for _ in range(16))
     n = rng.integers
-    return _pick(rng, str(n(0, 10 ** n(1, 8))), f"20{n(10, 30)}-{n(10, 13)}-{n(10, 31)}", f"{n(1, 24)}:{n(10, 60)}", f"v{n(0, 9)}.{n(0, 30)}.{n(0, 9)}", f"{n(1, 999)}.{n(10, 99)}", f'token = "{hexa}"', hexa, f"@{_word(rng)}", f"{n(1, 99)}%", f"({n(1, 99)})", f"version {n(1, 9)}.0.", f"[{n(1, 60)}]", f"{n(1, 9)},{n(100, 999)},{n(100, 999)}")
+    return _pick(
+        rng, str(n(0, 10 ** n(1, 10))), f"20{n(10, 30)}-{n(10, 13)}-{n(10, 31)}", f"{n(1, 24)}:{n(10, 60)}", f"v{n(0, 9)}.{n(0, 30)}.{n(0, 9)}", f"{n(1, 999)}.{n(10, 99)}", _hex(rng, _pick(rng, 7, 16, 32, 40)), f"@{_word(rng)}", f"{n(1, 99)}%",
+        f"({n(1, 99)})", f"version {n(1, 9)}.0.", f"[{n(1, 60)}]", f"{n(1, 9)},{n(100, 999)},{n(100, 999)}", "Licensed under CC BY-NC 4.0.", f"License, version {n(1, 4)}.", "token", "password", f"at {_word(rng)}", f"{_word(rng)}.{_word(rng)}", f"{_word(rng, 3)}.{_word(rng, 2, 4)}", f"[{_word(rng)}]", f"({_word(rng)})", f"CC BY-NC {n(1, 5)}.0", f"Version {n(1, 5)}.0.", f"{n(1900, 2030)}-{n(1900, 2030)}", f"+{n(1, 99)}", f"{n(1, 99)} - {n(1, 99)}", f"${n(1, 9999)}.{n(10, 99)}",
+    )
 
 
-def labelled_examples(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """n texts of WINDOW characters at most with their spans."""
+def labelled_examples(n: int, seed: int, background: list[str] | None = None, spans_of_text=None) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """n texts of EXAMPLE characters at most with their spans; a part of them cut from background texts, with the spans that spans_of_text gives."""
     rng, out = np.random.default_rng(seed), []
-    make = dict(zip(KINDS, (_email, _ip, _card, _phone), strict=True))
+    make = dict(zip(KINDS, (_email, _ip, _card, _phone), strict=False))
+    background = [t for t in background or [] if t]
     while len(out) < n:
         text, spans = "", []
-        while len(text) < WINDOW - 30:
+        after = _pick(rng, (" ",), (" ", " ", " ", ". ", ", ", ".\n"), ("!! ",), ("### ", "%%% ", "*** ", "&&& ", "$$$ "), (" | ",))
+        upper = rng.random() < 0.08
+        while len(text) < EXAMPLE - 30:
             draw = rng.random()
-            if draw < 0.16:
-                kind = _pick(rng, *KINDS)
-                item = make[kind](rng)
+            if background and draw < 0.5:
+                t = background[rng.integers(len(background))]
+                at, size = int(rng.integers(0, max(1, len(t) - 8))), int(rng.integers(8, 70))
+                item = t[at : at + size]
+                if any(c in "0123456789@+" for c in item):  # whole spans only
+                    whole = [(k, a, b) for k, a, b in spans_of_text(t[max(0, at - 60) : at + size + 60])]
+                    low = at - max(0, at - 60)
+                    if any(a < low < b or a < low + size < b for _, a, b in whole) or len(text) + len(item) > EXAMPLE:
+                        continue
+                    spans += [(k, len(text) + a - low, len(text) + b - low) for k, a, b in whole if low <= a and b <= low + size]
+                text += item + " "
+                continue
+            if draw < 0.68:
+                kind = KINDS[rng.integers(len(KINDS))]
+                if kind == "secret":
+                    before, item = _secret(rng)
+                    text += before
+                else:
+                    item = make[kind](rng)
                 spans.append((kind, len(text), len(text) + len(item)))
+                if kind == "secret" and before[-1] in "\"'":
+                    item += before[-1]
             else:
-                item = _other(rng) if draw < 0.34 else _word(rng)
+                item = _other(rng) if draw < 0.85 else _word(rng)
                 if rng.random() < 0.15:
                     item = item.capitalize()
-            text += item + _pick(rng, " ", " ", " ", ". ", ", ", ".\n")
-        if len(text) <= WINDOW:
-            out.append((text, spans))
+            text += item + _pick(rng, *after)
+        if rng.random() < 0.5:
+            text = text.rstrip()
+        if len(text) <= EXAMPLE:
+            out.append((text.upper() if upper and len(text.upper()) == len(text) else text, spans))
     return out
 
 
 def _targets(examples) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.zeros((len(examples), WINDOW), np.int64), np.zeros((len(examples), WINDOW), np.int64)
+    x, y = np.zeros((len(examples), EXAMPLE), np.int64), np.zeros((len(examples), EXAMPLE), np.int64)
     for i, (text, spans) in enumerate(examples):
         x[i, : len(text)] = encode(text)
         for kind, a, b in spans:
@@ -122,7 +179,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def new_model(seed: int) -> dict[str, np.ndarray]:
+def new_model(seed: int) -> Model:
     rng, h = np.random.default_rng(seed), HIDDEN
     m = {"embed": rng.normal(0, 0.3, (CLASSES, EMBED)), "out": rng.normal(0, 0.2, (2 * h, TAGS)), "bias": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS))}
     for d in ("f", "b"):
@@ -131,8 +188,8 @@ def new_model(seed: int) -> dict[str, np.ndarray]:
     return m
 
 
-def _lstm(e: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool = False):
-    """Hidden states (time, batch, hidden) of inputs (time, batch, embedding); keep: what the backward pass needs too."""
+def _lstm(e: np.ndarray, w: np.ndarray, b: np.ndarray):
+    """Hidden states (time, batch, hidden) of inputs (time, batch, embedding), and what the backward pass needs too."""
     h = c = np.zeros((e.shape[1], HIDDEN), e.dtype)
     inputs = e @ w[:EMBED] + b
     out, kept = [], []
@@ -142,33 +199,27 @@ def _lstm(e: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool = False):
         g = np.tanh(z[:, 3 * HIDDEN :])
         before, c = c, f * c + i * g
         tanh_c = np.tanh(c)
-        if keep:
-            kept.append((h, before, i, f, o, g, tanh_c))
+        kept.append((h, before, i, f, o, g, tanh_c))
         h = o * tanh_c
         out.append(h)
     return np.stack(out), kept
 
 
-def emissions(m: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Scores (batch, time, tag) of character classes (batch, time)."""
-    e = m["embed"][x.T]
-    f, _ = _lstm(e, m["f_w"], m["f_b"])
-    b, _ = _lstm(e[::-1], m["b_w"], m["b_b"])
-    return (np.concatenate([f, b[::-1]], 2) @ m["out"] + m["bias"]).transpose(1, 0, 2)
-
-
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
 
 
-def _gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def _gradients(m: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, Model]:
     n, time = x.shape
-    e = m["embed"][x.T]
-    hf, kf = _lstm(e, m["f_w"], m["f_b"], True)
-    hb, kb = _lstm(e[::-1], m["b_w"], m["b_b"], True)
-    both = np.concatenate([hf, hb[::-1]], 2)
-    score, trans = both @ m["out"] + m["bias"], m["trans"] + allowed()
+    length, at, each = (x > 0).sum(1), np.arange(time)[:, None], np.arange(n)[None]
+    turned = np.where(at < length, length - 1 - at, at)  # the other way round, padding at the end as before
+    e, x_back = m["embed"][x.T], x.T[turned, each]
+    e_back = m["embed"][x_back]
+    hf, kf = _lstm(e, m["f_w"], m["f_b"])
+    hb, kb = _lstm(e_back, m["b_w"], m["b_b"])
+    both = np.concatenate([hf, hb[turned, each]], 2)
+    score, trans = both @ m["out"] + m["bias"], m["trans"] + allowed().astype(x.dtype if x.dtype.kind == "f" else m["trans"].dtype)
     alpha, beta = np.empty_like(score), np.zeros_like(score)
     alpha[0] = score[0] + START
     for t in range(1, time):
@@ -183,11 +234,16 @@ def _gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[
     for t in range(time):
         d_score[t, rows, y[:, t]] -= 1
     np.subtract.at(d_trans, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-    d_score /= n
+    own = score - _logsum(score, 2)[:, :, None]
+    alone = -sum(own[t, rows, y[:, t]].sum() for t in range(time)) / n
+    own = np.exp(own)
+    for t in range(time):
+        own[t, rows, y[:, t]] -= 1
+    d_score = (d_score + ALONE * own) / n
     grads = {"trans": d_trans / n, "out": np.einsum("tnh,tnk->hk", both, d_score), "bias": d_score.sum((0, 1))}
     d_both = d_score @ m["out"].T
     d_embed = np.zeros_like(m["embed"])
-    for name, kept, d_h, inputs, order in (("f", kf, d_both[:, :, :HIDDEN], e, x.T), ("b", kb, d_both[::-1, :, HIDDEN:], e[::-1], x.T[::-1])):
+    for name, kept, d_h, inputs, order in (("f", kf, d_both[:, :, :HIDDEN], e, x.T), ("b", kb, d_both[:, :, HIDDEN:][turned, each], e_back, x_back)):
         w, dw, db = m[f"{name}_w"], np.zeros_like(m[f"{name}_w"]), np.zeros_like(m[f"{name}_b"])
         next_h = next_c = np.zeros((n, HIDDEN))
         for t in range(time - 1, -1, -1):
@@ -202,17 +258,19 @@ def _gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[
             next_h = dz @ w[EMBED:].T
             np.add.at(d_embed, order[t], dz @ w[:EMBED].T)
         grads |= {f"{name}_w": dw, f"{name}_b": db}
-    return float((z - gold).mean()), grads | {"embed": d_embed}
+    return float((z - gold).mean() + ALONE * alone), grads | {"embed": d_embed}
 
 
-def train(examples, steps: int = 300, batch: int = 48, rate: float = 0.02, seed: int = 7) -> dict[str, np.ndarray]:
-    """A model fitted with Adam to labelled spans."""
+def train(examples, steps: int = 300, batch: int = 48, rate: float = 0.02, seed: int = 7, say=None) -> Model:
+    """A model fitted with Adam to labelled spans; transitions stay within TRANSITION."""
     m, rng = new_model(seed), np.random.default_rng(seed)
     x, y = _targets(examples)
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     for step in range(1, steps + 1):
         at = rng.integers(0, len(x), batch)
-        _, grads = _gradients(m, x[at], y[at])
+        loss, grads = _gradients(m, x[at], y[at])
+        if say and step % 100 == 0:
+            say(step, loss)
         size = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
         now = rate * min(1.0, 3 * (1 - step / (steps + 1)))
         for k, g in grads.items():
@@ -220,75 +278,179 @@ def train(examples, steps: int = 300, batch: int = 48, rate: float = 0.02, seed:
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             m[k] = m[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+        m["trans"] = np.clip(m["trans"], -TRANSITION, TRANSITION)
     return m
 
 
+def reading(m: Model) -> Model:
+    """The weights as texts are read with: single precision, inputs by character class, and sigmoids as halves of tanh."""
+    half = np.repeat([0.5, 1.0], [3 * HIDDEN, HIDDEN])
+    turn = np.abs(m["out"][:, 2::2] - m["out"][:, 1::2]).sum(0) + np.abs(m["bias"][2::2] - m["bias"][1::2]) + CAUTION  # hidden states lie between -1 and 1
+    out = {"turn": np.array([turn.max()]), "out": m["out"].T, "bias": m["bias"] - CAUTION * (np.arange(TAGS) % 2), "trans": m["trans"] + allowed()}
+    for d in ("f", "b"):
+        out[f"{d}_in"] = (m["embed"] @ m[f"{d}_w"][:EMBED] + m[f"{d}_b"]) * half
+        out[f"{d}_own"] = (m[f"{d}_w"][EMBED:] * half).T
+    return {k: np.ascontiguousarray(v, np.float32) for k, v in out.items()}
+
+
 @functools.cache
-def default_model(examples: int = 4000, seed: int = 11) -> dict[str, np.ndarray]:
-    """The model trained on `labelled_examples`, in single precision; once for each process."""
-    return {k: v.astype(np.float32) for k, v in train(labelled_examples(examples, seed)).items()}
-
-
-# decoding
-
-
-def stretch_scores(m: dict[str, np.ndarray], stretches: list[str], batch: int = 256) -> list[np.ndarray]:
-    """Scores of each character of each stretch, averaged over the windows that hold it."""
-    at = [(k, s) for k, t in enumerate(stretches) for s in range(0, max(1, len(t) - WINDOW + STRIDE), STRIDE)]
-    codes = [encode(t) for t in stretches]
-    total = [np.zeros((len(t), TAGS), np.float32) for t in stretches]
-    weight = [np.zeros((len(t), 1), np.float32) for t in stretches]
-    ramp = (1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)[:, None]
-    for i in range(0, len(at), batch):
-        some = at[i : i + batch]
-        x = np.zeros((len(some), WINDOW), np.int64)
-        for row, (k, s) in enumerate(some):
-            piece = codes[k][s : s + WINDOW]
-            x[row, : len(piece)] = piece
-        for (k, s), e in zip(some, emissions(m, x), strict=True):
-            n = min(WINDOW, len(codes[k]) - s)
-            total[k][s : s + n] += e[:n] * ramp[:n]
-            weight[k][s : s + n] += ramp[:n]
-    return [t / np.maximum(w, 1e-6) for t, w in zip(total, weight, strict=True)]
-
-
-def viterbi(m: dict[str, np.ndarray], scores: list[np.ndarray], batch: int = 256) -> list[np.ndarray]:
-    """The best tags of each stretch; stretches of like length go together."""
-    trans, out = m["trans"] + allowed().astype(np.float32), [np.zeros(0, np.int64)] * len(scores)
+def default_model() -> Model:
+    """The stored weights, for reading."""
+    with np.load(WEIGHTS) as f:
+        return reading(dict(f))
+
+
+# reading
+
+
+def _states(own: np.ndarray, inputs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hidden states (time, hidden, batch) of codes (time, batch)."""
+    time, n = codes.shape
+    h, c, tmp = (np.zeros((HIDDEN, n), np.float32) for _ in range(3))
+    z, out = np.empty((4 * HIDDEN, n), np.float32), np.empty((time, HIDDEN, n), np.float32)
+    i, f, o, g, gates = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :], z[: 3 * HIDDEN]
+    for t in range(time):
+        np.dot(own, h, out=z)
+        z += inputs[codes[t]].T
+        np.tanh(z, out=z)
+        gates *= 0.5
+        gates += 0.5
+        c *= f
+        np.multiply(i, g, out=tmp)
+        c += tmp
+        np.tanh(c, out=tmp)
+        h = out[t]
+        np.multiply(o, tmp, out=h)
+    return out
+
+
+def emissions(m: Model, windows: list[np.ndarray]) -> list[np.ndarray]:
+    """Scores (characters, tags) of windows of character classes, longest first. Both directions begin with the window's own characters, so that what is read beside it changes nothing."""
+    size = (len(windows[0]), len(windows))
+    ahead, back = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+    for j, w in enumerate(windows):
+        ahead[: len(w), j] = w
+        back[: len(w), j] = w[::-1]
+    f = np.matmul(_states(m["f_own"], m["f_in"], ahead).transpose(0, 2, 1), m["out"][:, :HIDDEN].T)
+    f += m["bias"]
+    b = np.matmul(_states(m["b_own"], m["b_in"], back).transpose(0, 2, 1), m["out"][:, HIDDEN:].T)
+    return [f[: len(w), j] + b[: len(w), j][::-1] for j, w in enumerate(windows)]
+
+
+def windows(n: int) -> list[tuple[int, int]]:
+    """The windows (start, end) of a text of n characters: each shares OVERLAP characters with the next."""
+    out, start = [], 0
+    while start + WINDOW < n:
+        out.append((start, start + WINDOW))
+        start += WINDOW - OVERLAP
+    return [*out, (start, n)] if n else []
+
+
+def _grouped(m: Model, codes: list[np.ndarray], at: list[tuple[int, int, int]], add) -> None:
+    """add(k, a, scores) for the windows (k, a, b) of codes; where windows overlap, two ramps add up to one."""
+    order = sorted(at, key=lambda x: x[1] - x[2])
+    for i in range(0, len(order), BATCH):
+        some = order[i : i + BATCH]
+        for (k, a, b), own in zip(some, emissions(m, [codes[k][a:b] for k, a, b in some]), strict=True):
+            if a:
+                own[:OVERLAP] *= _RAMP[:, None]
+            if b < len(codes[k]):
+                own[-OVERLAP:] *= _RAMP[::-1, None]
+            add(k, a, own)
+
+
+def text_scores(m: Model, texts: list[str]) -> list[np.ndarray]:
+    """Scores (characters, tags) of each text, averaged over the windows that hold a character."""
+    codes = [encode(t) for t in texts]
+    total = [np.zeros((len(c), TAGS), np.float32) for c in codes]
+
+    def add(k: int, a: int, own: np.ndarray) -> None:
+        total[k][a : a + len(own)] += own
+
+    _grouped(m, codes, [(k, a, b) for k, c in enumerate(codes) for a, b in windows(len(c))], add)
+    return total
+
+
+_RAMP = ((np.arange(OVERLAP) + 1) / (OVERLAP + 1)).astype(np.float32)
+
+
+def certain(m: Model, score: np.ndarray, begins: bool = True, ends: bool = True) -> np.ndarray:
+    """For each character whether every best path has O there; not all such characters are found.
+
+    Let r be the range of allowed transitions, and a run be characters where O leads by more than 2r. A part of a path in other
+    tags, between two O within a run, would gain by O instead: each character more than 2r, each of its transitions r at most.
+    And a path can't be in other tags throughout a run's beginning, if the leads there less r each exceed d + 3r, where d is the
+    most that turning an I after it into a B can cost; nor throughout an end. So all between a beginning and an end is O. Paths
+    that begin with the scores (of a whole text, or after an O) need no beginning, those that end with the text no end.
+    """
+    trans = m["trans"]
+    d = max([0.0, *[float((score[:, k + 1] - score[:, k]).max(initial=0.0)) for k in range(1, TAGS, 2)]]) if ends else float(m["turn"][0])  # what comes after is not known
+    ok = trans[trans > -1e3]
+    r = float(max(ok.max(), 0.0) - min(ok.min(), 0.0))
+    lead = score[:, 1].copy()
+    for k in range(2, TAGS):
+        np.maximum(lead, score[:, k], out=lead)
+    np.subtract(score[:, 0], lead, out=lead)
+    edge = np.diff((lead > 2 * r).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    out, sums = np.zeros(len(score), bool), np.concatenate([[0.0], np.cumsum(lead.astype(np.float64) - r)])
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        low = a if a == 0 and begins else a + int(np.searchsorted(sums[a : b + 1], sums[a] + d + 3 * r, side="right"))
+        high = b if b == len(score) and ends else a + int(np.searchsorted(sums[a : b + 1], sums[b] - d - 3 * r, side="left")) - 1
+        if low < high:
+            out[low:high] = True
+    return out
+
+
+def viterbi(trans: np.ndarray, scores: list[np.ndarray], start: list[bool], batch: int = 512) -> list[np.ndarray]:
+    """The best tags of each stretch of scores; start: whether it begins a text, else an O comes before it. Stretches of like length go together."""
+    out = [np.zeros(0, np.int64)] * len(scores)
     order = sorted((k for k in range(len(scores)) if len(scores[k])), key=lambda k: len(scores[k]))
-    for i in range(0, len(order), batch):
-        own = order[i : i + batch]
-        time = len(scores[own[-1]])
-        own = [k for k in own if len(scores[k]) * 4 >= time] if len(own) > 1 else own
+    while order:
+        time = len(scores[order[-1]])
+        own = [k for k in order[-max(1, min(batch, (1 << 20) // time)) :] if 2 * len(scores[k]) >= time]
+        order = order[: -len(own)]
+        lengths = np.array([len(scores[k]) for k in own])
         padded = np.zeros((time, len(own), TAGS), np.float32)
         for j, k in enumerate(own):
             padded[: len(scores[k]), j] = scores[k]
-        best, back, ends = padded[0] + START.astype(np.float32), np.zeros((time, len(own), TAGS), np.int8), {}
-        lengths = np.array([len(scores[k]) for k in own])
+        begins = np.where(np.array([start[k] for k in own])[:, None], START, trans[0]).astype(np.float32)
+        best, back, at = padded[0] + begins, np.zeros((time, len(own), TAGS), np.int8), np.zeros(len(own), np.int64)
         for t in range(time):
             if t:
                 steps = best[:, :, None] + trans
                 back[t] = steps.argmax(1)
                 best = steps.max(1) + padded[t]
-            for j in np.flatnonzero(lengths == t + 1):
-                ends[j] = int(best[j].argmax())
+            for j in np.flatnonzero(lengths == t + 1).tolist():
+                at[j] = int((best[j] + trans[:, 0]).argmax())
         for j, k in enumerate(own):
-            tags = np.empty(lengths[j], np.int64)
-            tag = ends[j]
-            for t in range(lengths[j] - 1, -1, -1):
+            tags, tag = np.empty(lengths[j], np.int64), int(at[j])
+            for t in range(int(lengths[j]) - 1, -1, -1):
                 tags[t] = tag
                 tag = back[t, j, tag]
             out[k] = tags
-        skipped = [k for k in order[i : i + batch] if k not in set(own)]
-        for k in skipped:
-            out[k] = viterbi(m, [scores[k]])[0]
     return out
 
 
+def decode(m: Model, scores: list[np.ndarray], begins: bool = True) -> list[np.ndarray]:
+    """The best tags of each text (begins: not after an O). What is certainly O cuts a text into stretches, which are decoded apart; an end of a text is as good as an O after it."""
+    tags = [np.zeros(len(s), np.int64) for s in scores]
+    places: list[tuple[int, int, int]] = []
+    for k, s in enumerate(scores):
+        edge = np.diff((~certain(m, s)).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+        places += [(k, a, b) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+    found = viterbi(m["trans"], [np.concatenate([scores[k][a:b], _END[None]]) if b == len(scores[k]) else scores[k][a:b] for k, a, b in places], [a == 0 and begins for _, a, _ in places])
+    for (k, a, b), t in zip(places, found, strict=True):
+        tags[k][a:b] = t[: b - a]
+    return tags
+
+
+#: After a text's last character: O alone.
+_END = np.array([0.0] + [-1e6] * (TAGS - 1), np.float32)
+
+
 def spans_of(tags: np.ndarray) -> list[tuple[str, int, int]]:
-    out, t = [], 0
-    starts = np.flatnonzero(tags % 2 == 1)
-    for t in starts.tolist():
+    out = []
+    for t in np.flatnonzero(tags % 2 == 1).tolist():
         end, inside = t + 1, tags[t] + 1
         while end < len(tags) and tags[end] == inside:
             end += 1
@@ -296,6 +458,60 @@ def spans_of(tags: np.ndarray) -> list[tuple[str, int, int]]:
     return out
 
 
-def find(m: dict[str, np.ndarray], stretches: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The spans that the model finds in each stretch."""
-    return [spans_of(t) for t in viterbi(m, stretch_scores(m, stretches))]
+def find(m: Model, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """The spans that the model finds in each text; texts are read together up to HELD characters, longer ones a part at a time."""
+    out: list[list[tuple[str, int, int]]] = []
+    now: list[str] = []
+    for t in [*texts, None]:
+        if now and (t is None or len(t) > HELD or sum(map(len, now)) + len(t) > HELD):
+            out += [spans_of(tags) for tags in decode(m, text_scores(m, now))]
+            now = []
+        if t is not None and len(t) > HELD:
+            out.append(spans_of(long_tags(m, t)))
+        elif t is not None:
+            now.append(t)
+    return out
+
+
+def long_tags(m: Model, text: str, held: int = HELD) -> np.ndarray:
+    """The tags of decode for one text, in bounded memory: windows are taken some at a time, and the text is cut at the last character that is certainly O."""
+    codes, tags, begins = encode(text), np.zeros(len(text), np.uint8), True
+    at, step, done = windows(len(codes)), max(1, held // WINDOW), 0  # done: characters decoded
+    tail, open_ = np.zeros((0, TAGS), np.float32), np.zeros((0, TAGS), np.float32)  # scores from done on, and the sums that the next window adds to
+    for i in range(0, len(at), step):
+        some = at[i : i + step]
+        first, last = some[0][0], some[-1][1]
+        new = np.zeros((last - first, TAGS), np.float32)
+        new[: len(open_)] += open_
+
+        def add(k: int, a: int, own: np.ndarray, new=new, first=first) -> None:
+            new[a - first : a - first + len(own)] += own
+
+        _grouped(m, [codes], [(0, a, b) for a, b in some], add)
+        whole = len(new) if last == len(codes) else len(new) - OVERLAP
+        tail, open_ = np.concatenate([tail, new[:whole]]), new[whole:]
+        if last == len(codes):
+            tags[done:] = decode(m, [tail], begins)[0]
+        else:
+            sure = np.flatnonzero(certain(m, tail, begins, False))
+            if len(sure):
+                cut = int(sure[-1])
+                tags[done : done + cut] = decode(m, [np.concatenate([tail[:cut], _END[None]])], begins)[0][:cut]
+                tail, done, begins = tail[cut:], done + cut, cut == 0 and begins
+    return tags
+
+
+def main(table: str, steps: int = 4000, examples: int = 20_000, sample: int = 2000, seed: int = 11) -> None:
+    """Train on generated spans between stretches of a bounded sample of a table's texts, and store the weights."""
+    import pyarrow.dataset as ds
+
+    from .pii import silver_spans
+
+    texts = ds.dataset(table).head(sample, columns=["text"])["text"].to_pylist()
+    made = labelled_examples(examples, seed, texts, silver_spans)
+    m = train(made, steps, 64, 0.02, say=lambda *x: print(*x, flush=True))
+    np.savez(WEIGHTS, **{k: v.astype(np.float32) for k, v in m.items()})
+
+
+if __name__ == "__main__":
+    main(sys.argv[1], *map(int, sys.argv[2:]))
