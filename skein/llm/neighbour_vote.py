@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches
+from ._shared import bounded_batches, released
 
 BUCKETS = 4096
 #: Shares beside the trigrams, in units of which 65535 are the whole, and their weights against a text's trigrams.
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(sample)  # `sample` rows
     texts = docs.join(F.broadcast(own), docs[id_col] == own["__id"]).select("label", F.col(text_col).alias("text"), F.col("__id"))
     rows = texts.dropDuplicates(["__id"]).select("__id", "label", "text").repartition(8, "__id").sortWithinPartitions("__id").select("label", "text")
-    got = rows.mapInArrow(_features, "label int, counts binary").toArrow()  # 8 KB a row
+    got = rows.mapInArrow(released(_features), "label int, counts binary").toArrow()  # 8 KB a row
     if not got.num_rows:
         return fit(np.zeros((0, BUCKETS + SHARES), np.float32), np.zeros(0))
     counts = np.frombuffer(b"".join(got["counts"].to_pylist()), "<u2").reshape(-1, BUCKETS + SHARES).astype(np.float32)
@@ -159,4 +159,4 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, keep: list[st
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted")]
     rows = docs.select(*keep, held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text"))
     schema = T.StructType([f for f in rows.schema if f.name != "__text"] + [T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_score(model), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return rows.mapInArrow(released(_score(model)), schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, tokenizer_path, written
+from ._shared import bounded_batches, join_checked, released, task_count, tokenizer_path, written
 from .tokenize import encoder, in_slices
 
 Bins = list[tuple[dict[int, int], int]]  # lengths with their counts, and the number of bins of that kind
@@ -298,12 +298,11 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     head = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = written(rows.mapInArrow(_tokenise(path, end_id, capacity, keep_ids), f"{head}, part int, nth long, ids binary"), "pieces")
-    counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts, "counts")
+    pieces = written(rows.mapInArrow(released(_tokenise(path, end_id, capacity, keep_ids)), f"{head}, part int, nth long, ids binary"), "pieces", task_count(docs, 4 << 20))
+    counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts", task_count(docs))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     bins = local_search(best_fit(histogram, capacity), capacity)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = pieces.join(bases, ["part", "length"])
-    return placed.mapInArrow(_place(_runs(bins)), f"{head}, ids binary, sequence_id long, offset long")
+    placed = join_checked(pieces, written(bases, "bases", task_count(docs)), ["part", "length"])
+    return placed.mapInArrow(released(_place(_runs(bins))), f"{head}, ids binary, sequence_id long, offset long")
