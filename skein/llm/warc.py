@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, open_fs, task_tag
+from ._shared import bounded_batches, join_checked, open_fs, released, task_count, task_tag, written
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Ranges that are at most so far apart are read at once, up to so many bytes a read.
 GAP, READ = 64 << 10, 4 << 20
+#: Bytes of records that a task reads, about.
+TASK = 64 << 20
 #: A fixed value: payloads carry no date, and records of one content shall be equal.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -75,12 +77,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100) -> None:
     bounded_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(html, 256).alias("digest"))
-    large = rows.where(F.col("n") >= least).select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
-    copies = large.join(first.select("digest", "first"), "digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
-    copies = copies.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), F.col("first").alias("refers_to")).distinct()
-    rows = rows.join(copies, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").drop("__page", "__digest")
-    rows.mapInArrow(_write(f"{folder}/archive"), INDEX).write.parquet(f"{folder}/index")
+    large = rows.where(F.col("n") >= least).groupBy(F.col("digest").alias("__digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    first = written(large.select("__digest", "first"), "copies", task_count(pages))
+    rows = join_checked(rows, first, F.col("digest") == F.col("__digest"), "left")  # pages move only where the digests that repeat outgrow a broadcast
+    rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("__digest", "first")
+    rows.mapInArrow(released(_write(f"{folder}/archive")), INDEX).repartition(task_count(pages)).write.parquet(f"{folder}/index")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,6 +149,9 @@ def _read(folder: str, payloads: bool):
 
 def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of selected index rows. payloads=False checks them but leaves them out."""
-    bounded_batches(selected.sparkSession)
-    rows = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return rows.mapInArrow(_read(f"{folder}/archive", payloads), RECORD)
+    spark = selected.sparkSession
+    bounded_batches(spark)
+    rows = selected.select("file", "offset", "length")
+    size = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK))
+    return rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(released(_read(f"{folder}/archive", payloads)), RECORD)
