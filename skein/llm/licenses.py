@@ -52,10 +52,6 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT-line": "Released under the MIT License.",
 }
 
 #: The title lines that are usual above a text which is kept without one.
