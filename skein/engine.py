@@ -103,7 +103,7 @@ class Engine:
         q = questions.select("query_id", "question")
         m = mentions.query_mentions(mentions.known_names(q, self.table("entities"))).select("query_id", "ord", self.embed(F.col("embedding_text")).alias("embedding"))
         nodes = self.table("entities")
-        return retrieval.seed_entities(written(m, "query-mentions"), nodes).join(nodes.select("entity_id", "canonical_name", "entity_type"), "entity_id")
+        return retrieval.seed_metadata(retrieval.seed_entities(written(m, "query-mentions"), nodes), nodes)
 
     def rag_qa(self, questions: DataFrame, reader=providers.extractive_answer, query_mentions: DataFrame | None = None) -> DataFrame:
         """Answers with the passages read. reader: a column of prompts to a column of responses, as providers.chat_provider gives."""

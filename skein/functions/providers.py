@@ -168,5 +168,12 @@ def extraction_provider(extract: Callable[[list[str]], list[list[dict]]], batch:
     return lambda units: units.select("passage_id", "su_id", "text").mapInArrow(rows, EXTRACTED)
 
 
+def hosted_key(model: str, key: str | None, hosted: tuple[str, ...] = ("gpt", "gemini")) -> str | None:
+    """The key for a model, which a hosted one (by the beginning of its name) can't do without."""
+    if model.lower().startswith(hosted) and not key:
+        raise ValueError(f"the hosted model {model!r} needs an API key")
+    return key
+
+
 def judged_correct(response: Column) -> Column:
     return F.when(F.lower(X.strip(F.coalesce(response, F.lit("")))) == "correct", 1).otherwise(0)

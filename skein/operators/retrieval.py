@@ -29,6 +29,13 @@ def seed_entities(mentions: DataFrame, entities: DataFrame, least: float | None
     return out if least is None else out.where(F.col("score") >= least)
 
 
+def seed_metadata(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """seeds (query_id, ord, entity_id, score) with canonical_name and entity_type of nodes; an entity without a record is named by its id."""
+    own = nodes.select(F.col("entity_id").alias("__node"), "canonical_name", "entity_type")
+    both = seeds.join(own, F.col("entity_id") == F.col("__node"), "left")
+    return both.select("query_id", "ord", "entity_id", "score", F.coalesce("canonical_name", F.col("entity_id").cast("string")).alias("canonical_name"), "entity_type")
+
+
 def conductance(similarity: Column, floor: float, gamma: float) -> Column:
     return F.pow(F.greatest(F.greatest(similarity, F.lit(0.0)) - floor, F.lit(0.0)) / max(1.0 - floor, 1e-8), F.lit(gamma))
 

@@ -33,8 +33,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id"
     width = got.select(F.max(F.size(vector_col))).first()[0] or 1
     turn = max(1, QUERY_BYTES // (8 * width))
     out = None
-    table = got.toArrow() if got.count() <= turn else None
-    turns = [table] if table is not None else _turns(got, query_col, turn)
+    count = got.count()
+    turns = [got.toArrow()] if count <= turn else _turns(got, query_col, turn, count)
     kinds = f"{query_col} {queries.schema[query_col].dataType.simpleString()}, {id_col} {rows.schema[id_col].dataType.simpleString()}, score double"
     for t in turns:
         q_ids, q = t[query_col].combine_chunks(), spark.sparkContext.broadcast(_matrix(t[vector_col]) if t.num_rows else np.zeros((0, width)))
@@ -69,10 +69,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id"
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _turns(got: DataFrame, query_col: str, turn: int):
-    numbered = written(got.withColumn("__turn", F.floor((F.row_number().over(Window.orderBy(query_col)) - 1) / turn)), "queries")
-    for i in range((numbered.agg(F.max("__turn")).first()[0] or 0) + 1):
-        yield numbered.where(F.col("__turn") == i).drop("__turn").toArrow()
+def _turns(got: DataFrame, query_col: str, turn: int, count: int):
+    """The queries dealt by hash to turns of half the bound on average, so that none needs a count over all of them."""
+    dealt, n = written(got, "queries"), -(-2 * count // turn)
+    for i in range(n):
+        yield dealt.where(F.pmod(F.xxhash64(query_col), F.lit(n)) == i).orderBy(query_col).toArrow()
 
 
 def similar_pairs(rows: DataFrame, at_least: float, id_col: str = "id", group_col: str = "kind", vector_col: str = "embedding", possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:

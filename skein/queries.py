@@ -124,6 +124,32 @@ def _(t):
     return t("part").select("p_partkey", X.embedding_text(F.col("p_name"), F.col("p_type")).alias("embedding_text"))
 
 
+@query(
+    "p06_choose_description",
+    f"""WITH c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN text END AS field, CASE WHEN turn % 2 = 0 THEN role END AS attribute, string_split(' ' || text, ' ') AS listed FROM conversations)
+SELECT conv_id, turn, coalesce(nullif(field, ''), attribute, list_filter(listed, lambda x: {sql_strip('x')} <> '')[1]) AS description FROM c""",
+)
+def _(t):
+    field, attribute = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.col("text")), F.when(F.col("turn") % 2 == 0, F.col("role"))
+    return t("conversations").select("conv_id", "turn", X.choose_description(field, attribute, F.split(F.concat(F.lit(" "), "text"), " ")).alias("description"))
+
+
+@query(
+    "p11_rerank_pair",
+    "SELECT a.conv_id, a.turn, '<Instruct>: find' || chr(10) || '<Query>: ' || q.text || chr(10) || '<Document>: ' || left(a.text, greatest(200 - length(q.text), 0)) AS pair FROM conversations q JOIN conversations a USING (conv_id) WHERE q.turn = 0 AND a.turn > 0",
+)
+def _(t):
+    c = t("conversations")
+    both = c.where("turn > 0").join(c.where("turn = 0").select("conv_id", F.col("text").alias("question")), "conv_id")
+    return both.select("conv_id", "turn", X.rerank_pair("find", F.col("question"), F.col("text"), 200).alias("pair"))
+
+
+@query("e03_judged", f"SELECT conv_id, turn, CASE WHEN lower({sql_strip("' ' || CASE WHEN turn % 2 = 0 THEN 'Correct' ELSE role END || chr(10)")}) = 'correct' THEN 1 ELSE 0 END AS verdict FROM conversations")
+def _(t):
+    reply = F.concat(F.lit(" "), F.when(F.col("turn") % 2 == 0, "Correct").otherwise(F.col("role")), F.lit("\n"))
+    return t("conversations").select("conv_id", "turn", providers.judged_correct(reply).alias("verdict"))
+
+
 @query(
     "p07_mention_ids",
     "SELECT l_orderkey, l_partkey, l_linenumber, 'men-' || md5(concat_ws('|', 'p' || l_orderkey, 's' || l_partkey, l_returnflag, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'None' ELSE CAST(l_suppkey AS VARCHAR) END)) AS mention_id FROM lineitem",
@@ -224,6 +250,12 @@ def _(t):
     return files.question_types(t("events").select(F.col("event_type").alias("question_type")))
 
 
+@query("a22_by_source", "SELECT source, count(*) AS n, md5(string_agg(text, chr(31) ORDER BY doc_id)) AS questions FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source")
+def _(t):
+    rows = files.by_source(t("documents").where("text is not null and source is not null").select("source", F.col("doc_id").alias("id"), F.col("text").alias("question")))
+    return rows.withColumn("questions", F.md5(F.array_join("questions", "\x1f")))
+
+
 @query("f05_type_filter", "SELECT event_type AS question_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1")
 def _(t):
     kept = files.select_questions(t("events").select(F.col("event_type").alias("question_type")), types=["click", "view", "purchase"])
@@ -472,6 +504,15 @@ def _(t):
     return retrieval.seed_entities(m, t("embeddings").select(F.col("vec_id").alias("entity_id"), "embedding")).withColumn("score", F.round("score", 9))
 
 
+@query(
+    "j16_seed_metadata",
+    f"SELECT query_id, 0 AS ord, passage_id AS entity_id, score, coalesce(p_name, CAST(passage_id AS VARCHAR)) AS canonical_name, p_type AS entity_type FROM (SELECT * FROM ({_NEAR}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) = 1) LEFT JOIN part ON p_partkey = passage_id AND p_size < 25",
+)
+def _(t):
+    seeds = retrieval.seed_entities(_asked(t).withColumn("ord", F.lit(0)), t("embeddings").select(F.col("vec_id").alias("entity_id"), "embedding")).withColumn("score", F.round("score", 9))
+    return retrieval.seed_metadata(seeds, t("part").where("p_size < 25").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("canonical_name"), F.col("p_type").alias("entity_type")))
+
+
 @query("r04_conductance", f"SELECT query_id, passage_id, pow(greatest(greatest(score, 0) - 0.05, 0) / 0.95, 1.0) AS w FROM ({_NEAR})")
 def _(t):
     sims = top_k(t("embeddings").select("vec_id", "embedding"), _asked(t), None, "vec_id")
@@ -646,6 +687,14 @@ def _(t):
     return rows.select("conv_id", "turn", "p.original_query", "p.is_complex", F.size("p.sub_queries").alias("n_sub_queries"), first["query"].alias("first_query"), first["purpose"].alias("first_purpose"), first["id"].alias("first_id"))
 
 
+@query("t07_truncated_plans", "SELECT conv_id, turn, CAST(1 + turn % 2 AS INTEGER) AS n, 'sq1: ' || role AS first_id FROM conversations")
+def _(t):
+    subs = F.concat(F.lit('{"sub_queries": [{"query": "'), "role", F.lit('"}, {"query": "b"}, {"query": "c"}, {"query": "d"}]}'))
+    some = [t("conversations").where(F.col("turn") % 2 == k).select("conv_id", "turn", planner.plan(F.lit("q"), subs, 1 + k).alias("p")) for k in (0, 1)]
+    first = F.get("p.sub_queries", F.lit(0))
+    return some[0].unionByName(some[1]).select("conv_id", "turn", F.size("p.sub_queries").alias("n"), F.concat(first["id"], F.lit(": "), first["query"]).alias("first_id"))
+
+
 # extension: windows over the event stream's table
 
 

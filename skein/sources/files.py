@@ -31,6 +31,12 @@ def select_questions(questions: DataFrame, sources: list[str] | None = None, typ
     return out.orderBy(order).limit(limit) if limit is not None else out
 
 
+def by_source(questions: DataFrame) -> DataFrame:
+    """(source, n, questions): the questions of each source in order, sources in order."""
+    q = questions.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("id", "question"))).alias("questions"))
+    return q.select("source", "n", F.transform("questions", lambda x: x["question"]).alias("questions")).orderBy("source")
+
+
 def numbered_passages(chunks: DataFrame, list_col: str = "chunks", *keep: str) -> DataFrame:
     """(keep, pos, text): each chunk with its number and a colon before it."""
     rows = chunks.select(*keep, F.posexplode(list_col).alias("pos", "chunk"))

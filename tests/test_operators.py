@@ -93,7 +93,7 @@ def test_expansion_edges(spark):
     assert got[1] == pytest.approx(0.5) and got[2] > 0.075
 
 
-def test_search_and_pairs(spark):
+def test_search_and_pairs(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -101,6 +101,10 @@ def test_search_and_pairs(spark):
     q = rows.where("id % 100 = 0").selectExpr("id query_id", "embedding")
     got = {(r.query_id, r["rank"]): r.id for r in top_k(rows.repartition(7), q, 4).collect()}
     assert got == {(i, k + 1): int(j) for i in (0, 100, 200) for k, j in enumerate(np.argsort(-(v @ v[i]), kind="stable")[:4])}
+    monkeypatch.setattr("skein.operators.similarity.QUERY_BYTES", 8 * 8 * 20)  # twenty queries a turn
+    many = rows.selectExpr("id query_id", "embedding")
+    got = {(r.query_id, r["rank"]): r.id for r in top_k(rows, many, 2).collect()}
+    assert got == {(i, k + 1): int(j) for i in range(300) for k, j in enumerate(np.argsort(-(v @ v[i]), kind="stable")[:2])}
     pairs = {(r.a, r.b) for r in similar_pairs(rows, 0.8).collect()}
     cos = v @ v.T
     assert pairs == {(i, j) for i in range(300) for j in range(i + 1, 300) if (i % 3 > 0) == (j % 3 > 0) and cos[i, j] >= 0.8}
@@ -283,6 +287,9 @@ def test_providers_answer_and_fail_alone(spark):
     verdicts = spark.createDataFrame([("a", "a"), ("b", "c")], "pred_answer string, gold_answer string")
     rows, means = qa.evaluate(verdicts, providers.chat_provider(lambda p: " Correct" if "Answer: a" in p else "incorrect"))
     assert sorted(r.llm_accuracy for r in rows.collect()) == [0, 1] and means.first().llm_accuracy == 0.5
+    assert providers.hosted_key("local", None) is None and providers.hosted_key("gpt-x", "k") == "k"
+    with pytest.raises(ValueError, match="API key"):
+        providers.hosted_key("gpt-x", "")
     said = spark.range(1).select(planner.messages(F.lit("why?"), 3)).first()[0]
     assert '"role":"system"' in said and "max_subqueries" in said
     assert qa.messages(spark.createDataFrame([("p",)], "prompt string")).first().messages.count("content") == 2
@@ -320,3 +327,14 @@ def test_no_pair_of_names_is_lost(spark):
     rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", entities.name_similarity(F.col("a"), F.col("b")).alias("s")).collect()
     agree = {(r.a, r.b) for r in rows if r.s >= 0.72}
     assert agree <= {p for p, ok in zip(pairs, may, strict=True) if ok} and 0 < may.sum() < len(pairs)
+
+
+def test_shared_folder_is_named_in_full(spark, monkeypatch):
+    from skein import core
+
+    assert core.shared_path(spark, "t").startswith("file:/") and core.shared_path(spark, "t") != core.shared_path(spark, "t")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: None)  # where no folder is set
+    own = core.shared_folder(spark)
+    assert own.startswith("file:/") and own == core.shared_folder(spark)
+    monkeypatch.undo()
+    assert core.is_small(core.written(spark.range(10), "t")) and not core.is_small(core.written(spark.range(10), "t"), rows=5)
