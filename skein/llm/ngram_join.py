@@ -42,7 +42,7 @@ BUCKET = 1024
 #: Sets that share a prefix tree, about, and their shingles together.
 BLOCK, BLOCK_SHINGLES = 64, 100_000
 #: Turns with other pivots before all pairs that are left; nodes of a family, and their open shingles, of which two parts meet in one cell, about.
-ROUNDS, CELL, CELL_ROWS = 1, 1024, 6000
+ROUNDS, CELL, CELL_ROWS = 1, 1024, 30_000
 #: Open shingles up to which they are broadcast (five numbers each).
 OPEN_ROWS = 1_000_000
 
@@ -361,7 +361,7 @@ def join_components(docs: DataFrame, k: int = 5, heavy: int = HEAVY, id_col: str
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tasks, many = task_count(docs), task_count(docs, 16 << 20)
+    tasks, many = task_count(docs), task_count(docs, 4 << 20)
     known = written(docs.mapInArrow(released(_documents(k)), f"doc_id {kind}, n_shingles long, node long, first array<long>, profile binary"), "documents", many)
     counts = known.where("first is not null").select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= heavy)
     counts = written(counts, "frequent", tasks)
