@@ -501,7 +501,7 @@ def long_tags(m: Model, text: str, held: int = HELD) -> np.ndarray:
     return tags
 
 
-def main(table: str, steps: int = 4000, examples: int = 20_000, sample: int = 2000, seed: int = 11) -> None:
+def main(table: str, steps: int = 6000, examples: int = 30_000, sample: int = 2000, seed: int = 11) -> None:
     """Train on generated spans between stretches of a bounded sample of a table's texts, and store the weights."""
     import pyarrow.dataset as ds
 
