@@ -52,8 +52,13 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def task_count(source: DataFrame, each: int = 256 << 20) -> int:
-    """How many tasks, and so files, serve for what is made of a table: one for each 256 MB of it, and at least two a core."""
-    return max(2 * source.sparkSession.sparkContext.defaultParallelism, min(-(-plan_bytes(source) // each), 1 << 24))  # a size that isn't known is very large
+    """How many tasks, and so files, serve for what is made of a table: one for each 256 MB of it, and at least two a core.
+
+    Where its size isn't known (no scan, or a join's estimate beyond a petabyte) they are as many as a shuffle has.
+    """
+    spark, size = source.sparkSession, plan_bytes(source)
+    tasks = -(-size // each) if size < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, tasks)
 
 
 def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:

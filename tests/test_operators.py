@@ -338,3 +338,12 @@ def test_shared_folder_is_named_in_full(spark, monkeypatch):
     assert own.startswith("file:/") and own == core.shared_folder(spark)
     monkeypatch.undo()
     assert core.is_small(core.written(spark.range(10), "t")) and not core.is_small(core.written(spark.range(10), "t"), rows=5)
+
+
+def test_task_counts(spark):
+    from skein import core
+
+    scan = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert core.task_count(scan, 1 << 20) == -(-core.plan_bytes(scan) // (1 << 20)) > 8 and core.task_count(scan) == 8  # two a core
+    unknown = spark.createDataFrame([(1,)], "a int")
+    assert core.task_count(unknown) == core.task_count(unknown.crossJoin(scan)) == 8  # the shuffle partitions of these tests are fewer
