@@ -358,7 +358,7 @@ def test_licenses(spark):
     texts = [mit, "Copyright (c) 2020 Some One\n\n" + mit.upper().replace(" ", "\n  "), mit.replace("sublicense", "sub-license").replace(",", ""), mit + " And more.", "Released under the MIT Licence", None, "", "!!", "© 2021 X", LONG]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, mit])], "doc_id long, text string, license_id string")
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
-    assert [got[i].license_id for i in range(11)] == ["MIT", "MIT", "MIT", None, "MIT-line", None, None, None, None, None, "MIT"]
+    assert [got[i].license_id for i in range(11)] == ["MIT", "MIT", "MIT", None, None, None, None, None, None, None, "MIT"]
     assert [got[i].canonical_sha256 is None for i in range(5, 9)] == [True] * 4
     assert licenses.scan(docs.limit(0)).count() == 0
 
