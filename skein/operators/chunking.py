@@ -13,6 +13,8 @@ from skein.core import prepare
 from skein.functions import providers
 from skein.functions import text as X
 
+from .ordering import in_order
+
 
 def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 1200, overlap: int = 100) -> DataFrame:
     """(id, chunk_no, text): windows of `size` white-space tokens, each `overlap` back; the one that reaches the end is the last."""
@@ -179,8 +181,8 @@ def chunk_corpus(docs: DataFrame, id_col: str, text_col: str, size: int = 1200,
 
 
 def adjacency(passages: DataFrame, text_col: str = "text", id_col: str = "passage_id", within: list[str] | None = None) -> DataFrame:
-    """(src, dst, weight) between passages with successive index prefixes, within a corpus."""
+    """(src, dst, weight) between passages with successive index prefixes, within a corpus (without `within`, all are one, which no single task sorts)."""
     within = within or []
-    rows = passages.select(*within, id_col, X.index_prefix(F.col(text_col)).alias("idx")).where("idx is not null")
-    w = Window.partitionBy(*within).orderBy("idx", id_col)
-    return rows.select(*within, F.col(id_col).alias("src"), F.lead(id_col).over(w).alias("dst")).where("dst is not null").withColumn("weight", F.lit(1.0))
+    rows = passages.select(*within, F.col(id_col).alias("src"), X.index_prefix(F.col(text_col)).alias("idx")).where("idx is not null")
+    placed = in_order(rows, within, ["idx", "src"], rank=None, nexts={"dst": "src"})
+    return placed.select(*within, "src", "dst").where("dst is not null").withColumn("weight", F.lit(1.0))

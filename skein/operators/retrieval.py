@@ -12,13 +12,16 @@ from skein.config import Config
 from skein.core import join_checked, written
 from skein.functions.vectors import dot
 
+from .ordering import in_order
 from .similarity import top_k
 
 
 def ranked(df: DataFrame, k: int | None, score: str, ties: str, by: str = "query_id") -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.round(score, 9).desc(), ties)
-    out = df.withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.where(F.col("rank") <= k)
+    """df with rank by score within each `by`, ties by another column. The k best come from a window, whose group limit leaves k of a task before the shuffle; a full ranking from ranges, as one group may be as long as the table."""
+    best = [F.round(score, 9).desc(), F.col(ties)]
+    if k is None:
+        return in_order(df, [by], best)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*best))).where(F.col("rank") <= k)
 
 
 def seed_entities(mentions: DataFrame, entities: DataFrame, least: float | None = None) -> DataFrame:

@@ -329,6 +329,12 @@ def _(t):
     return chunking.adjacency(rows, within=["conv_id"])
 
 
+@query("c13_next_passage", r"WITH p AS (SELECT doc_id, TRY_CAST(nullif(regexp_extract(trim(length(text) || ':' || text), '^(\d+):', 1), '') AS BIGINT) AS idx FROM documents) SELECT doc_id AS src, lead(doc_id) OVER (ORDER BY idx, doc_id) AS dst, 1.0::DOUBLE AS weight FROM p WHERE idx IS NOT NULL QUALIFY dst IS NOT NULL")
+def _(t):
+    rows = t("documents").select(F.col("doc_id").alias("passage_id"), F.concat(F.length("text").cast("string"), F.lit(":"), "text").alias("text"))
+    return chunking.adjacency(rows)
+
+
 _TERMS = f"""tk AS (SELECT DISTINCT doc_id, unnest({sql_tokens('text')}) AS term FROM documents),
 df AS (SELECT term FROM tk WHERE length(term) >= 5 GROUP BY term HAVING count(*) BETWEEN 2 AND 20),
 m AS (SELECT doc_id, term FROM tk JOIN df USING (term))"""
