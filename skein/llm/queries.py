@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, neighbour_vote, ngram_join, packing, pii, quality_rules, token_counts, token_files, warc
+from . import decontaminate, licenses, merkle, neighbour_vote, ngram_join, packing, pii, quality_rules, token_counts, token_files, warc
 from ._shared import task_count, work_path
 
 
@@ -81,6 +81,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit"), docs)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = merkle.verify(*merkle.build(docs, merkle.tampered()))
+    return _merged(out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"), docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle": op11_merkle,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
