@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, merkle, neighbour_vote, ngram_join, packing, pii, quality_rules, token_counts, token_files, warc
+from . import decontaminate, licenses, merkle, neighbour_vote, ngram_join, packing, pii, quality_rules, token_counts, token_files, turns, warc
 from ._shared import task_count, work_path
 
 
@@ -87,6 +87,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"), docs)
 
 
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.reassemble(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
     "op11_merkle": op11_merkle,
+    "op13_turns": op13_turns,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
