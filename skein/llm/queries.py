@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, merkle, neighbour_vote, ngram_join, packing, pii, quality_rules, token_counts, token_files, turns, warc
+from . import decontaminate, licenses, merkle, neighbour_vote, ngram_join, packing, pii, quality_rules, token_counts, token_files, turns, url_filter, warc
 from ._shared import task_count, work_path
 
 
@@ -87,6 +87,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"), docs)
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judged(_table(spark, sf_dir, "pages"), url_filter.trained(spark))
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.reassemble(_table(spark, sf_dir, "conversations"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
     "op11_merkle": op11_merkle,
+    "op12_url_filter": op12_url_filter,
     "op13_turns": op13_turns,
 }
 
