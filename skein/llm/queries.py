@@ -83,7 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = merkle.verify(*merkle.build(docs, merkle.tampered()))
+    out = merkle.verify(merkle.build(docs, merkle.tampered()), docs)
     return _merged(out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"), docs)
 
 

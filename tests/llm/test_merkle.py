@@ -68,23 +68,25 @@ def table(n, langs, seed=0):
     [
         table(130, ["en", None, "fr", "Zz", "é", ""]),
         table(33, ["en"]),
+        table(64, ["en", "fr"]),
         [(1, "a", "en", 3, "abc")],
         [(7, "a", "en", 3, "x" * 400_000), (7, "a", "en", 3, "abc"), (7, "a", "en", 3, "abc"), (None, None, None, None, None), (None, None, None, None, None)],
     ],
 )
-def test_every_leaf_has_its_proof(spark, rows):
+@pytest.mark.parametrize("levels", [3, 12])
+def test_every_leaf_has_its_proof(spark, rows, levels):
     docs = spark.createDataFrame(rows, KIND).withColumn("tree", F.lit(1)).withColumn("pos", F.lit("x")).repartition(5)
-    assert got(merkle.verify(*merkle.build(docs, merkle.tampered()))) == expected(rows)
+    assert got(merkle.verify(merkle.build(docs, merkle.tampered(), levels), docs)) == expected(rows)
 
 
 def test_nothing_claimed_and_no_rows(spark):
     docs = spark.createDataFrame(table(40, ["en", "fr"]), KIND)
-    manifest, leaves = merkle.build(docs)
-    assert merkle.verify(manifest, leaves).where("not verified").count() == 0
-    assert merkle.verify(*merkle.build(docs.limit(0))).count() == 0
-    changed, _ = merkle.build(docs.withColumn("text", F.when(F.col("doc_id") == 5, "y").otherwise(F.col("text"))))
+    manifest = merkle.build(docs)
+    assert merkle.verify(manifest, docs).where("not verified").count() == 0
+    assert merkle.verify(merkle.build(docs.limit(0)), docs).count() == 0
+    changed = merkle.build(docs.withColumn("text", F.when(F.col("doc_id") == 5, "y").otherwise(F.col("text"))))
     assert changed.root != manifest.root
-    again, _ = merkle.build(docs.repartition(7))
+    again = merkle.build(docs.repartition(7))
     assert again.root == manifest.root
 
 
