@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.core import prepare
+from skein.core import join_checked, prepare, written
 
 from . import text as X
+from .framing import Framer
+from .grounding import places
 
 _TOKEN = re.compile(r"\w+")
 
@@ -66,21 +68,19 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def salient_terms(units: DataFrame, least: int = 2, most: int = 20, letters: int = 5, share: float = 0.1) -> DataFrame:
     """The default mention extractor: terms of at least so many letters whose number of units lies in a band.
 
-    The band ends at `most` units or that share of all units, whichever is more, so that it grows with the table; with a share
-    of 0 it is the fixed band of the registered queries and their SQL. Places are those of whole tokens in the lower-cased text.
+    The band ends at `most` units or that share of all units, whichever is more, so that it grows with the table and no term
+    vanishes for that alone. Places are those of whole tokens in the lower-cased text. The texts are read once: the terms with
+    their places are a table, from which both the counts and the mentions come.
     units: (passage_id, su_id, text). Result: (passage_id, su_id, surface_text, entity_type, description, char_start, char_end).
     """
     prepare(units.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in units.schema}
     rows = units.select("passage_id", "su_id", "text", F.lit(letters).alias("letters"))
-    terms = rows.mapInArrow(_places, f"passage_id {kinds['passage_id']}, su_id {kinds['su_id']}, surface_text string, char_start int")
-    counts = terms.groupBy(F.col("surface_text").alias("term")).agg(F.countDistinct("su_id").alias("df"))
-    upto = F.lit(most)
-    if share:
-        counts = counts.crossJoin(F.broadcast(units.agg(F.countDistinct("su_id").alias("n"))))  # one row
-        upto = F.greatest(upto, F.floor(F.col("n") * share))
-    counts = counts.where(F.col("df").between(F.lit(least), upto)).select("term")
-    found = terms.join(counts, F.col("surface_text") == F.col("term"))
+    terms = written(rows.mapInArrow(_places, f"passage_id {kinds['passage_id']}, su_id {kinds['su_id']}, surface_text string, char_start int"), "terms")
+    n = units.select(F.approx_count_distinct("su_id") if not share else F.countDistinct("su_id")).first()[0]
+    counts = terms.select("surface_text", "su_id").distinct().groupBy(F.col("surface_text").alias("term")).agg(F.count("su_id").alias("df"))
+    counts = written(counts.where(F.col("df").between(least, max(most, int(n * share)))).select("term"), "kept-terms")
+    found = join_checked(terms, counts, F.col("surface_text") == F.col("term"))
     return found.select("passage_id", "su_id", "surface_text", F.lit("term").alias("entity_type"), F.col("surface_text").alias("description"), "char_start", (F.col("char_start") + F.length("surface_text")).alias("char_end"))
 
 
@@ -117,12 +117,16 @@ def chat_provider(infer: Callable[[str], str]) -> Callable[[Column], Column]:
     return run
 
 
-def pair_provider(score: Callable[[list[str]], list[float]]) -> Callable[[Column, Column], Column]:
-    """A reranker, as (query, passage) columns to a column of scores, from a function on framed pairs (see text.rerank_pair); a failed batch is tried again a pair at a time, and a failing pair scores 0."""
+def pair_provider(score: Callable, framer: Framer | None = None) -> Callable[[Column, Column], Column]:
+    """A reranker, as (query, passage) columns to a column of scores, from a function on lists of pairs (see text.rerank_pair); a failed batch is tried again a pair at a time, and a failing pair scores 0.
+
+    With a framer, whose budget is the model's in tokens, the function gets (ids, mask) with the padding on the left instead;
+    without one it gets whole texts and cuts them as it needs.
+    """
 
     def scores(pairs: list[str]) -> list[float]:
         try:
-            return [float(x) for x in score(pairs)]
+            return [float(x) for x in (score(pairs) if framer is None else score(*framer.padded(pairs)))]
         except Exception:  # noqa: BLE001  as above
             return [0.0] if len(pairs) == 1 else [x for p in pairs for x in scores([p])]
 
@@ -138,7 +142,7 @@ EXTRACTED = "passage_id string, su_id string, surface_text string, entity_type s
 
 
 def extraction_provider(extract: Callable[[list[str]], list[list[dict]]], batch: int = 16) -> Callable[[DataFrame], DataFrame]:
-    """A mention extractor from a function on lists of texts. A failed list is halved until the failing text stands alone, which then has no mentions; places that aren't given are looked up."""
+    """A mention extractor from a function on lists of texts. A failed list is halved until the failing text stands alone, which then has no mentions; places that aren't given are looked up (see grounding), and a mention that has none isn't grounded."""
 
     def found(texts: list[str]) -> list[list[dict]]:
         try:
@@ -156,10 +160,10 @@ def extraction_provider(extract: Callable[[list[str]], list[list[dict]]], batch:
             out, texts = [], [t or "" for t in b.column("text").to_pylist()]
             for i in range(0, len(texts), batch):
                 for j, mentions in enumerate(found(texts[i : i + batch]), i):
+                    looked = iter(places(texts[j], [str(m.get("text") or "") for m in mentions if m.get("start") is None]))
                     for m in mentions:
-                        name = str(m.get("text") or "")
-                        at = m.get("start", texts[j].find(name) if name else -1)
-                        place = (None, None) if at is None or at < 0 else (int(at), int(m.get("end") or at + len(name)))
+                        name, at = str(m.get("text") or ""), m.get("start")
+                        place = (next(looked) or (None, None)) if at is None else (int(at), int(m.get("end") or at + len(name)))
                         out.append((str(b.column("passage_id")[j]), str(b.column("su_id")[j]), name, m.get("type"), m.get("description"), *place))
             columns = zip(*out, strict=True) if out else [()] * 7
             kinds = [pa.string()] * 5 + [pa.int32()] * 2

@@ -116,10 +116,11 @@ def judge_prompt(predicted: Column, gold: Column) -> Column:
     return F.concat(F.lit("Is this answer correct?\nAnswer: "), F.coalesce(predicted, F.lit("")), F.lit("\nGold answer: "), F.coalesce(gold, F.lit("")), F.lit(f"\n{rules}\nReply with one word, correct or incorrect.\n"))
 
 
-def rerank_pair(instruction: str, query: Column, passage: Column, most: int = 16_000) -> Column:
-    """A pair as a reranker reads it. Of the passage, what goes beyond `most` characters in all is left off, so that a model's input limit cuts neither the question nor the frame."""
-    room = F.greatest(F.lit(most) - F.length(query), F.lit(0))
-    return F.concat(F.lit(f"<Instruct>: {instruction}\n<Query>: "), query, F.lit("\n<Document>: "), F.left(passage, room))
+def rerank_pair(instruction: str, query: Column, passage: Column, most: int | None = None) -> Column:
+    """A pair as a reranker reads it, whole (a model's budget is in tokens, see framing). With `most`, of the passage what goes beyond so many characters in all is left off."""
+    if most is not None:
+        passage = F.left(passage, F.greatest(F.lit(most) - F.length(query), F.lit(0)))
+    return F.concat(F.lit(f"<Instruct>: {instruction}\n<Query>: "), query, F.lit("\n<Document>: "), passage)
 
 
 def index_prefix(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -128,9 +129,13 @@ def balanced(groups: list[list[int]], words: list[int], vectors: np.ndarray, lea
     return out
 
 
-def semantic_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1200, window: float = 0.2, dim: int = 256) -> DataFrame:
-    """(id, chunk_no, text): fixed token target with semantic boundaries; a text without sentences is one chunk."""
+def semantic_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1200, window: float = 0.2, dim: int = 256, count: Callable[[str], int] | None = None) -> DataFrame:
+    """(id, chunk_no, text): fixed token target with semantic boundaries; a text without sentences is one chunk.
+
+    count: how many tokens a sentence has, as a model's tokenizer tells; by default its words. Gaps are compared to nine digits.
+    """
     prepare(docs.sparkSession)
+    count = count or (lambda s: len(providers._TOKEN.findall(s)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -143,9 +148,8 @@ def semantic_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 120
                         rows.append((key, 0, text.strip()))
                     continue
                 v = providers.embed(cut, dim)
-                gaps = [*(1 - (v[:-1] * v[1:]).sum(1)), 0.0]
-                counts = [len(providers._TOKEN.findall(s)) for s in cut]
-                rows += [(key, k, " ".join(cut[a:b])) for k, (a, b) in enumerate(semantic_cuts(counts, gaps, size, window))]
+                gaps = [*np.round(1 - (v[:-1] * v[1:]).sum(1), 9), 0.0]
+                rows += [(key, k, " ".join(cut[a:b])) for k, (a, b) in enumerate(semantic_cuts([count(s) for s in cut], gaps, size, window))]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "text"])
 
     rows = docs.select(id_col, F.col(text_col).alias("__text"), X.sentences(F.col(text_col), 5).alias("__cut"))
@@ -161,8 +165,8 @@ def semantic_units(passages: DataFrame, id_col: str, text_col: str, percentile:
         if len(cut) <= 1:
             return cut or ([text.strip()] if text and text.strip() else [])
         v = providers.embed(cut, dim)
-        gaps = 1 - (v[:-1] * v[1:]).sum(1)
-        edges = np.flatnonzero(gaps > np.percentile(gaps, percentile)) + 1
+        gaps = np.round(1 - (v[:-1] * v[1:]).sum(1), 9)
+        edges = np.flatnonzero(gaps > np.percentile(gaps, percentile) + 1e-9) + 1
         groups = [list(g) for g in np.split(np.arange(len(cut)), edges)]
         return [" ".join(cut[i] for i in g) for g in balanced(groups, [len(s.split()) for s in cut], v, least, most)]
 
@@ -175,9 +179,15 @@ def semantic_units(passages: DataFrame, id_col: str, text_col: str, percentile:
     return rows.mapInPandas(run, f"{id_col} {kind}, pos int, text string")
 
 
-def chunk_corpus(docs: DataFrame, id_col: str, text_col: str, size: int = 1200, overlap: int = 100, semantic: bool = True, window: float = 0.2) -> DataFrame:
-    """(id, chunk_no, text): chunks of about `size` tokens, cut at semantic boundaries or (semantic=False) in overlapping windows."""
-    return semantic_chunks(docs, id_col, text_col, size, window) if semantic else fixed_windows(docs, id_col, text_col, size, overlap)
+def unit_stats(units: DataFrame, id_col: str) -> DataFrame:
+    """One row: how many units there are, and how many a passage has on average."""
+    n = units.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.sum("n").alias("n_units"), F.avg("n").alias("per_passage"))
+
+
+def chunk_corpus(docs: DataFrame, id_col: str, text_col: str, size: int = 1200, overlap: int = 100, semantic: bool = True, window: float = 0.2, count: Callable[[str], int] | None = None) -> DataFrame:
+    """(id, chunk_no, text): chunks of about `size` tokens, cut at semantic boundaries (count: see semantic_chunks) or (semantic=False) in overlapping windows."""
+    return semantic_chunks(docs, id_col, text_col, size, window, count=count) if semantic else fixed_windows(docs, id_col, text_col, size, overlap)
 
 
 def adjacency(passages: DataFrame, text_col: str = "text", id_col: str = "passage_id", within: list[str] | None = None) -> DataFrame:

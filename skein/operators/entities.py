@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -16,7 +17,10 @@ from skein.functions.providers import hashed_embedder
 from skein.functions.vectors import hashed_weights
 
 from .components import connected_components
-from .similarity import similar_pairs
+from .sparse import sparse_entries, sparse_pairs
+
+#: White space as the JVM's expressions split names at.
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def mode_by(rows: DataFrame, group: str, value: str, ties: list[Column], name: str) -> DataFrame:
@@ -76,25 +80,45 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 
 def names_may_agree(cut: float):
-    """Whether two names may reach a name_similarity: for single words it is at most twice their shared letters over all, in any order; names of several words may."""
+    """Whether two names may reach a name_similarity, as a test on arrays of names.
+
+    No matching of characters in order finds more of them than the names share in any order, and a name that holds the other
+    shares all of that one's letters; so either 2 * shared letters reach the cut over all letters, or the tokens' Jaccard does,
+    which is computed as it is. No pair that passes name_similarity is lost.
+    """
 
     def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        bags = np.zeros((len(names), 64), np.uint8)
-        for i, n in enumerate(names.tolist()):
+        names, where = np.unique(np.concatenate([a, b]).astype(object), return_inverse=True)
+        names = names.tolist()
+        bags, words = np.zeros((len(names), 64), np.int32), [list(dict.fromkeys(w for w in _SPACE.split(n) if w)) for n in names]
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        tokens = np.full((len(names), max([1, *map(len, words)])), -1, np.int32)
+        for i, n in enumerate(names):
             codes, counts = np.unique(np.frombuffer(n.encode("utf-32-le"), np.uint32) % 64, return_counts=True)
-            bags[i, codes] = np.minimum(counts, 255)
-        sizes, single = np.array([len(n) for n in names.tolist()]), np.array([len(n.split()) == 1 and len(n) < 200 for n in names.tolist()])
-        x, y, out = where[: len(a)], where[len(a) :], np.ones(len(a), bool)
-        for i in range(0, len(a), 65536):
-            p, q = x[i : i + 65536], y[i : i + 65536]
-            shared = np.minimum(bags[p], bags[q]).sum(1, dtype=np.int64)
-            out[i : i + 65536] = ~(single[p] & single[q]) | (2 * shared >= (cut - 1e-9) * (sizes[p] + sizes[q]))
+            bags[i, codes] = counts
+            tokens[i, : len(words[i])] = [known[w] for w in words[i]]
+        sizes, many = np.array([len(n) for n in names]), np.array([len(w) for w in words])
+        x, y, out, turn = where[: len(a)], where[len(a) :], np.zeros(len(a), bool), max(1, (1 << 22) // tokens.shape[1] ** 2 // 4)
+        for i in range(0, len(a), turn):
+            p, q = x[i : i + turn], y[i : i + turn]
+            letters = np.minimum(bags[p], bags[q]).sum(1, dtype=np.int64)
+            same = ((tokens[p][:, :, None] == tokens[q][:, None, :]) & (tokens[p] >= 0)[:, :, None]).any(2).sum(1)
+            out[i : i + turn] = (2 * letters >= (cut - 1e-9) * (sizes[p] + sizes[q])) | ((same > 0) & (same >= (cut - 1e-9) * (many[p] + many[q] - same)))
         return out
 
     return run
 
 
+def tallies(rows: DataFrame, group: str, name: str, counted: dict[str, str]) -> DataFrame:
+    """(group, mention_count, aliases, ...): rows, distinct names in order, and for each counted column how many values it has; each of them distinct before it is gathered or counted."""
+    out = rows.groupBy(group).agg(F.count(F.lit(1)).alias("mention_count"))
+    aliases = rows.select(group, name).distinct().groupBy(F.col(group).alias("__g")).agg(F.array_sort(F.collect_list(name)).alias("aliases"))
+    parts = [aliases, *[rows.select(group, c).distinct().groupBy(F.col(group).alias("__g")).agg(F.count(c).alias(n)) for c, n in counted.items()]]
+    for part in parts:
+        out = out.join(part, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    return out
+
+
 def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
     """The cluster records of mentions by key: names, types, descriptions and counts. Which mentions, units and passages support one is an edge table (see merge_mentions), as a frequent entity has no bound on them."""
     m = mentions.withColumn("__c", F.col(key))
@@ -103,10 +127,9 @@ def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
     kind = mode_by(m, "__c", "entity_type", [F.col("entity_type")], "entity_type")
     middle = medoid_texts(m.select("__c", "description").distinct(), "__c", "description").withColumnRenamed("description", "canonical_description")
     variants = first_appearances(m, "__c", "description", ["passage_id", "su_id", "mention_id"], "description_variants")
-    aliases = m.select("__c", "normalized_name").distinct().groupBy("__c").agg(F.array_sort(F.collect_list("normalized_name")).alias("aliases"))  # the spellings that were merged
-    distinct = [m.select("__c", c).distinct().groupBy("__c").agg(F.count(F.lit(1)).cast("int").alias(n)) for c, n in (("su_id", "su_count"), ("passage_id", "passage_count"))]
-    out = m.groupBy("__c").agg(F.count(F.lit(1)).alias("mention_count"))
-    for part in (*distinct, aliases, name, kind, middle, variants):
+    out = tallies(m, "__c", "normalized_name", {"su_id": "su_count", "passage_id": "passage_count"})
+    out = out.withColumns({c: F.col(c).cast("int") for c in ("su_count", "passage_count")})
+    for part in (name, kind, middle, variants):
         out = out.join(part, "__c")
     text = X.embedding_text(F.col("canonical_name"), F.col("canonical_description"))
     return out.withColumn("embedding_text", text).withColumn("entity_id", X.content_id("entity-", F.col("embedding_text"))).withColumnRenamed("__c", "cluster")
@@ -117,21 +140,50 @@ def supporting(owners: DataFrame, of: str = "su_id") -> DataFrame:
     return owners.select("entity_id", of).distinct()
 
 
+def normalised(mentions: DataFrame) -> DataFrame:
+    """Mentions whose names are normalised once more, without low-value ones."""
+    name, kind = X.normalize_name(F.col("normalized_name")), X.normalize_type(F.col("entity_type"))
+    m = mentions.withColumn("normalized_name", name).withColumn("entity_type", kind).withColumn("description", X.normalize_description(F.col("description"), F.col("surface_text")))
+    return m.where(~X.is_low_value(F.col("normalized_name"), F.col("entity_type"), F.col("description")))
+
+
+def name_vectors(m: DataFrame, dim: int) -> DataFrame:
+    """(cluster, entity_type, embedding): the cluster of each name and its vector."""
+    return clusters(m).select("cluster", "entity_type", hashed_embedder(dim)(F.col("embedding_text")).alias("embedding"))
+
+
+def name_links(vectors: DataFrame, cosine: float, name_cut: float, changed: DataFrame | None = None) -> DataFrame:
+    """(a, b) with a < b: names of one type whose vectors and names agree; with changed (cluster), those that have one of them.
+
+    The pair join gives only pairs whose names may agree, and the sequence ratio is computed for those that no cheaper part of
+    name_similarity has decided.
+    """
+    rows = vectors.select("cluster", "entity_type", sparse_entries("embedding").alias("entries"))
+    if changed is not None:
+        rows = rows.join(changed.select(F.col("cluster").alias("new"), F.lit(True).alias("fresh")), F.col("cluster") == F.col("new"), "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))).drop("new")
+    pairs = sparse_pairs(rows, cosine, "cluster", "entity_type", "entries", names_may_agree(name_cut), None if changed is None else "fresh")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    a, b = F.col("a"), F.col("b")
+    near = (a == b) | (F.greatest(X.token_jaccard(a, b), X.containment(a, b)) >= name_cut)
+    return pairs.where(near).unionByName(pairs.where(~near).where(sequence_ratio(a, b) >= name_cut))
+
+
+def canonical(m: DataFrame, labels: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(entities with their cluster, owners with their cluster) of normalised mentions; labels (node, component) of names that are linked."""
+    keyed = m.join(labels, F.col("normalized_name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "normalized_name")).drop("node")
+    keyed = written(keyed, "merged")
+    entities = written(clusters(keyed, "component").withColumn("embedding", hashed_embedder(dim)(F.col("embedding_text"))), "entities")
+    owners = keyed.join(entities.select("cluster", "entity_id"), F.col("component") == F.col("cluster")).select("mention_id", "passage_id", "su_id", "entity_id", "cluster")
+    return entities, owners
+
+
 def merge_mentions(mentions: DataFrame, cosine: float = 0.90, name_cut: float = 0.72, floor: float = 0.90, dim: int = 256) -> tuple[DataFrame, DataFrame]:
     """(entities, mention to entity): clusters of one type whose vectors and names are near become one, with their votes counted anew.
 
     Names are normalised once more first, and low-value mentions dropped again. The cosine cut is never below `floor`.
     """
     prepare(mentions.sparkSession)
-    name, kind = X.normalize_name(F.col("normalized_name")), X.normalize_type(F.col("entity_type"))
-    m = mentions.withColumn("normalized_name", name).withColumn("entity_type", kind).withColumn("description", X.normalize_description(F.col("description"), F.col("surface_text")))
-    m = written(m.where(~X.is_low_value(F.col("normalized_name"), F.col("entity_type"), F.col("description"))), "mentions")
-    first = written(clusters(m).select("cluster", "entity_type", hashed_embedder(dim)(F.col("embedding_text")).alias("embedding")), "clusters")
-    pairs = similar_pairs(first, max(cosine, floor), "cluster", "entity_type", "embedding", names_may_agree(name_cut))
-    links = pairs.where(name_similarity(F.col("a"), F.col("b")) >= name_cut)
-    comps = connected_components(links)
-    keyed = m.join(comps, F.col("normalized_name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "normalized_name")).drop("node")
-    keyed = written(keyed, "merged")
-    entities = written(clusters(keyed, "component").withColumn("embedding", hashed_embedder(dim)(F.col("embedding_text"))), "entities")
-    owners = keyed.join(entities.select("cluster", "entity_id"), F.col("component") == F.col("cluster")).select("mention_id", "passage_id", "su_id", "entity_id")
-    return entities.drop("cluster"), owners
+    m = written(normalised(mentions), "mentions")
+    vectors = written(name_vectors(m, dim), "clusters")
+    entities, owners = canonical(m, connected_components(name_links(vectors, max(cosine, floor), name_cut)), dim)
+    return entities.drop("cluster"), owners.drop("cluster")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.core import written
 from skein.functions import text as X
 
 
@@ -32,13 +33,24 @@ def query_mentions(found: DataFrame) -> DataFrame:
     return rows.select(F.col("passage_id").alias("query_id"), F.col("char_start").alias("ord"), "surface_text", "normalized_name", "entity_type", "description", X.embedding_text(F.col("normalized_name"), F.col("description")).alias("embedding_text"))
 
 
-def known_names(questions: DataFrame, entities: DataFrame, most: int = 8) -> DataFrame:
-    """Extractions (query_id, ord, surface_text, entity_type, description) of the entities' names that a question holds, as runs of up to `most` words."""
-    words = questions.select("query_id", F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("question", F.lit(""))), r"[^\p{L}\p{N}_]+", " ")), " ").alias("w"))
-    at = words.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("i") + 1))))
-    runs = at.select("query_id", (F.col("i") * 16 + F.col("n")).alias("at"), F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("surface_text"))
-    runs = runs.where("surface_text <> ''").groupBy("query_id", "surface_text").agg(F.min("at").alias("ord"))
+def _pieces(text: Column) -> Column:
+    """A text's words, cut at everything else, in lower case with a space between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+
+
+def known_names(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Extractions (query_id, ord, surface_text, entity_type, description) of the entities' names that a question holds, whatever their number of words.
+
+    A question's runs of words are made for those numbers of words that a stored name has.
+    """
     names = entities.select(F.explode("aliases").alias("name"), "entity_type")
-    names = names.withColumn("run", F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}_]+", " "))).groupBy("run").agg(F.min("entity_type").alias("entity_type"))
+    names = names.withColumn("run", _pieces(F.col("name"))).where("run <> ''").groupBy("run").agg(F.min("entity_type").alias("entity_type"))
+    names = written(names.withColumn("n_words", F.size(F.split("run", " "))), "names")
+    lengths = sorted(r[0] for r in names.select("n_words").distinct().collect())  # as many as names differ in length
+    words = questions.select("query_id", F.split(_pieces(F.col("question")), " ").alias("w"))
+    at = words.withColumn("n", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where("n <= size(w)")
+    at = at.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
+    runs = at.select("query_id", (F.col("i") * (max(lengths, default=0) + 1) + F.col("n")).alias("at"), F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("surface_text"))
+    runs = runs.where("surface_text <> ''").groupBy("query_id", "surface_text").agg(F.min("at").alias("ord"))
     both = runs.join(names, F.col("surface_text") == F.col("run"))
     return both.select("query_id", "ord", "surface_text", "entity_type", F.col("surface_text").alias("description"))

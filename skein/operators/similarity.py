@@ -13,6 +13,8 @@ from skein.core import prepare, written
 
 #: Bytes of query vectors that are broadcast; more are taken in turns.
 QUERY_BYTES = 64 << 20
+#: Queries and rows whose scores (16 MB) a task has at once.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 512, 4096
 #: Vectors that share a block of a pair search, about.
 BLOCK = 2048
 
@@ -22,6 +24,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 
+def _best(held: tuple | None, first: int, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
+    """(query, id, score): the k best of each query of what is held and of new scores (queries from `first` on by ids), ties by id."""
+    near = np.round(scores, 9)
+    least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k] if near.shape[1] > k else near.min(1, keepdims=True)
+    x, y = np.nonzero(near >= least)
+    which, ids, scores = x + first, ids[y], scores[x, y]
+    if held is not None:
+        which, ids, scores = (np.concatenate(p) for p in zip(held, (which, ids, scores), strict=True))
+    order = np.lexsort((ids, -np.round(scores, 9), which))
+    which = which[order]
+    best = np.arange(len(which)) - np.searchsorted(which, which) < k
+    return which[best], ids[order[best]], scores[order[best]]
+
+
+def _found(q_ids: pa.Array, which: np.ndarray, ids: pa.Array, scores: np.ndarray, query_col: str, id_col: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(which)), ids, pa.array(scores)], names=[query_col, id_col, "score"])
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id", vector_col: str = "embedding", query_col: str = "query_id", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, score): the k nearest rows by dot product of each query, ties by id; all rows when k is None.
 
@@ -47,17 +67,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id"
                 if not len(some) or not len(q.value):
                     continue
                 b = b.take(pa.array(some))
-                scores = q.value @ _matrix(b.column(vector_col)).T
-                ids = np.array(b.column(id_col).to_pylist())
-                if k is None:
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.repeat(np.arange(len(scores)), n))), pa.array(np.tile(ids, len(scores)), b.column(id_col).type), pa.array(scores.ravel())], names=[query_col, id_col, "score"])
-                    continue
-                held = [(ids, s) for s in scores] if held is None else [(np.concatenate([hi, ids]), np.concatenate([hs, s])) for (hi, hs), s in zip(held, scores, strict=True)]
-                held = [(i[o], s[o]) for i, s in held for o in [np.lexsort((i, -np.round(s, 9)))[: k + exclude_self]]]
-                kind = b.column(id_col).type
-            if held:
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.repeat(np.arange(len(held)), [len(i) for i, _ in held]))), pa.array(np.concatenate([i for i, _ in held]), kind), pa.array(np.concatenate([s for _, s in held]))], names=[query_col, id_col, "score"])
+                v, ids, kind = _matrix(b.column(vector_col)), np.array(b.column(id_col).to_pylist()), b.column(id_col).type
+                held = held or [None] * -(-len(q.value) // QUERIES_AT_ONCE)
+                for low in range(0, len(ids), ROWS_AT_ONCE):
+                    some = ids[low : low + ROWS_AT_ONCE]
+                    for n, at in enumerate(range(0, len(q.value), QUERIES_AT_ONCE)):
+                        scores = q.value[at : at + QUERIES_AT_ONCE] @ v[low : low + ROWS_AT_ONCE].T
+                        if k is None:
+                            yield _found(q_ids, np.repeat(np.arange(at, at + len(scores)), len(some)), pa.array(np.tile(some, len(scores)), kind), scores.ravel(), query_col, id_col)
+                        else:
+                            held[n] = _best(held[n], at, some, scores, k + exclude_self)
+            for own in held or []:
+                if own is not None:
+                    yield _found(q_ids, own[0], pa.array(own[1], kind), own[2], query_col, id_col)
 
         one = rows.select(id_col, vector_col).mapInArrow(run, kinds)
         out = one if out is None else out.unionByName(one)

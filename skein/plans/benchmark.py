@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def run_corpora(
     corpora = written(files.corpora_for(asked, corpora, entry), "corpora")
     found = None
     for name in sorted(r[0] for r in corpora.select("corpus_name").distinct().collect()):  # an index for each; a benchmark has tens
-        e = Engine(spark, f"{folder.rstrip('/')}/index/{name}", config, **engine)
+        e = Engine(spark, f"{folder.rstrip('/')}/index/{quote(name, safe='')}", config, **engine)
         e.index_corpus(corpora.where(F.col("corpus_name") == name))
         if answer:
             own = asked.where(F.col("source") == name)
@@ -53,7 +54,8 @@ def run_chunks(spark: SparkSession, data: str, folder: str, config: Config | Non
     """Predictions for data/questions.json over the passages of data/chunks.json, written with their scores to folder/predictions, and the means to folder/evaluation."""
     files.required(spark, data)
     asked = files.read_questions(spark, f"{data}/questions.json")
-    asked = written(_numbered(asked if limit is None else asked.limit(limit)), "asked")
+    asked = _numbered(asked)
+    asked = written(asked if limit is None else asked.orderBy("query_id", "question").limit(limit), "asked")
     e = Engine(spark, f"{folder.rstrip('/')}/index", config, **engine)
     e.index(files.read_chunks(spark, f"{data}/chunks.json"))
     got = e.rag_qa(asked.select("query_id", "question"), reader)

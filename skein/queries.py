@@ -6,6 +6,7 @@ from `embeddings` by key modulo its row count), and the text tables themselves.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,11 @@ from skein.core import join_checked, prepare, written
 from skein.functions import providers
 from skein.functions import text as X
 from skein.functions import vectors as V
+from skein.functions.framing import Framer
 from skein.operators import chunking, entities, graph, mentions, retrieval
 from skein.operators.components import connected_components
 from skein.operators.similarity import similar_pairs, top_k
+from skein.operators.sparse import sparse_pairs
 from skein.plans import planner, qa
 from skein.sources import files, store
 from skein.streaming.ingest import windowed_counts
@@ -290,32 +293,44 @@ c AS (SELECT doc_id, quantile_cont(distance, 0.6) AS cut FROM g GROUP BY doc_id)
 u AS (SELECT doc_id, pos, sentence, sum(after) OVER (PARTITION BY doc_id ORDER BY pos) AS unit_no FROM (SELECT g.doc_id, pos, sentence, CASE WHEN lag(distance) OVER (PARTITION BY g.doc_id ORDER BY pos) > cut + 1e-9 THEN 1 ELSE 0 END AS after FROM g JOIN c ON c.doc_id = g.doc_id))"""
 
 
-def _unit_rows(t) -> DataFrame:
-    s = chunking.sentences(t("documents"), "doc_id", "text")
-    w = V.hashed_weights(s, ["doc_id", "pos"], "sentence", 64)
-    nxt = w.select("doc_id", (F.col("pos") - 1).alias("pos"), "bucket", F.col("weight").alias("w2"))
-    sims = w.join(nxt, ["doc_id", "pos", "bucket"]).groupBy("doc_id", "pos").agg(F.sum(F.col("weight") * F.col("w2")).alias("sim"))
-    from pyspark.sql import Window
+#: The units of a text that has sentences, and a text without any as one unit.
+_UNIT_TEXTS = f"""t AS (SELECT doc_id, CAST(unit_no AS BIGINT) AS unit_no, string_agg(sentence, ' ' ORDER BY pos) AS text FROM u GROUP BY doc_id, unit_no
+UNION ALL SELECT doc_id, 0 AS unit_no, {sql_strip('text')} AS text FROM documents WHERE len({sql_sentences('text')}) = 0 AND {sql_strip('text')} <> '')"""
+
 
-    last = F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos")).isNull()
-    d = s.join(sims, ["doc_id", "pos"], "left").withColumn("distance", F.when(~last, F.round(1 - F.coalesce("sim", F.lit(0.0)), 9)))
-    d = d.withColumn("distance", F.col("distance"))
-    return chunking.percentile_groups(d, "doc_id", ["pos"], 60)
+def _units(t) -> DataFrame:
+    """Percentile groups of sentences as the library makes them, neither joined nor cut for their length."""
+    return chunking.semantic_units(t("documents"), "doc_id", "text", 60.0, 0, 1 << 40, 64).withColumnRenamed("pos", "unit_no")
 
 
-@query("c05_semantic_units", f"WITH {_UNITS} SELECT doc_id, CAST(max(unit_no) + 1 AS BIGINT) AS n_units, count(*) AS n_sentences FROM u GROUP BY doc_id")
+@query("c05_semantic_units", f"WITH {_UNITS}, {_UNIT_TEXTS} SELECT doc_id, max(unit_no) + 1 AS n_units FROM t GROUP BY doc_id")
 def _(t):
-    return _unit_rows(t).groupBy("doc_id").agg((F.max("unit_no") + 1).cast("long").alias("n_units"), F.count(F.lit(1)).alias("n_sentences"))
+    return _units(t).groupBy("doc_id").agg((F.max("unit_no") + 1).cast("long").alias("n_units"))
 
 
-@query("c08_unit_text", f"WITH {_UNITS} SELECT doc_id, CAST(unit_no AS BIGINT) AS unit_no, string_agg(sentence, ' ' ORDER BY pos) AS text FROM u GROUP BY doc_id, unit_no")
+@query("c08_unit_text", f"WITH {_UNITS}, {_UNIT_TEXTS} SELECT * FROM t")
 def _(t):
-    return chunking.unit_texts(_unit_rows(t), "doc_id").withColumn("unit_no", F.col("unit_no").cast("long"))
+    return _units(t).withColumn("unit_no", F.col("unit_no").cast("long"))
 
 
-@query("c02_semantic_chunks")
+_CHUNKS = f"""WITH RECURSIVE s AS (SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {sql_sentences('text', 5)} AS s FROM documents))),
+k AS (SELECT doc_id, pos, CAST('0x' || substr(md5(unnest({sql_tokens('sentence')})), 1, 7) AS BIGINT) % 256 AS b FROM s),
+n AS (SELECT doc_id, pos, b, CAST(count(*) AS DOUBLE) AS n FROM k GROUP BY ALL),
+l AS (SELECT doc_id, pos, sqrt(sum(n * n)) AS l, CAST(sum(n) AS BIGINT) AS tokens FROM n GROUP BY ALL),
+d AS (SELECT x.doc_id, x.pos, sum(x.n * y.n) / (lx.l * ly.l) AS sim FROM n x JOIN n y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 AND x.b = y.b JOIN l lx ON lx.doc_id = x.doc_id AND lx.pos = x.pos JOIN l ly ON ly.doc_id = y.doc_id AND ly.pos = y.pos GROUP BY x.doc_id, x.pos, lx.l, ly.l),
+g AS (SELECT s.doc_id, s.pos, sentence, coalesce(tokens, 0) AS tokens, round(1 - coalesce(sim, 0), 9) AS gap, count(*) OVER (PARTITION BY s.doc_id) AS n, sum(coalesce(tokens, 0)) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS upto
+      FROM s LEFT JOIN l ON l.doc_id = s.doc_id AND l.pos = s.pos LEFT JOIN d ON d.doc_id = s.doc_id AND d.pos = s.pos),
+w AS (SELECT a.doc_id, a.pos AS a, p.pos AS p, p.gap, p.upto - a.upto + a.tokens AS used FROM g a JOIN g p ON p.doc_id = a.doc_id AND p.pos >= a.pos AND p.upto - a.upto + a.tokens <= 240),
+f AS (SELECT doc_id, a, count(*) AS fits, count(*) FILTER (used <= 200) AS within, (list(p ORDER BY gap DESC, p) FILTER (used >= 160))[1] AS widest FROM w GROUP BY ALL),
+nx AS (SELECT g.doc_id, g.pos AS a, CASE WHEN g.pos + coalesce(fits, 0) >= n THEN n WHEN widest IS NOT NULL THEN widest + 1 ELSE g.pos + greatest(coalesce(within, 0), 1) END AS b FROM g LEFT JOIN f ON f.doc_id = g.doc_id AND f.a = g.pos),
+r AS (SELECT doc_id, 0 AS chunk_no, a, b FROM nx WHERE a = 0 UNION ALL SELECT r.doc_id, chunk_no + 1, nx.a, nx.b FROM r JOIN nx ON nx.doc_id = r.doc_id AND nx.a = r.b)
+SELECT r.doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, string_agg(sentence, ' ' ORDER BY pos) AS text FROM r JOIN s ON s.doc_id = r.doc_id AND pos >= a AND pos < b GROUP BY ALL
+UNION ALL SELECT doc_id, 0, {sql_strip('text')} FROM documents WHERE len({sql_sentences('text', 5)}) = 0 AND {sql_strip('text')} <> ''"""
+
+
+@query("c02_semantic_chunks", _CHUNKS)
 def _(t):
-    return chunking.semantic_chunks(t("documents"), "doc_id", "text", 200)
+    return chunking.semantic_chunks(t("documents"), "doc_id", "text", 200).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 @query("c06_balanced_units")
@@ -336,13 +351,13 @@ def _(t):
 
 
 _TERMS = f"""tk AS (SELECT DISTINCT doc_id, unnest({sql_tokens('text')}) AS term FROM documents),
-df AS (SELECT term FROM tk WHERE length(term) >= 5 GROUP BY term HAVING count(*) BETWEEN 2 AND 20),
+df AS (SELECT term FROM tk WHERE length(term) >= 5 GROUP BY term HAVING count(*) BETWEEN 2 AND greatest(20, CAST(floor((SELECT count(DISTINCT doc_id) FROM documents) * 0.1) AS BIGINT))),
 m AS (SELECT doc_id, term FROM tk JOIN df USING (term))"""
 
 
 def _terms(t) -> DataFrame:
     rows = t("documents").select(F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("su_id"), "text")
-    return mentions.mention_records(providers.salient_terms(rows, share=0.0))
+    return mentions.mention_records(providers.salient_terms(rows))
 
 
 @query(
@@ -355,6 +370,43 @@ def _(t):
     return _terms(t).groupBy("passage_id", "normalized_name").agg(F.min("char_start").alias("char_start"))
 
 
+def _two_words(texts: list[str]) -> list[list[dict]]:
+    """An extractor that names the fifth word of a text in capitals (where it is plain), and the seventh if that is another string."""
+    out = []
+    for w in (re.findall(r"\w+", t.lower()) for t in texts):
+        fifth = "" if len(w) < 7 else w[4].upper() if re.fullmatch("[a-z0-9_]+", w[4]) else w[4]
+        out.append([{"text": fifth, "type": "fifth"}, *([{"text": w[6], "type": "seventh"}] if w[6] != fifth else [])] if fifth else [])
+    return out
+
+
+_SPACED = r"' ' || regexp_replace({}, '[^\p{{L}}\p{{N}}_]', ' ', 'g') || ' '"
+
+
+@query(
+    "c12_grounded",
+    f"""WITH w AS (SELECT doc_id, text, {sql_tokens('text')} AS w FROM documents),
+f AS (SELECT doc_id, text, w, CASE WHEN regexp_full_match(w[5], '[a-z0-9_]+') THEN upper(w[5]) ELSE w[5] END AS fifth FROM w WHERE len(w) >= 7),
+n AS (SELECT doc_id, text, 'fifth' AS entity_type, fifth AS name FROM f UNION ALL SELECT doc_id, text, 'seventh', w[7] FROM f WHERE w[7] <> fifth)
+SELECT CAST(doc_id AS VARCHAR) AS su_id, entity_type, name AS surface_text, CAST(place - 1 AS INTEGER) AS char_start, CAST(place - 1 + length(name) AS INTEGER) AS char_end
+FROM (SELECT *, coalesce(nullif(strpos({_SPACED.format('text')}, ' ' || name || ' '), 0), strpos({_SPACED.format('lower(text)')}, ' ' || lower(name) || ' ')) AS place FROM n)""",
+)
+def _(t):
+    units = t("documents").select(F.col("doc_id").cast("string").alias("passage_id"), F.col("doc_id").cast("string").alias("su_id"), "text")
+    return providers.extraction_provider(_two_words)(units).select("su_id", "entity_type", "surface_text", "char_start", "char_end")
+
+
+@query(
+    "p12_framed_pairs",
+    rf"""WITH p AS (SELECT a.conv_id, a.turn, '<Instruct>: find' || chr(10) || '<Query>: ' || q.text || chr(10) || '<Document>: ' || a.text AS pair FROM conversations q JOIN conversations a USING (conv_id) WHERE q.turn = 0 AND a.turn > 0)
+SELECT conv_id, turn, array_to_string(list_concat(list_concat([1, 2], list_transform(list_filter(string_split_regex(pair, '[ \t\n\f\r]+'), lambda w: w <> ''), lambda w: length(w))[1:45]), [3]), ',') AS ids FROM p""",
+)
+def _(t):
+    c = t("conversations")
+    both = c.where("turn > 0").join(c.where("turn = 0").select("conv_id", F.col("text").alias("question")), "conv_id")
+    framer = Framer(lambda pair: [len(w) for w in re.findall(r"[^ \t\n\f\r]+", pair)], 48, (1, 2), (3,))
+    return both.select("conv_id", "turn", F.array_join(framer.framed(X.rerank_pair("find", F.col("question"), F.col("text"))), ",").alias("ids"))
+
+
 # aggregates
 
 
@@ -370,7 +422,7 @@ def _(t):
 
 @query("a04_aliases", "SELECT p_brand, list_sort(list(DISTINCT p_type)) AS aliases, count(*) AS mention_count, count(DISTINCT p_size) AS su_count FROM part GROUP BY p_brand")
 def _(t):
-    return t("part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("aliases"), F.count(F.lit(1)).alias("mention_count"), F.countDistinct("p_size").alias("su_count"))
+    return entities.tallies(t("part"), "p_brand", "p_type", {"p_size": "su_count"})
 
 
 _MEANS = "e AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), mean AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL)"
@@ -381,10 +433,9 @@ def _(t):
     return entities.first_appearances(t("part"), "p_brand", "p_type", ["p_partkey"], "variants")
 
 
-@query("a23_unit_stats", f"WITH {_UNITS}, many AS (SELECT doc_id, max(unit_no) + 1 AS m FROM u GROUP BY doc_id) SELECT CAST(sum(m) AS BIGINT) AS n_units, avg(m) AS per_passage FROM many")
+@query("a23_unit_stats", f"WITH {_UNITS}, {_UNIT_TEXTS}, many AS (SELECT doc_id, max(unit_no) + 1 AS m FROM t GROUP BY doc_id) SELECT CAST(sum(m) AS BIGINT) AS n_units, avg(m) AS per_passage FROM many")
 def _(t):
-    n = _unit_rows(t).groupBy("doc_id").agg((F.max("unit_no") + 1).cast("long").alias("n"))
-    return n.agg(F.sum("n").alias("n_units"), F.avg("n").alias("per_passage"))
+    return chunking.unit_stats(_units(t), "doc_id")
 
 
 @query("a06_medoid", f"WITH {_MEANS} SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(sum(x * m), 9) DESC, vec_id) AS r FROM e JOIN mean USING (label, i) GROUP BY label, vec_id) WHERE r = 1")
@@ -463,6 +514,21 @@ def _(t):
     return similar_pairs(t("embeddings"), 0.3, "vec_id", "label")
 
 
+_SPARSE = f"""w AS (SELECT conv_id, turn, role, unnest({sql_tokens('text')}) AS token FROM conversations),
+n AS (SELECT conv_id, turn, role, CAST('0x' || substr(md5(token), 1, 7) AS BIGINT) % 4096 AS i, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY ALL),
+l AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS l FROM n GROUP BY ALL),
+v AS (SELECT role, conv_id * 1000 + turn AS id, i, n / l AS w FROM n JOIN l USING (conv_id, turn))"""
+
+
+@query("g04_sparse_pairs", f"WITH {_SPARSE} SELECT x.role, x.id AS a, y.id AS b, round(sum(x.w * y.w), 9) AS cosine FROM v x JOIN v y ON x.role = y.role AND x.i = y.i AND x.id < y.id GROUP BY ALL HAVING round(sum(x.w * y.w), 9) >= 0.6")
+def _(t):
+    """Turns of one role whose texts' hashed token counts have a cosine of 0.6 or more."""
+    rows = V.hashed_weights(t("conversations").select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), ["role", "id"], "text", 4096)
+    rows = rows.groupBy("role", "id").agg(F.collect_list(F.struct(F.col("bucket").alias("i"), F.col("weight").alias("w"))).alias("entries"))
+    pairs = sparse_pairs(rows, 0.6 - 1e-6, "id", "role")
+    return pairs.withColumn("cosine", F.round("cosine", 9)).where("cosine >= 0.6")
+
+
 @query(
     "g05_components",
     f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_PAIRS}) WHERE cosine >= 0.25), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
