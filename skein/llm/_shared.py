@@ -8,12 +8,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from skein.core import is_small, join_checked, prepare, task_count, written
 from skein.core import shared_path as work_path
+from skein.operators.ordering import fresh
 
-__all__ = ["bounded_batches", "is_small", "join_checked", "open_fs", "released", "task_count", "task_tag", "tokenizer_path", "work_path", "written"]
+__all__ = ["bounded_batches", "foreign_kept", "is_small", "join_checked", "open_fs", "released", "task_count", "task_tag", "tokenizer_path", "work_path", "written"]
 
 #: Bytes of an Arrow batch handed to Python; a single longer row makes a batch of its own.
 ARROW_BYTES = 4 << 20
@@ -51,6 +52,23 @@ def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return task
 
 
+def foreign_kept(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose own columns begin with two underscores, for tables that have such columns as well: theirs have other names meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        given = {a for a in (*args, *more.values()) if isinstance(a, str)}
+        odd = [c for c in docs.columns if c.startswith("__") and c not in given]
+        if not odd:
+            return operator(docs, *args, **more)
+        new = dict(zip(odd, fresh(docs.columns, *["foreign"] * len(odd)), strict=True))
+        named = lambda a: [new.get(x, x) for x in a] if isinstance(a, list) and all(isinstance(x, str) for x in a) else a
+        out = operator(docs.withColumnsRenamed(new), *map(named, args), **{k: named(a) for k, a in more.items()})
+        return out.withColumnsRenamed({v: k for k, v in new.items()})
+
+    return run
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a path that Spark's file systems have named in full."""
     from pyarrow import fs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, is_small, join_checked, released, task_count, tokenizer_path, work_path, written
+from ._shared import bounded_batches, foreign_kept, is_small, join_checked, released, task_count, tokenizer_path, work_path, written
 from .tokenize import encoder, in_slices, version_digest
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -55,6 +55,7 @@ def _salted(counts: DataFrame, hot: DataFrame) -> DataFrame:
     return both.select("__key", "__tokens", F.explode(parts).alias("__part"))
 
 
+@foreign_kept
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: str | None = None, limit: int = 512, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit. tokenizer: a vocabulary's name or path. cache: the cache table's path (None: a new one)."""
     spark = docs.sparkSession
@@ -83,6 +84,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     keyed = docs.select(*kept, digest.alias("__digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     keyed = join_checked(keyed, hot.select(F.col("content_digest").alias("__salted")), F.col("__digest") == F.col("__salted"), "left")
-    keyed = keyed.withColumn("__salt", F.when(F.col("__salted").isNotNull(), F.floor(F.rand(17) * SALT).cast("int")).otherwise(0))
+    told = [F.col(f"`{c}`") for c, k in keyed.dtypes if c != text_col and not k.startswith("map")]  # of a row, so that a task that runs anew deals it as before
+    keyed = keyed.withColumn("__salt", F.when(F.col("__salted").isNotNull(), F.pmod(F.xxhash64(*told), F.lit(SALT)).cast("int")).otherwise(0))
     out = keyed.join(_salted(counts, hot), (F.col("__digest") == F.col("__key")) & (F.col("__salt") == F.col("__part")), "left")
     return out.select(*kept, "n_bytes", F.col("__tokens").alias("n_tokens"), (F.col("__tokens") > limit).alias("over_limit"))
