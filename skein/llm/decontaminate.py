@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import is_small, join_checked, task_count, written
+from ._shared import foreign_kept, is_small, join_checked, task_count, written
 
 #: What lies between words, and the letters that are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -125,6 +125,7 @@ def _by_document(runs: DataFrame) -> DataFrame:
     return by_doc.withColumn("__bad", F.col("__hit") * 20 >= F.col("__total"))
 
 
+@foreign_kept
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans (word runs) appended.
 
@@ -149,6 +150,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     return both.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
+@foreign_kept
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are contaminated; the columns stay as they are, whatever their names."""
     runs, _ = _hit_spans(docs, written(_items(items), "items", task_count(items)), window, id_col, text_col)

@@ -13,13 +13,14 @@ repeated rows agree; an empty table gives an empty result; other columns stay, t
 
 from __future__ import annotations
 
+import hashlib
 import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import join_checked, written
+from ._shared import foreign_kept, join_checked, written
 
 #: Spellings that mean the same, in the order in which they are replaced (after lower-casing, between spaces).
 SPELLINGS = (
@@ -103,10 +104,26 @@ def canonical_digest(text: Column) -> Column:
     return F.when(t != "", F.sha2(t, 256))
 
 
+def known_digests() -> list[tuple[str, str]]:
+    """(canonical digest, license_id) of the known texts, made without Spark; of a text of several licences the first."""
+    import regex  # for classes of Unicode
+
+    out: dict[str, str] = {}
+    for name, text in variants():
+        t = regex.sub(r"[^\p{L}\p{N}]+", " ", regex.sub(NOTICE, " ", text.lower()))
+        t = re.sub(" +", " ", f" {t} ")
+        for a, b in SPELLINGS:
+            t = t.replace(f" {a} ", f" {b} ")
+        d = hashlib.sha256(t.strip().encode()).hexdigest()
+        out[d] = min(name, out.get(d, name))
+    return sorted(out.items())
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(variants(), "license_id string, text string")
 
 
+@foreign_kept
 def scan(docs: DataFrame, licenses: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """docs with canonical_sha256, license_id (null: none) and is_license."""
     spark = docs.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches, released
+from ._shared import bounded_batches, foreign_kept, released
 
 BUCKETS = 4096
 #: Shares beside the trigrams, in units of which 65535 are the whole, and their weights against a text's trigrams.
@@ -152,6 +152,7 @@ def _score(model):
     return run
 
 
+@foreign_kept
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, keep: list[str] | None = None, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs (None: all), with held_out, score and predicted."""
     spark = docs.sparkSession

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, join_checked, released, task_count, written
+from ._shared import bounded_batches, foreign_kept, join_checked, released, task_count, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -355,6 +355,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, profiles: Dat
     return written(found, "links", tasks)
 
 
+@foreign_kept
 def join_components(docs: DataFrame, k: int = 5, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; component_id is the smallest id that links reach."""
     spark = docs.sparkSession
@@ -475,6 +476,7 @@ def _labelled(known: DataFrame, comps: DataFrame, tasks: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+@foreign_kept
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component alone, that of the smallest id (null last); same columns. Of rows that repeat id and text, one stays."""
     shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()

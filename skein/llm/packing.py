@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, join_checked, released, task_count, tokenizer_path, written
+from ._shared import bounded_batches, foreign_kept, join_checked, released, task_count, tokenizer_path, written
 from .tokenize import encoder, in_slices
 
 Bins = list[tuple[dict[int, int], int]]  # lengths with their counts, and the number of bins of that kind
@@ -290,6 +290,7 @@ def _place(runs: tuple[np.ndarray, ...]):
     return run
 
 
+@foreign_kept
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids (little-endian unsigned 32-bit; null unless keep_ids)."""
     spark = docs.sparkSession

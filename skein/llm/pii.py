@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pii_model
-from ._shared import bounded_batches, released
+from ._shared import bounded_batches, foreign_kept, released
 from .pii_model import KINDS
 
 #: The base patterns. The starts they are tried at are those where a match can begin, so long runs take linear time.
@@ -121,6 +121,7 @@ def _detect(model, redacts: bool):
     return run
 
 
+@foreign_kept
 def detect(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", model=None, redacts: bool = True) -> DataFrame:
     """The columns `keep` of docs (None: all), with spans and, where wanted, the redacted text."""
     bounded_batches(docs.sparkSession)
@@ -138,6 +139,7 @@ def span_digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in KINDS if k != "secret"], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
 
 
+@foreign_kept
 def redact(docs: DataFrame) -> DataFrame:
     """docs with all spans replaced in text, and n_chars, where there is one, of the new text; same columns."""
     clash = [c for c in docs.columns if c in ("spans", "redacted")]

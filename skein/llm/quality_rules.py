@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches, join_checked, released, task_count, written
+from ._shared import bounded_batches, foreign_kept, join_checked, released, task_count, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -240,6 +240,7 @@ def _failed() -> Column:
 LIMIT = chi2_quantile(1 - CUT_PROBABILITY, D)
 
 
+@foreign_kept
 def judged(docs: DataFrame, keep: list[str] | None = None, steps: int = STEPS, least: int = LEAST, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs (None: all), with STATS, base_failed, distance (null where no estimate applies) and kept; columns of these names are replaced."""
     bounded_batches(docs.sparkSession)
@@ -270,6 +271,7 @@ def _accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(i) for i in own], names=[b.schema.names[i] for i in own]).filter(pa.array(ok, pa.bool_()))
 
 
+@foreign_kept
 def reject_outliers(docs: DataFrame, steps: int = STEPS, least: int = LEAST, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs without the rows that are rejected; same columns. Statistics are written alone and taken anew from the texts in the end, so no text is stored in between."""
     bounded_batches(docs.sparkSession)

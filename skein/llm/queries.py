@@ -124,7 +124,7 @@ def _canonical(text: str) -> str:
     return f"trim({t})"
 
 
-_KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.KNOWN.items()))
+_KNOWN = ", ".join(f"('{d}', '{name}')" for d, name in licenses.known_digests())
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": f"""
@@ -162,7 +162,7 @@ c AS (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
     "op5_license_scan": f"""
-WITH k AS (SELECT d, min(license_id) AS license_id FROM (SELECT license_id, sha256({_canonical("text")}) AS d FROM (VALUES {_KNOWN}) AS v(license_id, text)) GROUP BY d),
+WITH k AS (SELECT * FROM (VALUES {_KNOWN}) AS v(d, license_id)),
 c AS (SELECT doc_id, nullif({_canonical("text")}, '') AS t FROM documents)
 SELECT doc_id, sha256(t) AS canonical_sha256, license_id, license_id IS NOT NULL AS is_license FROM c LEFT JOIN k ON k.d = sha256(t)
 """,
