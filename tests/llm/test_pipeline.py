@@ -57,5 +57,5 @@ def test_odd_rows(spark):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert [sum(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
