@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import pii_model
 from ._shared import bounded_batches, foreign_kept, released
-from .pii_model import KINDS
+from .pii_model import KINDS, luhn
 
 #: The base patterns. The starts they are tried at are those where a match can begin, so long runs take linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -30,14 +30,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for i, d in enumerate(reversed(digits)):
-        x = int(d) * (1 + i % 2)
-        total += x - 9 * (x > 9)
-    return total % 10 == 0
-
-
 def _only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -61,16 +53,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-_RUN = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
-_NAMED = re.compile(r"(?i)\b(?:token|api_?key|secret|passw(?:or)?d)\s*[=:]\s*[\"']?([0-9A-Za-z_-]{16,})")
+_LONG, _SPLIT = re.compile(r"[0-9A-Za-z_-]{16,}"), re.compile(r"[0-9(][0-9().\x20-]{7,}[0-9]")
 
 
-def silver_spans(text: str) -> list[tuple[str, int, int]]:
-    """Labels of a background text for training: base spans, other long runs of digits, and values of named secrets."""
-    out = base_spans(text)
-    free = lambda a, b: not any(a < y and x < b for _, x, y in out)
-    out += [("card", m.start(), m.end()) for m in _RUN.finditer(text) if free(m.start(), m.end())]
-    return out + [("secret", m.start(1), m.end(1)) for m in _NAMED.finditer(text) if free(m.start(1), m.end(1))]
+def doubtful(text: str) -> bool:
+    """Whether a background text may hold personal data, so that it is no example of text without: a base span, an @, a long string of letters and digits, or digits in groups."""
+    mixed = any(any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group()) for m in _LONG.finditer(text))
+    split = any(not m.group().isdigit() and len(_only_digits(m.group())) >= 9 for m in _SPLIT.finditer(text))
+    return "@" in text or mixed or split or bool(base_spans(text))
 
 
 def all_spans(model, texts: list[str | None]) -> list[list[tuple[str, int, int, bool]]]:
