@@ -33,6 +33,9 @@ class _Texts:
 class Engine:
     """An index in a folder. version: the one that is read (None: the newest at each call); index() always builds on the newest."""
 
+    #: The column that keeps corpora apart, where an index has many (see corpora.Corpora).
+    within: str | None = None
+
     def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, extractor: Callable[[DataFrame], DataFrame] = providers.salient_terms, embedder: Callable | None = None, reranker: Callable | None = None, version: int | None = None, count_tokens: Callable[[str], int] | None = None):
         prepare(spark)
         self.spark, self.config, self.extractor, self.version, self.count_tokens = spark, config or Config(), extractor, version, count_tokens
@@ -99,6 +102,21 @@ class Engine:
         chunks = chunking.chunk_corpus(keyed, "doc", "text", c.chunk_tokens, c.chunk_overlap, c.chunk_semantic, c.search_window, self.count_tokens)
         return self.index(chunks.select("text"))
 
+    def _scoped(self, df: DataFrame, key: str) -> DataFrame:
+        """A table with the corpus of its key, where there are many."""
+        return df
+
+    def _asked(self, questions: DataFrame) -> DataFrame:
+        return questions.select("query_id", "question")
+
+    def _mentioned(self, questions: DataFrame, nodes: DataFrame, given: DataFrame | None = None) -> DataFrame:
+        """(query_id, ord, embedding) of the mentions of questions, with their corpus where there are many; by default the names of known entities."""
+        m = mentions.query_mentions(mentions.known_names(questions, nodes, self.within)) if given is None else given
+        m = m.select("query_id", "ord", self.embed(F.col("embedding_text")).alias("embedding"))
+        if self.within is not None:
+            m = m.join(questions.select("query_id", self.within), "query_id")
+        return written(m, "query-mentions")
+
     def table(self, name: str) -> DataFrame:
         return self.snapshot().read(name)
 
@@ -111,14 +129,12 @@ class Engine:
     def retrieve(self, questions: DataFrame, query_mentions: DataFrame | None = None) -> DataFrame:
         """(query_id, rank, passage_id, score) of questions (query_id, question), from one version of the index. Mentions default to the known entities' names in a question, of any number of words."""
         now = self.snapshot()
-        q = written(questions.select("query_id", "question", self.embed(F.concat(F.lit(self.config.question_prefix), F.coalesce("question", F.lit("")))).alias("embedding")), "questions")
-        nodes = now.read("entities")
-        if query_mentions is None:
-            query_mentions = mentions.query_mentions(mentions.known_names(q, nodes))
-        m = written(query_mentions.select("query_id", "ord", self.embed(F.col("embedding_text")).alias("embedding")), "query-mentions")
-        passages = now.read("passages").select(F.col("id").alias("passage_id"), "text", "embedding")
-        units = now.read("units").select(F.col("id").alias("su_id"), "embedding")
-        got = retrieval.retrieve(q, m, nodes, now.read("incidence"), units, now.read("passage_entity"), now.read("idf"), passages, self.config)
+        q = written(self._asked(questions).withColumn("embedding", self.embed(F.concat(F.lit(self.config.question_prefix), F.coalesce("question", F.lit(""))))), "questions")
+        nodes = self._scoped(now.read("entities"), "entity_id")
+        m = self._mentioned(q, nodes, query_mentions)
+        passages = self._scoped(now.read("passages").select(F.col("id").alias("passage_id"), "text", "embedding"), "passage_id")
+        units = self._scoped(now.read("units").select(F.col("id").alias("su_id"), "embedding"), "su_id")
+        got = retrieval.retrieve(q, m, nodes, now.read("incidence"), units, now.read("passage_entity"), now.read("idf"), passages, self.config, within=self.within)
         if self.config.rerank:
             texts = got.join(passages.select("passage_id", "text"), "passage_id").join(q.select("query_id", "question"), "query_id")
             got = retrieval.rerank(texts, self.rerank(F.col("question"), F.col("text")), self.config.top_k).select("query_id", "rank", "passage_id", "score")
@@ -126,9 +142,8 @@ class Engine:
 
     def seeds(self, questions: DataFrame) -> DataFrame:
         """(query_id, ord, entity_id, score, canonical_name, entity_type): what a question's mentions are linked to."""
-        q, nodes = questions.select("query_id", "question"), self.table("entities")
-        m = mentions.query_mentions(mentions.known_names(q, nodes)).select("query_id", "ord", self.embed(F.col("embedding_text")).alias("embedding"))
-        return retrieval.seed_metadata(retrieval.seed_entities(written(m, "query-mentions"), nodes), nodes)
+        q, nodes = self._asked(questions), self._scoped(self.table("entities"), "entity_id")
+        return retrieval.seed_metadata(retrieval.seed_entities(self._mentioned(q, nodes), nodes, within=self.within), nodes)
 
     def rag_qa(self, questions: DataFrame, reader=providers.extractive_answer, query_mentions: DataFrame | None = None) -> DataFrame:
         """Answers with the passages read. reader: a column of prompts to a column of responses, as providers.chat_provider gives."""

@@ -65,22 +65,32 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("passage_id").take(which), b.column("su_id").take(which), pa.array(terms, pa.string()), pa.array(at, pa.int32())], names=["passage_id", "su_id", "surface_text", "char_start"])
 
 
-def salient_terms(units: DataFrame, least: int = 2, most: int = 20, letters: int = 5, share: float = 0.1) -> DataFrame:
+def salient_terms(units: DataFrame, least: int = 2, most: int = 20, letters: int = 5, share: float = 0.1, within: Callable[[Column], Column] | None = None) -> DataFrame:
     """The default mention extractor: terms of at least so many letters whose number of units lies in a band.
 
     The band ends at `most` units or that share of all units, whichever is more, so that it grows with the table and no term
     vanishes for that alone. Places are those of whole tokens in the lower-cased text. The texts are read once: the terms with
     their places are a table, from which both the counts and the mentions come.
+    within: a unit's corpus, of its su_id; then each corpus has its own band and counts.
     units: (passage_id, su_id, text). Result: (passage_id, su_id, surface_text, entity_type, description, char_start, char_end).
     """
     prepare(units.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in units.schema}
     rows = units.select("passage_id", "su_id", "text", F.lit(letters).alias("letters"))
     terms = written(rows.mapInArrow(_places, f"passage_id {kinds['passage_id']}, su_id {kinds['su_id']}, surface_text string, char_start int"), "terms")
+    if within is not None:
+        each = units.select(within(F.col("su_id")).alias("corpus"), "su_id").distinct().groupBy("corpus").agg(F.count(F.lit(1)).alias("n"))
+        counts = terms.select(within(F.col("su_id")).alias("own"), "surface_text", "su_id").distinct().groupBy("own", F.col("surface_text").alias("term")).agg(F.count("su_id").alias("df"))
+        band = F.col("df").between(least, F.greatest(F.lit(most), F.floor(F.col("n") * share)))
+        counts = written(join_checked(counts, written(each, "corpora"), F.col("own") == F.col("corpus")).where(band).select("own", "term"), "kept-terms")
+        return _as_mentions(join_checked(terms, counts, (F.col("surface_text") == F.col("term")) & (within(F.col("su_id")) == F.col("own"))))
     n = units.select(F.approx_count_distinct("su_id") if not share else F.countDistinct("su_id")).first()[0]
     counts = terms.select("surface_text", "su_id").distinct().groupBy(F.col("surface_text").alias("term")).agg(F.count("su_id").alias("df"))
     counts = written(counts.where(F.col("df").between(least, max(most, int(n * share)))).select("term"), "kept-terms")
-    found = join_checked(terms, counts, F.col("surface_text") == F.col("term"))
+    return _as_mentions(join_checked(terms, counts, F.col("surface_text") == F.col("term")))
+
+
+def _as_mentions(found: DataFrame) -> DataFrame:
     return found.select("passage_id", "su_id", "surface_text", F.lit("term").alias("entity_type"), F.col("surface_text").alias("description"), "char_start", (F.col("char_start") + F.length("surface_text")).alias("char_end"))
 
 

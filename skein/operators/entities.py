@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.core import prepare, written
+from skein.functions import scope
 from skein.functions import text as X
 from skein.functions.providers import hashed_embedder
 from skein.functions.vectors import hashed_weights
@@ -79,17 +80,17 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(X.token_jaccard(a, b), X.containment(a, b), sequence_ratio(a, b)))
 
 
-def names_may_agree(cut: float):
+def names_may_agree(cut: float, keys: bool = False):
     """Whether two names may reach a name_similarity, as a test on arrays of names.
 
     No matching of characters in order finds more of them than the names share in any order, and a name that holds the other
     shares all of that one's letters; so either 2 * shared letters reach the cut over all letters, or the tokens' Jaccard does,
-    which is computed as it is. No pair that passes name_similarity is lost.
+    which is computed as it is. No pair that passes name_similarity is lost. With keys, the names are such (see functions.scope).
     """
 
     def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         names, where = np.unique(np.concatenate([a, b]).astype(object), return_inverse=True)
-        names = names.tolist()
+        names = [n.partition(scope.SEPARATOR)[2] for n in names.tolist()] if keys else names.tolist()
         bags, words = np.zeros((len(names), 64), np.int32), [list(dict.fromkeys(w for w in _SPACE.split(n) if w)) for n in names]
         known = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
         tokens = np.full((len(names), max([1, *map(len, words)])), -1, np.int32)
@@ -147,30 +148,31 @@ def normalised(mentions: DataFrame) -> DataFrame:
     return m.where(~X.is_low_value(F.col("normalized_name"), F.col("entity_type"), F.col("description")))
 
 
-def name_vectors(m: DataFrame, dim: int) -> DataFrame:
-    """(cluster, entity_type, embedding): the cluster of each name and its vector."""
-    return clusters(m).select("cluster", "entity_type", hashed_embedder(dim)(F.col("embedding_text")).alias("embedding"))
+def name_vectors(m: DataFrame, dim: int, key: str = "normalized_name") -> DataFrame:
+    """(cluster, entity_type, embedding): the cluster of each name (or key) and its vector."""
+    return clusters(m, key).select("cluster", "entity_type", hashed_embedder(dim)(F.col("embedding_text")).alias("embedding"))
 
 
-def name_links(vectors: DataFrame, cosine: float, name_cut: float, changed: DataFrame | None = None) -> DataFrame:
+def name_links(vectors: DataFrame, cosine: float, name_cut: float, changed: DataFrame | None = None, many: bool = False) -> DataFrame:
     """(a, b) with a < b: names of one type whose vectors and names agree; with changed (cluster), those that have one of them.
 
     The pair join gives only pairs whose names may agree, and the sequence ratio is computed for those that no cheaper part of
-    name_similarity has decided.
+    name_similarity has decided. With many, clusters are keys of several corpora (see functions.scope), and names of one are linked.
     """
-    rows = vectors.select("cluster", "entity_type", sparse_entries("embedding").alias("entries"))
+    kind = scope.beside(F.col("cluster"), F.col("entity_type")) if many else F.col("entity_type")
+    rows = vectors.select("cluster", kind.alias("entity_type"), sparse_entries("embedding").alias("entries"))
     if changed is not None:
         rows = rows.join(changed.select(F.col("cluster").alias("new"), F.lit(True).alias("fresh")), F.col("cluster") == F.col("new"), "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))).drop("new")
-    pairs = sparse_pairs(rows, cosine, "cluster", "entity_type", "entries", names_may_agree(name_cut), None if changed is None else "fresh")
+    pairs = sparse_pairs(rows, cosine, "cluster", "entity_type", "entries", names_may_agree(name_cut, many), None if changed is None else "fresh")
     pairs = written(pairs.select("a", "b"), "pairs")
-    a, b = F.col("a"), F.col("b")
+    a, b = (scope.bare(F.col(x)) if many else F.col(x) for x in ("a", "b"))
     near = (a == b) | (F.greatest(X.token_jaccard(a, b), X.containment(a, b)) >= name_cut)
     return pairs.where(near).unionByName(pairs.where(~near).where(sequence_ratio(a, b) >= name_cut))
 
 
-def canonical(m: DataFrame, labels: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(entities with their cluster, owners with their cluster) of normalised mentions; labels (node, component) of names that are linked."""
-    keyed = m.join(labels, F.col("normalized_name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "normalized_name")).drop("node")
+def canonical(m: DataFrame, labels: DataFrame, dim: int, key: str = "normalized_name") -> tuple[DataFrame, DataFrame]:
+    """(entities with their cluster, owners with their cluster) of normalised mentions; labels (node, component) of names (or keys) that are linked."""
+    keyed = m.join(labels, F.col(key) == F.col("node"), "left").withColumn("component", F.coalesce("component", key)).drop("node")
     keyed = written(keyed, "merged")
     entities = written(clusters(keyed, "component").withColumn("embedding", hashed_embedder(dim)(F.col("embedding_text"))), "entities")
     owners = keyed.join(entities.select("cluster", "entity_id"), F.col("component") == F.col("cluster")).select("mention_id", "passage_id", "su_id", "entity_id", "cluster")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.core import join_checked, written
+from skein.functions import scope
+
 
 def incidence(edges: DataFrame, entity: str = "entity_id", unit: str = "su_id") -> DataFrame:
     """Distinct (entity_id, su_id)."""
@@ -32,6 +35,29 @@ def passage_weights(mentions: DataFrame, passage: str = "passage_id", entity: st
     return counts.join(total, F.col("passage_id") == F.col("__p")).select("passage_id", "entity_id", F.col("cnt").cast("double").alias("cnt"), share.alias("weight"))
 
 
+def counted_weights(incident: DataFrame, counts: DataFrame) -> DataFrame:
+    """(passage_id, entity_id, cnt, weight) of incident pairs (passage_id, entity_id, text, name) by counts (passage_id, entity_id, cnt).
+
+    A pair without a count has as many as its passage's text holds the name, one after another (no text or no name: 0).
+    """
+    known = counts.select(F.col("passage_id").alias("__p"), F.col("entity_id").alias("__e"), "cnt")
+    text, name = F.coalesce("text", F.lit("")), F.coalesce("name", F.lit(""))
+    held = F.when(name == "", 0).otherwise((F.length(text) - F.length(F.replace(text, name, F.lit("")))) / F.length(name))
+    both = incident.join(known, (F.col("passage_id") == F.col("__p")) & (F.col("entity_id") == F.col("__e")), "left")
+    both = both.select("passage_id", "entity_id", F.coalesce("cnt", held).cast("double").alias("cnt"))
+    total = both.groupBy(F.col("passage_id").alias("__p")).agg(F.sum("cnt").alias("total"))
+    share = F.when(F.col("total") > 0, F.col("cnt") / F.col("total")).otherwise(0.0)
+    return both.join(total, F.col("passage_id") == F.col("__p")).select("passage_id", "entity_id", "cnt", share.alias("weight"))
+
+
+def idf_within(weights: DataFrame, passages: DataFrame) -> DataFrame:
+    """idf of many corpora, each by its own number of passages; ids are keys as in functions.scope."""
+    n = passages.groupBy(scope.prefix(F.col("passage_id")).alias("corpus")).agg(F.count(F.lit(1)).alias("n"))
+    df = weights.groupBy("entity_id").agg(F.countDistinct("passage_id").alias("df")).withColumn("own", scope.prefix(F.col("entity_id")))
+    both = join_checked(df, written(n, "corpora"), F.col("own") == F.col("corpus"))
+    return both.select("entity_id", "df", F.log(F.col("n").cast("double") / F.greatest("df", F.lit(1))).alias("idf"))
+
+
 def idf(weights: DataFrame, n_passages: int) -> DataFrame:
     """(entity_id, df, idf): ln(N / max(df, 1)) over the passages that hold an entity."""
     df = weights.groupBy("entity_id").agg(F.countDistinct("passage_id").alias("df"))

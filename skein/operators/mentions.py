@@ -38,19 +38,21 @@ def _pieces(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
-def known_names(questions: DataFrame, entities: DataFrame) -> DataFrame:
+def known_names(questions: DataFrame, entities: DataFrame, within: str | None = None) -> DataFrame:
     """Extractions (query_id, ord, surface_text, entity_type, description) of the entities' names that a question holds, whatever their number of words.
 
-    A question's runs of words are made for those numbers of words that a stored name has.
+    A question's runs of words are made for those numbers of words that a stored name has. With `within`, a column
+    of both, names count for the questions with their own value there.
     """
-    names = entities.select(F.explode("aliases").alias("name"), "entity_type")
-    names = names.withColumn("run", _pieces(F.col("name"))).where("run <> ''").groupBy("run").agg(F.min("entity_type").alias("entity_type"))
+    scope = [] if within is None else [within]
+    names = entities.select(*scope, F.explode("aliases").alias("name"), "entity_type")
+    names = names.withColumn("run", _pieces(F.col("name"))).where("run <> ''").groupBy(*scope, "run").agg(F.min("entity_type").alias("entity_type"))
     names = written(names.withColumn("n_words", F.size(F.split("run", " "))), "names")
     lengths = sorted(r[0] for r in names.select("n_words").distinct().collect())  # as many as names differ in length
-    words = questions.select("query_id", F.split(_pieces(F.col("question")), " ").alias("w"))
+    words = questions.select("query_id", *scope, F.split(_pieces(F.col("question")), " ").alias("w"))
     at = words.withColumn("n", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where("n <= size(w)")
     at = at.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
-    runs = at.select("query_id", (F.col("i") * (max(lengths, default=0) + 1) + F.col("n")).alias("at"), F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("surface_text"))
-    runs = runs.where("surface_text <> ''").groupBy("query_id", "surface_text").agg(F.min("at").alias("ord"))
-    both = runs.join(names, F.col("surface_text") == F.col("run"))
+    runs = at.select("query_id", *scope, (F.col("i") * (max(lengths, default=0) + 1) + F.col("n")).alias("at"), F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("surface_text"))
+    runs = runs.where("surface_text <> ''").groupBy("query_id", *scope, "surface_text").agg(F.min("at").alias("ord"))
+    both = runs.join(names.withColumnRenamed("run", "surface_text"), [*scope, "surface_text"])
     return both.select("query_id", "ord", "surface_text", "entity_type", F.col("surface_text").alias("description"))

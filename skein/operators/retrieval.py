@@ -24,10 +24,11 @@ def ranked(df: DataFrame, k: int | None, score: str, ties: str, by: str = "query
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*best))).where(F.col("rank") <= k)
 
 
-def seed_entities(mentions: DataFrame, entities: DataFrame, least: float | None = None) -> DataFrame:
-    """(query_id, ord, entity_id, score): each mention (query_id, ord, embedding) goes to its nearest entity, whatever its score."""
+def seed_entities(mentions: DataFrame, entities: DataFrame, least: float | None = None, within: str | None = None) -> DataFrame:
+    """(query_id, ord, entity_id, score): each mention (query_id, ord, embedding) goes to its nearest entity, whatever its score; with `within`, of those with its own value there."""
+    scope = [] if within is None else [within]
     m = mentions.withColumn("m", F.concat_ws("|", "query_id", F.lpad(F.col("ord").cast("string"), 9, "0")))
-    near = top_k(entities.select("entity_id", "embedding"), m.select("m", "embedding"), 1, "entity_id", "embedding", "m")
+    near = top_k(entities.select("entity_id", *scope, "embedding"), m.select("m", *scope, "embedding"), 1, "entity_id", "embedding", "m", within=within)
     out = near.join(m.select("m", "query_id", "ord"), "m").select("query_id", "ord", "entity_id", "score")
     return out if least is None else out.where(F.col("score") >= least)
 
@@ -108,12 +109,13 @@ def steered(now: DataFrame, original: DataFrame, active: DataFrame, new: DataFra
     return now.join(mixed, "query_id", "left").select("query_id", F.coalesce("new_q", "q").alias("q"))
 
 
-def dense(passages: DataFrame, questions: DataFrame, k: int | None) -> DataFrame:
-    """(query_id, rank, passage_id, score) by cosine alone."""
-    return top_k(passages.select("passage_id", "embedding"), questions.select("query_id", "embedding"), k, "passage_id")
+def dense(passages: DataFrame, questions: DataFrame, k: int | None, within: str | None = None) -> DataFrame:
+    """(query_id, rank, passage_id, score) by cosine alone; with `within`, of the passages with the question's own value there."""
+    scope = [] if within is None else [within]
+    return top_k(passages.select("passage_id", *scope, "embedding"), questions.select("query_id", *scope, "embedding"), k, "passage_id", within=within)
 
 
-def fuse(active: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, questions: DataFrame, lam: float, k: int | None) -> DataFrame:
+def fuse(active: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, questions: DataFrame, lam: float, k: int | None, within: str | None = None) -> DataFrame:
     """(query_id, rank, passage_id, score) of questions with seeds: dense similarity and entity coverage, each over its maximum.
 
     Coverage is the idf-weighted activation of a passage's entities over all activation. Without coverage a passage is among the
@@ -125,8 +127,8 @@ def fuse(active: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFr
     found = found.join(idf.select("entity_id", "idf"), "entity_id", "left").withColumn("part", F.col("score") * F.coalesce("idf", F.lit(1.0)))
     cover = found.groupBy("query_id", "passage_id").agg(F.sum("part").alias("c")).join(total, "query_id")
     cover = written(cover.select("query_id", "passage_id", F.when(F.col("total") > 0, F.col("c") / F.col("total")).otherwise(0.0).alias("coverage")), "coverage")
-    seeded = written(questions.join(total.select("query_id"), "query_id", "left_semi").select("query_id", "embedding"), "seeded")
-    near = top_k(passages.select("passage_id", "embedding"), seeded, k, "passage_id").select("query_id", "passage_id", "score")
+    seeded = written(questions.join(total.select("query_id"), "query_id", "left_semi").select("query_id", *([] if within is None else [within]), "embedding"), "seeded")
+    near = dense(passages, seeded, k, within).select("query_id", "passage_id", "score")
     near = written(near, "near")
     q, v = (df.select(key, F.transform("embedding", lambda x: x.cast("double")).alias(name)) for df, key, name in ((seeded, "query_id", "q"), (passages, "passage_id", "v")))
     reached = join_checked(cover.join(v, "passage_id"), q, "query_id").select("query_id", "passage_id", dot(F.col("q"), F.col("v")).alias("score"), "coverage")
@@ -138,21 +140,26 @@ def fuse(active: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFr
     return ranked(out, k, "score", "passage_id").select("query_id", "rank", "passage_id", "score")
 
 
-def retrieve(questions: DataFrame, mentions: DataFrame, entities: DataFrame, inc: DataFrame, units: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, config: Config | None = None, gates: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, passage_id, score) of all questions; gates as in expand, for Config(gate="subquery"). Those with seeds are expanded and fused, the others are dense (their scores are plain cosines)."""
+def retrieve(questions: DataFrame, mentions: DataFrame, entities: DataFrame, inc: DataFrame, units: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, config: Config | None = None, gates: DataFrame | None = None, within: str | None = None) -> DataFrame:
+    """(query_id, rank, passage_id, score) of all questions; gates as in expand, for Config(gate="subquery"). Those with seeds are expanded and fused, the others are dense (their scores are plain cosines).
+
+    within: a column of questions, mentions, entities, units and passages, whose values are corpora of their own (with keys as in
+    functions.scope, by which all other tables are apart already).
+    """
     c = config or Config()
     k = c.rerank_candidates if c.rerank else c.top_k
-    seeds = written(seed_entities(mentions, entities), "seeds")
+    seeds = written(seed_entities(mentions, entities, within=within), "seeds")
     active = expand(inc, units, questions, seeds, entities, c, gates if c.gate == "subquery" else None)
-    fused = fuse(active, weights, idf, passages, questions, c.scoring_lambda, k)
+    fused = fuse(active, weights, idf, passages, questions, c.scoring_lambda, k, within)
     plain = questions.join(seeds.select("query_id").distinct(), "query_id", "left_anti")
     if c.fallback == "su_preexpand":
-        near = top_k(units.select("su_id", "embedding"), plain.select("query_id", "embedding"), c.top_k, "su_id")
+        scope = [] if within is None else [within]
+        near = top_k(units.select("su_id", *scope, "embedding"), plain.select("query_id", *scope, "embedding"), c.top_k, "su_id", within=within)
         by_unit = near.join(inc, "su_id").groupBy("query_id", "entity_id").agg(F.max("score").alias("score")).withColumn("ord", F.lit(0))
         pre = expand(inc, units, plain, by_unit.select("query_id", "ord", "entity_id", "score"), entities, c)
-        fused = fused.unionByName(fuse(pre, weights, idf, passages, plain, c.scoring_lambda, k))
+        fused = fused.unionByName(fuse(pre, weights, idf, passages, plain, c.scoring_lambda, k, within))
         plain = plain.join(by_unit.select("query_id").distinct(), "query_id", "left_anti")
-    return fused.unionByName(dense(passages, plain, k).select("query_id", "rank", "passage_id", "score"))
+    return fused.unionByName(dense(passages, plain, k, within).select("query_id", "rank", "passage_id", "score"))
 
 
 def rerank(candidates: DataFrame, score: Column, k: int) -> DataFrame:

@@ -42,14 +42,41 @@ def _found(q_ids: pa.Array, which: np.ndarray, ids: pa.Array, scores: np.ndarray
     return pa.RecordBatch.from_arrays([q_ids.take(pa.array(which)), ids, pa.array(scores)], names=[query_col, id_col, "score"])
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id", vector_col: str = "embedding", query_col: str = "query_id", exclude_self: bool = False) -> DataFrame:
+def _spans(queries: pa.Table, within: str | None) -> tuple[pa.Table, dict]:
+    """The queries by their value of `within`, and where those of each value stand."""
+    if within is None:
+        return queries, {None: (0, queries.num_rows)}
+    values, spans = queries[within].to_pylist(), {}
+    order = sorted(range(len(values)), key=values.__getitem__)
+    for i, at in enumerate(order):
+        spans[values[at]] = (spans.get(values[at], (i,))[0], i + 1)
+    return queries.take(pa.array(order, pa.int64())), spans
+
+
+def _parts(b: pa.RecordBatch, within: str | None, spans: dict) -> Iterator[tuple[int, int, slice | np.ndarray]]:
+    """(first query, last query, rows) of the products of a batch, some rows at a time."""
+    if within is None:
+        for low in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield *spans[None], slice(low, low + ROWS_AT_ONCE)
+        return
+    rows: dict = {}
+    for i, value in enumerate(b.column(within).to_pylist()):
+        rows.setdefault(value, []).append(i)
+    for value, own in rows.items():
+        for low in range(0, len(own) if value in spans else 0, ROWS_AT_ONCE):
+            yield *spans[value], np.array(own[low : low + ROWS_AT_ONCE])
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id", vector_col: str = "embedding", query_col: str = "query_id", exclude_self: bool = False, within: str | None = None) -> DataFrame:
     """(query_id, id, score): the k nearest rows by dot product of each query, ties by id; all rows when k is None.
 
-    rows: (id, vector); queries: (query_id, vector). Each task keeps its own k best, then a window over those keeps k.
+    rows: (id, vector); queries: (query_id, vector). Each task keeps its own k best, then a window over those keeps k. With
+    `within`, a column of both, a query meets the rows of its own value alone, and only their products are made; null meets none.
     """
     spark = rows.sparkSession
     prepare(spark)
-    got = queries.select(query_col, vector_col).where(F.col(vector_col).isNotNull()).orderBy(query_col)
+    scope = [] if within is None else [within]
+    got = queries.select(query_col, *scope, vector_col).dropna(subset=[vector_col, *scope]).orderBy(query_col)
     width = got.select(F.max(F.size(vector_col))).first()[0] or 1
     turn = max(1, QUERY_BYTES // (8 * width))
     out = None
@@ -57,10 +84,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id"
     turns = [got.toArrow()] if count <= turn else _turns(got, query_col, turn, count)
     kinds = f"{query_col} {queries.schema[query_col].dataType.simpleString()}, {id_col} {rows.schema[id_col].dataType.simpleString()}, score double"
     for t in turns:
+        t, spans = _spans(t, within)
         q_ids, q = t[query_col].combine_chunks(), spark.sparkContext.broadcast(_matrix(t[vector_col]) if t.num_rows else np.zeros((0, width)))
 
-        def run(batches: Iterator[pa.RecordBatch], q=q, q_ids=q_ids) -> Iterator[pa.RecordBatch]:
-            held: list | None = None
+        def run(batches: Iterator[pa.RecordBatch], q=q, q_ids=q_ids, spans=spans) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple] = {}
             for b in batches:
                 v = b.column(vector_col)
                 some = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
@@ -68,20 +96,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id"
                     continue
                 b = b.take(pa.array(some))
                 v, ids, kind = _matrix(b.column(vector_col)), np.array(b.column(id_col).to_pylist()), b.column(id_col).type
-                held = held or [None] * -(-len(q.value) // QUERIES_AT_ONCE)
-                for low in range(0, len(ids), ROWS_AT_ONCE):
-                    some = ids[low : low + ROWS_AT_ONCE]
-                    for n, at in enumerate(range(0, len(q.value), QUERIES_AT_ONCE)):
-                        scores = q.value[at : at + QUERIES_AT_ONCE] @ v[low : low + ROWS_AT_ONCE].T
+                for first, last, own in _parts(b, within, spans):
+                    some = ids[own]
+                    for at in range(first, last, QUERIES_AT_ONCE):
+                        scores = q.value[at : min(at + QUERIES_AT_ONCE, last)] @ v[own].T
                         if k is None:
                             yield _found(q_ids, np.repeat(np.arange(at, at + len(scores)), len(some)), pa.array(np.tile(some, len(scores)), kind), scores.ravel(), query_col, id_col)
                         else:
-                            held[n] = _best(held[n], at, some, scores, k + exclude_self)
-            for own in held or []:
-                if own is not None:
-                    yield _found(q_ids, own[0], pa.array(own[1], kind), own[2], query_col, id_col)
+                            held[at] = _best(held.get(at), at, some, scores, k + exclude_self)
+            for best in held.values():
+                yield _found(q_ids, best[0], pa.array(best[1], kind), best[2], query_col, id_col)
 
-        one = rows.select(id_col, vector_col).mapInArrow(run, kinds)
+        one = rows.select(id_col, *scope, vector_col).mapInArrow(run, kinds)
         out = one if out is None else out.unionByName(one)
     if exclude_self:
         out = out.where(F.col(query_col) != F.col(id_col))

@@ -1,17 +1,17 @@
-"""A benchmark run: corpora and questions in, one index for each corpus, predictions and their evaluation out."""
+"""A benchmark run: corpora and questions in, one index with all corpora apart, predictions and their evaluation out."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.config import Config
 from skein.core import written
+from skein.corpora import Corpora
 from skein.engine import Engine
-from skein.functions import providers
+from skein.functions import providers, scope
 from skein.plans import qa
 from skein.sources import files
 
@@ -28,7 +28,7 @@ def run_corpora(
     spark: SparkSession, corpus_path: str, questions_path: str, folder: str, config: Config | None = None, reader: Reader = providers.extractive_answer,
     entry: str | None = None, types: list[str] | None = None, limit: int | None = None, answer: bool = True, **engine,
 ) -> DataFrame | None:
-    """Records of answers to the questions about each corpus (its own index below folder), written to folder/predictions; None without answering.
+    """Records of answers to the questions about each corpus, written to folder/predictions; None without answering. All corpora are indexed and asked in one plan, below folder/index.
 
     corpus_path has objects of corpus_name and context; entry, types and limit choose among corpora and questions.
     """
@@ -36,17 +36,16 @@ def run_corpora(
     asked = files.select_questions(files.read_questions(spark, files.required(spark, questions_path)), [entry] if entry else None, types, limit)
     asked = written(_numbered(asked), "asked")
     corpora = written(files.corpora_for(asked, corpora, entry), "corpora")
-    found = None
-    for name in sorted(r[0] for r in corpora.select("corpus_name").distinct().collect()):  # an index for each; a benchmark has tens
-        e = Engine(spark, f"{folder.rstrip('/')}/index/{quote(name, safe='')}", config, **engine)
-        e.index_corpus(corpora.where(F.col("corpus_name") == name))
-        if answer:
-            own = asked.where(F.col("source") == name)
-            got = e.rag_qa(own.select("query_id", "question"), reader).select("query_id", "answer", F.col("passages").alias("context"))
-            got = written(files.official_records(got, own.withColumn("id", F.col("query_id"))), "answers")
-            found = got if found is None else found.unionByName(got)
-    if found is not None:
-        files.write_json(found, f"{folder.rstrip('/')}/predictions")
+    e = Corpora(spark, f"{folder.rstrip('/')}/index", config, **engine)
+    e.index_corpus(corpora)
+    if not answer:
+        return None
+    asked = asked.join(corpora.select(F.col("corpus_name").alias("source")).distinct(), "source", "left_semi")
+    asked = written(asked.withColumn("query_id", scope.scoped(F.col("source"), F.col("query_id"))), "asked-of")  # one question may be asked of two corpora
+    got = e.rag_qa(asked.select("query_id", "question", F.col("source").alias("corpus_name")), reader).select("query_id", "answer", F.col("passages").alias("context"))
+    found = files.official_records(got, asked.withColumn("id", F.col("query_id"))).withColumn("id", scope.bare(F.col("id")))
+    found = written(found, "answers")
+    files.write_json(found, f"{folder.rstrip('/')}/predictions")
     return found
 
 

@@ -570,6 +570,31 @@ def _(t):
     return retrieval.dense(t("embeddings").select(F.col("vec_id").alias("passage_id"), "embedding"), _asked(t), 5).withColumn("score", F.round("score", 9)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    "r16_dense_within",
+    f"SELECT query_id, passage_id, score, rank FROM (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM ({_NEAR}) n JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = passage_id WHERE a.label = b.label) WHERE rank <= 5",
+)
+def _(t):
+    e = t("embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    got = retrieval.dense(e.select(F.col("vec_id").alias("passage_id"), "label", "embedding"), asked, 5, "label")
+    return got.withColumn("score", F.round("score", 9)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "j05_counted_weights",
+    """WITH i AS (SELECT doc_id, unnest([source, lang]) AS name, text, unnest([0, CASE WHEN doc_id % 2 = 0 THEN n_chars END]) AS given, unnest([0, 1]) AS k FROM documents),
+c AS (SELECT doc_id, name, CAST(coalesce(CASE WHEN k = 1 THEN given END, CASE WHEN coalesce(name, '') = '' THEN 0 ELSE (length(coalesce(text, '')) - length(replace(coalesce(text, ''), name, ''))) / length(name) END) AS DOUBLE) AS cnt FROM i)
+SELECT doc_id, name, cnt, round(CASE WHEN sum(cnt) OVER (PARTITION BY doc_id) > 0 THEN cnt / sum(cnt) OVER (PARTITION BY doc_id) ELSE 0 END, 9) AS weight FROM c""",
+)
+def _(t):
+    docs = t("documents")
+    incident = docs.select(F.col("doc_id").alias("passage_id"), F.explode(F.array("source", "lang")).alias("name"), "text").withColumn("entity_id", F.col("name"))
+    counts = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("passage_id"), F.col("lang").alias("entity_id"), F.col("n_chars").alias("cnt"))
+    got = graph.counted_weights(incident, counts)
+    return got.select(F.col("passage_id").alias("doc_id"), F.col("entity_id").alias("name"), "cnt", F.round("weight", 9).alias("weight"))
+
+
 @query("j07_seed_link", f"SELECT query_id, 0 AS ord, passage_id AS entity_id, score FROM ({_NEAR}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) = 1")
 def _(t):
     m = _asked(t).withColumn("ord", F.lit(0))
