@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,11 +87,14 @@ def _joined(groups: list[list[int]], words: np.ndarray, vectors: np.ndarray, lea
     counts, left, right, live = [len(g) for g in groups], [*range(-1, n - 1)], [*range(1, n), -1], n
     heap = [(size, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
+    means: list[np.ndarray | None] = [None] * n
 
     def mean(i: int) -> np.ndarray:
-        v = sums[i] / counts[i]
-        size = np.linalg.norm(v)
-        return v / size if size > 1e-8 else v
+        if means[i] is None:
+            v = sums[i] / counts[i]
+            size = np.linalg.norm(v)
+            means[i] = v / size if size > 1e-8 else v
+        return means[i]
 
     while heap and live > 1:
         size, i = heapq.heappop(heap)
@@ -105,6 +109,7 @@ def _joined(groups: list[list[int]], words: np.ndarray, vectors: np.ndarray, lea
         a, b = (x, i) if near[0] >= near[1] else (i, y)
         groups[a] += groups[b]
         sizes[a], sums[a], counts[a], right[a] = sizes[a] + sizes[b], sums[a] + sums[b], counts[a] + counts[b], right[b]
+        means[a] = None
         if right[b] >= 0:
             left[right[b]] = a
         groups[b], live = None, live - 1
@@ -114,13 +119,13 @@ def _joined(groups: list[list[int]], words: np.ndarray, vectors: np.ndarray, lea
 
 def balanced(groups: list[list[int]], words: list[int], vectors: np.ndarray, least: int = 20, most: int = 200) -> list[list[int]]:
     """Short units join the neighbour that is more like them; long ones are cut at their widest gaps while both parts stay long enough."""
-    count = np.asarray(words, np.int64)
+    count, gap = np.asarray(words, np.int64), 1 - (vectors[:-1] * vectors[1:]).sum(1)  # a group's sentences follow one another
     out, todo = [], _joined([list(g) for g in groups], count, vectors, least)[::-1]
     while todo:
         g = todo.pop()
         upto = np.cumsum(count[g])
         at = np.flatnonzero((upto[:-1] >= least) & (upto[-1] - upto[:-1] >= least)) if upto[-1] > most else []
-        gaps = 1 - (vectors[np.array(g)[at]] * vectors[np.array(g)[at + 1]]).sum(1) if len(at) else np.zeros(0)
+        gaps = gap[g[0] + at] if len(at) else np.zeros(0)
         if len(gaps) and gaps.max() > -1.0:
             k = int(at[int(np.argmax(gaps))]) + 1  # the first of the widest
             todo += [g[k:], g[:k]]
@@ -156,27 +161,67 @@ def semantic_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 120
     return rows.mapInPandas(run, f"{id_col} {kind}, chunk_no int, text string")
 
 
+#: Bytes of texts whose units a task makes at once, about.
+UNITS_AT_ONCE = 1 << 20
+
+
+def _unit_groups(cut: list[str], percentile: float, least: int, most: int, dim: int) -> list[list[int]]:
+    """The sentences, by place, of each unit of a text."""
+    if len(cut) <= 1:
+        return [[0]] if cut else []
+    v = providers.embed(cut, dim)
+    gaps = np.round(1 - (v[:-1] * v[1:]).sum(1), 9)
+    edges = np.flatnonzero(gaps > np.percentile(gaps, percentile) + 1e-9) + 1
+    groups = [g.tolist() for g in np.split(np.arange(len(cut)), edges)]
+    return balanced(groups, [len(s.split()) for s in cut], v, least, most)
+
+
+def _sentence_rows(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, __text, __cut): a text's sentences, and the trimmed text itself only where it has none."""
+    rows = passages.select(id_col, F.col(text_col).alias("__text"), X.sentences(F.col(text_col)).alias("__cut"))
+    return rows.withColumn("__text", F.when(F.size("__cut") == 0, F.col("__text")))
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some bytes, so that what Python holds beside it doesn't grow with the batch."""
+    each = max(1, b.num_rows * UNITS_AT_ONCE // max(b.nbytes, 1))
+    for low in range(0, b.num_rows, each):
+        yield b.slice(low, each)
+
+
 def semantic_units(passages: DataFrame, id_col: str, text_col: str, percentile: float = 60.0, least: int = 20, most: int = 200, dim: int = 256) -> DataFrame:
     """(id, pos, text): percentile groups of sentences, balanced. A row is a passage, so nothing is shuffled."""
     prepare(passages.sparkSession)
     kind = passages.schema[id_col].dataType.simpleString()
 
-    def units(text: str | None, cut: list[str]) -> list[str]:
-        if len(cut) <= 1:
-            return cut or ([text.strip()] if text and text.strip() else [])
-        v = providers.embed(cut, dim)
-        gaps = np.round(1 - (v[:-1] * v[1:]).sum(1), 9)
-        edges = np.flatnonzero(gaps > np.percentile(gaps, percentile) + 1e-9) + 1
-        groups = [list(g) for g in np.split(np.arange(len(cut)), edges)]
-        return [" ".join(cut[i] for i in g) for g in balanced(groups, [len(s.split()) for s in cut], v, least, most)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in _slices(batch)):
+            which, pos, out = [], [], []
+            for i, (text, cut) in enumerate(zip(b.column("__text").to_pylist(), b.column("__cut").to_pylist(), strict=True)):
+                units = [" ".join([cut[k] for k in g]) for g in _unit_groups(cut, percentile, least, most, dim)] or ([text.strip()] if text and text.strip() else [])
+                which += [i] * len(units)
+                pos += range(len(units))
+                out += units
+            ids = b.column(id_col).take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int32()), pa.array(out, pa.string())], names=[id_col, "pos", "text"])
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(key, k, u) for key, text, cut in zip(pdf[id_col], pdf["__text"], pdf["__cut"], strict=True) for k, u in enumerate(units(text, list(cut)))]
-            yield pd.DataFrame(rows, columns=[id_col, "pos", "text"])
+    return _sentence_rows(passages, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, pos int, text string")
 
-    rows = passages.select(id_col, F.col(text_col).alias("__text"), X.sentences(F.col(text_col)).alias("__cut"))
-    return rows.mapInPandas(run, f"{id_col} {kind}, pos int, text string")
+
+def unit_counts(passages: DataFrame, id_col: str, text_col: str, percentile: float = 60.0, least: int = 20, most: int = 200, dim: int = 256) -> DataFrame:
+    """(id, n_units, n_sentences) of the passages that have a unit: as semantic_units makes them, but their texts don't leave the task."""
+    prepare(passages.sparkSession)
+    kind = passages.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in _slices(batch)):
+            units, sentences = [], []
+            for text, cut in zip(b.column("__text").to_pylist(), b.column("__cut").to_pylist(), strict=True):
+                units.append(len(_unit_groups(cut, percentile, least, most, dim)) or int(bool(text and text.strip())))
+                sentences.append(len(cut))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(units, pa.int64()), pa.array(sentences, pa.int64())], names=[id_col, "n_units", "n_sentences"])
+
+    return _sentence_rows(passages, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_units long, n_sentences long").where("n_units > 0")
 
 
 def unit_stats(units: DataFrame, id_col: str) -> DataFrame:

@@ -347,3 +347,14 @@ def test_task_counts(spark):
     assert core.task_count(scan, 1 << 20) == -(-core.plan_bytes(scan) // (1 << 20)) > 8 and core.task_count(scan) == 8  # two a core
     unknown = spark.createDataFrame([(1,)], "a int")
     assert core.task_count(unknown) == core.task_count(unknown.crossJoin(scan)) == 8  # the shuffle partitions of these tests are fewer
+
+
+def test_unit_counts_keep_sentences(spark):
+    from skein.queries import ORACLES
+
+    texts = ["One two three four. Five six seven eight! Nine ten eleven twelve? One two three four five.", "short", " ", None, "A single sentence that is long enough."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    units = {r[0]: r[1] for r in chunking.semantic_units(docs, "doc_id", "text", 60.0, 0, 1 << 40, 64).groupBy("doc_id").count().collect()}
+    got = {r[0]: (r[1], r[2]) for r in chunking.unit_counts(docs, "doc_id", "text", 60.0, 0, 1 << 40, 64).collect()}
+    assert {k: v[0] for k, v in got.items()} == units and {k: v[1] for k, v in got.items()} == {0: 4, 1: 0, 4: 1}
+    assert "n_sentences" in ORACLES["c05_semantic_units"]
