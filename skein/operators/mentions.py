@@ -9,17 +9,24 @@ from skein.core import written
 from skein.functions import text as X
 
 
+def named(found: DataFrame) -> DataFrame:
+    """Extractions with their names, types and descriptions normalised, without low-value ones."""
+    surface = X.strip(F.coalesce("surface_text", F.lit("")))
+    others = [c for c in found.columns if c not in ("surface_text", "entity_type", "description")]
+    rows = found.select(
+        *others, surface.alias("surface_text"), X.normalize_name(surface).alias("normalized_name"), X.normalize_type(F.col("entity_type")).alias("entity_type"),
+        X.normalize_description(F.col("description"), surface).alias("description"),
+    )
+    return rows.where(~X.is_low_value(F.col("normalized_name"), F.col("entity_type"), F.col("description")))
+
+
 def mention_records(found: DataFrame) -> DataFrame:
-    """Records of extractions (passage_id, su_id, surface_text, entity_type, description, char_start, char_end), without low-value ones.
+    """Records of extractions (passage_id, su_id, surface_text, entity_type, description, char_start, char_end), without low-value ones; those with a normalized_name are as `named` gives them.
 
     Within a unit a name, type and description occur once; the first place stays.
     """
-    surface = X.strip(F.coalesce("surface_text", F.lit("")))
-    rows = found.select(
-        "passage_id", "su_id", surface.alias("surface_text"), X.normalize_name(surface).alias("normalized_name"), X.normalize_type(F.col("entity_type")).alias("entity_type"),
-        X.normalize_description(F.col("description"), surface).alias("description"), "char_start", "char_end", F.col("char_start").isNotNull().alias("grounded"),
-    )
-    rows = rows.where(~X.is_low_value(F.col("normalized_name"), F.col("entity_type"), F.col("description")))
+    rows = found if "normalized_name" in found.columns else named(found)
+    rows = rows.withColumn("grounded", F.col("char_start").isNotNull())
     key = ["passage_id", "su_id", "normalized_name", "entity_type", "description"]
     rows = rows.groupBy(*key).agg(F.min(F.struct(F.col("char_start").isNull().alias("z"), "char_start", "char_end", "surface_text", "grounded")).alias("m"))
     rows = rows.select(*key, "m.surface_text", "m.char_start", "m.char_end", "m.grounded")

@@ -358,3 +358,16 @@ def test_unit_counts_keep_sentences(spark):
     got = {r[0]: (r[1], r[2]) for r in chunking.unit_counts(docs, "doc_id", "text", 60.0, 0, 1 << 40, 64).collect()}
     assert {k: v[0] for k, v in got.items()} == units and {k: v[1] for k, v in got.items()} == {0: 4, 1: 0, 4: 1}
     assert "n_sentences" in ORACLES["c05_semantic_units"]
+
+
+def test_terms_named_once_are_the_mentions(spark, monkeypatch):
+    from skein.operators import mentions
+
+    rows = [("p", "u", "Alpha's betas, gamma"), ("p", "u", "gamma delta alpha"), ("p", "v", "delta betas ALPHA entity"), ("q", "w", "entity _betas_ delta")]
+    units = spark.createDataFrame(rows, "passage_id string, su_id string, text string")
+    for some in (units, units.where("text not like 'gamma%'")):  # units with two texts, and with one each
+        per_mention = mentions.mention_records(providers.salient_terms(some)).collect()
+        seen = []
+        once = providers.salient_terms(some, named=lambda found: seen.append(found.count()) or mentions.named(found))
+        assert sorted(map(str, mentions.mention_records(once).select(*per_mention[0].__fields__).collect())) == sorted(map(str, per_mention))
+        assert seen == [len({r.surface_text for r in providers.salient_terms(some).collect()})]
