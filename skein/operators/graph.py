@@ -58,7 +58,17 @@ def idf_within(weights: DataFrame, passages: DataFrame) -> DataFrame:
     return both.select("entity_id", "df", F.log(F.col("n").cast("double") / F.greatest("df", F.lit(1))).alias("idf"))
 
 
-def idf(weights: DataFrame, n_passages: int) -> DataFrame:
-    """(entity_id, df, idf): ln(N / max(df, 1)) over the passages that hold an entity."""
-    df = weights.groupBy("entity_id").agg(F.countDistinct("passage_id").alias("df"))
+#: Pairs that a task makes distinct, about, so that its memory doesn't grow with the table.
+PAIRS_AT_ONCE = 500_000
+
+
+def idf(weights: DataFrame, n_passages: int, n_pairs: int | None = None) -> DataFrame:
+    """(entity_id, df, idf): ln(N / max(df, 1)) over the passages that hold an entity. Rows of a pair may be several.
+
+    n_pairs: about how many rows there are, if that is known; then tasks are as many as they need, else as a shuffle has.
+    """
+    pairs = weights.select("entity_id", "passage_id")
+    if n_pairs is not None:
+        pairs = pairs.repartition(max(2 * weights.sparkSession.sparkContext.defaultParallelism, -(-n_pairs // PAIRS_AT_ONCE)), "entity_id", "passage_id")
+    df = pairs.distinct().groupBy("entity_id").agg(F.count("passage_id").alias("df"))
     return df.withColumn("idf", F.log(F.lit(float(n_passages)) / F.greatest("df", F.lit(1))))
