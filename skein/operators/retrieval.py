@@ -59,10 +59,14 @@ def total_activation(active: DataFrame) -> DataFrame:
     return active.groupBy("query_id").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def over_maximum(df: DataFrame, score: str, name: str, by: str = "query_id") -> DataFrame:
-    """The score over its largest in the group, where that is positive; maxima combine before the shuffle."""
-    most = df.groupBy(F.col(by).alias("__by")).agg(F.max(score).alias("__most"))
-    both = df.join(most, F.col(by) == F.col("__by"))
+def over_maximum(df: DataFrame, score: str, name: str, by: str = "query_id", most: DataFrame | None = None) -> DataFrame:
+    """The score over its largest in the group, where that is positive. Only maxima are shuffled, as long as they are few.
+
+    most: (by, score) of the largest ones, where they are known for less than df costs.
+    """
+    most = most if most is not None else df.groupBy(by).agg(F.max(score).alias(score))
+    most = written(most.select(F.col(by).alias("__by"), F.col(score).alias("__most")), "maxima")
+    both = join_checked(df, most, F.col(by) == F.col("__by"))
     return both.withColumn(name, F.when(F.col("__most") > 0, F.col(score) / F.col("__most")).otherwise(F.col(score))).drop("__by", "__most")
 
 

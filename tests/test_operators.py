@@ -371,3 +371,27 @@ def test_terms_named_once_are_the_mentions(spark, monkeypatch):
         once = providers.salient_terms(some, named=lambda found: seen.append(found.count()) or mentions.named(found))
         assert sorted(map(str, mentions.mention_records(once).select(*per_mention[0].__fields__).collect())) == sorted(map(str, per_mention))
         assert seen == [len({r.surface_text for r in providers.salient_terms(some).collect()})]
+
+
+def test_idf_tasks_grow_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 2)
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 2), (None, 3)] * 10, "passage_id long, entity_id long")
+    got = graph.idf(pairs, 4, 50)
+    assert {r.entity_id: r.df for r in got.collect()} == {1: 2, 2: 1, 3: 0}
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString() and ", 25)" in got._jdf.queryExecution().toString()
+
+
+def test_maxima_are_broadcast(spark):
+    from skein.operators import retrieval
+
+    rows = spark.createDataFrame([(1, 0.5), (1, 0.25), (2, -1.0), (2, -2.0)], "query_id long, score double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = retrieval.over_maximum(rows, "score", "scaled")
+        assert sorted(map(tuple, got.collect())) == [(1, 0.25, 0.5), (1, 0.5, 1.0), (2, -2.0, -2.0), (2, -1.0, -1.0)]
+        assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
