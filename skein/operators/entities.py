@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from difflib import SequenceMatcher
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.core import prepare, written
+from skein.core import join_checked, prepare, written
 from skein.functions import scope
 from skein.functions import text as X
 from skein.functions.providers import hashed_embedder
@@ -24,9 +25,9 @@ from .sparse import sparse_entries, sparse_pairs
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def mode_by(rows: DataFrame, group: str, value: str, ties: list[Column], name: str) -> DataFrame:
-    """(group, name): the most frequent value; ties by the given columns."""
-    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+def mode_by(rows: DataFrame, group: str, value: str, ties: list[Column], name: str, count: Column | None = None) -> DataFrame:
+    """(group, name): the most frequent value (rows count one each, or what count sums up); ties by the given columns."""
+    counts = rows.groupBy(group, value).agg((F.count(F.lit(1)) if count is None else count).alias("__n"))
     first = Window.partitionBy(group).orderBy(F.col("__n").desc(), *ties)
     return counts.withColumn("__r", F.row_number().over(first)).where("__r = 1").select(group, F.col(value).alias(name))
 
@@ -120,20 +121,32 @@ def tallies(rows: DataFrame, group: str, name: str, counted: dict[str, str]) ->
     return out
 
 
+def _voted(mentions: DataFrame, key: str) -> DataFrame:
+    """(__c, normalized_name, entity_type, description, votes, __seen): the kinds of mentions of each cluster, how many there are of each and the first of them. All but the counts of units come from this table."""
+    kinds = mentions.groupBy(F.col(key).alias("__c"), "normalized_name", "entity_type", "description")
+    return written(kinds.agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct("passage_id", "su_id", "mention_id")).alias("__seen")), "voted")
+
+
+def _described(voted: DataFrame) -> DataFrame:
+    """(__c, canonical_name, entity_type, canonical_description, embedding_text) of clusters."""
+    votes = F.sum("votes")
+    name = mode_by(voted, "__c", "normalized_name", [F.length("normalized_name"), F.col("normalized_name")], "canonical_name", votes)
+    kind = mode_by(voted, "__c", "entity_type", [F.col("entity_type")], "entity_type", votes)
+    middle = medoid_texts(voted.select("__c", "description").distinct(), "__c", "description").withColumnRenamed("description", "canonical_description")
+    out = name.join(kind, "__c").join(middle, "__c")
+    return out.withColumn("embedding_text", X.embedding_text(F.col("canonical_name"), F.col("canonical_description")))
+
+
 def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
-    """The cluster records of mentions by key: names, types, descriptions and counts. Which mentions, units and passages support one is an edge table (see merge_mentions), as a frequent entity has no bound on them."""
-    m = mentions.withColumn("__c", F.col(key))
-    m = written(m, "mentions")
-    name = mode_by(m, "__c", "normalized_name", [F.length("normalized_name"), F.col("normalized_name")], "canonical_name")
-    kind = mode_by(m, "__c", "entity_type", [F.col("entity_type")], "entity_type")
-    middle = medoid_texts(m.select("__c", "description").distinct(), "__c", "description").withColumnRenamed("description", "canonical_description")
-    variants = first_appearances(m, "__c", "description", ["passage_id", "su_id", "mention_id"], "description_variants")
-    out = tallies(m, "__c", "normalized_name", {"su_id": "su_count", "passage_id": "passage_count"})
-    out = out.withColumns({c: F.col(c).cast("int") for c in ("su_count", "passage_count")})
-    for part in (name, kind, middle, variants):
+    """The cluster records of mentions (a written table) by key: names, types, descriptions and counts. Which mentions, units and passages support one is an edge table (see merge_mentions), as a frequent entity has no bound on them."""
+    voted, m = _voted(mentions, key), mentions.select(F.col(key).alias("__c"), "su_id", "passage_id")
+    variants = first_appearances(voted, "__c", "description", ["__seen"], "description_variants")
+    out = voted.groupBy("__c").agg(F.sum("votes").alias("mention_count"))
+    parts = [voted.select("__c", "normalized_name").distinct().groupBy("__c").agg(F.array_sort(F.collect_list("normalized_name")).alias("aliases"))]
+    parts += [m.select("__c", c).distinct().groupBy("__c").agg(F.count(c).cast("int").alias(n)) for c, n in (("su_id", "su_count"), ("passage_id", "passage_count"))]
+    for part in (*parts, variants, _described(voted)):
         out = out.join(part, "__c")
-    text = X.embedding_text(F.col("canonical_name"), F.col("canonical_description"))
-    return out.withColumn("embedding_text", text).withColumn("entity_id", X.content_id("entity-", F.col("embedding_text"))).withColumnRenamed("__c", "cluster")
+    return out.withColumn("entity_id", X.content_id("entity-", F.col("embedding_text"))).withColumnRenamed("__c", "cluster")
 
 
 def supporting(owners: DataFrame, of: str = "su_id") -> DataFrame:
@@ -142,15 +155,20 @@ def supporting(owners: DataFrame, of: str = "su_id") -> DataFrame:
 
 
 def normalised(mentions: DataFrame) -> DataFrame:
-    """Mentions whose names are normalised once more, without low-value ones."""
-    name, kind = X.normalize_name(F.col("normalized_name")), X.normalize_type(F.col("entity_type"))
-    m = mentions.withColumn("normalized_name", name).withColumn("entity_type", kind).withColumn("description", X.normalize_description(F.col("description"), F.col("surface_text")))
-    return m.where(~X.is_low_value(F.col("normalized_name"), F.col("entity_type"), F.col("description")))
+    """Mentions whose names are normalised once more, without low-value ones. Each name is normalised once, not each mention."""
+    of = ["normalized_name", "entity_type", "description", "surface_text"]
+    names = written(mentions.select(*[F.col(c).alias(f"__{c}") for c in of]).distinct(), "names")
+    name, kind = X.normalize_name(F.col("__normalized_name")), X.normalize_type(F.col("__entity_type"))
+    names = names.withColumns({"__n": name, "__k": kind, "__d": X.normalize_description(F.col("__description"), F.col("__surface_text"))})
+    names = written(names.where(~X.is_low_value(F.col("__n"), F.col("__k"), F.col("__d"))), "names")
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in of])
+    new = {"normalized_name": "__n", "entity_type": "__k", "description": "__d"}
+    return join_checked(mentions, names, same).select(*[F.col(new.get(c, c)).alias(c) for c in mentions.columns])
 
 
 def name_vectors(m: DataFrame, dim: int, key: str = "normalized_name") -> DataFrame:
     """(cluster, entity_type, embedding): the cluster of each name (or key) and its vector."""
-    return clusters(m, key).select("cluster", "entity_type", hashed_embedder(dim)(F.col("embedding_text")).alias("embedding"))
+    return _described(_voted(m, key)).select(F.col("__c").alias("cluster"), "entity_type", hashed_embedder(dim)(F.col("embedding_text")).alias("embedding"))
 
 
 def name_links(vectors: DataFrame, cosine: float, name_cut: float, changed: DataFrame | None = None, many: bool = False) -> DataFrame:

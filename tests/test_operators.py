@@ -395,3 +395,13 @@ def test_maxima_are_broadcast(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_names_are_normalised_once_each(spark, monkeypatch):
+    seen, plain = [], entities.join_checked
+    monkeypatch.setattr(entities, "join_checked", lambda df, side, *on: seen.append((df.count(), side.count())) or plain(df, side, *on))
+    rows = [(f"p{i}", f"u{i}", "Alpha", "the alpha", "term", "alpha", f"m{i}") for i in range(5)] + [("p0", "u0", "It", "it", "term", "it", "m9"), ("p1", "u1", "Beta", "beta", "term", None, "m8")]
+    found = spark.createDataFrame(rows, "passage_id string, su_id string, surface_text string, normalized_name string, entity_type string, description string, mention_id string")
+    got = entities.normalised(found)
+    assert got.columns == found.columns and seen == [(7, 2)]
+    assert sorted((r.normalized_name, r.description, r.mention_id) for r in got.collect()) == [("alpha", "alpha", f"m{i}") for i in range(5)] + [("beta", "beta", "m8")]
