@@ -5,15 +5,17 @@ Scores that order something are rounded to nine digits, and ties go to the small
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.config import Config
-from skein.core import join_checked, written
+from skein.core import is_small, join_checked, written
 from skein.functions.vectors import dot
 
 from .ordering import in_order
-from .similarity import top_k
+from .similarity import Shared, nearest, with_vectors
 
 
 def ranked(df: DataFrame, k: int | None, score: str, ties: str, by: str = "query_id") -> DataFrame:
@@ -24,11 +26,11 @@ def ranked(df: DataFrame, k: int | None, score: str, ties: str, by: str = "query
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*best))).where(F.col("rank") <= k)
 
 
-def seed_entities(mentions: DataFrame, entities: DataFrame, least: float | None = None, within: str | None = None) -> DataFrame:
+def seed_entities(mentions: DataFrame, entities: DataFrame | Shared, least: float | None = None, within: str | None = None) -> DataFrame:
     """(query_id, ord, entity_id, score): each mention (query_id, ord, embedding) goes to its nearest entity, whatever its score; with `within`, of those with its own value there."""
     scope = [] if within is None else [within]
     m = mentions.withColumn("m", F.concat_ws("|", "query_id", F.lpad(F.col("ord").cast("string"), 9, "0")))
-    near = top_k(entities.select("entity_id", *scope, "embedding"), m.select("m", *scope, "embedding"), 1, "entity_id", "embedding", "m", within=within)
+    near = nearest(entities, m.select("m", *scope, "embedding"), 1, "entity_id", "m", within)
     out = near.join(m.select("m", "query_id", "ord"), "m").select("query_id", "ord", "entity_id", "score")
     return out if least is None else out.where(F.col("score") >= least)
 
@@ -45,8 +47,8 @@ def conductance(similarity: Column, floor: float, gamma: float) -> Column:
 
 
 def unit_signal(front: DataFrame, inc: DataFrame) -> DataFrame:
-    """(query_id, su_id, signal): the largest score of the frontier's entities (query_id, entity_id, score) in each unit."""
-    return front.where("score > 0").join(inc, "entity_id").groupBy("query_id", "su_id").agg(F.max("score").alias("signal"))
+    """(query_id, su_id, signal): the largest score of the frontier's entities (query_id, entity_id, score; cheap to count) in each unit. Repeated incidences change nothing."""
+    return join_checked(inc, front.where("score > 0"), "entity_id").groupBy("query_id", "su_id").agg(F.max("score").alias("signal"))
 
 
 def gate_counts(sims: DataFrame, floor: float, gamma: float) -> DataFrame:
@@ -70,26 +72,31 @@ def over_maximum(df: DataFrame, score: str, name: str, by: str = "query_id", mos
     return both.withColumn(name, F.when(F.col("__most") > 0, F.col(score) / F.col("__most")).otherwise(F.col(score))).drop("__by", "__most")
 
 
-def expand(inc: DataFrame, units: DataFrame, questions: DataFrame, seeds: DataFrame, entities: DataFrame | None = None, config: Config | None = None, gates: DataFrame | None = None) -> DataFrame:
+def expand(inc: DataFrame, units: DataFrame | Shared, questions: DataFrame, seeds: DataFrame, entities: DataFrame | Shared | None = None, config: Config | None = None, gates: DataFrame | None = None) -> DataFrame:
     """(query_id, entity_id, score, hop, is_seed) that spreads from the seeds over the incidence (entity_id, su_id).
 
     Units are gated by their similarity to the question, which is computed for reached units alone; with `gates` (query_id,
     embedding), the largest similarity to any of a question's gates counts. With entities (entity_id, embedding), the question
     is steered to what was found after each hop. Of two mentions of one entity the later one's score holds.
+
+    The frontier is broadcast while it is small, so that the incidence isn't shuffled for it; beyond that, and for the bridge, the
+    incidence is shuffled by its key alone, without distinct or sort. Repeated incidences change nothing.
     """
     c = config or Config()
     start = seeds.groupBy("query_id", "entity_id").agg(F.max_by("score", "ord").alias("score"))
-    active = written(start.select("query_id", "entity_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("hop"), F.lit(True).alias("is_seed")), "active")
+    active = new = written(start.select("query_id", "entity_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("hop"), F.lit(True).alias("is_seed")), "active")
     original = questions.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
     if gates is not None:
         original = gates.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
     now = written(original, "questions")
     for hop in range(1, c.max_hops + 1):
-        signal = unit_signal(active.where(F.col("hop") == hop - 1).select("query_id", "entity_id", "score"), inc)
-        reached = join_checked(signal.join(units.select("su_id", F.col("embedding").alias("u")), "su_id"), now, "query_id")
+        signal = unit_signal(new.select("query_id", "entity_id", "score"), inc)
+        reached = join_checked(with_vectors(signal, units, "su_id", "u"), now, "query_id")
         reached = reached.groupBy("query_id", "su_id").agg(F.max("signal").alias("signal"), F.max(dot(F.col("u"), F.col("q"))).alias("sim"))
         bridge = reached.select("query_id", "su_id", (F.col("signal") * conductance(F.round("sim", 9), c.conductance_floor, c.conductance_gamma)).alias("bridge")).where("bridge > 0")
-        found = bridge.join(inc, "su_id").groupBy("query_id", "entity_id").agg(F.max("bridge").alias("score"))
+        bridge = written(bridge, "bridge")
+        met = inc.join(F.broadcast(bridge) if is_small(bridge) else bridge.hint("shuffle_hash"), "su_id")  # a unit has a row a question at most
+        found = met.groupBy("query_id", "entity_id").agg(F.max("bridge").alias("score"))
         found = found.join(active.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
         new = ranked(found, c.hop_top_k, "score", "entity_id").select("query_id", "entity_id", (F.col("score") * c.hop_decay**hop).alias("score"), F.lit(hop).alias("hop"), F.lit(False).alias("is_seed"))
         new = written(new, "hop")
@@ -99,12 +106,12 @@ def expand(inc: DataFrame, units: DataFrame, questions: DataFrame, seeds: DataFr
     return active
 
 
-def steered(now: DataFrame, original: DataFrame, active: DataFrame, new: DataFrame, entities: DataFrame, c: Config) -> DataFrame:
+def steered(now: DataFrame, original: DataFrame, active: DataFrame, new: DataFrame, entities: DataFrame | Shared, c: Config) -> DataFrame:
     """Questions drawn to the mean of their best found entities; those that found nothing in this hop stay."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "hop", "entity_id")
     best = active.where(~F.col("is_seed")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= c.steering_top_k)
     best = best.join(new.select("query_id").distinct(), "query_id", "left_semi")
-    places = best.join(entities.select("entity_id", "embedding"), "entity_id").select("query_id", F.posexplode("embedding").alias("i", "x"))
+    places = with_vectors(best.select("query_id", "entity_id"), entities, "entity_id", "embedding").select("query_id", F.posexplode("embedding").alias("i", "x"))
     mean = places.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
     mean = mean.withColumn("n", F.sqrt(dot(F.col("m"), F.col("m")))).where("n > 1e-8")
     a = c.steering_alpha
@@ -113,29 +120,34 @@ def steered(now: DataFrame, original: DataFrame, active: DataFrame, new: DataFra
     return now.join(mixed, "query_id", "left").select("query_id", F.coalesce("new_q", "q").alias("q"))
 
 
-def dense(passages: DataFrame, questions: DataFrame, k: int | None, within: str | None = None) -> DataFrame:
+def dense(passages: DataFrame | Shared, questions: DataFrame, k: int | None, within: str | None = None) -> DataFrame:
     """(query_id, rank, passage_id, score) by cosine alone; with `within`, of the passages with the question's own value there."""
-    scope = [] if within is None else [within]
-    return top_k(passages.select("passage_id", *scope, "embedding"), questions.select("query_id", *scope, "embedding"), k, "passage_id", within=within)
+    return nearest(passages, questions, k, "passage_id", within=within)
+
+
+#: Weights (passage_id, entity_id, ...) and idf (entity_id, idf) of some entities (entity_id) alone.
+WeightsOf = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def fuse(active: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, questions: DataFrame, lam: float, k: int | None, within: str | None = None) -> DataFrame:
+def fuse(active: DataFrame, weights: DataFrame | WeightsOf, idf: DataFrame | None, passages: DataFrame | Shared, questions: DataFrame, lam: float, k: int | None, within: str | None = None) -> DataFrame:
     """(query_id, rank, passage_id, score) of questions with seeds: dense similarity and entity coverage, each over its maximum.
 
     Coverage is the idf-weighted activation of a passage's entities over all activation. Without coverage a passage is among the
     k best only if it is among the k nearest, so just those and the covered passages are scored, and all pairs only where
-    all are wanted (k is None).
+    all are wanted (k is None). Weights may be a function (then idf is None), which is asked for those of the active entities.
     """
     total = active.groupBy("query_id").agg(F.sum("score").alias("total"))
-    found = active.select("query_id", "entity_id", "score").join(weights.select("passage_id", "entity_id"), "entity_id")
-    found = found.join(idf.select("entity_id", "idf"), "entity_id", "left").withColumn("part", F.col("score") * F.coalesce("idf", F.lit(1.0)))
+    if not isinstance(weights, DataFrame):
+        weights, idf = weights(written(active.select("entity_id").distinct(), "wanted"))
+    parts = active.join(idf.select("entity_id", "idf"), "entity_id", "left").select("query_id", "entity_id", (F.col("score") * F.coalesce("idf", F.lit(1.0))).alias("part"))
+    found = join_checked(weights.select("passage_id", "entity_id"), written(parts, "parts"), "entity_id")
     cover = found.groupBy("query_id", "passage_id").agg(F.sum("part").alias("c")).join(total, "query_id")
     cover = written(cover.select("query_id", "passage_id", F.when(F.col("total") > 0, F.col("c") / F.col("total")).otherwise(0.0).alias("coverage")), "coverage")
     seeded = written(questions.join(total.select("query_id"), "query_id", "left_semi").select("query_id", *([] if within is None else [within]), "embedding"), "seeded")
     near = dense(passages, seeded, k, within).select("query_id", "passage_id", "score")
     near = written(near, "near")
-    q, v = (df.select(key, F.transform("embedding", lambda x: x.cast("double")).alias(name)) for df, key, name in ((seeded, "query_id", "q"), (passages, "passage_id", "v")))
-    reached = join_checked(cover.join(v, "passage_id"), q, "query_id").select("query_id", "passage_id", dot(F.col("q"), F.col("v")).alias("score"), "coverage")
+    q = seeded.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    reached = join_checked(with_vectors(cover, passages, "passage_id", "v"), q, "query_id").select("query_id", "passage_id", dot(F.col("q"), F.col("v")).alias("score"), "coverage")
     alone = near.join(cover.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti").withColumn("coverage", F.lit(0.0))
     both = written(reached.unionByName(alone), "fused")
     most = both.groupBy("query_id").agg(F.max("score").alias("ms"), F.greatest(F.max("coverage"), F.lit(0.0)).alias("mc"))
@@ -144,7 +156,7 @@ def fuse(active: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFr
     return ranked(out, k, "score", "passage_id").select("query_id", "rank", "passage_id", "score")
 
 
-def retrieve(questions: DataFrame, mentions: DataFrame, entities: DataFrame, inc: DataFrame, units: DataFrame, weights: DataFrame, idf: DataFrame, passages: DataFrame, config: Config | None = None, gates: DataFrame | None = None, within: str | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, mentions: DataFrame, entities: DataFrame | Shared, inc: DataFrame, units: DataFrame | Shared, weights: DataFrame | WeightsOf, idf: DataFrame | None, passages: DataFrame | Shared, config: Config | None = None, gates: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(query_id, rank, passage_id, score) of all questions; gates as in expand, for Config(gate="subquery"). Those with seeds are expanded and fused, the others are dense (their scores are plain cosines).
 
     within: a column of questions, mentions, entities, units and passages, whose values are corpora of their own (with keys as in
@@ -157,8 +169,7 @@ def retrieve(questions: DataFrame, mentions: DataFrame, entities: DataFrame, inc
     fused = fuse(active, weights, idf, passages, questions, c.scoring_lambda, k, within)
     plain = questions.join(seeds.select("query_id").distinct(), "query_id", "left_anti")
     if c.fallback == "su_preexpand":
-        scope = [] if within is None else [within]
-        near = top_k(units.select("su_id", *scope, "embedding"), plain.select("query_id", *scope, "embedding"), c.top_k, "su_id", within=within)
+        near = nearest(units, plain, c.top_k, "su_id", within=within)
         by_unit = near.join(inc, "su_id").groupBy("query_id", "entity_id").agg(F.max("score").alias("score")).withColumn("ord", F.lit(0))
         pre = expand(inc, units, plain, by_unit.select("query_id", "ord", "entity_id", "score"), entities, c)
         fused = fused.unionByName(fuse(pre, weights, idf, passages, plain, c.scoring_lambda, k, within))
