@@ -32,7 +32,7 @@ EMBED, HIDDEN = 8, 8
 #: Characters of a training example; of a window when texts are read, and how many it shares with the next.
 EXAMPLE, WINDOW, OVERLAP = 96, 256, 32
 #: Windows that are read together, characters whose scores are held at once, and the largest transition score either way.
-BATCH, HELD, TRANSITION = 1024, 230_000, 0.5
+BATCH, HELD, TRANSITION = 1000, 400_000, 0.5
 #: Weight in training of each character's tag by its own scores, beside the path's: so that O leads clearly in plain text.
 ALONE = 0.5
 #: What the scores of beginnings are lowered by: a span must be that much likelier than none.
@@ -303,13 +303,12 @@ def train(examples, steps: int = 300, batch: int = 48, rate: float = 0.02, seed:
 
 
 def reading(m: Model) -> Model:
-    """The weights as texts are read with: single precision, inputs by character class, and sigmoids as halves of tanh."""
-    half = np.repeat([0.5, 1.0], [3 * HIDDEN, HIDDEN])
+    """The weights as texts are read with: single precision, one matrix for hidden states, embeddings and bias, and signs and factors such that all gates are 1 / (1 + exp)."""
+    turned = -np.repeat([1.0, 2.0], [3 * HIDDEN, HIDDEN])
     turn = np.abs(m["out"][:, 2::2] - m["out"][:, 1::2]).sum(0) + np.abs(m["bias"][2::2] - m["bias"][1::2]) + CAUTION  # hidden states lie between -1 and 1
-    out = {"turn": np.array([turn.max()]), "out": m["out"].T, "bias": m["bias"] - CAUTION * (np.arange(TAGS) % 2), "trans": m["trans"] + allowed()}
+    out = {"turn": np.array([turn.max()]), "embed": m["embed"].T, "out": m["out"].T, "bias": m["bias"] - CAUTION * (np.arange(TAGS) % 2), "trans": m["trans"] + allowed()}
     for d in ("f", "b"):
-        out[f"{d}_in"] = (m["embed"] @ m[f"{d}_w"][:EMBED] + m[f"{d}_b"]) * half
-        out[f"{d}_own"] = (m[f"{d}_w"][EMBED:] * half).T
+        out[d] = (np.concatenate([m[f"{d}_w"][EMBED:], m[f"{d}_w"][:EMBED], m[f"{d}_b"][None]]) * turned).T
     return {k: np.ascontiguousarray(v, np.float32) for k, v in out.items()}
 
 
@@ -323,38 +322,51 @@ def default_model() -> Model:
 # reading
 
 
-def _states(own: np.ndarray, inputs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def _states(joint: np.ndarray, embed: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Hidden states (time, hidden, batch) of codes (time, batch)."""
     time, n = codes.shape
-    h, c, tmp = (np.zeros((HIDDEN, n), np.float32) for _ in range(3))
+    own = np.zeros((HIDDEN + EMBED + 1, n), np.float32)  # hidden states, embeddings and a one for the bias
+    own[-1] = 1
+    h, e, codes = own[:HIDDEN], own[HIDDEN:-1], codes.astype(np.intp)
+    c, tmp = (np.zeros((HIDDEN, n), np.float32) for _ in range(2))
     z, out = np.empty((4 * HIDDEN, n), np.float32), np.empty((time, HIDDEN, n), np.float32)
-    i, f, o, g, gates = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :], z[: 3 * HIDDEN]
-    for t in range(time):
-        np.dot(own, h, out=z)
-        z += inputs[codes[t]].T
-        np.tanh(z, out=z)
-        gates *= 0.5
-        gates += 0.5
-        c *= f
-        np.multiply(i, g, out=tmp)
-        c += tmp
-        np.tanh(c, out=tmp)
-        h = out[t]
-        np.multiply(o, tmp, out=h)
+    i, f, o, g = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
+    with np.errstate(over="ignore"):  # beyond all floats a sigmoid is 0
+        for t in range(time):
+            np.take(embed, codes[t], axis=1, out=e, mode="clip")
+            np.dot(joint, own, out=z)
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            c *= f
+            g *= 2
+            g -= 1
+            np.multiply(i, g, out=tmp)
+            c += tmp
+            np.multiply(c, -2, out=tmp)  # tanh is twice the sigmoid of twice its argument, less one
+            np.exp(tmp, out=tmp)
+            tmp += 1
+            np.divide(2, tmp, out=tmp)
+            tmp -= 1
+            np.multiply(o, tmp, out=h)
+            out[t] = h
     return out
 
 
 def emissions(m: Model, windows: list[np.ndarray]) -> list[np.ndarray]:
     """Scores (characters, tags) of windows of character classes, longest first. Both directions begin with the window's own characters, so that what is read beside it changes nothing."""
-    size = (len(windows[0]), len(windows))
-    ahead, back = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+    time, n = len(windows[0]), len(windows)
+    ahead, back = np.zeros((n, time), np.uint8), np.zeros((n, time), np.uint8)
     for j, w in enumerate(windows):
-        ahead[: len(w), j] = w
-        back[: len(w), j] = w[::-1]
-    f = np.matmul(_states(m["f_own"], m["f_in"], ahead).transpose(0, 2, 1), m["out"][:, :HIDDEN].T)
-    f += m["bias"]
-    b = np.matmul(_states(m["b_own"], m["b_in"], back).transpose(0, 2, 1), m["out"][:, HIDDEN:].T)
-    return [f[: len(w), j] + b[: len(w), j][::-1] for j, w in enumerate(windows)]
+        ahead[j, : len(w)] = w
+        back[j, : len(w)] = w[::-1]
+    f = np.matmul(m["out"][:, :HIDDEN], _states(m["f"], m["embed"], ahead.T))
+    f += m["bias"][:, None]
+    b = np.matmul(m["out"][:, HIDDEN:], _states(m["b"], m["embed"], back.T))
+    whole = next((j for j, w in enumerate(windows) if len(w) < time), n)  # windows of full length are turned at once
+    f[:, :, :whole] += b[::-1, :, :whole]
+    own = np.ascontiguousarray(f.transpose(2, 0, 1))
+    return [own[j, : len(w)] if j < whole else own[j, : len(w)] + b[: len(w), :, j][::-1] for j, w in enumerate(windows)]
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -394,6 +406,14 @@ def text_scores(m: Model, texts: list[str]) -> list[np.ndarray]:
 _RAMP = ((np.arange(OVERLAP) + 1) / (OVERLAP + 1)).astype(np.float32)
 
 
+def runs(held: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each stretch that holds."""
+    edged = np.zeros(len(held) + 2, bool)
+    edged[1:-1] = held
+    at = np.flatnonzero(edged[1:] != edged[:-1]).tolist()
+    return list(zip(at[::2], at[1::2], strict=True))
+
+
 def certain(m: Model, score: np.ndarray, begins: bool = True, ends: bool = True) -> np.ndarray:
     """For each character whether every best path has O there; not all such characters are found.
 
@@ -403,17 +423,13 @@ def certain(m: Model, score: np.ndarray, begins: bool = True, ends: bool = True)
     most that turning an I after it into a B can cost; nor throughout an end. So all between a beginning and an end is O. Paths
     that begin with the scores (of a whole text, or after an O) need no beginning, those that end with the text no end.
     """
-    trans = m["trans"]
-    d = max([0.0, *[float((score[:, k + 1] - score[:, k]).max(initial=0.0)) for k in range(1, TAGS, 2)]]) if ends else float(m["turn"][0])  # what comes after is not known
+    trans, by_tag = m["trans"], np.ascontiguousarray(score.T)
+    d = max(0.0, float((by_tag[2::2] - by_tag[1::2]).max(initial=0.0))) if ends else float(m["turn"][0])  # what comes after is not known
     ok = trans[trans > -1e3]
     r = float(max(ok.max(), 0.0) - min(ok.min(), 0.0))
-    lead = score[:, 1].copy()
-    for k in range(2, TAGS):
-        np.maximum(lead, score[:, k], out=lead)
-    np.subtract(score[:, 0], lead, out=lead)
-    edge = np.diff((lead > 2 * r).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    lead = by_tag[0] - by_tag[1:].max(0, initial=-np.inf)
     out, sums = np.zeros(len(score), bool), np.concatenate([[0.0], np.cumsum(lead.astype(np.float64) - r)])
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+    for a, b in runs(lead > 2 * r):
         low = a if a == 0 and begins else a + int(np.searchsorted(sums[a : b + 1], sums[a] + d + 3 * r, side="right"))
         high = b if b == len(score) and ends else a + int(np.searchsorted(sums[a : b + 1], sums[b] - d - 3 * r, side="left")) - 1
         if low < high:
@@ -456,8 +472,7 @@ def decode(m: Model, scores: list[np.ndarray], begins: bool = True) -> list[np.n
     tags = [np.zeros(len(s), np.int64) for s in scores]
     places: list[tuple[int, int, int]] = []
     for k, s in enumerate(scores):
-        edge = np.diff((~certain(m, s)).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-        places += [(k, a, b) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+        places += [(k, a, b) for a, b in runs(~certain(m, s))]
     found = viterbi(m["trans"], [np.concatenate([scores[k][a:b], _END[None]]) if b == len(scores[k]) else scores[k][a:b] for k, a, b in places], [a == 0 and begins for _, a, _ in places])
     for (k, a, b), t in zip(places, found, strict=True):
         tags[k][a:b] = t[: b - a]

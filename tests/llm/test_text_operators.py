@@ -589,3 +589,16 @@ def test_the_filter_keeps_what_is_judged_so(spark):
     want = {r.doc_id for r in quality_rules.judged(docs, keep=["doc_id"]).where("kept").collect()}
     out = quality_rules.reject_outliers(docs)
     assert out.schema == docs.schema and {r.doc_id for r in out.collect()} == want and {r.kept for r in out.collect()} == {"mine"}
+
+
+def test_reading_uses_no_slow_functions(monkeypatch):
+    """All gates are 1 / (1 + exp), full windows are turned at once, and no batch has rows of a power of two (cache sets)."""
+    texts = ["Write to ann.lee@example.com or 10.0.0.1. " * 40, "x", "", "plain words " * 30]
+    monkeypatch.setattr(pii_model.np, "tanh", None)
+    assert pii_model.BATCH & (pii_model.BATCH - 1)
+    scores = pii_model.text_scores(pii_model.default_model(), texts)
+    assert [len(s) for s in scores] == [len(t) for t in texts] and all(np.isfinite(s).all() for s in scores)
+    for t, s in zip(texts, scores, strict=True):
+        assert np.abs(pii_model.text_scores(pii_model.default_model(), [t])[0] - s).max(initial=0) < 1e-4
+    huge = {k: v * 1000 if k in ("f", "b") else v for k, v in pii_model.default_model().items()}
+    assert all(np.isfinite(s).all() for s in pii_model.text_scores(huge, texts))
