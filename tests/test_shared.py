@@ -71,3 +71,21 @@ def test_units_vectors_stay_where_they_are(spark):
     g = registry._relational(lambda name: registry.table(spark, "/root/testdata/sf0.001", name))
     assert all(isinstance(g[x], Shared) and g[x].ids.columns == [g[x].key] for x in ("units", "entities", "passages"))
     assert "Aggregate" not in g["inc"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_and_scans_are_bounded(spark, tmp_path):
+    """Long texts add up neither in the batches that go to Python nor in what a scan decodes at once."""
+    import pyarrow as pa
+
+    from skein.llm._shared import bounded_batches
+
+    bounded_batches(spark)
+    spark.range(0, 1500, 1, 1).selectExpr("repeat('x', 4000) text").write.parquet(str(tmp_path / "t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    got = [r.n for r in spark.read.parquet(str(tmp_path / "t")).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 6_000_000 and max(got) < 2 << 20
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1024 and int(spark.conf.get("parquet.block.size")) <= 16 << 20
