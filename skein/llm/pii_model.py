@@ -31,8 +31,8 @@ _TABLE = np.array([_CLASS.get(chr(i), 1) for i in range(128)], np.uint8)
 EMBED, HIDDEN = 8, 8
 #: Characters of a training example; of a window when texts are read, and how many it shares with the next.
 EXAMPLE, WINDOW, OVERLAP = 96, 256, 32
-#: Windows that are read together, characters whose scores are held at once, and the largest transition score either way.
-BATCH, HELD, TRANSITION = 1000, 400_000, 0.5
+#: Windows that are read together, times between which those that have ended are left out, characters whose scores are held at once, and the largest transition score either way.
+BATCH, PART, HELD, TRANSITION = 1000, 16, 400_000, 0.5
 #: Weight in training of each character's tag by its own scores, beside the path's: so that O leads clearly in plain text.
 ALONE = 0.5
 #: What the scores of beginnings are lowered by: a span must be that much likelier than none.
@@ -322,51 +322,57 @@ def default_model() -> Model:
 # reading
 
 
-def _states(joint: np.ndarray, embed: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hidden states (time, hidden, batch) of codes (time, batch)."""
-    time, n = codes.shape
-    own = np.zeros((HIDDEN + EMBED + 1, n), np.float32)  # hidden states, embeddings and a one for the bias
-    own[-1] = 1
-    h, e, codes = own[:HIDDEN], own[HIDDEN:-1], codes.astype(np.intp)
-    c, tmp = (np.zeros((HIDDEN, n), np.float32) for _ in range(2))
-    z, out = np.empty((4 * HIDDEN, n), np.float32), np.empty((time, HIDDEN, n), np.float32)
-    i, f, o, g = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
+def _states(joint: np.ndarray, embed: np.ndarray, codes: np.ndarray, live: list[int], out: np.ndarray, back: bool) -> None:
+    """Hidden states (time, hidden, batch) of codes (time, batch), forwards or back, into out. live: how many windows, the first ones, have a character at each time; only these are read, by parts of PART times."""
+    parts = [(t, min(t + PART, len(codes))) for t in range(0, len(codes), PART)]
+    h, c = (np.zeros((HIDDEN, 0), np.float32) for _ in range(2))
     with np.errstate(over="ignore"):  # beyond all floats a sigmoid is 0
-        for t in range(time):
-            np.take(embed, codes[t], axis=1, out=e, mode="clip")
-            np.dot(joint, own, out=z)
-            np.exp(z, out=z)
-            z += 1
-            np.reciprocal(z, out=z)
-            c *= f
-            g *= 2
-            g -= 1
-            np.multiply(i, g, out=tmp)
-            c += tmp
-            np.multiply(c, -2, out=tmp)  # tanh is twice the sigmoid of twice its argument, less one
-            np.exp(tmp, out=tmp)
-            tmp += 1
-            np.divide(2, tmp, out=tmp)
-            tmp -= 1
-            np.multiply(o, tmp, out=h)
-            out[t] = h
-    return out
+        for first, last in reversed(parts) if back else parts:
+            n = live[first]
+            own, before = np.zeros((HIDDEN + EMBED + 1, n), np.float32), min(n, h.shape[1])  # hidden states, embeddings and a one for the bias
+            own[:HIDDEN, :before], own[-1] = h[:, :before], 1
+            h, e, own_c = own[:HIDDEN], own[HIDDEN:-1], np.zeros((HIDDEN, n), np.float32)
+            own_c[:, :before] = c[:, :before]
+            c, tmp, z = own_c, np.empty((HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
+            i, f, o, g = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
+            for t in range(last - 1, first - 1, -1) if back else range(first, last):
+                if back and (t + 1 == len(live) or live[t + 1] < live[t]):  # windows that end here begin here
+                    new = slice(live[t + 1] if t + 1 < len(live) else 0, live[t])
+                    h[:, new] = c[:, new] = 0
+                np.take(embed, codes[t, :n], axis=1, out=e, mode="clip")
+                np.dot(joint, own, out=z)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                c *= f  # c is -2 times the cell
+                g *= -4
+                g += 2
+                g *= i
+                c += g
+                np.exp(c, out=tmp)
+                tmp += 1
+                np.divide(2, tmp, out=tmp)  # tanh is twice the sigmoid of twice its argument, less one
+                tmp -= 1
+                np.multiply(o, tmp, out=h)
+                out[t, :, :n] = h
 
 
 def emissions(m: Model, windows: list[np.ndarray]) -> list[np.ndarray]:
     """Scores (characters, tags) of windows of character classes, longest first. Both directions begin with the window's own characters, so that what is read beside it changes nothing."""
     time, n = len(windows[0]), len(windows)
-    ahead, back = np.zeros((n, time), np.uint8), np.zeros((n, time), np.uint8)
+    codes = np.zeros((n, time), np.uint8)
     for j, w in enumerate(windows):
-        ahead[j, : len(w)] = w
-        back[j, : len(w)] = w[::-1]
-    f = np.matmul(m["out"][:, :HIDDEN], _states(m["f"], m["embed"], ahead.T))
-    f += m["bias"][:, None]
-    b = np.matmul(m["out"][:, HIDDEN:], _states(m["b"], m["embed"], back.T))
-    whole = next((j for j, w in enumerate(windows) if len(w) < time), n)  # windows of full length are turned at once
-    f[:, :, :whole] += b[::-1, :, :whole]
-    own = np.ascontiguousarray(f.transpose(2, 0, 1))
-    return [own[j, : len(w)] if j < whole else own[j, : len(w)] + b[: len(w), :, j][::-1] for j, w in enumerate(windows)]
+        codes[j, : len(w)] = w
+    live = (n - np.searchsorted(np.array([len(w) for w in windows])[::-1], np.arange(time), side="right")).tolist()
+    codes = np.ascontiguousarray(codes.T).astype(np.intp)
+    both = np.zeros((time, 2 * HIDDEN + 1, n), np.float32)  # hidden states of either direction and a one for the bias
+    both[:, -1] = 1
+    _states(m["f"], m["embed"], codes, live, both[:, :HIDDEN], False)
+    _states(m["b"], m["embed"], codes, live, both[:, HIDDEN:-1], True)
+    weights, own = np.concatenate([m["out"], m["bias"][:, None]], 1), np.empty((n, time, TAGS), np.float32)
+    for t in range(0, time, PART):
+        own[: live[t], t : t + PART] = np.matmul(weights, both[t : t + PART, :, : live[t]]).transpose(2, 0, 1)
+    return [own[j, : len(w)] for j, w in enumerate(windows)]
 
 
 def windows(n: int) -> list[tuple[int, int]]:

@@ -602,3 +602,14 @@ def test_reading_uses_no_slow_functions(monkeypatch):
         assert np.abs(pii_model.text_scores(pii_model.default_model(), [t])[0] - s).max(initial=0) < 1e-4
     huge = {k: v * 1000 if k in ("f", "b") else v for k, v in pii_model.default_model().items()}
     assert all(np.isfinite(s).all() for s in pii_model.text_scores(huge, texts))
+
+
+def test_only_characters_are_read(monkeypatch):
+    """Windows that have ended are left out of a batch, rather than read as padding."""
+    read, states = [], pii_model._states
+    monkeypatch.setattr(pii_model, "_states", lambda joint, embed, codes, live, *more: (read.append(sum(live)), states(joint, embed, codes, live, *more)))
+    sizes = [250, 100, 3, 1]
+    alone = [pii_model.emissions(pii_model.default_model(), [np.full(n, 5, np.uint8)])[0] for n in sizes]
+    together = pii_model.emissions(pii_model.default_model(), [np.full(n, 5, np.uint8) for n in sizes])
+    assert read[-2:] == [sum(sizes)] * 2
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(alone, together, strict=True))
