@@ -28,11 +28,12 @@ _MARKS = " \n.@_%+-()[]/:,=\"'<>&#"
 _CLASS = {c: 2 + i for i, c in enumerate(_ALPHABET)} | {c.upper(): 2 + i for i, c in enumerate(_ALPHABET)} | {c: 28 for c in "0123456789"} | {c: 29 + i for i, c in enumerate(_MARKS)}
 CLASSES = 29 + len(_MARKS)
 _TABLE = np.array([_CLASS.get(chr(i), 1) for i in range(128)], np.uint8)
+_BYTES = _TABLE.tobytes() + bytes(128)
 EMBED, HIDDEN = 8, 8
 #: Characters of a training example; of a window when texts are read, and how many it shares with the next.
 EXAMPLE, WINDOW, OVERLAP = 96, 256, 32
-#: Windows that are read together, times between which those that have ended are left out, characters whose scores are held at once, and the largest transition score either way.
-BATCH, PART, HELD, TRANSITION = 1000, 16, 400_000, 0.5
+#: Windows that are read together, times between which those that have ended are left out, times that are scored together, characters whose scores are held at once, and the largest transition score either way.
+BATCH, PART, SCORED, HELD, TRANSITION = 1000, 16, 8, 400_000, 0.5
 #: Weight in training of each character's tag by its own scores, beside the path's: so that O leads clearly in plain text.
 ALONE = 0.5
 #: What the scores of beginnings are lowered by: a span must be that much likelier than none.
@@ -43,6 +44,8 @@ Model = dict[str, np.ndarray]
 
 def encode(text: str) -> np.ndarray:
     """The class of each character."""
+    if text.isascii():
+        return np.frombuffer(text.encode().translate(_BYTES), np.uint8)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(codes < 128, _TABLE[np.minimum(codes, 127)], 1).astype(np.uint8)
 
@@ -303,12 +306,13 @@ def train(examples, steps: int = 300, batch: int = 48, rate: float = 0.02, seed:
 
 
 def reading(m: Model) -> Model:
-    """The weights as texts are read with: single precision, one matrix for hidden states, embeddings and bias, and signs and factors such that all gates are 1 / (1 + exp)."""
+    """The weights as texts are read with: single precision, one matrix for hidden states, embeddings and bias, output gates first, and signs and factors such that all gates are 1 / (1 + exp)."""
     turned = -np.repeat([1.0, 2.0], [3 * HIDDEN, HIDDEN])
+    gates = np.concatenate([np.arange(2 * HIDDEN, 3 * HIDDEN), np.arange(2 * HIDDEN), np.arange(3 * HIDDEN, 4 * HIDDEN)])
     turn = np.abs(m["out"][:, 2::2] - m["out"][:, 1::2]).sum(0) + np.abs(m["bias"][2::2] - m["bias"][1::2]) + CAUTION  # hidden states lie between -1 and 1
-    out = {"turn": np.array([turn.max()]), "embed": m["embed"].T, "out": m["out"].T, "bias": m["bias"] - CAUTION * (np.arange(TAGS) % 2), "trans": m["trans"] + allowed()}
+    out = {"turn": np.array([turn.max()]), "embed": m["embed"], "out": m["out"].T, "bias": m["bias"] - CAUTION * (np.arange(TAGS) % 2), "trans": m["trans"] + allowed()}
     for d in ("f", "b"):
-        out[d] = (np.concatenate([m[f"{d}_w"][EMBED:], m[f"{d}_w"][:EMBED], m[f"{d}_b"][None]]) * turned).T
+        out[d] = (np.concatenate([m[f"{d}_w"][EMBED:], m[f"{d}_w"][:EMBED], m[f"{d}_b"][None]]) * turned).T[gates]
     return {k: np.ascontiguousarray(v, np.float32) for k, v in out.items()}
 
 
@@ -325,54 +329,65 @@ def default_model() -> Model:
 def _states(joint: np.ndarray, embed: np.ndarray, codes: np.ndarray, live: list[int], out: np.ndarray, back: bool) -> None:
     """Hidden states (time, hidden, batch) of codes (time, batch), forwards or back, into out. live: how many windows, the first ones, have a character at each time; only these are read, by parts of PART times."""
     parts = [(t, min(t + PART, len(codes))) for t in range(0, len(codes), PART)]
-    h, c = (np.zeros((HIDDEN, 0), np.float32) for _ in range(2))
+    space, h, c = np.empty((3 * HIDDEN + 2 * EMBED + 1 + 4 * HIDDEN, max(live)), np.float32), *(np.zeros((HIDDEN, 0), np.float32) for _ in range(2))
     with np.errstate(over="ignore"):  # beyond all floats a sigmoid is 0
         for first, last in reversed(parts) if back else parts:
             n = live[first]
-            own, before = np.zeros((HIDDEN + EMBED + 1, n), np.float32), min(n, h.shape[1])  # hidden states, embeddings and a one for the bias
-            own[:HIDDEN, :before], own[-1] = h[:, :before], 1
-            h, e, own_c = own[:HIDDEN], own[HIDDEN:-1], np.zeros((HIDDEN, n), np.float32)
-            own_c[:, :before] = c[:, :before]
-            c, tmp, z = own_c, np.empty((HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n), np.float32)
-            i, f, o, g = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
+            if n != h.shape[1]:
+                before, kept_h, kept_c = min(n, h.shape[1]), h.copy(), c.copy()
+                rows = space.ravel()[: len(space) * n].reshape(-1, n)
+                own, z, tmp = rows[: HIDDEN + EMBED + 1], rows[HIDDEN + EMBED + 1 : -HIDDEN - EMBED], rows[-HIDDEN - EMBED : -EMBED]  # own: hidden states, embeddings and a one for the bias; z: the gates and the cells
+                own[-1] = 1
+                h, e, chosen = own[:HIDDEN], own[HIDDEN:-1], rows[-EMBED:].reshape(n, EMBED)
+                gates, sigmoids, o, i_f, g, g_c, c = z[: 4 * HIDDEN], z[: 3 * HIDDEN], z[:HIDDEN], z[HIDDEN : 3 * HIDDEN], z[3 * HIDDEN : 4 * HIDDEN], z[3 * HIDDEN :], z[4 * HIDDEN :]
+                h[:, :before], c[:, :before] = kept_h[:, :before], kept_c[:, :before]
+                h[:, before:] = c[:, before:] = 0
             for t in range(last - 1, first - 1, -1) if back else range(first, last):
                 if back and (t + 1 == len(live) or live[t + 1] < live[t]):  # windows that end here begin here
                     new = slice(live[t + 1] if t + 1 < len(live) else 0, live[t])
                     h[:, new] = c[:, new] = 0
-                np.take(embed, codes[t, :n], axis=1, out=e, mode="clip")
-                np.dot(joint, own, out=z)
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                c *= f  # c is -2 times the cell
-                g *= -4
-                g += 2
-                g *= i
-                c += g
-                np.exp(c, out=tmp)
-                tmp += 1
-                np.divide(2, tmp, out=tmp)  # tanh is twice the sigmoid of twice its argument, less one
-                tmp -= 1
-                np.multiply(o, tmp, out=h)
+                embed.take(codes[t, :n], 0, chosen, "clip")
+                e[:] = chosen.T
+                np.dot(joint, own, gates)
+                np.exp(gates, gates)
+                np.add(gates, 1, gates)
+                np.divide(1, sigmoids, sigmoids)
+                np.divide(-4, g, g)
+                np.add(g, 2, g)
+                np.multiply(g_c, i_f, g_c)
+                np.add(c, g, c)  # c is -2 times the cell
+                np.exp(c, tmp)
+                np.add(tmp, 1, tmp)
+                np.divide(2, tmp, tmp)  # tanh is twice the sigmoid of twice its argument, less one
+                np.subtract(tmp, 1, tmp)
+                np.multiply(o, tmp, h)
                 out[t, :, :n] = h
 
 
-def emissions(m: Model, windows: list[np.ndarray]) -> list[np.ndarray]:
-    """Scores (characters, tags) of windows of character classes, longest first. Both directions begin with the window's own characters, so that what is read beside it changes nothing."""
+def _scored(m: Model, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (time, tags, batch) of windows of character classes, longest first, and by how much O leads (time, batch); after a window's end they are anything. Both directions begin with the window's own characters, so that what is read beside it changes nothing."""
     time, n = len(windows[0]), len(windows)
     codes = np.zeros((n, time), np.uint8)
     for j, w in enumerate(windows):
         codes[j, : len(w)] = w
     live = (n - np.searchsorted(np.array([len(w) for w in windows])[::-1], np.arange(time), side="right")).tolist()
     codes = np.ascontiguousarray(codes.T).astype(np.intp)
-    both = np.zeros((time, 2 * HIDDEN + 1, n), np.float32)  # hidden states of either direction and a one for the bias
+    both = np.empty((time, 2 * HIDDEN + 1, n), np.float32)  # hidden states of either direction and a one for the bias
     both[:, -1] = 1
     _states(m["f"], m["embed"], codes, live, both[:, :HIDDEN], False)
     _states(m["b"], m["embed"], codes, live, both[:, HIDDEN:-1], True)
-    weights, own = np.concatenate([m["out"], m["bias"][:, None]], 1), np.empty((n, time, TAGS), np.float32)
-    for t in range(0, time, PART):
-        own[: live[t], t : t + PART] = np.matmul(weights, both[t : t + PART, :, : live[t]]).transpose(2, 0, 1)
-    return [own[j, : len(w)] for j, w in enumerate(windows)]
+    weights, score, lead = np.concatenate([m["out"], m["bias"][:, None]], 1), np.empty((time, TAGS, n), np.float32), np.empty((time, n), np.float32)
+    for t in range(0, time, SCORED):
+        own = score[t : t + SCORED, :, : live[t]]
+        np.matmul(weights, both[t : t + SCORED, :, : live[t]], out=own)
+        np.subtract(own[:, 0], own[:, 1:].max(1), out=lead[t : t + SCORED, : live[t]])
+    return score, lead
+
+
+def emissions(m: Model, windows: list[np.ndarray]) -> list[np.ndarray]:
+    """Scores (characters, tags) of each of some windows, longest first."""
+    score, _ = _scored(m, windows)
+    return [score[: len(w), :, j] for j, w in enumerate(windows)]
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -384,29 +399,52 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [*out, (start, n)] if n else []
 
 
-def _grouped(m: Model, codes: list[np.ndarray], at: list[tuple[int, int, int]], add) -> None:
-    """add(k, a, scores) for the windows (k, a, b) of codes; where windows overlap, two ramps add up to one."""
-    order = sorted(at, key=lambda x: x[1] - x[2])
-    for i in range(0, len(order), BATCH):
+def _read(m: Model, codes: list[np.ndarray]):
+    """For each text by how much O leads at each character, and a function (text, start, end) that gives the scores (characters, tags) of a stretch. Where windows overlap, scores are averaged by two ramps that add up to one; the others stay as they were made."""
+    at = [(k, a, b) for k, c in enumerate(codes) for a, b in windows(len(c))]
+    sizes = np.array([b - a for _, a, b in at], int)
+    order = np.argsort(-sizes, kind="stable")
+    lead, edges, held = np.empty((len(at), WINDOW), np.float32), np.empty((2, len(at), TAGS, OVERLAP), np.float32), []  # edges: scores of each window's first and last OVERLAP characters
+    place = np.empty(len(at), int)
+    place[order] = np.arange(len(at))
+    for i in range(0, len(at), BATCH):
         some = order[i : i + BATCH]
-        for (k, a, b), own in zip(some, emissions(m, [codes[k][a:b] for k, a, b in some]), strict=True):
-            if a:
-                own[:OVERLAP] *= _RAMP[:, None]
-            if b < len(codes[k]):
-                own[-OVERLAP:] *= _RAMP[::-1, None]
-            add(k, a, own)
+        score, own = _scored(m, [codes[k][a:b] for k, a, b in (at[j] for j in some.tolist())])
+        held.append(score)
+        lead[some, : len(own)] = own.T
+        if len(score) >= OVERLAP:  # a shorter one overlaps with none
+            edges[0, some] = score[:OVERLAP].transpose(2, 1, 0)
+        if len(score) == WINDOW:  # a window with another after it is whole
+            whole = int((sizes[some] == WINDOW).sum())
+            edges[1, some[:whole]] = score[-OVERLAP:, :, :whole].transpose(2, 1, 0)
+    later = np.flatnonzero([a > 0 for _, a, _ in at])
+    mixed = edges[1, later - 1] * _RAMP[::-1] + edges[0, later] * _RAMP
+    edges[0, later], lead[later, :OVERLAP] = mixed, mixed[:, 0] - mixed[:, 1:].max(1)
+    counts = np.array([len(windows(len(c))) for c in codes], int)
+    firsts, step = np.concatenate([[0], np.cumsum(counts)]).tolist(), WINDOW - OVERLAP
+
+    def take(k: int, start: int, end: int) -> np.ndarray:
+        out, x = np.empty((end - start, TAGS), np.float32), start
+        while x < end:
+            i = min(x // step, firsts[k + 1] - firsts[k] - 1)
+            j, low = firsts[k] + i, i * step
+            high = min(end, len(codes[k]) if j + 1 == firsts[k + 1] else low + step)
+            cut = min(max(x, low + OVERLAP), high) if i else x
+            out[x - start : cut - start] = edges[0, j, :, x - low : cut - low].T
+            out[cut - start : high - start] = held[place[j] // BATCH][cut - low : high - low, :, place[j] % BATCH]
+            x = high
+        return out
+
+    leads = []
+    for k, (i, j) in enumerate(zip(firsts, firsts[1:], strict=False)):
+        leads.append(np.concatenate([lead[i : j - 1, :step].ravel(), lead[j - 1, : len(codes[k]) - (j - 1 - i) * step]]) if i < j else np.zeros(0, np.float32))
+    return leads, take
 
 
 def text_scores(m: Model, texts: list[str]) -> list[np.ndarray]:
     """Scores (characters, tags) of each text, averaged over the windows that hold a character."""
-    codes = [encode(t) for t in texts]
-    total = [np.zeros((len(c), TAGS), np.float32) for c in codes]
-
-    def add(k: int, a: int, own: np.ndarray) -> None:
-        total[k][a : a + len(own)] += own
-
-    _grouped(m, codes, [(k, a, b) for k, c in enumerate(codes) for a, b in windows(len(c))], add)
-    return total
+    _, take = _read(m, [encode(t) for t in texts])
+    return [take(k, 0, len(t)) for k, t in enumerate(texts)]
 
 
 _RAMP = ((np.arange(OVERLAP) + 1) / (OVERLAP + 1)).astype(np.float32)
@@ -420,8 +458,8 @@ def runs(held: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[::2], at[1::2], strict=True))
 
 
-def certain(m: Model, score: np.ndarray, begins: bool = True, ends: bool = True) -> np.ndarray:
-    """For each character whether every best path has O there; not all such characters are found.
+def certain(m: Model, lead: np.ndarray, d: float, begins: bool = True, ends: bool = True) -> list[tuple[int, int]]:
+    """Stretches in which every best path has O, by how much O leads at each character; not all such characters are found.
 
     Let r be the range of allowed transitions, and a run be characters where O leads by more than 2r. A part of a path in other
     tags, between two O within a run, would gain by O instead: each character more than 2r, each of its transitions r at most.
@@ -429,18 +467,19 @@ def certain(m: Model, score: np.ndarray, begins: bool = True, ends: bool = True)
     most that turning an I after it into a B can cost; nor throughout an end. So all between a beginning and an end is O. Paths
     that begin with the scores (of a whole text, or after an O) need no beginning, those that end with the text no end.
     """
-    trans, by_tag = m["trans"], np.ascontiguousarray(score.T)
-    d = max(0.0, float((by_tag[2::2] - by_tag[1::2]).max(initial=0.0))) if ends else float(m["turn"][0])  # what comes after is not known
-    ok = trans[trans > -1e3]
+    ok = m["trans"][m["trans"] > -1e3]
     r = float(max(ok.max(), 0.0) - min(ok.min(), 0.0))
-    lead = by_tag[0] - by_tag[1:].max(0, initial=-np.inf)
-    out, sums = np.zeros(len(score), bool), np.concatenate([[0.0], np.cumsum(lead.astype(np.float64) - r)])
-    for a, b in runs(lead > 2 * r):
-        low = a if a == 0 and begins else a + int(np.searchsorted(sums[a : b + 1], sums[a] + d + 3 * r, side="right"))
-        high = b if b == len(score) and ends else a + int(np.searchsorted(sums[a : b + 1], sums[b] - d - 3 * r, side="left")) - 1
-        if low < high:
-            out[low:high] = True
-    return out
+    at = runs(lead > 2 * r)
+    if not at:
+        return []
+    low, high = np.array(at).T
+    sums = np.concatenate([[0.0], np.cumsum(np.where(lead > 2 * r, lead - r, 0), dtype=np.float64)])  # of runs alone, so that it never falls
+    first, last = np.searchsorted(sums, sums[low] + d + 3 * r, side="right"), np.searchsorted(sums, sums[high] - d - 3 * r, side="left") - 1
+    if begins and low[0] == 0:
+        first[0] = 0
+    if ends and high[-1] == len(lead):
+        last[-1] = len(lead)
+    return [(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True) if a < b]
 
 
 def viterbi(trans: np.ndarray, scores: list[np.ndarray], start: list[bool], batch: int = 512) -> list[np.ndarray]:
@@ -473,25 +512,41 @@ def viterbi(trans: np.ndarray, scores: list[np.ndarray], start: list[bool], batc
     return out
 
 
-def decode(m: Model, scores: list[np.ndarray], begins: bool = True) -> list[np.ndarray]:
-    """The best tags of each text (begins: not after an O). What is certainly O cuts a text into stretches, which are decoded apart; an end of a text is as good as an O after it."""
-    tags = [np.zeros(len(s), np.int64) for s in scores]
+def _decoded(m: Model, leads: list[np.ndarray], take, turns: list[float], begins: bool = True) -> list[np.ndarray]:
+    """The best tags of each text (begins: not after an O) from what _read gives. turns: the most that turning an I into a B can cost. What is certainly O cuts a text into stretches, which are decoded apart; an end of a text is as good as an O after it."""
+    tags = [np.zeros(len(x), np.uint8) for x in leads]
     places: list[tuple[int, int, int]] = []
-    for k, s in enumerate(scores):
-        places += [(k, a, b) for a, b in runs(~certain(m, s))]
-    found = viterbi(m["trans"], [np.concatenate([scores[k][a:b], _END[None]]) if b == len(scores[k]) else scores[k][a:b] for k, a, b in places], [a == 0 and begins for _, a, _ in places])
+    for k, (x, d) in enumerate(zip(leads, turns, strict=True)):
+        sure = certain(m, x, d, begins)
+        places += [(k, a, b) for a, b in zip([0, *(b for _, b in sure)], [*(a for a, _ in sure), len(x)], strict=True) if a < b]
+    found = viterbi(m["trans"], [np.concatenate([take(k, a, b), _END[None]]) if b == len(leads[k]) else take(k, a, b) for k, a, b in places], [a == 0 and begins for _, a, _ in places])
     for (k, a, b), t in zip(places, found, strict=True):
         tags[k][a:b] = t[: b - a]
     return tags
 
 
+def _lead(score: np.ndarray) -> np.ndarray:
+    """By how much O leads at each character."""
+    return score[:, 0] - score[:, 1:].max(1)
+
+
+def decode(m: Model, scores: list[np.ndarray], begins: bool = True) -> list[np.ndarray]:
+    """The best tags of each text (begins: not after an O) from any scores."""
+    return _decoded(m, [_lead(s) for s in scores], lambda k, a, b: scores[k][a:b], [max(0.0, float((s[:, 2::2] - s[:, 1::2]).max(initial=0.0))) for s in scores], begins)
+
+
+def _found(m: Model, texts: list[str]) -> list[np.ndarray]:
+    """The best tags of texts that are read together."""
+    return _decoded(m, *_read(m, [encode(t) for t in texts]), [float(m["turn"][0])] * len(texts))
+
+
 #: After a text's last character: O alone.
 _END = np.array([0.0] + [-1e6] * (TAGS - 1), np.float32)
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[str, int, int]]:
     out = []
-    for t in np.flatnonzero(tags % 2 == 1).tolist():
+    for t in np.flatnonzero(tags & 1).tolist():
         end, inside = t + 1, tags[t] + 1
         while end < len(tags) and tags[end] == inside:
             end += 1
@@ -505,7 +560,7 @@ def find(m: Model, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     now: list[str] = []
     for t in [*texts, None]:
         if now and (t is None or len(t) > HELD or sum(map(len, now)) + len(t) > HELD):
-            out += [spans_of(tags) for tags in decode(m, text_scores(m, now))]
+            out += [spans_of(tags) for tags in _found(m, now)]
             now = []
         if t is not None and len(t) > HELD:
             out.append(spans_of(long_tags(m, t)))
@@ -522,21 +577,18 @@ def long_tags(m: Model, text: str, held: int = HELD) -> np.ndarray:
     for i in range(0, len(at), step):
         some = at[i : i + step]
         first, last = some[0][0], some[-1][1]
-        new = np.zeros((last - first, TAGS), np.float32)
-        new[: len(open_)] += open_
-
-        def add(k: int, a: int, own: np.ndarray, new=new, first=first) -> None:
-            new[a - first : a - first + len(own)] += own
-
-        _grouped(m, [codes], [(0, a, b) for a, b in some], add)
+        _, take = _read(m, [codes[first:last]])
+        new = take(0, 0, last - first)
+        if i:
+            new[:OVERLAP] = new[:OVERLAP] * _RAMP[:, None] + open_ * _RAMP[::-1, None]
         whole = len(new) if last == len(codes) else len(new) - OVERLAP
         tail, open_ = np.concatenate([tail, new[:whole]]), new[whole:]
         if last == len(codes):
             tags[done:] = decode(m, [tail], begins)[0]
         else:
-            sure = np.flatnonzero(certain(m, tail, begins, False))
-            if len(sure):
-                cut = int(sure[-1])
+            sure = certain(m, _lead(tail), float(m["turn"][0]), begins, False)
+            if sure:
+                cut = sure[-1][1] - 1
                 tags[done : done + cut] = decode(m, [np.concatenate([tail[:cut], _END[None]])], begins)[0][:cut]
                 tail, done, begins = tail[cut:], done + cut, cut == 0 and begins
     return tags

@@ -613,3 +613,32 @@ def test_only_characters_are_read(monkeypatch):
     together = pii_model.emissions(pii_model.default_model(), [np.full(n, 5, np.uint8) for n in sizes])
     assert read[-2:] == [sum(sizes)] * 2
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(alone, together, strict=True))
+
+
+def test_scores_stay_as_made(monkeypatch):
+    """Only the lead of O is gathered for whole texts; scores only for the stretches that are decoded, and both are those of all overlapping windows."""
+    m, rng, word = pii_model.default_model(), np.random.default_rng(6), "plain words and a.b@c.org or 5927243074273351 "
+    texts = [(word * 20)[i : i + n] for i, n in enumerate((0, 1, 31, 32, 33, 223, 224, 225, 256, 257, 288, 448, 480, 481, 704, 705))] + ["é" * 300]
+    scores = []
+    for t in texts:
+        total = np.zeros((len(t), pii_model.TAGS))
+        for a, b in pii_model.windows(len(t)):
+            own = pii_model.emissions(m, [pii_model.encode(t[a:b])])[0].astype(float)
+            ramp = np.arange(1, pii_model.OVERLAP + 1)[:, None] / (pii_model.OVERLAP + 1)
+            own[: pii_model.OVERLAP] *= ramp if a else 1
+            own[-pii_model.OVERLAP :] *= ramp[::-1] if b < len(t) else 1
+            total[a:b] += own
+        scores.append(total)
+    monkeypatch.setattr(pii_model, "BATCH", 7)
+    leads, take = pii_model._read(m, [pii_model.encode(t) for t in texts])
+    for k, s in enumerate(scores):
+        assert leads[k].shape == (len(s),) and np.abs(leads[k] - (s[:, 0] - s[:, 1:].max(1))).max(initial=0) < 1e-4
+        for a, b in [(0, len(s)), *np.sort(rng.integers(0, len(s) + 1, (20, 2))).tolist()]:
+            assert np.abs(take(k, a, b) - s[a:b]).max(initial=0) < 1e-4
+    decoded, viterbi, long = [], pii_model.viterbi, [("plain words without anything, " * 40 + PERSONAL) * 2]
+    want = [pii_model.spans_of(tags) for tags in pii_model.decode(m, pii_model.text_scores(m, [*texts, *long]))]
+    monkeypatch.setattr(pii_model, "text_scores", None)
+    assert pii_model.find(m, [*texts, *long]) == want and all(want[-1:])
+    monkeypatch.setattr(pii_model, "viterbi", lambda trans, s, start: (decoded.append(sum(map(len, s))), viterbi(trans, s, start))[1])
+    pii_model.find(m, long)
+    assert 0 < decoded[0] < len(long[0]) / 2
