@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import functools
 import re
 from difflib import SequenceMatcher
@@ -12,13 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.core import join_checked, prepare, written
+from skein.core import is_small, prepare, written
 from skein.functions import scope
 from skein.functions import text as X
-from skein.functions.providers import hashed_embedder
+from skein.functions.providers import hashed_embedder, hashed_entries
 from skein.functions.vectors import hashed_weights
 
-from .components import connected_components
+from .components import connected_components, contracted
 from .sparse import sparse_entries, sparse_pairs
 
 #: White space as the JVM's expressions split names at.
@@ -111,6 +112,81 @@ def names_may_agree(cut: float, keys: bool = False):
     return run
 
 
+def _letters(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in its name, code modulo 64) of the letters of names."""
+    count = np.array([len(n) for n in names], np.int64)
+    row = np.repeat(np.arange(len(names)), count)
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32) % 64
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count), codes.astype(np.int64)
+
+
+def _common(p: np.ndarray, q: np.ndarray, left: list[str], right: list[str]) -> np.ndarray:
+    """At least how long the longest subsequence of the names of pairs is (letters modulo 64), eight bytes of bits a pair; of left names beyond 64 letters the length."""
+    row, place, code = _letters(left)
+    masks, short = np.zeros((len(left), 65), np.uint64), place < 64
+    np.bitwise_or.at(masks, (row[short], code[short]), np.uint64(1) << place[short].astype(np.uint64))
+    row, place, code = _letters(right)
+    sizes, lengths = np.array([len(n) for n in left]), np.array([len(n) for n in right])
+    wide = np.full((len(right), int(lengths.max(initial=1))), 64)
+    wide[row, place] = code
+    bits = np.full(len(p), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for j in range(int(lengths[q].max(initial=0))):
+        met = bits & masks[p, wide[q, j]]
+        bits = (bits + met) | (bits - met)
+    own = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - np.clip(sizes[p], 1, 64)).astype(np.uint64)
+    return np.where(sizes[p] > 64, sizes[p], np.bitwise_count(~bits & own)).astype(np.int64)
+
+
+def names_near(cut: float, keys: bool = False):
+    """names_may_agree for all pairs of two arrays of names at once, as (p, q), places of those that may pass.
+
+    Shared letters of all pairs are one matrix product, as the lesser of two counts is how many levels both reach. For the
+    pairs that have enough of them the longest common subsequence, which no matching in order exceeds, stands instead.
+    """
+
+    def run(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sides = [[n.partition(scope.SEPARATOR)[2] for n in names] if keys else list(names) for names in (left.tolist(), right.tolist())]
+        bags = []
+        for names in sides:
+            row, _, code = _letters(names)
+            bags.append(np.bincount(row * 64 + code, minlength=64 * len(names)).reshape(len(names), 64))
+        top = np.minimum(*[b.max(0, initial=0) for b in bags])  # levels that both sides reach
+        code = np.repeat(np.arange(64), top)
+        level = np.arange(len(code)) - np.repeat(np.cumsum(top) - top, top) + 1
+        x, y = ((b[:, code] >= level).astype(np.float32) for b in bags)
+        sizes = [np.array([len(n) for n in names], np.float32)[:, None] for names in sides]
+        one = [np.ones_like(s) for s in sizes]
+        # 2 * shared - cut * (both sizes), which single floats hold to far less than a thousandth
+        over = np.concatenate([2 * x, -cut * sizes[0], one[0]], 1) @ np.concatenate([y, one[1], -cut * sizes[1]], 1).T
+        p, q = np.nonzero(over >= -1e-3 * max(1.0, *(float(s.max(initial=1)) / 1000 for s in sizes)))
+        keep = np.zeros(len(p), bool)
+        for low in range(0, len(p), 1 << 16):
+            i, j = p[low : low + (1 << 16)], q[low : low + (1 << 16)]
+            keep[low : low + (1 << 16)] = 2 * _common(i, j, *sides) >= (cut - 1e-9) * (sizes[0][i, 0].astype(float) + sizes[1][j, 0])
+        more_p, more_q = _sharing(*sides, cut)
+        both = np.unique(np.concatenate([p[keep], more_p]) * len(right) + np.concatenate([q[keep], more_q]))
+        return both // len(right), both % len(right)
+
+    return run
+
+
+def _sharing(left: list[str], right: list[str], cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose tokens' Jaccard reaches the cut; none for tokens that one name alone has."""
+    words = [[list(dict.fromkeys(w for w in _SPACE.split(n) if w)) for n in names] for names in (left, right)]
+    often = collections.Counter(w for n, ws in dict(zip(left + right, words[0] + words[1], strict=True)).items() for w in ws)
+    known = {w: i for i, w in enumerate(w for w, n in often.items() if n > 1)}
+    if not known:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    has = []
+    for side in words:
+        m = np.zeros((len(side), len(known)), np.float32)
+        for i, ws in enumerate(side):
+            m[i, [known[w] for w in ws if w in known]] = 1
+        has.append(m)
+    same, many = has[0] @ has[1].T, [np.array([len(ws) for ws in side]) for side in words]
+    return np.nonzero((same > 0) & (same >= (cut - 1e-9) * (many[0][:, None] + many[1] - same)))
+
+
 def tallies(rows: DataFrame, group: str, name: str, counted: dict[str, str]) -> DataFrame:
     """(group, mention_count, aliases, ...): rows, distinct names in order, and for each counted column how many values it has; each of them distinct before it is gathered or counted."""
     out = rows.groupBy(group).agg(F.count(F.lit(1)).alias("mention_count"))
@@ -137,33 +213,54 @@ def _described(voted: DataFrame) -> DataFrame:
     return out.withColumn("embedding_text", X.embedding_text(F.col("canonical_name"), F.col("canonical_description")))
 
 
-def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
-    """The cluster records of mentions (a written table) by key: names, types, descriptions and counts. Which mentions, units and passages support one is an edge table (see merge_mentions), as a frequent entity has no bound on them."""
-    voted, m = _voted(mentions, key), mentions.select(F.col(key).alias("__c"), "su_id", "passage_id")
+def _records(voted: DataFrame, counts: DataFrame) -> DataFrame:
+    """The cluster records of votes (see _voted) and counts (__u, su_count, passage_count) of clusters."""
     variants = first_appearances(voted, "__c", "description", ["__seen"], "description_variants")
     out = voted.groupBy("__c").agg(F.sum("votes").alias("mention_count"))
-    parts = [voted.select("__c", "normalized_name").distinct().groupBy("__c").agg(F.array_sort(F.collect_list("normalized_name")).alias("aliases"))]
-    parts += [m.select("__c", c).distinct().groupBy("__c").agg(F.count(c).cast("int").alias(n)) for c, n in (("su_id", "su_count"), ("passage_id", "passage_count"))]
-    for part in (*parts, variants, _described(voted)):
-        out = out.join(part, "__c")
+    aliases = voted.select("__c", "normalized_name").distinct().groupBy("__c").agg(F.array_sort(F.collect_list("normalized_name")).alias("aliases"))
+    out = out.join(aliases, "__c").join(counts, F.col("__c") == F.col("__u")).drop("__u").join(variants, "__c").join(_described(voted), "__c")
     return out.withColumn("entity_id", X.content_id("entity-", F.col("embedding_text"))).withColumnRenamed("__c", "cluster")
 
 
+def _supports(rows: DataFrame) -> DataFrame:
+    """(__u, su_count, passage_count) of clusters, from their mentions (__c, su_id, passage_id) in one pass over these."""
+    counts = rows.groupBy(F.col("__c").alias("__u")).agg(F.countDistinct("su_id").alias("su_count"), F.countDistinct("passage_id").alias("passage_count"))
+    return counts.select("__u", *[F.col(c).cast("int").alias(c) for c in ("su_count", "passage_count")])
+
+
+def clusters(mentions: DataFrame, key: str = "normalized_name") -> DataFrame:
+    """The cluster records of mentions (a written table) by key: names, types, descriptions and counts. Which mentions, units and passages support one is an edge table (see merge_mentions), as a frequent entity has no bound on them."""
+    return _records(_voted(mentions, key), _supports(mentions.select(F.col(key).alias("__c"), "su_id", "passage_id")))
+
+
 def supporting(owners: DataFrame, of: str = "su_id") -> DataFrame:
     """(entity_id, of): the distinct units, passages or mentions of each entity, from the edges of merge_mentions."""
     return owners.select("entity_id", of).distinct()
 
 
+#: What normalisation reads of a mention.
+_KIND = ["normalized_name", "entity_type", "description", "surface_text"]
+
+
+def _renamed(kinds: DataFrame) -> DataFrame:
+    """kinds (a written table with __ before the columns of _KIND) with __n, __k, __d, their names, types and descriptions normalised once more, without low-value ones."""
+    name, kind = X.normalize_name(F.col("__normalized_name")), X.normalize_type(F.col("__entity_type"))
+    kinds = written(kinds.withColumns({"__n": name, "__k": kind, "__d": X.normalize_description(F.col("__description"), F.col("__surface_text"))}), "names")
+    return kinds.where(~X.is_low_value(F.col("__n"), F.col("__k"), F.col("__d")))
+
+
+def _of_kinds(mentions: DataFrame, kinds: DataFrame, table: DataFrame) -> DataFrame:
+    """Mentions joined with their kinds, which are hashed where they are too many to be broadcast, so that no mention is sorted. table: a written one with as many rows as kinds."""
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _KIND])
+    return mentions.join(F.broadcast(kinds) if is_small(table) else kinds.hint("shuffle_hash"), same)
+
+
 def normalised(mentions: DataFrame) -> DataFrame:
     """Mentions whose names are normalised once more, without low-value ones. Each name is normalised once, not each mention."""
-    of = ["normalized_name", "entity_type", "description", "surface_text"]
-    names = written(mentions.select(*[F.col(c).alias(f"__{c}") for c in of]).distinct(), "names")
-    name, kind = X.normalize_name(F.col("__normalized_name")), X.normalize_type(F.col("__entity_type"))
-    names = names.withColumns({"__n": name, "__k": kind, "__d": X.normalize_description(F.col("__description"), F.col("__surface_text"))})
-    names = written(names.where(~X.is_low_value(F.col("__n"), F.col("__k"), F.col("__d"))), "names")
-    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in of])
+    names = _renamed(written(mentions.select(*[F.col(c).alias(f"__{c}") for c in _KIND]).distinct(), "names"))
     new = {"normalized_name": "__n", "entity_type": "__k", "description": "__d"}
-    return join_checked(mentions, names, same).select(*[F.col(new.get(c, c)).alias(c) for c in mentions.columns])
+    names = written(names, "names")
+    return _of_kinds(mentions, names, names).select(*[F.col(new.get(c, c)).alias(c) for c in mentions.columns])
 
 
 def name_vectors(m: DataFrame, dim: int, key: str = "normalized_name") -> DataFrame:
@@ -172,17 +269,18 @@ def name_vectors(m: DataFrame, dim: int, key: str = "normalized_name") -> DataFr
 
 
 def name_links(vectors: DataFrame, cosine: float, name_cut: float, changed: DataFrame | None = None, many: bool = False) -> DataFrame:
-    """(a, b) with a < b: names of one type whose vectors and names agree; with changed (cluster), those that have one of them.
+    """(a, b, coordinate) with a < b: names of one type whose vectors and names agree; with changed (cluster), those that have one of them.
 
     The pair join gives only pairs whose names may agree, and the sequence ratio is computed for those that no cheaper part of
-    name_similarity has decided. With many, clusters are keys of several corpora (see functions.scope), and names of one are linked.
+    name_similarity has decided; coordinate is one that both vectors have (see contracted). With many, clusters are keys of several corpora (see functions.scope), and names of one are linked.
     """
     kind = scope.beside(F.col("cluster"), F.col("entity_type")) if many else F.col("entity_type")
-    rows = vectors.select("cluster", kind.alias("entity_type"), sparse_entries("embedding").alias("entries"))
+    entries = F.col("entries") if "entries" in vectors.columns else sparse_entries("embedding")
+    rows = vectors.select("cluster", kind.alias("entity_type"), entries.alias("entries"))
     if changed is not None:
         rows = rows.join(changed.select(F.col("cluster").alias("new"), F.lit(True).alias("fresh")), F.col("cluster") == F.col("new"), "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))).drop("new")
-    pairs = sparse_pairs(rows, cosine, "cluster", "entity_type", "entries", names_may_agree(name_cut, many), None if changed is None else "fresh")
-    pairs = written(pairs.select("a", "b"), "pairs")
+    pairs = sparse_pairs(rows, cosine, "cluster", "entity_type", "entries", names_near(name_cut, many), None if changed is None else "fresh")
+    pairs = written(pairs.select("a", "b", "coordinate"), "pairs")
     a, b = (scope.bare(F.col(x)) if many else F.col(x) for x in ("a", "b"))
     near = (a == b) | (F.greatest(X.token_jaccard(a, b), X.containment(a, b)) >= name_cut)
     return pairs.where(near).unionByName(pairs.where(~near).where(sequence_ratio(a, b) >= name_cut))
@@ -198,12 +296,28 @@ def canonical(m: DataFrame, labels: DataFrame, dim: int, key: str = "normalized_
 
 
 def merge_mentions(mentions: DataFrame, cosine: float = 0.90, name_cut: float = 0.72, floor: float = 0.90, dim: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(entities, mention to entity): clusters of one type whose vectors and names are near become one, with their votes counted anew.
+    """(entities, mention to entity) of mentions (a written table): clusters of one type whose vectors and names are near become one, with their votes counted anew.
 
-    Names are normalised once more first, and low-value mentions dropped again. The cosine cut is never below `floor`.
+    Names are normalised once more first, and low-value mentions dropped again. The cosine cut is never below `floor`. All is done
+    with the kinds of mentions, of which there are few to a name; mentions themselves are read for these, for the counts of units
+    and passages, and for the owners.
     """
     prepare(mentions.sparkSession)
-    m = written(normalised(mentions), "mentions")
-    vectors = written(name_vectors(m, dim), "clusters")
-    entities, owners = canonical(m, connected_components(name_links(vectors, max(cosine, floor), name_cut)), dim)
-    return entities.drop("cluster"), owners.drop("cluster")
+    seen = F.min(F.struct("passage_id", "su_id", "mention_id")).alias("__first")
+    kinds = mentions.groupBy(*[F.col(c).alias(f"__{c}") for c in _KIND]).agg(F.count(F.lit(1)).alias("__votes"), seen)
+    kinds = written(_renamed(written(kinds, "kinds")), "kinds")
+
+    def voted(rows: DataFrame, key: str) -> DataFrame:
+        each = rows.groupBy(F.col(key).alias("__c"), F.col("__n").alias("normalized_name"), F.col("__k").alias("entity_type"), F.col("__d").alias("description"))
+        return written(each.agg(F.sum("__votes").alias("votes"), F.min("__first").alias("__seen")), "voted")
+
+    vectors = _described(voted(kinds, "__n")).select(F.col("__c").alias("cluster"), "entity_type", hashed_entries(dim)(F.col("embedding_text")).alias("entries"))
+    labels = connected_components(contracted(name_links(written(vectors, "clusters"), max(cosine, floor), name_cut), "coordinate"))
+    merged = kinds.join(labels, F.col("__n") == F.col("node"), "left").withColumn("__c", F.coalesce("component", "__n")).drop("node", "component")
+    merged = written(merged, "merged")
+    of = [f"__{c}" for c in _KIND]
+    counts = _supports(_of_kinds(mentions, merged.select(*of, "__c"), merged).select("__c", "su_id", "passage_id"))
+    entities = written(_records(voted(merged, "__c"), counts).withColumn("embedding", hashed_embedder(dim)(F.col("embedding_text"))), "entities")
+    named = merged.join(entities.select("cluster", "entity_id"), F.col("__c") == F.col("cluster")).select(*of, "entity_id")
+    owners = _of_kinds(mentions, named, merged).select("mention_id", "passage_id", "su_id", "entity_id")
+    return entities.drop("cluster"), owners

@@ -28,7 +28,8 @@ def mention_records(found: DataFrame) -> DataFrame:
     rows = found if "normalized_name" in found.columns else named(found)
     rows = rows.withColumn("grounded", F.col("char_start").isNotNull())
     key = ["passage_id", "su_id", "normalized_name", "entity_type", "description"]
-    rows = rows.groupBy(*key).agg(F.min(F.struct(F.col("char_start").isNull().alias("z"), "char_start", "char_end", "surface_text", "grounded")).alias("m"))
+    # dealt by key first: few rows share one, so that combining them before the shuffle would only sort them once more
+    rows = rows.repartition(*key).groupBy(*key).agg(F.min(F.struct(F.col("char_start").isNull().alias("z"), "char_start", "char_end", "surface_text", "grounded")).alias("m"))
     rows = rows.select(*key, "m.surface_text", "m.char_start", "m.char_end", "m.grounded")
     return rows.withColumn("mention_id", X.mention_id(*[F.col(c) for c in ("passage_id", "su_id", "normalized_name", "char_start", "char_end")]))
 

@@ -35,7 +35,7 @@ def rebuild(change: Change, found: DataFrame, cosine: float = 0.90, name_cut: fl
     prepare(found.sparkSession)
     m = written(entities.normalised(found), "mentions")
     vectors = written(entities.name_vectors(m, dim), "clusters")
-    links = written(entities.name_links(vectors, max(cosine, floor), name_cut), "links")
+    links = written(entities.name_links(vectors, max(cosine, floor), name_cut).select("a", "b"), "links")
     labels = written(connected_components(links), "labels")
     nodes, owners = entities.canonical(m, labels, dim)
     for name, df in ((NAMED, m), (VECTORS, vectors), (LINKS, links), (LABELS, labels), ("entities", nodes), ("support", owners)):
@@ -59,7 +59,7 @@ def update(change: Change, found: DataFrame, cosine: float = 0.90, name_cut: flo
         return {"changed": 0, "rebuilt": 0, "clusters": change.read("entities").count()}
     fresh = written(entities.name_vectors(_with(m, changed, "normalized_name", "cluster"), dim), "fresh")
     vectors = written(_without(change.read(VECTORS), changed, "cluster", "cluster").unionByName(fresh), "clusters")
-    made = written(entities.name_links(vectors, max(cosine, floor), name_cut, changed), "made")
+    made = written(entities.name_links(vectors, max(cosine, floor), name_cut, changed).select("a", "b"), "made")
     links = written(_without(_without(change.read(LINKS), changed, "a", "cluster"), changed, "b", "cluster").unionByName(made), "links")
     labels = change.read(LABELS)
     touched = written(changed.union(made.select("a")).union(made.select("b")).distinct(), "touched")

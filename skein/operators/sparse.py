@@ -97,12 +97,12 @@ def _met(posted: DataFrame, fresh: bool) -> DataFrame:
     return left.unionByName(right)
 
 
-def sparse_pairs(rows: DataFrame, at_least: float, id_col: str = "id", group_col: str = "kind", entries: str = "entries", possible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, fresh: str | None = None) -> DataFrame:
-    """(group, a, b, cosine) with a < b for vectors of one group (null: a group of its own) whose dot product reaches the cut, which is above 0.
+def sparse_pairs(rows: DataFrame, at_least: float, id_col: str = "id", group_col: str = "kind", entries: str = "entries", possible: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, fresh: str | None = None) -> DataFrame:
+    """(group, a, b, cosine, coordinate) with a < b for vectors of one group (null: a group of its own) whose dot product reaches the cut, which is above 0.
 
     entries: array<struct<i, w>>, each coordinate once. A pair comes from the last coordinate that both have in the index, so it
-    is found once. With `possible`, only pairs of whose ids (a, b) it says that a later test may pass leave their task. With
-    `fresh`, a boolean column, only pairs with a fresh row: fresh rows meet all others, which don't meet each other.
+    is found once. With `possible`, only pairs that a later test may pass leave their task: of the ids of a block's two sides it
+    gives the places (p, q) of those pairs. With `fresh`, a boolean column, only pairs with a fresh row: fresh rows meet all others, which don't meet each other.
     """
     if at_least <= 0:
         raise ValueError("the cut must be above 0")
@@ -115,17 +115,18 @@ def sparse_pairs(rows: DataFrame, at_least: float, id_col: str = "id", group_col
         ids, once = np.array(t["id"].to_pylist(), dtype=object), t["once"].to_numpy()
         x, y = np.flatnonzero(t["left"].to_numpy()), np.flatnonzero(t["right"].to_numpy())
         dots, later = _products(_side(t, x), _side(t, y), (len(x), len(y)))
-        p, q = np.nonzero((dots >= at_least) & (later == 0))
+        p, q = np.nonzero((dots >= at_least) & (later == 0)) if possible is None else possible(ids[x], ids[y])
+        keep = (dots[p, q] >= at_least) & (later[p, q] == 0)
+        p, q = p[keep], q[keep]
         a, b = ids[x[p]], ids[y[q]]
         keep = ((a < b) | ~once[y[q]] & (a != b)).astype(bool)
         a, b, cosine = a[keep], b[keep], dots[p, q][keep]
         swap = (a > b).astype(bool)
         low, high = np.where(swap, b, a), np.where(swap, a, b)
-        if possible is not None and len(low):
-            may = possible(low, high)
-            low, high, cosine = low[may], high[may], cosine[may]
         grp = pa.array([t["grp"][0].as_py()] * len(low), t.schema.field("grp").type)
-        return pa.table({"grp": grp, "a": pa.array(low.tolist(), t.schema.field("id").type), "b": pa.array(high.tolist(), t.schema.field("id").type), "cosine": pa.array(cosine)})
+        return pa.table({"grp": grp, "a": pa.array(low.tolist(), t.schema.field("id").type), "b": pa.array(high.tolist(), t.schema.field("id").type), "cosine": pa.array(cosine), "coordinate": pa.array(np.full(len(low), t["coordinate"][0].as_py()), pa.int32())})
 
-    out = met.groupBy("grp", "coordinate", "x", "y").applyInArrow(run, f"grp {own}, a {kind}, b {kind}, cosine double")
+    # few bytes, but much work a block: a stated number of tasks is not merged
+    met = met.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, "grp", "coordinate", "x", "y")
+    out = met.groupBy("grp", "coordinate", "x", "y").applyInArrow(run, f"grp {own}, a {kind}, b {kind}, cosine double, coordinate int")
     return out.withColumnRenamed("grp", group_col)

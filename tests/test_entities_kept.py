@@ -11,6 +11,7 @@ from skein.core import shared_path
 from skein.engine import Engine
 from skein.functions import providers
 from skein.operators import entities, resolution, sparse
+from skein.operators.components import connected_components
 from skein.sources.snapshots import Conflict, Snapshots
 
 
@@ -210,3 +211,44 @@ def test_long_names_are_found(spark):
     found = {(r.query_id, r.surface_text, r.entity_type) for r in mentions.known_names(q, nodes).collect()}
     assert found == {(1, "l a d b e f g h i j", "name"), (1, "truro", "place"), (1, "truro city", "place")}
     assert mentions.known_names(q, nodes.limit(0)).count() == 0
+
+
+def test_names_near_loses_no_pair_and_keeps_few(spark):
+    own = names(90, 7) + ["y" * 70, "y" * 69 + "z", "überall", "überalle"]
+    x, y = np.array(own[::2] + own[:9], object), np.array(own[1::2] + own[:9], object)
+    p, q = entities.names_near(0.72)(x, y)
+    near = set(zip(p.tolist(), q.tolist(), strict=True))
+    rows = [(i, j, a, b) for i, a in enumerate(x) for j, b in enumerate(y)]
+    s = spark.createDataFrame(rows, "i int, j int, a string, b string").select("i", "j", entities.name_similarity(F.col("a"), F.col("b")).alias("s"))
+    agree = {(r.i, r.j) for r in s.collect() if r.s >= 0.72}
+    before = entities.names_may_agree(0.72)(np.array([r[2] for r in rows], object), np.array([r[3] for r in rows], object)).sum()
+    assert agree <= near and len(near) == len(p) and len(near) < (before + len(agree)) / 2
+    keys = [np.array(["c\x1f" + n for n in side], object) for side in (x, y)]
+    assert [c.tolist() for c in entities.names_near(0.72, True)(*keys)] == [p.tolist(), q.tolist()]
+    assert len(entities.names_near(0.72)(x[:0], y)[0]) == 0
+
+
+@pytest.mark.parametrize("held", [2, 500_000])
+def test_contracted_edges_have_the_same_components(spark, monkeypatch, held):
+    from skein.operators import components
+
+    monkeypatch.setattr(components, "HELD", held)
+    r = random.Random(4)
+    rows = [(f"n{i:03}", f"n{i + 1:03}", i // 20) for i in range(99) if i % 33] + [(f"n{r.randrange(60):03}", f"n{r.randrange(60):03}", 9) for _ in range(15)]
+    edges = spark.createDataFrame(rows, "a string, b string, at int")
+    want = sorted(tuple(x) for x in components.connected_components(edges).collect())
+    few = components.contracted(edges, "at")
+    assert sorted(tuple(x) for x in components.connected_components(few).collect()) == want and few.count() <= len(rows)
+
+
+def test_merging_by_kinds_is_merging_by_mentions(spark):
+    r, own = random.Random(8), names(50, 9)
+    rows = [(f"p{i % 7}", f"u{i % 23}", f"m{i}", r.choice(own), "term", r.choice(["a bay", "a cove", ""]), r.choice(["Bay", "cove"])) for i in range(400)]
+    found = spark.createDataFrame(rows, "passage_id string, su_id string, mention_id string, normalized_name string, entity_type string, description string, surface_text string").cache()
+    m = entities.normalised(found).cache()
+    labels = connected_components(entities.name_links(entities.name_vectors(m, 256), 0.9, 0.72))
+    nodes, owners = entities.canonical(m, labels, 256)
+    got, edges = entities.merge_mentions(found)
+    columns = sorted(c for c in nodes.columns if c != "cluster")
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, nodes.select(columns).collect())) and got.count() < len(own)
+    assert sorted(edges.collect()) == sorted(owners.drop("cluster").collect())
