@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.core import is_small, prepare, written
+from skein.core import is_small, join_checked, prepare, written
 from skein.functions import scope
 from skein.functions import text as X
 from skein.functions.providers import hashed_embedder, hashed_entries
@@ -249,18 +249,20 @@ def _renamed(kinds: DataFrame) -> DataFrame:
     return kinds.where(~X.is_low_value(F.col("__n"), F.col("__k"), F.col("__d")))
 
 
+def _same_kind() -> Column:
+    return functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _KIND])
+
+
 def _of_kinds(mentions: DataFrame, kinds: DataFrame, table: DataFrame) -> DataFrame:
     """Mentions joined with their kinds, which are hashed where they are too many to be broadcast, so that no mention is sorted. table: a written one with as many rows as kinds."""
-    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _KIND])
-    return mentions.join(F.broadcast(kinds) if is_small(table) else kinds.hint("shuffle_hash"), same)
+    return mentions.join(F.broadcast(kinds) if is_small(table) else kinds.hint("shuffle_hash"), _same_kind())
 
 
 def normalised(mentions: DataFrame) -> DataFrame:
     """Mentions whose names are normalised once more, without low-value ones. Each name is normalised once, not each mention."""
     names = _renamed(written(mentions.select(*[F.col(c).alias(f"__{c}") for c in _KIND]).distinct(), "names"))
     new = {"normalized_name": "__n", "entity_type": "__k", "description": "__d"}
-    names = written(names, "names")
-    return _of_kinds(mentions, names, names).select(*[F.col(new.get(c, c)).alias(c) for c in mentions.columns])
+    return join_checked(mentions, written(names, "names"), _same_kind()).select(*[F.col(new.get(c, c)).alias(c) for c in mentions.columns])
 
 
 def name_vectors(m: DataFrame, dim: int, key: str = "normalized_name") -> DataFrame:
